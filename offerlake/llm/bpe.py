@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 #: Words, and pairs of tokens, that a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 class _Words(dict):
@@ -50,11 +50,15 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.compatible: dict[tuple[bytes, bytes], bool] = {}
         self.words = _Words(self.encode_word)
-        self.matcher = ahocorasick.Automaton()
-        for token in ranks:
+
+    @cached_property
+    def matcher(self) -> ahocorasick.Automaton:
+        matcher = ahocorasick.Automaton()
+        for token in self.ranks:
             if self.merged(token) == [token]:  # others come up only as a whole word
-                self.matcher.add_word(token.decode("latin-1"), token)
-        self.matcher.make_automaton()
+                matcher.add_word(token.decode("latin-1"), token)
+        matcher.make_automaton()
+        return matcher
 
     def merged(self, data: bytes) -> list[bytes]:
         """The definition: merge the neighbours of lowest rank until none can be."""
@@ -118,24 +122,24 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False) -> DataFrame:
     """One row (doc_id, ids, n_tokens) for each row of docs (doc_id, text).
 
-    ids is binary: little-endian unsigned 32-bit integers, the layout that training loaders map into memory.
-    vocabulary names a file of base64 tokens and ranks that every executor has. Null and empty texts give no ids;
+    ids is binary: little-endian unsigned 32-bit integers, the layout that training loaders map into memory. With
+    decoded, the ids are also decoded again, in the same pass over the data, into a column of that name. vocabulary names a file of base64 tokens and ranks that every executor has. Null and empty texts give no ids;
     repeated rows are encoded each for itself; other columns are ignored; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
-        for batch in slices(batches, limit=16 << 20):
+        for batch in slices(batches, limit=4 << 20):
             ids = [own.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                ["doc_id", "ids", "n_tokens"],
-            )
+            made = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+            if decoded:
+                made["decoded"] = pa.array(map(own.decode, ids), pa.binary())
+            yield pa.RecordBatch.from_pydict(made)
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary, n_tokens long" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
