@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, token_counts, url_filter
+from . import bpe, decontamination, sharding, token_counts, toxicity, url_filter
 from .common import shared_dir, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -24,6 +24,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, RULES, model)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = model.score(docs)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, decoded=True)
@@ -43,9 +51,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: whether it overlaps a benchmark item, the items, and where."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.array_sort(F.array_distinct("leaks.item_id")).alias("item_ids"), "leaks")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op3_byte_bpe, op6_token_counts, op8_sharding)
+    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op6_token_counts, op8_sharding, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}

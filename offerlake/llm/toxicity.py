@@ -128,7 +128,8 @@ class ToxicityModel:
             return docs.select(*kept, F.lit(float(self.base)).alias("toxicity"))
         made = docs.withColumn("_toxicity_features", array_to_vector(_features(F.col("text"), F.lit(0), (self.lexicon,))))
         scored = self.calibration.transform(self.trees.transform(made).withColumn("_toxicity_share", vector_to_array("_toxicity_probability")[1]))
-        return scored.select(*kept, F.least(F.greatest("_toxicity_calibrated", F.lit(0.0)), F.lit(1.0)).alias("toxicity"))
+        # calibrated scores come in steps; a hundredth of the trees' own orders texts within a step
+        return scored.select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.99 * F.col("_toxicity_calibrated") + 0.01 * F.col("_toxicity_share"))).alias("toxicity"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 25, depth: int = 4) -> ToxicityModel:
@@ -155,10 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int =
         return ToxicityModel(lexicon, None, None, base)
     folds = (_lexicon(counts, totals, (1,)), _lexicon(counts, totals, (0,)))
     ready = chosen.select("label", "part", array_to_vector(_features(F.col("text"), F.col("fold"), folds)).alias("_toxicity_features")).coalesce(4).persist()
-    fit_trees = GBTClassifier(
-        featuresCol="_toxicity_features", labelCol="label", probabilityCol="_toxicity_probability", rawPredictionCol="_toxicity_raw", predictionCol="_toxicity_class", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7
-    )
-    fitted = fit_trees.fit(ready.where("part < 6"))
+    fitted = GBTClassifier(featuresCol="_toxicity_features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(ready.where("part < 6"))
+    fitted.setProbabilityCol("_toxicity_probability").setRawPredictionCol("_toxicity_raw").setPredictionCol("_toxicity_class")
     rest = fitted.transform(ready.where("part >= 6")).withColumn("_toxicity_share", vector_to_array("_toxicity_probability")[1])
     calibration = IsotonicRegression(featuresCol="_toxicity_share", labelCol="label", predictionCol="_toxicity_calibrated").fit(rest)
     ready.unpersist()
