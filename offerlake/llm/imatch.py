@@ -74,7 +74,8 @@ def lexicon(docs: DataFrame, most: float = 0.1, least: float = 0.0005) -> Lexico
     counts = document_counts(docs)
     total = docs.count()
     inside = counts.where(F.col("n").between(least * total, most * total))
-    maps = inside.groupBy(F.bitmap_bucket_number("cell").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    place = F.col("cell") + 1  # these functions count from 1
+    maps = inside.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bits = np.zeros(1 << CELL_BITS, bool)
     for number, packed in maps.collect():  # at most 33 rows of 4 kB
         own = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little"))
