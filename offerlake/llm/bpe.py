@@ -11,6 +11,7 @@ computed by merging their bytes once and remembered.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -23,21 +24,25 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts
 
-#: Words, and pairs of tokens, that a worker remembers before it starts anew.
-MEMORY = 200_000
+#: Words, and pairs of tokens, that a worker remembers: as many from lately, and as many from before.
+MEMORY = 250_000
 
 
 class _Words(dict):
-    """Word -> packed ids, filled as words come up."""
+    """Word -> packed ids, filled as words come up. Words that come up again outlive the others."""
 
     def __init__(self, encode):
         super().__init__()
-        self._encode = encode
+        self._encode, self._before = encode, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
+            self._before = dict(self)
             self.clear()
-        out = self[word] = np.asarray(self._encode(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        if (out := self._before.get(word)) is None:
+            ids = self._encode(word.encode("utf-8", "surrogatepass"))
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
 
@@ -56,7 +61,7 @@ class Codec:
         matcher = ahocorasick.Automaton()
         for token in self.ranks:
             if self.merged(token) == [token]:  # others come up only as a whole word
-                matcher.add_word(token.decode("latin-1"), token)
+                matcher.add_word(token.decode("latin-1"), (len(token) - 1, token))
         matcher.make_automaton()
         return matcher
 
@@ -81,9 +86,13 @@ class Codec:
     def encode_word(self, word: bytes) -> list[int]:
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
+        # each place's longest token, which the walk below tries first, is mostly right all along
+        longest = [token for _, (_, token) in self.matcher.iter_long(word.decode("latin-1"))]
+        if all(map(self.fits, longest, longest[1:])):
+            return [self.ranks[t] for t in longest]
         starting: list[list[bytes]] = [[] for _ in word]
-        for end, token in self.matcher.iter(word.decode("latin-1")):
-            starting[end - len(token) + 1].append(token)  # ends ascend, so the longest is last
+        for end, (size, token) in self.matcher.iter(word.decode("latin-1")):
+            starting[end - size].append(token)  # ends ascend, so the longest is last
         open_at = [True] * (len(word) + 1)
         tokens: list[bytes] = []
         at, tried = 0, []  # tried: for each token placed, how many choices are left at its place
