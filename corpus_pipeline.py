@@ -1,5 +1,6 @@
-"""The corpus pipeline: toxic documents go, one of each near-duplicate group stays, repeated passages and benchmark
-leaks go, and what is left is encoded. Each stage's result is written as Parquet and read again by the next."""
+"""The corpus pipeline: toxic documents go, one of each near-duplicate class stays, repeated passages go, documents
+that leak benchmark items go, and what is left is encoded. Each stage takes (spark, docs, sf_dir) and works on all that
+the one before kept; its result is written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
@@ -8,10 +9,48 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from offerlake.llm import bpe
+from offerlake.llm import bpe, decontamination, near_duplicates, suffix_dedup, toxicity
 from offerlake.llm.common import shared_dir, table
 
+#: Documents of this toxicity or more are rejected.
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score below TOXIC, by a model of the labels whose ids' checksums leave 0, 1 or 3 of 4."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return model.score(docs).where(F.col("toxicity") < TOXIC).select(*[f"`{c}`" for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document that names its class. Of rows with equal ids one stays; rows without id stay, once a text."""
+    classes = near_duplicates.near_duplicates(docs)
+    named = classes.where("doc_id = class_id").select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*[f"`{c}`" for c in docs.columns])
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur earlier; those of which nothing but white space is left go. Characters
+    that a cut splits are dropped, and n_chars counts what stays."""
+    cut = suffix_dedup.remove_repeats(docs)
+    whole = F.size("passages.spans") == 0
+    valid = F.make_valid_utf8(F.col("passages.kept").cast("string"))
+    text = F.when(whole, F.col("text")).otherwise(F.when(F.contains("text", F.lit("�")), valid).otherwise(F.replace(valid, F.lit("�"), F.lit(""))))
+    out = cut.where(whole | (F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) > 0)).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that overlap no benchmark item."""
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select(*[f"`{c}`" for c in docs.columns])
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens) of every document."""
@@ -19,6 +58,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", cut_passages),
+    ("decontamination", drop_leaks),
     ("encode", encode),
 ]
 

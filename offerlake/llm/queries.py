@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, imatch, near_duplicates, sharding, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontamination, imatch, language_model, near_duplicates, sharding, suffix_dedup, token_counts, toxicity, url_filter
 from .common import shared_dir, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -72,6 +72,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = language_model.train(docs.where(~language_model.held_out(F.col("doc_id"))))
+    return model.score(docs).select(
+        "doc_id", language_model.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: whether it overlaps a benchmark item, the items, and where."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,7 +89,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op10_decontamination)
+    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_language_model, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
