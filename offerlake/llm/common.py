@@ -28,14 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from reliable storage, so that a lost executor costs a read and not the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but columnar and compressed: for results of about the input's size."""
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df from a written table in the shared folder, so that a lost executor costs a read and not the lineage. Its size is
+    known afterwards: iterations whose plans only carry estimates multiply these without end. The tables live as long
+    as the folder, as checkpoints do."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

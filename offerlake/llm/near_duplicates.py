@@ -17,11 +17,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, stored, texts
+from .common import slices, stored, texts
 from .components import components
 from .words import ODD, hashes, mixed, windows
 
 
+#: Tasks that the rows of one bucket are dealt to.
+SALTS = 16
+#: Up to so many pairs, 16 bytes each, their texts are picked out by a broadcast; more are joined by shuffles.
+FEW_PAIRS = 20_000
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
     """A hash for each window of `size` words; none for texts of fewer words."""
     return windows(hashes(text), range(size))
@@ -133,6 +139,9 @@ def _verify(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
                 alike = [similarity(x, y, least) >= least for x, y in zip(*own, strict=True)]
                 yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "alike": pa.array(alike, pa.bool_())})
 
+    if pairs.count() <= FEW_PAIRS:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sequences = sequences.join(F.broadcast(ids), "doc_id", "left_semi")
     left = sequences.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sequences.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long, alike boolean")
@@ -155,39 +164,39 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, count: i
     words than `size` only if their words are. Repeated rows each get a row; rows with a null doc_id join their
     copies' class but never name one. Other columns are ignored; an empty table gives an empty one.
     """
-    own = cut(_emit(docs, size, count, length))
+    own = stored(_emit(docs, size, count, length))
     first = own.groupBy("content").agg(F.min("doc_id").alias("kind"))
-    member = cut(own.select("doc_id", "content").join(first, "content").select("doc_id", "kind"))
+    member = stored(own.select("doc_id", "content").join(first, "content").select("doc_id", "kind"))
     kinds = own.join(first.select(F.col("kind").alias("doc_id")), "doc_id", "left_semi").where("n > 0")
-    kinds = cut(kinds.groupBy("doc_id").agg(F.first("sketches").alias("sketches"), F.first("n").alias("n")))
-    # level 0: a row for each text and sketch; at: the sketch's place, group: who it is known to be alike to
+    kinds = stored(kinds.groupBy("doc_id").agg(F.first("sketches").alias("sketches"), F.first("n").alias("n")))
+    # a row for each text and sketch; at: the sketch's place, group: who it is known to be alike to
     rows = kinds.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("group"), "n", F.posexplode("sketches").alias("at", "key"))
-    rows = _shared(rows)
-    sequences = stored(_sequences(docs.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "shingles")
-    tested = None
+    sequences = tested = None
     for level in range(1, count + 1):
-        hubs = rows.groupBy("key").agg(F.min(F.struct("doc", "group", "n")).alias("hub"))
-        met = rows.join(hubs, "key").where("doc <> hub.doc and group <> hub.group")
-        pairs = met.where(F.least("n", "hub.n") >= least * F.greatest("n", "hub.n")).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
+        met = stored(_met(rows))
+        if tested is not None and not met.head(1):
+            break
+        if sequences is None:
+            some = met.select(F.col("doc").alias("doc_id")).distinct()
+            sequences = stored(_sequences(docs.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "shingles")
+        pairs = met.where("doc <> hub.doc and group <> hub.group").where(F.least("n", "hub.n") >= least * F.greatest("n", "hub.n"))
+        pairs = pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = cut(_verify(pairs, sequences, least))
-        tested = found if tested is None else cut(tested.unionByName(found))
-        if level == count:
-            break
+        found = stored(_verify(stored(pairs), sequences, least))
+        tested = found if tested is None else tested.unionByName(found)
         alike = tested.where("alike").select(F.col("a").alias("hub_doc"), F.col("b").alias("doc"), F.lit(True).alias("alike"))
-        regrouped = rows.join(hubs, "key").withColumn("hub_doc", F.col("hub.doc")).join(alike, ["hub_doc", "doc"], "left")
+        regrouped = met.withColumn("hub_doc", F.col("hub.doc")).join(alike, ["hub_doc", "doc"], "left")
         regrouped = regrouped.withColumn("group", F.when(F.col("alike"), F.col("hub.group")).otherwise(F.col("group")))
         later = regrouped.join(kinds.select(F.col("doc_id").alias("doc"), "sketches"), "doc")
-        next_sketch = F.expr(f"sketches[(at + {level}) % {count}]")
-        rows = _shared(later.select("doc", "group", "n", "at", F.xxhash64("key", next_sketch).alias("key")))
-        if not rows.head(1):
-            break
+        rows = later.select("doc", "group", "n", "at", F.xxhash64("key", F.expr(f"sketches[(at + {level}) % {count}]")).alias("key"))
     linked = components(tested.where("alike").select("a", "b"))
     return member.join(linked.withColumnRenamed("node", "kind"), "kind", "left").select("doc_id", F.coalesce("component", "kind").alias("class_id"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows in buckets of more than one group."""
-    mixed_keys = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    return cut(rows.join(mixed_keys, "key", "left_semi"))
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows in buckets of more than one group, with their bucket's smallest text (hub). A bucket may be any share of
+    all rows, so its rows are dealt to SALTS tasks, each of which gets the hub."""
+    hubs = rows.groupBy("key").agg(F.min(F.struct("doc", "group", "n")).alias("hub"), F.min("group").alias("low"), F.max("group").alias("high"))
+    hubs = hubs.where("low < high").select("key", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS))).join(hubs, ["key", "salt"]).drop("salt")

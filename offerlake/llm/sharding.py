@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 #: What a row takes besides its text.
 ROW_BYTES = 16
@@ -30,7 +30,7 @@ def shard_by_bytes(docs: DataFrame, shards: int) -> DataFrame:
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    dealt = stored(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     offsets = totals.select(  # as many rows as there are partitions

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 #: Words that commonly occur in the host names of unwanted sites: they label URLs where no labels are at hand.
 UNWANTED_WORDS = (
@@ -106,10 +106,10 @@ def train(labelled: DataFrame, sample: int = 20_000, trees: int = 20, depth: int
     """
     order = [F.xxhash64("url"), "url"]
     rare, rest = (labelled.where(F.col("label") == x).orderBy(*order).limit(sample) for x in (1, 0))
-    chosen = cut(rare.unionByName(rest).coalesce(2))
+    chosen = stored(rare.unionByName(rest).coalesce(2))
     base, n, kinds = chosen.agg(F.coalesce(F.avg("label"), F.lit(0.0)), F.count("*"), F.count_distinct("label")).first()
     with_suffix = lexical(chosen)
-    suffixes = cut(with_suffix.groupBy("suffix").agg(((F.sum("label") + 20 * base) / (F.count("*") + 20)).alias("suffix_rate")).coalesce(1))
+    suffixes = stored(with_suffix.groupBy("suffix").agg(((F.sum("label") + 20 * base) / (F.count("*") + 20)).alias("suffix_rate")).coalesce(1))
     if kinds < 2:
         return UrlModel(None, suffixes, base)
     columns = [*FEATURES, "suffix_rate"]
