@@ -33,7 +33,7 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     known afterwards: iterations whose plans only carry estimates multiply these without end. The tables live as long
     as the folder, as checkpoints do."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,7 @@ from .words import ODD, hashes, mixed
 #: Other terms in a term's cell add about (distinct terms a text) / 2^20 of all texts to its count, at every corpus size.
 CELL_BITS = 20
 #: (how many random subsets, one in how many terms each keeps): small texts show in the dense, long in the sparse ones.
-SUBSETS = ((8, 16), (16, 64), (24, 256))
+SUBSETS = ((6, 16), (10, 64), (16, 256))
 _EACH = [one_in for n, one_in in SUBSETS for _ in range(n)]
 _SALTS, _LIMITS = ODD[: len(_EACH), None], np.array([(1 << 64) // x for x in _EACH], np.uint64)[:, None]
 VOID = "------"
@@ -40,9 +40,9 @@ def document_counts(docs: DataFrame) -> DataFrame:
                 counts[_cells(text)] += 1
         found = np.flatnonzero(counts)
         for part in np.array_split(found, len(found) // 50_000 + 1):
-            yield pa.record_batch([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["cell", "n"])
+            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(counts[part], pa.int32())], ["cell", "n"])
 
-    return texts(docs).select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return texts(docs).select("text").mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
