@@ -22,12 +22,9 @@ from .words import ODD, mixed
 
 WIDTH, ANCHOR, CONTEXT = 100, 20, 40
 #: Bytes that are hashed at once.
-CHUNK = 400_000
+CHUNK = 200_000
 #: Of an index task's groups; larger ones are resolved window by window, which spreads them over all tasks.
 GROUP_LIMIT = 20_000
-#: Bits of the filter that keeps texts without findings out of a shuffle. It only saves work: when the corpus is so
-#: large that it fills up, all texts pass.
-FILTER_BITS = 25
 FIRST_ID = -(1 << 63)
 _U = np.uint64
 _BYTES = ODD[256 - 64 :]
@@ -43,7 +40,7 @@ class Runs:
     repeated holds the windows (places in `data`) that occur earlier in the same text; runs leave them out.
     """
 
-    def __init__(self, parts: list[bytes]):
+    def __init__(self, parts: list[bytes], only_repeats: bool = False):
         self.begins = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
         self.data = np.frombuffer(b"".join(parts), np.uint8)
         self.text = self.start = self.size = np.zeros(0, np.int64)
@@ -53,25 +50,26 @@ class Runs:
         self.windows = np.zeros(0, np.uint64)
         n = len(self.data) - WIDTH + 1
         if n > 0:
-            self._find(n)
+            self._find(n, only_repeats)
 
-    def _find(self, n: int) -> None:
+    def _find(self, n: int, only_repeats: bool) -> None:
         data, begins = self.data, self.begins
         h = {1: mixed((data.astype(np.uint64) + _U(1)) * ODD[129])}
         for k in (1, 2, 4, 8, 16, 32):
             _power(h[k], k, h)
         joined = lambda sizes, at, count: mixed(sum(h[k][o + at : o + at + count] * ODD[150 + j] for j, (k, o) in enumerate(sizes)))
-        m = len(data) - ANCHOR + 1
-        keys = joined(((16, 0), (4, 16)), 0, m)
         windows = self.windows = joined(((64, 0), (32, 64), (4, 96)), 0, n)
+        of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[:n]
+        inside = np.arange(n) + WIDTH <= begins[of + 1]
+        self.repeated = self._repeats(windows, of, inside)
+        if only_repeats:
+            return
+        keys = joined(((16, 0), (4, 16)), 0, len(data) - ANCHOR + 1)
         span, least, k = WIDTH - ANCHOR + 1, keys, 1
         while 2 * k <= span:
             least = np.minimum(least[:-k], least[k:])
             k *= 2
         least = np.minimum(least[:n], least[span - k : span - k + n])
-        of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[:n]
-        inside = np.arange(n) + WIDTH <= begins[of + 1]
-        self.repeated = self._repeats(windows, of, inside)
         inside[self.repeated] = False
         at = np.flatnonzero(inside)
         if not len(at):
@@ -138,7 +136,7 @@ def _emit(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=2 << 20):
             ids, parts = batch.column("id").to_numpy(), [_bytes(t) for t in batch.column("text").to_pylist()]
             for begin, chunk in _chunks(parts):
                 r = Runs(chunk)
@@ -197,35 +195,12 @@ def _repeats_and_neighbours(emitted: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, digest long, id long, sides long, whole boolean")
 
 
-class _Filter:
-    """Which ids may have findings; no id that has any is left out."""
-
-    def __init__(self, ids: DataFrame):
-        place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1  # bitmap functions count from 1
-        maps = ids.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-        packed = np.zeros(((1 << FILTER_BITS >> 15) + 1, 4096), np.uint8)
-        for number, bits in maps.collect():  # 4 MB in all
-            packed[number - 1] = np.frombuffer(bits, np.uint8)
-        self.bits = ids.sparkSession.sparkContext.broadcast(packed.reshape(-1))
-
-    def passes(self, id_col: str):
-        bits = self.bits
-
-        @F.arrow_udf("boolean")
-        def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for places in parts:
-                p = places.to_numpy()
-                yield pa.array((bits.value[p >> 3] >> (p & 7)) & 1 == 1)
-
-        return run(F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)))
-
-
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, members, id, digest, text) with the bytes of each wanted run (id, digest, keys)."""
     lists = wanted.groupBy("id").agg(F.collect_list(F.struct("digest", "key", "members")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=2 << 20):
             ids, parts, lists = batch.column("id").to_pylist(), [_bytes(t) for t in batch.column("text").to_pylist()], batch.column("runs").to_pylist()
             out: list[tuple] = []
             for begin, chunk in _chunks(parts):
@@ -331,6 +306,37 @@ def _search_windows(segments: DataFrame) -> DataFrame:
 SPANS = "array<struct<begin:long,end:long>>"
 
 
+def _cut(chunk: list[bytes], lists: list, wanted: bool) -> Iterator[dict]:
+    """What stays of each text of a chunk, and what goes."""
+    r = Runs(chunk, only_repeats=not wanted)
+    gone = np.zeros(len(r.data) + 1, np.int8)  # of each window's first byte
+    gone[r.repeated] = 1
+    if wanted:
+        where: dict[tuple[int, int], list[int]] = {}
+        for k, key in enumerate(zip(r.text.tolist(), r.digest.view(np.int64).tolist(), strict=True)):
+            where.setdefault(key, []).append(k)
+        for i, own in enumerate(lists):
+            for x in own:
+                for k in where.get((i, x["digest"]), ()):
+                    s = int(r.start[k])
+                    ranges = [0, int(r.size[k])] if x["ranges"] is None else x["ranges"]
+                    for a, b in zip(ranges[::2], ranges[1::2], strict=True):
+                        gone[s + a : s + b] = 1
+    at = np.flatnonzero(gone)
+    depth = np.zeros(len(r.data) + 1, np.int32)
+    depth[at] += 1
+    depth[at + WIDTH] -= 1
+    covered = np.cumsum(depth[:-1]) > 0
+    for i, x in enumerate(chunk):
+        own = covered[r.begins[i] : r.begins[i + 1]]
+        if not own.any():
+            yield {"n_bytes": len(x), "kept": x, "spans": []}
+            continue
+        edges = _ranges(own)
+        kept = np.frombuffer(x, np.uint8)[~own].tobytes()
+        yield {"n_bytes": len(x), "kept": kept, "spans": [{"begin": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]}
+
+
 def _remove(text, runs):
     """Column struct(n_bytes, kept, spans): kept bytes, and the removed runs; runs lists (digest, ranges)."""
     kind = pa.struct([("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
@@ -339,35 +345,13 @@ def _remove(text, runs):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lists in batches:
             parts, lists = [_bytes(t) for t in texts.to_pylist()], lists.to_pylist()
-            out = []
-            for begin, chunk in _chunks(parts):
-                r = Runs(chunk)
-                gone = np.zeros(len(r.data) + 1, np.int32)  # of each window's first byte
-                gone[r.repeated] = 1
-                if any(lists[begin : begin + len(chunk)]):
-                    where: dict[tuple[int, int], list[int]] = {}
-                    for k, key in enumerate(zip(r.text.tolist(), r.digest.view(np.int64).tolist(), strict=True)):
-                        where.setdefault(key, []).append(k)
-                    for i in range(len(chunk)):
-                        for x in lists[begin + i] or ():
-                            for k in where.get((i, x["digest"]), ()):
-                                s = int(r.start[k])
-                                ranges = [0, int(r.size[k])] if x["ranges"] is None else x["ranges"]
-                                for a, b in zip(ranges[::2], ranges[1::2], strict=True):
-                                    gone[s + a : s + b] = 1
-                at = np.flatnonzero(gone)
-                depth = np.zeros(len(r.data) + 1, np.int32)
-                np.add.at(depth, at, 1)
-                np.add.at(depth, at + WIDTH, -1)
-                covered = np.cumsum(depth[:-1]) > 0
-                for i, x in enumerate(chunk):
-                    own = covered[r.begins[i] : r.begins[i + 1]]
-                    if not own.any():
-                        out.append({"n_bytes": len(x), "kept": x, "spans": []})
-                        continue
-                    edges = _ranges(own)
-                    kept = np.frombuffer(x, np.uint8)[~own].tobytes()
-                    out.append({"n_bytes": len(x), "kept": kept, "spans": [{"begin": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]})
+            out: list = [None] * len(parts)
+            for wanted in (True, False):  # texts without findings need their own repeats only
+                places = [i for i, x in enumerate(lists) if bool(x) is wanted]
+                for begin, chunk in _chunks([parts[i] for i in places]):
+                    here = places[begin : begin + len(chunk)]
+                    for i, x in zip(here, _cut(chunk, [lists[k] for k in here], wanted), strict=True):
+                        out[i], parts[i] = x, b""
             yield pa.array(out, kind)
 
     return run(text, runs)
@@ -395,17 +379,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = keyed.where(((F.col("l") > 0) & (F.col("key") == F.xxhash64("anchor", F.lit("l"), side(F.col("l"))))) | ((F.col("r") > 0) & (F.col("key") == F.xxhash64("anchor", F.lit("r"), side(F.col("r"))))))
     groups = keyed.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("members")).where("low < high")
     wanted = stored(keyed.join(groups, "key").select("id", "digest", "key", "members"), "passages-wanted")
-    some = texts.where(_Filter(wanted).passes("id"))
-    segments = stored(_segments(some, wanted), "passages-segments")
+    segments = stored(_segments(texts, wanted), "passages-segments")
     ranged = _search_index(segments.where(F.col("members") <= GROUP_LIMIT), parts).unionByName(_search_windows(segments.where(F.col("members") > GROUP_LIMIT)))
     ranged = stored(ranged, "passages-ranges")
     whole = found.where("whole").select("id", "digest", F.lit(None).cast("array<int>").alias("ranges"))
     lists = whole.unionByName(ranged).groupBy("id").agg(F.collect_list(F.struct("digest", "ranges")).alias("_passages_runs"))
     kept = [f"`{c}`" for c in docs.columns if c != "passages" and not c.startswith("_passages")]
     own = docs.select(*kept).withColumn("_passages_id", own_id)
-    maybe = _Filter(whole.select("id").unionByName(ranged.select("id")))
-    flagged = own.withColumn("_passages_maybe", maybe.passes("_passages_id"))
-    joined = flagged.where("_passages_maybe").join(lists.withColumnRenamed("id", "_passages_id"), "_passages_id", "left")
-    alone = flagged.where("not _passages_maybe").withColumn("_passages_runs", F.lit(None).cast("array<struct<digest:long,ranges:array<int>>>"))
-    both = joined.select(*kept, "_passages_runs").unionByName(alone.select(*kept, "_passages_runs"))
+    both = own.join(lists.withColumnRenamed("id", "_passages_id"), "_passages_id", "left")
     return both.select(*kept, _remove(F.col("text"), F.col("_passages_runs")).alias("passages"))
