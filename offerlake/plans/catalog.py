@@ -1,5 +1,5 @@
 """All queries: name -> (callable of (spark, sf_dir), SQL for DuckDB or an empty text)."""
 
-from . import dashboards, records
+from . import dashboards, records, streams  # noqa: F401  (each adds its queries)
 
-QUERIES = dashboards.QUERIES | records.QUERIES
+QUERIES = dict(dashboards.QUERIES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as a
@@ -36,7 +36,10 @@ def add(name: str, reads: str, run, sql: str, days: str = "") -> None:
     QUERIES[name] = (lambda spark, sf_dir: _days_as_text(run(Tables(spark, sf_dir))), sql)
 
 
-period = p.days("created_at", FIRST, LAST)
+def period() -> Column:
+    return p.days("created_at", FIRST, LAST)
+
+
 add(
     "a1_analytics_summary", "products", lambda x: a.product_summary(p.tenant(x.products, 3)),
     f"""SELECT {CNT} AS total, {", ".join(f"{n_if(f"review_status = '{k}'")} AS {k}" for k in a.STATUSES)}, {n_if("validation_passed")} AS valid, {n_if("review_priority >= 70")} AS high_priority,
@@ -45,18 +48,21 @@ add(
     CAST({n_if("validation_passed")} AS DOUBLE) * 100 / CAST(GREATEST(COUNT(*), 1) AS DOUBLE) AS validation_rate FROM products WHERE organization_id = 3""",
 )
 add(
-    "a2_leaflet_summary", "leaflets", lambda x: a.leaflet_summary(p.tenant(x.leaflets, 3), period),
+    "a2_leaflet_summary", "leaflets", lambda x: a.leaflet_summary(p.tenant(x.leaflets, 3), period()),
     f"""SELECT {CNT} AS total, {n_if(PERIOD)} AS in_period, {n_if("status = 'completed'")} AS completed, {n_if("status = 'failed'")} AS failed, {n_if("status = 'reviewing'")} AS reviewing,
     CAST(COALESCE(SUM(page_count) FILTER (WHERE {PERIOD}), 0) AS BIGINT) AS pages, COALESCE(SUM(processing_cost) FILTER (WHERE {PERIOD}), 0) AS cost FROM leaflets WHERE organization_id = 3""",
 )
 add(
-    "a3_product_period", "products", lambda x: p.tenant(x.products, 3).where(period).agg(F.count("*").alias("n"), a.mean("confidence").alias("mean_confidence")),
+    "a3_product_period", "products", lambda x: p.tenant(x.products, 3).where(period()).agg(F.count("*").alias("n"), a.mean("confidence").alias("mean_confidence")),
     f"SELECT {CNT} AS n, CAST(SUM(confidence) AS DOUBLE) / CAST(COUNT(confidence) AS DOUBLE) AS mean_confidence FROM products WHERE organization_id = 3 AND {PERIOD}",
 )
-COST_AGGS = dict(cost=F.sum("total_cost"), input_tokens=F.sum("input_tokens"), output_tokens=F.sum("output_tokens"), n=F.count("*"))
+def cost_sums() -> dict[str, Column]:
+    return dict(cost=F.sum("total_cost"), input_tokens=F.sum("input_tokens"), output_tokens=F.sum("output_tokens"), n=F.count("*"))
+
+
 COST_SQL = f"SUM(total_cost) AS cost, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, {CNT} AS n FROM costs WHERE leaflet_id IN (SELECT id FROM leaflets WHERE organization_id = 3)"
-add("a4_costs_by_provider", "costs leaflets", lambda x: a.grouped(p.tenant_by_leaflet(x.costs, x.leaflets, 3), "provider_type", **COST_AGGS), f"SELECT provider_type, {COST_SQL} GROUP BY provider_type")
-add("a7_costs_by_model", "costs leaflets", lambda x: a.grouped(p.tenant_by_leaflet(x.costs, x.leaflets, 3), "model_name", **COST_AGGS), f"SELECT model_name, {COST_SQL} GROUP BY model_name")
+add("a4_costs_by_provider", "costs leaflets", lambda x: a.grouped(p.tenant_by_leaflet(x.costs, x.leaflets, 3), "provider_type", **cost_sums()), f"SELECT provider_type, {COST_SQL} GROUP BY provider_type")
+add("a7_costs_by_model", "costs leaflets", lambda x: a.grouped(p.tenant_by_leaflet(x.costs, x.leaflets, 3), "model_name", **cost_sums()), f"SELECT model_name, {COST_SQL} GROUP BY model_name")
 for name, kind, good, every in (
     ("a5_success_with_reviewing", "counted", "status = 'completed'", "TRUE"),
     ("a6_success_rate", "ignored", "status = 'completed'", "status IN ('completed', 'failed')"),
@@ -201,7 +207,7 @@ pick = [c.strip() for c in PICK.split(",")]
 add("p1_search", "products", lambda x: x.products.where(p.contains_any("RED", "product_name", "brand")).select(*pick), f"SELECT {PICK} FROM products WHERE product_name ILIKE '%RED%' OR brand ILIKE '%RED%'")
 add("p2_optional_filters", "products", lambda x: p.optional(x.products, organization_id=3, review_status=["pending", "approved"], brand=None).select(*pick), f"SELECT {PICK} FROM products WHERE organization_id = 3 AND review_status IN ('pending', 'approved')")
 add("p3_threshold", "products", lambda x: x.products.where(F.col("confidence") >= 0.9).select(*pick), f"SELECT {PICK} FROM products WHERE confidence >= 0.9")
-add("p6_period", "products", lambda x: x.products.where(period).select(*pick), f"SELECT {PICK} FROM products WHERE {PERIOD}")
+add("p6_period", "products", lambda x: x.products.where(period()).select(*pick), f"SELECT {PICK} FROM products WHERE {PERIOD}")
 add("p7_rolling", "leaflets", lambda x: x.leaflets.where(p.since("created_at", "2001-08-01", 30)).select("id", "status"), "SELECT id, status FROM leaflets WHERE created_at >= DATE '2001-07-02'")
 add(
     "p9_addressed", "audit", lambda x: x.audit.select("id", F.nullif(F.col("user_id") % 7, F.lit(0)).alias("user_id"), F.nullif(F.col("organization_id") % 3, F.lit(0)).alias("organization_id"), F.when(F.col("provider_id") > 1, F.col("event_type")).alias("role")).where(p.addressed(3, [1, 2], ["click"])).select("id"),
@@ -223,7 +229,7 @@ add("p16_subscribed", "audit", lambda x: x.audit.groupBy("user_id").agg(F.collec
 # joins
 add("j1_semi_join", "costs leaflets", lambda x: p.tenant_by_leaflet(x.costs, x.leaflets, 5).select("leaflet_id", "total_cost"), "SELECT leaflet_id, total_cost FROM costs WHERE leaflet_id IN (SELECT id FROM leaflets WHERE organization_id = 5)")
 add(
-    "j2_semi_join_periods", "costs leaflets", lambda x: p.tenant_by_leaflet(x.costs.where(p.days("processed_at", FIRST, LAST)), x.leaflets.where(period), 5).agg(F.sum("total_cost").alias("cost"), F.count("*").alias("n")),
+    "j2_semi_join_periods", "costs leaflets", lambda x: p.tenant_by_leaflet(x.costs.where(p.days("processed_at", FIRST, LAST)), x.leaflets.where(period()), 5).agg(F.sum("total_cost").alias("cost"), F.count("*").alias("n")),
     f"SELECT SUM(total_cost) AS cost, {CNT} AS n FROM costs WHERE processed_at >= DATE '{FIRST}' AND processed_at < DATE '{LAST}' + 1 AND leaflet_id IN (SELECT id FROM leaflets WHERE organization_id = 5 AND {PERIOD})",
 )
 add("j5_filter_options", "audit organizations", lambda x: x.organizations.join(x.audit.select(F.col("organization_id").alias("id")).distinct(), "id", "left_semi").select("id", "name"), "SELECT id, name FROM organizations WHERE id IN (SELECT organization_id FROM audit)")

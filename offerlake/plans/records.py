@@ -8,10 +8,10 @@ from ..functions import text as f
 from ..operators import geometry as g
 from ..operators import reconcile as r
 from ..operators import rules as v
-from .dashboards import CNT, QUERIES as _DONE, add as _add
+from .dashboards import CNT, add
+
+
 
-_before = set(_DONE)
-add = _add
 PRICE = "COALESCE(NULLIF(discounted_price, 0), regular_price, 0)"
 NAME = "trim(regexp_replace(lower(product_name), '\\s+', ' ', 'g'))"
 
@@ -54,7 +54,7 @@ SPLIT = "list_distinct(string_split(lower({0}.product_name), ' '))"
 add(
     "d1_split_candidates", "products", lambda x: r.split_candidates(x.products, 1000, 0.25).select("first_id", "second_id", "leaflet_id", "page_number"),
     f"""SELECT first_id, second_id, leaflet_id, page_number FROM (SELECT a.id AS first_id, b.id AS second_id, a.leaflet_id, a.page_number,
-    CASE WHEN (CASE WHEN a.product_name = b.product_name THEN 1.0 ELSE LEAST(1.0, CAST(length(list_intersect({SPLIT.format("a")}, {SPLIT.format("b")})) AS DOUBLE) / length(list_distinct(list_concat({SPLIT.format("a")}, {SPLIT.format("b")})))
+    CASE WHEN (CASE WHEN a.product_name = b.product_name THEN 1.0 WHEN contains(a.product_name, b.product_name) OR contains(b.product_name, a.product_name) THEN 0.9 ELSE LEAST(1.0, CAST(length(list_intersect({SPLIT.format("a")}, {SPLIT.format("b")})) AS DOUBLE) / length(list_distinct(list_concat({SPLIT.format("a")}, {SPLIT.format("b")})))
     + length(list_intersect({SPLIT.format("a")}, {SPLIT.format("b")})) * 0.1) END) > 0.7 THEN 30 ELSE 0 END + CASE WHEN (a.discounted_price IS NULL) <> (b.discounted_price IS NULL) THEN 20 ELSE 0 END
     + CASE WHEN lower(a.brand) = lower(b.brand) THEN 15 ELSE 0 END + CASE WHEN abs(a.bbox_x - b.bbox_x) < 50 THEN 15 ELSE 0 END AS points
     FROM products a JOIN products b ON a.leaflet_id = b.leaflet_id AND a.page_number + 1 = b.page_number WHERE a.bbox_y + a.bbox_height >= 900 AND b.bbox_y <= 100) WHERE points > 25""",
@@ -91,4 +91,4 @@ add(
     f"""SELECT leaflet_id, page_number, CAST(LEAST(4, floor((bbox_y + bbox_height / 2) * 5 / 1000)) * 3 + LEAST(2, floor((bbox_x + bbox_width / 2) * 3 / 900)) AS INT) AS cell, {CNT} AS n FROM products GROUP BY 1, 2, 3""",
 )
 add("g14_greedy_boxes", "", lambda x: g.greedy_distinct(x.products.where("leaflet_id < 3000"), 0.5).select("id"), "")
-QUERIES = {k: q for k, q in _DONE.items() if k not in _before}
+
