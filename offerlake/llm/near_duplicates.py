@@ -39,7 +39,7 @@ def labelled(shingle: np.ndarray) -> np.ndarray:
     held = shingle[order]
     new = np.concatenate([[True], held[1:] != held[:-1]]) if len(held) else np.zeros(0, bool)
     if new.all():
-        return shingle
+        return mixed(shingle)
     at = np.arange(len(held))
     nth = np.empty(len(held), np.uint64)
     nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
