@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import freed, slices, texts
 
 #: Words, and pairs of tokens, that a worker remembers: as many from lately, and as many from before.
-MEMORY = 250_000
+MEMORY = 120_000
 
 
 class _Words(dict):
@@ -35,10 +35,14 @@ class _Words(dict):
         super().__init__()
         self._encode, self._before = encode, {}
 
+    def clear(self) -> None:
+        super().clear()
+        self._before = {}
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
             self._before = dict(self)
-            self.clear()
+            super().clear()
         if (out := self._before.get(word)) is None:
             ids = self._encode(word.encode("utf-8", "surrogatepass"))
             out = struct.pack(f"<{len(ids)}I", *ids)
@@ -141,12 +145,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
-        for batch in slices(batches, limit=4 << 20):
-            ids = [own.encode(t) for t in batch.column("text").to_pylist()]
-            made = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
-            if decoded:
-                made["decoded"] = pa.array(map(own.decode, ids), pa.binary())
-            yield pa.RecordBatch.from_pydict(made)
+        with freed(own.words, own.compatible):
+            for batch in slices(batches, limit=4 << 20):
+                ids = [own.encode(t) for t in batch.column("text").to_pylist()]
+                made = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+                if decoded:
+                    made["decoded"] = pa.array(map(own.decode, ids), pa.binary())
+                yield pa.RecordBatch.from_pydict(made)
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary, n_tokens long" + ", decoded binary" * decoded)
 

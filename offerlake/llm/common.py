@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,17 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed(*caches: dict) -> Iterator[None]:
+    """What a task has remembered goes when it ends: Python workers live on, and the next stage needs the room."""
+    try:
+        yield
+    finally:
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text at most (single rows may be longer)."""
     for batch in batches:

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import hashes, windows
+from .common import freed
+from .words import HASHES, hashes, windows
 
 #: The fixed masks: 1 is a word that counts, 0 one that is ignored. Five words count in each.
 MASKS = ("11111", "1101011", "111000101", "10110011")
@@ -74,8 +75,9 @@ def overlaps(text: Column, seeds) -> Column:
     @F.arrow_udf(HITS)
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("n_equal", pa.int32())]))
-        for texts in parts:
-            yield pa.array([seeds.value.hits(t) for t in texts.to_pylist()], kind)
+        with freed(HASHES):
+            for texts in parts:
+                yield pa.array([seeds.value.hits(t.as_py()) for t in texts], kind)
 
     return run(text)
 

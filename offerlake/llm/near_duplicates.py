@@ -17,9 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import freed, slices, stored, texts
 from .components import components
-from .words import ODD, hashes, mixed, windows
+from .words import HASHES, ODD, hashes, mixed, windows
 
 
 #: Tasks that the rows of one bucket are dealt to.
@@ -103,17 +103,18 @@ def _emit(docs: DataFrame, size: int, count: int, length: int) -> DataFrame:
     """(doc_id, content, n, sketches): content is a digest of the words, n the number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=8 << 20):
-            content, n, sketch = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = hashes(text)
-                windowed = windows(words, range(size))
-                content.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else xxhash.xxh3_128_digest(b"-" + text.encode("utf-8", "replace")))
-                n.append(len(windowed))
-                sketch.append(sketches(windowed, count, length).tolist())
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "content": pa.array(content, pa.binary()), "n": pa.array(n, pa.int32()), "sketches": pa.array(sketch, pa.list_(pa.int64()))}
-            )
+        with freed(HASHES):
+            for batch in slices(batches, limit=4 << 20):
+                content, n, sketch = [], [], []
+                for text in batch.column("text").to_pylist():
+                    words = hashes(text)
+                    windowed = windows(words, range(size))
+                    content.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else xxhash.xxh3_128_digest(b"-" + text.encode("utf-8", "replace")))
+                    n.append(len(windowed))
+                    sketch.append(sketches(windowed, count, length).tolist())
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": batch.column("doc_id"), "content": pa.array(content, pa.binary()), "n": pa.array(n, pa.int32()), "sketches": pa.array(sketch, pa.list_(pa.int64()))}
+                )
 
     return texts(docs).mapInArrow(run, "doc_id long, content binary, n int, sketches array<long>")
 
@@ -122,9 +123,10 @@ def _sequences(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles): packed 64-bit hashes of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=8 << 20):
-            packed = [shingles(t, size).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array(packed, pa.binary())})
+        with freed(HASHES):
+            for batch in slices(batches, limit=4 << 20):
+                packed = [shingles(t, size).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array(packed, pa.binary())})
 
     return texts(docs).mapInArrow(run, "doc_id long, shingles binary")
 

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, stored
+from .common import freed, shared_dir, slices, stored
 from .words import ODD, mixed
 
 WIDTH, ANCHOR, CONTEXT = 100, 20, 40
@@ -273,16 +274,17 @@ def _found(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
 
 
 def _search_index(segments: DataFrame, parts: int) -> DataFrame:
-    """_FOUND for segments of groups that a task holds: an index family for each task, fed in order of ids."""
+    """_FOUND for segments of groups that a task holds: an index family for each task, fed in order of ids. An index takes
+    some thirty times its segments' bytes, hence the many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = IndexFamily()
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=1 << 19):
             ids, digests = batch.column("id").to_numpy(), batch.column("digest").to_pylist()
             seen = family.add(batch.column("text").to_pylist(), ids)
             yield _found([(int(i), d, _ranges(s)) for i, d, s in zip(ids, digests, seen, strict=True) if s.any()])
 
-    return segments.repartition(parts, "key").sortWithinPartitions("id").select("id", "digest", "text").mapInArrow(run, _FOUND)
+    return segments.repartition(4 * parts, "key").sortWithinPartitions("id").select("id", "digest", "text").mapInArrow(run, _FOUND)
 
 
 def _search_windows(segments: DataFrame) -> DataFrame:
@@ -344,15 +346,17 @@ def _remove(text, runs):
     @F.arrow_udf(f"struct<n_bytes:long,kept:binary,spans:{SPANS}>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lists in batches:
-            parts, lists = [_bytes(t) for t in texts.to_pylist()], lists.to_pylist()
+            parts = [_bytes(t) for t in texts.to_pylist()]
+            found = pc.fill_null(pc.greater(pc.list_value_length(lists), 0), False).to_numpy(zero_copy_only=False)
             out: list = [None] * len(parts)
             for wanted in (True, False):  # texts without findings need their own repeats only
-                places = [i for i, x in enumerate(lists) if bool(x) is wanted]
+                places = np.flatnonzero(found == wanted).tolist()
                 for begin, chunk in _chunks([parts[i] for i in places]):
                     here = places[begin : begin + len(chunk)]
-                    for i, x in zip(here, _cut(chunk, [lists[k] for k in here], wanted), strict=True):
+                    for i, x in zip(here, _cut(chunk, lists.take(pa.array(here)).to_pylist(), wanted), strict=True):
                         out[i], parts[i] = x, b""
-            yield pa.array(out, kind)
+            with freed():
+                yield pa.array(out, kind)
 
     return run(text, runs)
 

@@ -9,7 +9,7 @@ import xxhash
 
 WORD = re.compile(r"\w+")
 #: Words that a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 class Memory(dict):
