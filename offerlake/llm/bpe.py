@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import freed, slices, texts
 
 #: Words, and pairs of tokens, that a worker remembers: as many from lately, and as many from before.
-MEMORY = 120_000
+MEMORY = 250_000
 
 
 class _Words(dict):
@@ -145,7 +145,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
-        with freed(own.words, own.compatible):
+        with freed(own.words):
             for batch in slices(batches, limit=4 << 20):
                 ids = [own.encode(t) for t in batch.column("text").to_pylist()]
                 made = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
