@@ -26,6 +26,10 @@ from .words import HASHES, ODD, hashes, mixed, windows
 SALTS = 16
 #: Up to so many pairs, 16 bytes each, their texts are picked out by a broadcast; more are joined by shuffles.
 FEW_PAIRS = 20_000
+#: Buckets of up to so many texts are compared by pairs as rows, larger ones by pairs of blocks.
+FEW_TEXTS = 16
+#: A block's texts and shingles: about, as texts are dealt by hash.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 19
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -158,9 +162,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, count: i
     shingles once in 100,000.
 
     Copies are merged first, so only one text of each kind is sketched further. Within a bucket of texts that share a
-    sketch, each text is compared with the bucket's smallest; if some are then not in the same group, the bucket is
-    dealt anew by its texts' next sketch also, and so on until every bucket is one group or one text. So there are no
-    more pairs than texts in a bucket and none are left out for its size.
+    sketch, each text is compared with the bucket's smallest, and what that links becomes a group. Then every bucket's
+    pairs of texts in different groups are compared, whatever its size: those of small buckets as rows, those of large
+    ones block by block (see `_blocks`). A pair in the same group needs no comparison, as the class would be the same.
 
     Null texts count as empty; empty texts, and texts without words, are alike only if they are equal; texts of fewer
     words than `size` only if their words are. Repeated rows each get a row; rows with a null doc_id join their
@@ -173,29 +177,107 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, count: i
     kinds = stored(kinds.groupBy("doc_id").agg(F.first("sketches").alias("sketches"), F.first("n").alias("n")))
     # a row for each text and sketch; at: the sketch's place, group: who it is known to be alike to
     rows = kinds.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("group"), "n", F.posexplode("sketches").alias("at", "key"))
-    sequences = tested = None
-    for level in range(1, count + 1):
-        met = stored(_met(rows))
-        if tested is not None and not met.head(1):
-            break
-        if sequences is None:
-            some = met.select(F.col("doc").alias("doc_id")).distinct()
-            sequences = stored(_sequences(docs.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "shingles")
-        pairs = met.where("doc <> hub.doc and group <> hub.group").where(F.least("n", "hub.n") >= least * F.greatest("n", "hub.n"))
-        pairs = pairs.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = stored(_verify(stored(pairs), sequences, least))
-        tested = found if tested is None else tested.unionByName(found)
-        alike = tested.where("alike").select(F.col("a").alias("hub_doc"), F.col("b").alias("doc"), F.lit(True).alias("alike"))
-        regrouped = met.withColumn("hub_doc", F.col("hub.doc")).join(alike, ["hub_doc", "doc"], "left")
-        regrouped = regrouped.withColumn("group", F.when(F.col("alike"), F.col("hub.group")).otherwise(F.col("group")))
-        later = regrouped.join(kinds.select(F.col("doc_id").alias("doc"), "sketches"), "doc")
-        rows = later.select("doc", "group", "n", "at", F.xxhash64("key", F.expr(f"sketches[(at + {level}) % {count}]")).alias("key"))
+    met = stored(_met(rows))
+    some = met.select(F.col("doc").alias("doc_id")).distinct()
+    sequences = stored(_sequences(docs.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "shingles")
+    near = F.least("n", "hub.n") >= least * F.greatest("n", "hub.n")
+    pairs = met.where("doc <> hub.doc").where(near).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    tested = stored(_verify(stored(pairs), sequences, least))
     linked = components(tested.where("alike").select("a", "b"))
+    rows = stored(_regrouped(met, linked))
+    few = _mixed(rows).where(F.col("texts") <= FEW_TEXTS).select("key")
+    if few.head(1):
+        own = rows.join(few, "key").select("key", F.struct("doc", "group", "n").alias("x"))
+        pairs = own.join(own.select("key", F.col("x").alias("y")), "key").where("x.doc < y.doc and x.group <> y.group")
+        pairs = pairs.where(F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+        found = stored(_verify(stored(pairs.join(tested, ["a", "b"], "left_anti")), sequences, least))
+        tested = tested.unionByName(found)
+        linked = components(tested.where("alike").select("a", "b"))
+        rows = stored(_regrouped(rows, linked))
+    many = stored(_mixed(rows).where(F.col("texts") > FEW_TEXTS))
+    if many.head(1):
+        found = stored(_blocks(rows, many, kinds, sequences, least))
+        linked = components(tested.where("alike").select("a", "b").unionByName(found))
     return member.join(linked.withColumnRenamed("node", "kind"), "kind", "left").select("doc_id", F.coalesce("component", "kind").alias("class_id"))
 
 
+def _regrouped(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows with each text's component as its group."""
+    named = linked.select(F.col("node").alias("doc"), "component")
+    return rows.join(named, "doc", "left").select("doc", F.coalesce("component", "doc").alias("group"), "n", "at", "key")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, texts, main, n_rest, n_main) for each bucket of more than one group: main is its largest group, n_rest and
+    n_main how many blocks the other texts and those of main make."""
+    by = rows.groupBy("key", "group").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles")).groupBy("key")
+    by = by.agg(F.count("*").alias("groups"), F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"), F.max(F.struct("texts", "shingles", "group")).alias("main"))
+    n_rest = F.greatest(F.ceil((F.col("texts") - F.col("main.texts")) / BLOCK_TEXTS), F.ceil((F.col("shingles") - F.col("main.shingles")) / BLOCK_SHINGLES))
+    n_main = F.greatest(F.ceil(F.col("main.texts") / BLOCK_TEXTS), F.ceil(F.col("main.shingles") / BLOCK_SHINGLES))
+    return by.where("groups > 1").select("key", "texts", F.col("main.group").alias("main"), n_rest.cast("int").alias("n_rest"), n_main.cast("int").alias("n_main"))
+
+
+def _blocks(rows: DataFrame, buckets: DataFrame, kinds: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between all texts of different groups that are alike, in the given buckets.
+
+    A bucket's texts are dealt to blocks, those outside its largest group first, and each block of those meets every
+    block, so pairs within the largest group never meet and no task holds more than two blocks. Of a pair that shares
+    several sketches only the first bucket compares it. Links that others already imply within a task are left out.
+    """
+    dealt = buckets.select("key", "main", "n_rest", "n_main", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = rows.withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS))).join(dealt, ["key", "salt"])
+    rest, place = F.col("group") != F.col("main"), F.xxhash64("doc")
+    own = own.withColumn("block", F.when(rest, F.pmod(place, F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(place, F.col("n_main"))).cast("int"))
+    own = own.withColumn("last", F.when(rest, F.col("n_rest") + F.col("n_main")).otherwise(F.col("n_rest")) - 1)
+    own = own.join(kinds.select(F.col("doc_id").alias("doc"), "sketches"), "doc").join(sequences.select(F.col("doc_id").alias("doc"), "shingles"), "doc")
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "at", "block", "doc", "group", "sketches", "shingles")
+    return met.groupBy("key", "i", "j").applyInArrow(lambda table: _links(table, least), "a long, b long")
+
+
+def _links(table: pa.Table, least: float) -> pa.Table:
+    """The links of one block's texts with another's (or its own).
+
+    Alike texts have at least the share `least` of either's shingles in common, so if all are in one order, one of
+    those in common is among the first (1 - least) of both. The order is by number of texts here, rarest first, so that
+    what all texts of a bucket share brings none together.
+    """
+    i, j, at = (table.column(c)[0].as_py() for c in ("i", "j", "at"))
+    block, docs = (table.column(c).to_numpy() for c in ("block", "doc"))
+    sketch = np.array(table.column("sketches").to_pylist(), np.int64)[:, :at]
+    group = np.unique(table.column("group").to_numpy(), return_inverse=True)[1]
+    sequence = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in table.column("shingles").to_pylist()]
+    n = np.array([len(x) for x in sequence])
+    _, ids, times = np.unique(np.concatenate([labelled(x) for x in sequence]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    marks = [np.sort(x) for x in np.split(rank[ids], np.cumsum(n)[:-1])]
+    first = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+    right = np.flatnonzero(block == j)
+    held = np.concatenate([marks[y][: first[y]] for y in right] or [np.zeros(0, np.int64)])
+    owner = np.repeat(right, np.minimum(first[right], n[right]))
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    inside = np.zeros(len(times), bool)
+    out = []
+    for x in np.flatnonzero(block == i):
+        begin, end = (np.searchsorted(held, marks[x][: first[x]], side) for side in ("left", "right"))
+        near = np.unique(np.concatenate([owner[a:b] for a, b in zip(begin, end, strict=True) if b > a] or [owner[:0]]))
+        near = near[group[near] != group[x]]
+        if i == j:
+            near = near[near > x]
+        near = near[np.minimum(n[near], n[x]) >= least * np.maximum(n[near], n[x])]
+        near = near[~(sketch[near] == sketch[x]).any(axis=1)]
+        inside[marks[x]] = True
+        common = [int(np.count_nonzero(inside[marks[y]])) for y in near]
+        inside[marks[x]] = False
+        for y, c in zip(near.tolist(), common, strict=True):
+            if group[x] != group[y] and c * (1 + least) >= least * (n[x] + n[y]) - 1e-6 and similarity(sequence[x], sequence[y], least) >= least:
+                out.append((min(docs[x], docs[y]), max(docs[x], docs[y])))
+                group[group == group[y]] = group[x]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """The rows in buckets of more than one group, with their bucket's smallest text (hub). A bucket may be any share of
     all rows, so its rows are dealt to SALTS tasks, each of which gets the hub."""

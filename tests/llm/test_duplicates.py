@@ -59,6 +59,25 @@ def test_groups_of_near_copies(spark):
     assert sum(got[i] != expected[i] for i in texts) <= 1
 
 
+def test_texts_from_one_template(spark, monkeypatch):
+    rng = random.Random(11)
+    template = [f"w{k}" for k in range(200)]
+
+    def changed(words, n):
+        own = list(words)
+        for k in rng.sample(range(200), n):
+            own[k] = f"x{rng.randrange(10**9)}"
+        return own
+
+    texts = {}
+    for i in range(0, 1000, 2):  # neighbours are alike (about 0.8), all others share buckets but are not
+        base = changed(template, 5)
+        texts[i], texts[i + 1] = " ".join(base), " ".join(changed(base, 4))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", 100, raising=False)  # several blocks a bucket
+    assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()} == classes(texts)
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = near_duplicates.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
