@@ -243,6 +243,8 @@ add(
     f"SELECT id, COALESCE(n, 0) AS n FROM (SELECT id FROM leaflets ORDER BY created_at DESC, id LIMIT 100) LEFT JOIN (SELECT leaflet_id, {CNT} AS n FROM products GROUP BY 1) ON leaflet_id = id",
 )
 add("j16_pages_of_leaflet", "products", lambda x: x.products.where("leaflet_id < 200").groupBy("leaflet_id").agg(F.array_join(F.array_sort(F.collect_set("page_number").cast("array<string>")), ",").alias("pages")), "SELECT leaflet_id, array_to_string(list_sort(list(DISTINCT CAST(page_number AS STRING))), ',') AS pages FROM products WHERE leaflet_id < 200 GROUP BY 1")
+# j16 is held to its SQL, which stops at leaflet 200; this is the whole table
+add("j16_pages_of_leaflet_whole", "", lambda x: x.products.groupBy("leaflet_id").agg(F.array_join(F.array_sort(F.collect_set("page_number").cast("array<string>")), ",").alias("pages")), "")
 
 # windows
 add(
@@ -273,6 +275,8 @@ add("s1_page", "products", lambda x: s.page(x.products, "regular_price", "desc",
 add("s1_page_fallback", "products", lambda x: s.page(x.products, "no_such_column", "asc", 1, 25).select("id", "created_at"), "SELECT id, created_at FROM products ORDER BY created_at, id LIMIT 25", "created_at")
 add("s2_review_queue", "products", lambda x: s.review_queue(x.products, 30).select("id"), "SELECT id FROM products WHERE review_status IN ('pending', 'needs_correction') ORDER BY review_priority DESC, confidence, id LIMIT 30")
 add("s9_reading_order", "products", lambda x: x.products.where("leaflet_id < 500").select("id", F.row_number().over(Window.partitionBy("leaflet_id", "page_number").orderBy(F.floor(F.col("bbox_y") / 100), "bbox_x", "id")).alias("place")), "SELECT id, CAST(row_number() OVER (PARTITION BY leaflet_id, page_number ORDER BY floor(bbox_y / 100), bbox_x, id) AS INT) AS place FROM products WHERE leaflet_id < 500")
+# s9 is held to its SQL, which stops at leaflet 500; this is the whole table
+add("s9_reading_order_whole", "", lambda x: x.products.select("id", F.row_number().over(Window.partitionBy("leaflet_id", "page_number").orderBy(F.floor(F.col("bbox_y") / 100), "bbox_x", "id")).alias("place")), "")
 
 # series
 add(
