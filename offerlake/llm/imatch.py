@@ -19,7 +19,7 @@ from .words import ODD, hashes, mixed
 #: Other terms in a term's cell add about (distinct terms a text) / 2^20 of all texts to its count, at every corpus size.
 CELL_BITS = 20
 #: (how many random subsets, one in how many terms each keeps): small texts show in the dense, long in the sparse ones.
-SUBSETS = ((6, 16), (10, 64), (16, 256))
+SUBSETS = ((8, 16), (16, 64), (24, 256))
 _EACH = [one_in for n, one_in in SUBSETS for _ in range(n)]
 _SALTS, _LIMITS = ODD[: len(_EACH), None], np.array([(1 << 64) // x for x in _EACH], np.uint64)[:, None]
 VOID = "------"
@@ -58,13 +58,15 @@ class Lexicon:
         return found[inside] if inside.any() else found
 
     def fingerprint(self, text: str) -> str:
-        """Six digits for each subset that has terms of the text. A text without any word has the digest of itself, so
-        that only its copies are like it."""
+        """Six digits for each subset that has terms of the text. A text whose terms are in no subset has the digest of
+        all of them, and one without any word that of itself, so that only such as have the same are like it."""
         terms = self.terms(text)
         if not len(terms):
             return "=" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
         kept = mixed(mixed(terms[None, :] ^ _SALTS) * _SALTS) < _LIMITS
         some = kept.any(axis=1)
+        if not some.any():
+            return "=" + xxhash.xxh3_128_hexdigest(terms.tobytes())
         return "".join(xxhash.xxh3_64_hexdigest(terms[k].tobytes())[:6] if x else VOID for k, x in zip(kept, some.tolist(), strict=True))
 
 

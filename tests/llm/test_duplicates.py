@@ -205,6 +205,15 @@ def test_lexicon_band(spark):
     assert len(own.terms("common middling rare1")) == 1 and len(own.terms("common")) == 1  # the second for want of others
 
 
+def test_short_texts_are_not_alike():
+    own = imatch.Lexicon(np.ones(1 << imatch.CELL_BITS, bool))
+    words = [f"word{i}" for i in range(300)]
+    prints = [own.fingerprint(w) for w in words]
+    assert len(set(prints)) == len(words) and len(imatch._EACH) == 48
+    assert all(imatch.likeness(a, b) == 0.0 for a, b in zip(prints, prints[1:], strict=False))
+    assert all(imatch.likeness(p, own.fingerprint(w.upper())) == 1.0 for p, w in zip(prints, words, strict=True))
+
+
 def test_imatch_odd_rows(spark, odd, empty):
     own = imatch.lexicon(odd)
     rows = imatch.compare_with_edits(odd, own).collect()
