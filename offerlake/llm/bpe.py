@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import freed, slices, texts
 
-#: Words, and pairs of tokens, that a worker remembers: as many from lately, and as many from before.
-MEMORY = 250_000
+#: Bytes of words and their ids that a worker remembers from lately, and as many from before; and pairs of tokens.
+WORD_BYTES, PAIRS = 4 << 20, 200_000
 
 
 class _Words(dict):
@@ -33,20 +33,21 @@ class _Words(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self._encode, self._before = encode, {}
+        self._encode, self._before, self._bytes = encode, {}, 0
 
     def clear(self) -> None:
         super().clear()
-        self._before = {}
+        self._before, self._bytes = {}, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self._before = dict(self)
+        if self._bytes >= WORD_BYTES:
+            self._before, self._bytes = dict(self), 0
             super().clear()
         if (out := self._before.get(word)) is None:
             ids = self._encode(word.encode("utf-8", "surrogatepass"))
             out = struct.pack(f"<{len(ids)}I", *ids)
         self[word] = out
+        self._bytes += len(word) + len(out)
         return out
 
 
@@ -82,7 +83,7 @@ class Codec:
     def fits(self, left: bytes, right: bytes) -> bool:
         pair = (left, right)
         if (known := self.compatible.get(pair)) is None:
-            if len(self.compatible) >= MEMORY:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             known = self.compatible[pair] = self.merged(left + right) == [left, right]
         return known
@@ -145,7 +146,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
-        with freed(own.words):
+        with freed(own.words, own.compatible):
             for batch in slices(batches, limit=4 << 20):
                 ids = [own.encode(t) for t in batch.column("text").to_pylist()]
                 made = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}

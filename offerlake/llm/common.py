@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +24,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session of one machine (tests) may leave it
+    unset and gets a temporary one; a cluster's executors would not see that, so there it is an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="offerlake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="offerlake-"))
     return sc.getCheckpointDir()
 
 
@@ -40,13 +46,17 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
 
 @contextmanager
 def freed(*caches: dict) -> Iterator[None]:
-    """What a task has remembered goes when it ends: Python workers live on, and the next stage needs the room."""
+    """What a task has remembered goes when it ends, and back to the system: Python workers live on, and the next stage
+    needs the room."""
     try:
         yield
     finally:
         for cache in caches:
             cache.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:

@@ -136,7 +136,11 @@ def _emit(docs: DataFrame) -> DataFrame:
     first of all, so the others are already whole repeats (whole) and go on under a key of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        found: list[tuple] = []
+        with freed():
+            yield from sent(batches, found)
+
+    def sent(batches: Iterator[pa.RecordBatch], found: list[tuple]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
             ids, parts = batch.column("id").to_numpy(), [_bytes(t) for t in batch.column("text").to_pylist()]
             for begin, chunk in _chunks(parts):

@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import freed, slices, stored
 from .words import Memory
 
 WORD = re.compile(r"[^\W_]+")
@@ -82,8 +82,9 @@ def _features(text, fold, lexicons: tuple[Lexicon, ...]):
 
     @F.arrow_udf("array<double>")
     def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, folds in parts:
-            yield pa.array([lexicons[f].features(t) for t, f in zip(texts.to_pylist(), folds.to_pylist(), strict=True)], pa.list_(pa.float64()))
+        with freed(*(x.of for x in lexicons)):
+            for texts, folds in parts:
+                yield pa.array([lexicons[f].features(t.as_py()) for t, f in zip(texts, folds.to_pylist(), strict=True)], pa.list_(pa.float64()))
 
     return run(text, fold)
 
@@ -93,11 +94,12 @@ def _unit_counts(sample: DataFrame) -> list[tuple[str, list[int]]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter() for _ in range(4)]
-        for batch in slices(batches, limit=4 << 20):
-            for text, fold, label in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "label")), strict=True):
-                counts[2 * fold + int(label)].update({u for w in set(WORD.findall((text or "").lower())) for u in units(w)})
-        for k, found in enumerate(counts):
-            yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array([k] * len(found), pa.int32()), pa.array(found.values(), pa.int64())], ["unit", "k", "n"])
+        with freed(*counts):
+            for batch in slices(batches, limit=4 << 20):
+                for text, fold, label in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "label")), strict=True):
+                    counts[2 * fold + int(label)].update({u for w in set(WORD.findall((text or "").lower())) for u in units(w)})
+            for k, found in enumerate(counts):
+                yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array([k] * len(found), pa.int32()), pa.array(found.values(), pa.int64())], ["unit", "k", "n"])
 
     summed = sample.select("text", "fold", "label").mapInArrow(run, "unit string, k int, n long").groupBy("unit")
     found = summed.agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(4)])
@@ -121,12 +123,13 @@ class ToxicityModel:
         self.lexicon, self.trees, self.calibration, self.base = lexicon, trees, calibration, base
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs (with text) plus toxicity, from 0 to 1; an existing column of that name is replaced. Whole texts count;
-        null and empty ones score as texts without words."""
-        kept = [f"`{c}`" for c in docs.columns if c != "toxicity"]
+        """docs (with text) plus toxicity, from 0 to 1; existing columns named toxicity, or starting with _toxicity_, are
+        replaced. Whole texts count; null and empty ones score as texts without words; repeated rows each get a row; an
+        empty table gives an empty one."""
+        kept = [f"`{c}`" for c in docs.columns if c != "toxicity" and not c.startswith("_toxicity_")]
         if self.trees is None:
             return docs.select(*kept, F.lit(float(self.base)).alias("toxicity"))
-        made = docs.withColumn("_toxicity_features", array_to_vector(_features(F.col("text"), F.lit(0), (self.lexicon,))))
+        made = docs.select(*kept, array_to_vector(_features(F.col("text"), F.lit(0), (self.lexicon,))).alias("_toxicity_features"))
         scored = self.calibration.transform(self.trees.transform(made).withColumn("_toxicity_share", vector_to_array("_toxicity_probability")[1]))
         # calibrated scores come in steps; a hundredth of the trees' own orders texts within a step
         return scored.select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.99 * F.col("_toxicity_calibrated") + 0.01 * F.col("_toxicity_share"))).alias("toxicity"))
