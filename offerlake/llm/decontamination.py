@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a mask over word positions, some of which it ignores, so that a passage with some words substituted still
-shares seeds with its source. Masks are hashed at every place of the test items and of the training texts; where
-hashes join, item and text are laid side by side and their equal words counted place by place.
+shares seeds with its source. Masks are hashed at every place of the test items and of the training texts, and the
+hashes are joined. Each side brings the words around its place, so what a join finds is verified where it is: the
+words are laid side by side and the equal ones counted in every window about the hit.
 """
 
 from __future__ import annotations
@@ -11,94 +12,156 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed
-from .words import HASHES, hashes, windows
+from .common import freed, slices, stored
+from .words import HASHES, ODD, hashes, windows
 
-#: The fixed masks: 1 is a word that counts, 0 one that is ignored. Five words count in each.
+#: The fixed masks: 1 is a word that counts, 0 one that is ignored. Five words count in each. Of 13 words (or of 9 to 12)
+#: any two (or as many as 80 % allows) may differ, and one of these still fits somewhere between them.
 MASKS = ("11111", "1101011", "111000101", "10110011")
-HITS = "array<struct<item_id:long,start_word:int,n_words:int,n_equal:int>>"
-#: Bits of a place in the table that most places of training texts are turned away by.
-PREFILTER_BITS = 22
-
-
-class Seeds:
-    """The seeds of a block of test items. span: words that are compared at once; share: of them, how many are equal."""
-
-    def __init__(self, items: list[tuple[int, str]], span: int, share: float):
-        self.ids = [i for i, _ in items]
-        self.words = [hashes(t) for _, t in items]
-        self.span, self.share = span, share
-        longest = max(map(len, MASKS))
-        #: Items too short for some mask are looked up whole.
-        short = sorted({len(w) for w in self.words if 0 < len(w) < longest})
-        self.masks = [([j for j, c in enumerate(m) if c == "1"], None) for m in MASKS] + [(list(range(n)), n) for n in short]
-        self.tables = []
-        for offsets, n in self.masks:
-            found = [(i, windows(w, offsets)) for i, w in enumerate(self.words) if (len(w) >= longest if n is None else len(w) == n)]
-            keys = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in found)])
-            item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(h), i) for i, h in found)])
-            at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for _, h in found)])
-            order = np.argsort(keys, kind="stable")
-            likely = np.zeros(1 << PREFILTER_BITS, bool)
-            likely[keys >> np.uint64(64 - PREFILTER_BITS)] = True
-            self.tables.append((keys[order], item[order], at[order], likely))
-
-    def hits(self, text: str | None) -> list[dict]:
-        """Where the text overlaps items, by item and start."""
-        own = hashes(text)
-        starts: set[tuple[int, int]] = set()
-        for (offsets, _), (keys, item, at, likely) in zip(self.masks, self.tables, strict=True):
-            seeds = windows(own, offsets)
-            place = np.flatnonzero(likely[seeds >> np.uint64(64 - PREFILTER_BITS)])
-            if not len(place):
-                continue
-            low, high = np.searchsorted(keys, seeds[place], "left"), np.searchsorted(keys, seeds[place], "right")
-            for p, a, b in zip(place[high > low], low[high > low], high[high > low], strict=True):
-                starts.update((int(item[k]), int(p - at[k])) for k in range(a, b))
-        out = []
-        for i, start in sorted(starts):
-            theirs, a = self.words[i], max(start, 0)
-            b = min(start + len(theirs), len(own))
-            equal = np.concatenate([[0], np.cumsum(own[a:b] == theirs[a - start : b - start])])
-            span = min(self.span, len(theirs))
-            if b - a >= span and (equal[span:] - equal[:-span]).max() >= np.ceil(self.share * span):
-                out.append({"item_id": self.ids[i], "start_word": a, "n_words": b - a, "n_equal": int(equal[-1])})
-        return out
-
-
-def overlaps(text: Column, seeds) -> Column:
-    """Column of HITS; seeds is a broadcast Seeds."""
-
-    @F.arrow_udf(HITS)
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("n_equal", pa.int32())]))
+LONGEST = max(map(len, MASKS))
+HITS = "array<struct<item_id:long,start_word:int,n_words:int,most_equal:int>>"
+#: Slots of the table of bits that turns away most places of training texts before the join, for each seed of the items;
+#: and the powers of two that bound it. The join decides, so a table that is too full only lets more places through.
+SLOTS, LEAST_BITS, MOST_BITS = 64, 20, 25
+
+
+def masks_for(lengths: list[int]) -> dict[int, tuple[list[int], int | None]]:
+    """Number -> (offsets, words of the items it is for; None: LONGEST or more). Items of 5 to LONGEST - 1 words may have one
+    word changed, which lies in one of their thirds, so each of three masks leaves a third out; shorter ones none."""
+    out: dict[int, tuple[list[int], int | None]] = {k: ([j for j, c in enumerate(m) if c == "1"], None) for k, m in enumerate(MASKS)}
+    for n in lengths:
+        kept = [list(range(n))] if n < 5 else [[j for j in range(n) if j not in third] for third in np.array_split(np.arange(n), 3)]
+        out |= {len(MASKS) + 3 * n + v: (offsets, n) for v, offsets in enumerate(kept)}
+    return out
+
+
+def seeds(words: np.ndarray, number: int, offsets: list[int]) -> np.ndarray:
+    """The seed at each place."""
+    return windows(words, offsets) ^ ODD[128 + number]
+
+
+def _around(words: np.ndarray, place: int, radius: int) -> tuple[int, bytes]:
+    """(words before the place, packed words) of what lies near a place."""
+    begin = max(place - radius, 0)
+    return place - begin, words[begin : place + radius + LONGEST].tobytes()
+
+
+def _item_seeds(items: DataFrame, masks: dict, radius: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with freed(HASHES):
-            for texts in parts:
-                yield pa.array([seeds.value.hits(t.as_py()) for t in texts], kind)
+            for batch in slices(batches, limit=1 << 20):
+                out = []
+                for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    words = hashes(text)
+                    for number, (offsets, n) in masks.items():
+                        if len(words) >= LONGEST if n is None else len(words) == n:
+                            for at, seed in enumerate(seeds(words, number, offsets).view(np.int64)[: None if n is None else 1].tolist()):
+                                out.append((seed, item_id, at, len(words), *_around(words, at, radius)))
+                yield _batch(out, ("seed", "item_id", "at", "item_words", "item_lead", "item_near"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))
 
-    return run(text)
+    return items.mapInArrow(run, "seed long, item_id long, at int, item_words int, item_lead int, item_near binary")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 13, share: float = 0.8, block_words: int = 1_000_000) -> DataFrame:
+def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, k, c in zip(names, kinds, columns, strict=True)})
+
+
+def _table(item_seeds: DataFrame, bits: int) -> np.ndarray:
+    """Two slots a seed, of 2^bits: at most 1,024 rows of 4 kB come to the driver, whatever the benchmark."""
+    slots = item_seeds.select(F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND((1 << bits) - 1))).alias("slot"))
+    place = F.col("slot") + 1  # these functions count from 1
+    maps = slots.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    table = np.zeros(1 << bits, bool)
+    for number, packed in maps.collect():
+        table[np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")) + (number - 1) * 32768] = True
+    return table
+
+
+def _places(docs: DataFrame, masks: dict, radius: int, bits: int, table) -> DataFrame:
+    """(key, seed, place, lead, near) for the places of each text whose seed an item may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likely, low, shift = table.value, np.uint64((1 << bits) - 1), np.uint64(64 - bits)
+        with freed(HASHES):
+            for batch in slices(batches, limit=4 << 20):
+                out, done = [], set()
+                for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                    if key in done:  # a copy
+                        continue
+                    done.add(key)
+                    words = hashes(text.as_py())
+                    for number, (offsets, _) in masks.items():
+                        found = seeds(words, number, offsets)
+                        for p in np.flatnonzero(likely[found >> shift] & likely[found & low]).tolist():
+                            out.append((key, int(found[p : p + 1].view(np.int64)[0]), p, *_around(words, p, radius)))
+                yield _batch(out, ("key", "seed", "place", "lead", "near"), (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))
+
+    return docs.mapInArrow(run, "key binary, seed long, place int, lead int, near binary")
+
+
+def overlap(words: np.ndarray, item: np.ndarray, shift: int, span: int, least: int) -> tuple[int, int, int] | None:
+    """(begin, end, most equal) of the windows of `span` words with `least` or more equal, item word i lying beside text
+    word i + shift; None if there are none."""
+    a, b = max(shift, 0), min(len(words), shift + len(item))
+    if b - a < span:
+        return None
+    equal = np.concatenate([[0], np.cumsum(words[a:b] == item[a - shift : b - shift])])
+    n = equal[span:] - equal[:-span]
+    good = np.flatnonzero(n >= least)
+    return (a + int(good[0]), a + int(good[-1]) + span, int(n.max())) if len(good) else None
+
+
+def _verified(joined: DataFrame, span: int, share: float) -> DataFrame:
+    """(key, item_id, beside, start, stop, most_equal): windows about a hit with enough equal words; beside is the text's
+    word that the item's first lies beside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, item_id, place, lead, near, at, n_item, item_lead, item_near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = min(span, n_item)
+                least = int(np.ceil(share * n - 1e-9))
+                if found := overlap(np.frombuffer(near, np.uint64), np.frombuffer(item_near, np.uint64), lead - item_lead, n, least):
+                    start, stop, most = found
+                    out.append((key, item_id, place - at, place - lead + start, place - lead + stop, most))
+            yield _batch(out, ("key", "item_id", "beside", "start", "stop", "most_equal"), (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))
+
+    rows = joined.select("key", "item_id", "place", "lead", "near", "at", "item_words", "item_lead", "item_near")
+    return rows.mapInArrow(run, "key binary, item_id long, beside int, start int, stop int, most_equal int")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 13, share: float = 0.8) -> DataFrame:
     """docs (with text) plus leaks: the overlaps with items of benchmark (item_id, text), empty where there are none.
 
     A text overlaps an item if, laid side by side at some start, at least `share` of `span` successive words are
-    equal (of all its words, for an item of fewer). Items of fewer words than the longest mask must occur with all words
-    equal to be found, and those without words are never found. The items' seeds are broadcast; a block of them has
-    at most `block_words` words (or one item), and a larger benchmark is taken block by block. Null texts have no
-    leaks; repeated rows each get theirs; items of equal texts are all reported; an existing column `leaks` is
-    replaced; an empty benchmark finds nothing.
+    equal (of all its words, for an item of fewer). With the default span and share no such overlap is missed, but for items
+    of fewer than five words, which must occur with all words equal as they have no two words to spare; items without words
+    are never found. Each overlap has its item, its first word in the text, the words from the first such window to the end
+    of the last, and the most equal words of one.
+
+    Both sides' seeds are joined on their hashes, so neither table is held whole anywhere; what is broadcast is a table of
+    bits of at most 2^25 bytes that turns most places of the texts away beforehand. Null texts have no leaks; repeated rows
+    each get theirs; items of equal texts are all reported; existing columns named leaks, or starting with _leaks_, are
+    replaced; null item ids and texts are left out; an empty benchmark finds nothing, an empty table gives an empty one.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
-    n_words = items.agg(F.sum(F.length("text") - F.length(F.regexp_replace("text", r"\s+", "")) + 1)).first()[0] or 0
-    blocks = 1 + int(n_words * 2) // block_words  # words may also end at other signs
-    out = docs.withColumn("leaks", F.lit(None).cast(HITS))
-    for k in range(blocks):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
-        found = overlaps(F.col("text"), spark.sparkContext.broadcast(Seeds(sorted(block), span, share)))
-        out = out.withColumn("leaks", found if k == 0 else F.concat("leaks", found))
-    return out
+    kept = [f"`{c}`" for c in docs.columns if c != "leaks" and not c.startswith("_leaks_")]
+    masks = masks_for(list(range(1, LONGEST)))
+    item_seeds = stored(_item_seeds(items, masks, span), "item-seeds")
+    short = {r[0] for r in item_seeds.where(F.col("item_words") < LONGEST).select("item_words").distinct().collect()}  # at most eight
+    masks = masks_for(sorted(short))
+    bits = min(max(int(item_seeds.count() * SLOTS).bit_length(), LEAST_BITS), MOST_BITS)
+    table = spark.sparkContext.broadcast(_table(item_seeds, bits))
+    key = F.unhex(F.md5(F.encode("text", "UTF-8")))
+    places = stored(_places(docs.select(key.alias("key"), "text").where("text is not null"), masks, span, bits, table), "leak-places")
+    found = _verified(places.join(item_seeds, "seed"), span, share)
+    found = found.groupBy("key", "item_id", "beside").agg(F.min("start").alias("start_word"), F.max("stop").alias("stop"), F.max("most_equal").alias("most_equal"))
+    hit = F.struct("item_id", "start_word", (F.col("stop") - F.col("start_word")).alias("n_words"), "most_equal")
+    lists = stored(found.groupBy(F.col("key").alias("_leaks_key")).agg(F.array_sort(F.collect_list(hit)).cast(HITS).alias("_leaks_list")), "leaks")
+    both = docs.select(*kept, key.alias("_leaks_key")).join(lists, "_leaks_key", "left")
+    return both.select(*kept, F.coalesce("_leaks_list", F.array().cast(HITS)).alias("leaks"))

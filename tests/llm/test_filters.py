@@ -1,6 +1,10 @@
+import collections
+import itertools
+import math
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from offerlake.llm import decontamination, queries, toxicity, url_filter
@@ -85,37 +89,64 @@ def test_toxicity_odd_rows(odd, empty, spark):
     assert [round(r.toxicity) for r in model.score(docs.limit(2).orderBy("doc_id")).collect()] == [0, 1]
 
 
-def leaks(text, items, span=13, share=0.8):
-    """Every alignment of every item."""
+def test_op10_query(spark, documents):
+    """Every text against every item at every alignment that shares a word."""
     words = lambda t: re.findall(r"\w+", (t or "").lower())
-    own, found = words(text), set()
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    where = collections.defaultdict(list)
     for i, item in items:
-        theirs = words(item)
-        for start in range(-len(theirs), len(own) + 1) if theirs else ():
-            equal = [0 <= start + k < len(own) and own[start + k] == w for k, w in enumerate(theirs)]
-            n = min(span, len(theirs))
-            if any(sum(equal[k : k + n]) >= share * n and 0 <= start + k and start + k + n <= len(own) for k in range(len(theirs) - n + 1)):
-                found.add(i)
-    return found
-
-
-def test_op10_query(spark, documents):
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+        for k, w in enumerate(item):
+            where[w].append((i, k))
+    size = dict((i, len(item)) for i, item in items)
     rows = {r.doc_id: r for r in queries.op10_decontamination(spark, SF).collect()}
-    own = [r for r in documents.collect() if len(r.text) < 1500]
-    assert len(rows) == documents.count() and own
-    for d in own:
-        assert set(rows[d.doc_id].item_ids) == leaks(d.text, items), d.doc_id
-
-
-def test_substitutions_blocks_and_odd_rows(spark, odd, empty):
+    assert len(rows) == documents.count()
+    n_leaked = 0
+    for d in documents.collect():
+        equal = collections.defaultdict(list)
+        own = words(d.text)
+        for p, w in enumerate(own):
+            for i, k in where.get(w, ()):
+                equal[i, p - k].append(p)
+        expected = set()
+        for (i, beside), places in equal.items():
+            n, marks = min(13, size[i]), set(places)
+            starts = range(max(beside, 0), min(beside + size[i], len(own)) - n + 1)
+            good = [a for a in starts if sum(p in marks for p in range(a, a + n)) >= 0.8 * n - 1e-9] if len(places) >= 0.8 * n - 1e-9 else []
+            if good:
+                expected.add((i, good[0], good[-1] + n - good[0], max(sum(p in marks for p in range(a, a + n)) for a in good)))
+        r = rows[d.doc_id]
+        assert {tuple(x) for x in r.leaks} == expected, d.doc_id
+        assert r.contaminated == bool(expected) and r.item_ids == sorted({x[0] for x in expected})
+        n_leaked += bool(expected)
+    assert 0 < n_leaked < len(rows)
+
+
+def test_every_allowed_substitution_is_found():
+    """All sets of words that 80 % allows to differ, in items and spans of 5 to 14 words."""
+    for n in range(5, 15):
+        span = min(n, 13)
+        item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        masks = {k: m for k, m in decontamination.masks_for([n] if n < decontamination.LONGEST else []).items() if m[1] == (n if n < decontamination.LONGEST else None)}
+        for start in range(n - span + 1):
+            for gone in itertools.combinations(range(start, start + span), span - math.ceil(0.8 * span - 1e-9)):
+                text = item.copy()
+                text[list(gone)] += np.uint64(1)
+                assert any((decontamination.seeds(text, k, o) == decontamination.seeds(item, k, o)).any() for k, (o, _) in masks.items()), (n, gone)
+
+
+def test_substitutions_and_odd_rows(spark, odd, empty):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     changed = item.replace("four", "4x").replace("eleven", "xx")
-    docs = spark.createDataFrame([(1, f"start {changed} end"), (2, item.upper()), (3, "one two three four"), (4, None), (5, "tiny item here"), (6, "tiny thing here")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, item), (2, item), (3, "tiny item here"), (4, None), (5, ""), (None, "x")], "item_id long, text string")
-    for block_words in (1_000_000, 5):
-        got = {r.doc_id: sorted({x.item_id for x in r.leaks}) for r in decontamination.find_leaks(docs, bench, block_words=block_words).collect()}
-        assert got == {1: [1, 2], 2: [1, 2], 3: [], 4: [], 5: [3], 6: []}
-    assert decontamination.find_leaks(odd.withColumn("leaks", F.lit(1)), bench).count() == odd.count()
+    docs = spark.createDataFrame([(1, f"start {changed} end"), (2, item.upper()), (3, "one two three four"), (4, None), (5, "tiny item here"), (6, "tiny thing here"), (7, "so five words are hexe x"), (1, f"start {changed} end")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "tiny item here"), (4, None), (5, ""), (None, "x"), (6, "five words are here x")], "item_id long, text string")
+    rows = decontamination.find_leaks(docs, bench).collect()
+    assert len(rows) == 8
+    got = {r.doc_id: sorted({x.item_id for x in r.leaks}) for r in rows}
+    assert got == {1: [1, 2], 2: [1, 2], 3: [], 4: [], 5: [3], 6: [], 7: [6]}
+    long = "filler " * 300_000 + item + " filler" * 1000
+    assert [x.start_word for x in decontamination.find_leaks(spark.createDataFrame([(1, long)], "doc_id long, text string"), bench.where("item_id = 1")).first().leaks] == [300_000]
+    clash = odd.withColumn("leaks", F.lit(1)).withColumn("_leaks_key", F.lit(2)).withColumn("key", F.lit(3)).withColumn("seed", F.lit(3))
+    out = decontamination.find_leaks(clash, bench)
+    assert out.count() == odd.count() and out.columns == [*odd.columns, "key", "seed", "leaks"]
     assert decontamination.find_leaks(empty, bench).count() == 0
     assert all(not r.leaks for r in decontamination.find_leaks(docs, bench.limit(0)).collect())
