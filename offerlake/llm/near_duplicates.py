@@ -24,8 +24,6 @@ from .words import HASHES, ODD, hashes, mixed, windows
 
 #: Tasks that the rows of one bucket are dealt to.
 SALTS = 16
-#: Up to so many pairs, 16 bytes each, their texts are picked out by a broadcast; more are joined by shuffles.
-FEW_PAIRS = 20_000
 #: Buckets of up to so many texts are compared by pairs as rows, larger ones by pairs of blocks.
 FEW_TEXTS = 16
 #: A block's texts and shingles: about, as texts are dealt by hash.
@@ -113,7 +111,7 @@ def _emit(docs: DataFrame, size: int, count: int, length: int) -> DataFrame:
                 for text in batch.column("text").to_pylist():
                     words = hashes(text)
                     windowed = windows(words, range(size))
-                    content.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else xxhash.xxh3_128_digest(b"-" + text.encode("utf-8", "replace")))
+                    content.append(_content(words, text))
                     n.append(len(windowed))
                     sketch.append(sketches(windowed, count, length).tolist())
                 yield pa.RecordBatch.from_pydict(
@@ -123,16 +121,23 @@ def _emit(docs: DataFrame, size: int, count: int, length: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, content binary, n int, sketches array<long>")
 
 
+def _content(words: np.ndarray, text: str) -> bytes:
+    """A digest of the words, or of the text if it has none."""
+    return xxhash.xxh3_128_digest(words.tobytes()) if len(words) else xxhash.xxh3_128_digest(b"-" + text.encode("utf-8", "replace"))
+
+
 def _sequences(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles): packed 64-bit hashes of every window."""
+    """(doc_id, content, shingles): packed 64-bit hashes of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with freed(HASHES):
             for batch in slices(batches, limit=4 << 20):
-                packed = [shingles(t, size).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array(packed, pa.binary())})
+                words = [(hashes(t.as_py()), t) for t in batch.column("text")]
+                packed = [windows(w, range(size)).tobytes() for w, _ in words]
+                content = [_content(w, t.as_py()) for w, t in words]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "content": pa.array(content, pa.binary()), "shingles": pa.array(packed, pa.binary())})
 
-    return texts(docs).mapInArrow(run, "doc_id long, shingles binary")
+    return texts(docs).mapInArrow(run, "doc_id long, content binary, shingles binary")
 
 
 def _verify(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
@@ -141,13 +146,10 @@ def _verify(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(iter([whole]), "left", 8 << 20):
-                own = ([np.frombuffer(x, np.uint32).astype(np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+                own = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
                 alike = [similarity(x, y, least) >= least for x, y in zip(*own, strict=True)]
                 yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "alike": pa.array(alike, pa.bool_())})
 
-    if pairs.count() <= FEW_PAIRS:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sequences = sequences.join(F.broadcast(ids), "doc_id", "left_semi")
     left = sequences.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sequences.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long, alike boolean")
@@ -166,20 +168,24 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, count: i
     pairs of texts in different groups are compared, whatever its size: those of small buckets as rows, those of large
     ones block by block (see `_blocks`). A pair in the same group needs no comparison, as the class would be the same.
 
-    Null texts count as empty; empty texts, and texts without words, are alike only if they are equal; texts of fewer
+    Rows of one doc_id are one document; should they differ in text, the one of the smallest digest stands for its class
+    (the others' links count only where they are copies). Null texts count as empty; empty texts, and texts without words, are alike only if they are equal; texts of fewer
     words than `size` only if their words are. Repeated rows each get a row; rows with a null doc_id join their
     copies' class but never name one. Other columns are ignored; an empty table gives an empty one.
     """
     own = stored(_emit(docs, size, count, length))
-    first = own.groupBy("content").agg(F.min("doc_id").alias("kind"))
+    # stored, so that the join after it has nothing but its two shuffles in a stage, and a hot content can be split
+    first = stored(own.groupBy("content").agg(F.min("doc_id").alias("kind")))
     member = stored(own.select("doc_id", "content").join(first, "content").select("doc_id", "kind"))
-    kinds = own.join(first.select(F.col("kind").alias("doc_id")), "doc_id", "left_semi").where("n > 0")
-    kinds = stored(kinds.groupBy("doc_id").agg(F.first("sketches").alias("sketches"), F.first("n").alias("n")))
+    kinds = own.join(first.select(F.col("kind").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
+    least_content = F.min(F.struct("content", "sketches", "n")).alias("x")  # one of each id, should texts share it
+    kinds = stored(kinds.groupBy("doc_id").agg(least_content).select("doc_id", "x.content", "x.sketches", "x.n"))
     # a row for each text and sketch; at: the sketch's place, group: who it is known to be alike to
     rows = kinds.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("group"), "n", F.posexplode("sketches").alias("at", "key"))
     met = stored(_met(rows))
-    some = met.select(F.col("doc").alias("doc_id")).distinct()
-    sequences = stored(_sequences(docs.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "shingles")
+    some = met.select(F.col("doc").alias("doc_id")).distinct().join(kinds.select("doc_id", "content"), "doc_id")
+    sequences = _sequences(docs.join(some, "doc_id", "left_semi"), size).join(some, ["doc_id", "content"], "left_semi")
+    sequences = stored(sequences.select("doc_id", "shingles").dropDuplicates(["doc_id"]), "shingles")
     near = F.least("n", "hub.n") >= least * F.greatest("n", "hub.n")
     pairs = met.where("doc <> hub.doc").where(near).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
     tested = stored(_verify(stored(pairs), sequences, least))
@@ -246,7 +252,7 @@ def _links(table: pa.Table, least: float) -> pa.Table:
     block, docs = (table.column(c).to_numpy() for c in ("block", "doc"))
     sketch = np.array(table.column("sketches").to_pylist(), np.int64)[:, :at]
     group = np.unique(table.column("group").to_numpy(), return_inverse=True)[1]
-    sequence = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in table.column("shingles").to_pylist()]
+    sequence = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
     n = np.array([len(x) for x in sequence])
     _, ids, times = np.unique(np.concatenate([labelled(x) for x in sequence]), return_inverse=True, return_counts=True)
     rank = np.empty(len(times), np.int64)
