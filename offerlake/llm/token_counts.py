@@ -8,11 +8,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import freed, slices, stored, texts
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -46,10 +45,9 @@ def tokenizer_digest(path: str) -> str:
 
 def _stored(docs: DataFrame, cache: str, version: str) -> DataFrame:
     spark = docs.sparkSession
-    try:
-        known = spark.read.schema(CACHE).parquet(cache)
-    except AnalysisException:  # no cache yet
-        known = spark.createDataFrame([], CACHE)
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    begun = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    known = spark.read.schema(CACHE).parquet(cache) if begun else spark.createDataFrame([], CACHE)
     return known.where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
 
 
@@ -58,28 +56,36 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
 
     tokenizer: a file that every executor has (.json: tokenizers, .model: sentencepiece). cache: a folder in storage
     that all executors share, which is read first and then appended to, under the digests of content and tokenizer.
-    The content is the text as it is, since a tokenizer's own normalising belongs to its version; equal texts are
-    encoded once, and copies are merged before the shuffle. Null texts count as empty; empty texts have no tokens;
+    The normalised content is the text in UTF-8 with null as empty, and no more: a tokenizer's own normalising belongs to its
+    version, and any other (of case, spaces or Unicode) could change the count. Only digests are shuffled to look them up;
+    the texts of misses follow, one for each, by digest and id, so that copies of one text are spread. Null texts count as empty; empty texts have no tokens;
     repeated rows each get a row; other columns are ignored; an empty table gives an empty one. If a run is lost
     between its append and its result, the next finds the counts there; if two runs append the same, either's holds.
     """
     version = tokenizer_digest(tokenizer)
-    own = texts(docs).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
+    one = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    own = texts(docs).withColumn("content_digest", F.unhex(F.sha2("text", 256))).withColumn("one", one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _tokenizer(tokenizer)
-        for batch in slices(batches, limit=4 << 20):
-            n = count(batch.column("text").to_pylist())
-            yield pa.record_batch([batch.column("content_digest"), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
-
-    missing = own.select("content_digest", "text").join(_stored(docs, cache, version), "content_digest", "left_anti")
+        with freed():
+            for batch in slices(batches, limit=4 << 20):
+                n = count(batch.column("text").to_pylist())
+                yield pa.record_batch([batch.column("content_digest"), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
+
+    # digests move first; of each that the cache lacks, the row of the smallest id is the one to encode
+    wanted = own.groupBy("content_digest").agg(F.min("one").alias("one"))
+    missing = stored(wanted.join(_stored(docs, cache, version).distinct(), "content_digest", "left_anti"), "token-misses")
     (
-        missing.dropDuplicates(["content_digest"])
+        own.select("content_digest", "one", "text")
+        .join(missing, ["content_digest", "one"], "left_semi")
+        .dropDuplicates(["content_digest", "one"])
         .mapInArrow(run, "content_digest binary, n_tokens long")
         .select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
         .write.mode("append")
         .parquet(cache)
     )
-    counts = _stored(docs, cache, version).dropDuplicates(["content_digest"])
+    # stored, so that the join after it has nothing but its two shuffles in a stage, and a hot digest can be split
+    counts = stored(_stored(docs, cache, version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
     sizes = own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
     return sizes.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
