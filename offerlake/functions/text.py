@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,7 +86,71 @@ def image_place(size: Column, mode: str, has_cdn: bool) -> Column:
     return F.when(size < 200_000, "base64").otherwise("cdn" if has_cdn else "file")
 
 
+def swapped_prices(regular: Column, discounted: Column) -> tuple[Column, Column, Column]:
+    """(regular, discounted, swapped): the larger price is the regular one."""
+    wrong = F.coalesce(regular < discounted, F.lit(False))
+    return F.when(wrong, discounted).otherwise(regular), F.when(wrong, regular).otherwise(discounted), wrong
+
+
+def parsed_confidence(text: Column) -> Column:
+    """0.8 where the model gives none, no number, or 0."""
+    return F.coalesce(F.nullif(number(text), F.lit(0.0)), F.lit(0.8))
+
+
+def plain_text(text: Column) -> Column:
+    """Recognised text for comparing: lower case, one space, no signs but those of prices."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), r"(?U)[^\p{L}\p{N}_\s€$£.,]", "")
+
+
+def mentions_price(text: Column, price: Column) -> Column:
+    """Whether a text has the price with a comma or a point, or as a whole number beside a sign or word of money."""
+    dotted = F.format_string("%.2f", price)
+    money = reduce(or_, (text.contains(sign) for sign in ("€", "$", "£", "EUR", "cena", "price")))
+    whole = (price == F.floor(price)) & text.contains(F.floor(price).cast("string")) & money
+    return F.coalesce(text.contains(F.replace(dotted, F.lit("."), F.lit(","))) | text.contains(dotted) | whole, F.lit(False))
+
+
+# What prices, discounts and units look like, and words of discounts.
+PRICE_LOOKS = r"(?i)^(\d+[.,]\d{2}|[€$£]\s*\d+[.,]\d{2}|\d+[.,]\d{2}\s*[€$£]|\d+[.,]\d{2}\s*(EUR|kn|rsd|din)|\d{1,3}|\d+[.,]-)$|[⁰¹²³⁴⁵⁶⁷⁸⁹]"
+DISCOUNT_LOOKS = r"(?i)^-?\d+\s*%$|^\d+\+\d+$|^CENEJE\s*\d*\s*%?"
+DISCOUNT_WORDS = ("AKCIJA", "AKTION", "SALE", "POPUST", "SNIŽENJE", "PONUDA", "PROMO", "SPECIAL", "GRATIS", "FREE", "MEGA", "SUPER", "TOP", "CENEJE", "CENA", "UGODNO", "RASPRODAJA", "OUTLET", "NOVO", "ODLIČNA", "KAKOVOST")
+UNIT_LOOKS = r"^(\d+\s*(g|kg|ml|l|cl|dl)$|\d+[.,]\d+\s*(g|kg|ml|l)$|per\s*(kg|l|100g|100ml)$|\d+\s*(kos|pcs|kom|st|ks)$|\d+\s*x\s*\d+|cca\.?\s*\d+|pakirano|\d+\s*cm$)"
+
+
+def box_kind(text: Column) -> Column:
+    """price, discount, unit, name or other, the first that fits."""
+    own = F.trim(F.coalesce(text, F.lit("")))
+    reduced = own.rlike(DISCOUNT_LOOKS) | F.upper(own).rlike("|".join(DISCOUNT_WORDS))
+    named = (F.length(own) >= 4) & own.rlike(r"\p{L}")
+    return F.when(own.rlike(PRICE_LOOKS), "price").when(reduced, "discount").when(F.lower(own).rlike(UNIT_LOOKS), "unit").when(named, "name").otherwise("other")
+
+
+def recorded_cost(tokens: Column, price: Column) -> Column:
+    """A part of a call's cost as it is kept: six digits, half to even."""
+    return F.bround(tokens.cast("decimal(12,0)") * price.cast("decimal(10,4)") * F.lit(0.000001).cast("decimal(7,6)"), 6).cast("decimal(18,6)")
+
+
+# Free-form error names and their categories.
+ERROR_CATEGORIES = {
+    "budget_exceeded": "budget_limit", "budget_limit": "budget_limit", "api_error": "provider_error", "provider_error": "provider_error", "rate_limit": "rate_limit", "rate_limited": "rate_limit",
+    "authentication": "authentication", "auth_error": "authentication", "network": "network", "network_error": "network", "timeout": "timeout", "timeout_error": "timeout",
+    "validation": "validation", "validation_error": "validation", "unexpected_error": "system_error", "system_error": "system_error",
+}
+
+
+def error_category(text: Column) -> Column:
+    """The category of an error's name, system_error for unknown names, null for none."""
+    names = F.create_map(*[F.lit(x) for pair in ERROR_CATEGORIES.items() for x in pair])
+    return F.when(text.isNotNull(), F.coalesce(F.try_element_at(names, F.lower(text)), F.lit("system_error")))
+
+
+def third_price(regular: Column, discounted: Column, percent: Column) -> tuple[Column, Column, Column]:
+    """(regular, discounted, percent) with the one that is missing computed from the other two."""
+    from_prices = F.when((regular > 0) & discounted.isNotNull(), (regular - discounted) / regular * 100)
+    return F.coalesce(regular, F.when(percent < 100, discounted / (1 - percent / 100))), F.coalesce(discounted, regular * (1 - percent / 100)), F.coalesce(percent, from_prices)
+
+
 def size_label(n_bytes: Column) -> Column:
     n = n_bytes.cast("double")
-    shown = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
+    shown = lambda x, unit: F.concat(F.format_string("%.1f", F.bround(x, 1)), F.lit(unit))
     return F.when(n < 1024, shown(n, " B")).when(n < 1024**2, shown(n / 1024, " KB")).when(n < 1024**3, shown(n / 1024**2, " MB")).otherwise(shown(n / 1024**3, " GB"))

@@ -145,3 +145,87 @@ def trend_label(daily: DataFrame, day: str, value: str) -> DataFrame:
     )
     last, first = F.col("a") / F.col("na"), F.try_divide("b", "nb")
     return means.select(F.when(last > first * 1.1, "rising").when(last < first * 0.9, "falling").otherwise("stable").alias("trend"))
+
+
+def shown_rates(products: DataFrame) -> DataFrame:
+    """The ratios as a dashboard shows them: percentages of one digit, half to even."""
+    n = F.count("*")
+    return products.agg(share(count_status("auto_approved"), n).alias("auto_rate"), F.bround(F.coalesce(mean("confidence"), F.lit(0.0)) * 100, 1).alias("mean_confidence"), share(F.count_if("validation_passed"), n).alias("validation_rate"))
+
+
+def system_figures(leaflets: DataFrame, as_of: str) -> DataFrame:
+    """All figures of the system page in one pass."""
+    day, now = F.col("created_at"), F.to_date(F.lit(as_of))
+    since = lambda first: F.count_if((day >= first) & (day <= now))
+    return leaflets.agg(
+        F.count("*").alias("total"), since(now).alias("today"), since(F.to_date(F.date_trunc("week", now))).alias("this_week"), since(F.to_date(F.date_trunc("month", now))).alias("this_month"),
+        share(count_status("completed", "reviewing", column="status"), count_status("completed", "reviewing", "failed", column="status"), None).alias("success"),
+        F.bround(F.sum("page_count").cast("double") / F.greatest(F.count("*"), F.lit(1)).cast("double"), 1).alias("pages_per_leaflet"),
+    )
+
+
+def nested_days(audit: DataFrame) -> DataFrame:
+    """By organization its cost and its days, as a text of day:requests; a row for each day comes before the list."""
+    by = audit.groupBy("organization_id", "usage_date").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    days = F.transform(F.array_sort(F.collect_list(F.struct("usage_date", "n"))), lambda d: F.concat(d["usage_date"], F.lit(":"), d["n"]))
+    return by.groupBy("organization_id").agg(F.sum("cost").alias("cost"), F.array_join(days, ",").alias("days"))
+
+
+def flagged_addresses(audit: DataFrame) -> DataFrame:
+    """Addresses with over half of more than ten requests failed, else those of more than ten users."""
+    by = audit.groupBy("request_ip").agg(F.count("*").alias("requests"), count_status("error", column="status").alias("failures"), F.count_distinct("user_id").alias("users"))
+    failing = (F.col("failures") * 2 > F.col("requests")) & (F.col("requests") > 10)
+    return by.select("request_ip", "requests", F.when(failing, "High failure rate").when(F.col("users") > 10, "Multiple users from same IP").alias("reason")).where("reason is not null")
+
+
+def flagged_users(audit: DataFrame) -> DataFrame:
+    """Users of more than five addresses, else those with over 30 percent of more than five requests failed."""
+    by = audit.groupBy("user_id").agg(F.count("*").alias("requests"), count_status("error", column="status").alias("failures"), F.count_distinct("request_ip").alias("addresses"))
+    failing = (F.col("failures") * 10 > F.col("requests") * 3) & (F.col("requests") > 5)
+    return by.select("user_id", "requests", F.when(F.col("addresses") > 5, "Multiple IP addresses").when(failing, "High failure rate").alias("reason")).where("reason is not null")
+
+
+def bursts(audit: DataFrame, factor: float = 4, least: int = 100) -> DataFrame:
+    """Hours with more than `factor` times the mean hour's events, if there are more than `least` in all."""
+    by = audit.groupBy("usage_date", "usage_hour").agg(F.count("*").alias("n"))
+    whole = by.agg((F.sum("n").cast("double") / F.count("*").cast("double")).alias("mean"), F.sum("n").alias("every"))  # one row
+    return by.join(F.broadcast(whole)).where((F.col("every") > least) & (F.col("n") > factor * F.col("mean"))).drop("mean", "every")
+
+
+def _with_triggers(alerts: DataFrame, triggers: DataFrame) -> DataFrame:
+    counts = triggers.groupBy("id").agg(F.count("*").alias("triggers"))
+    return alerts.join(counts, "id", "left").fillna(0, ["triggers"])
+
+
+def alert_effect(alerts: DataFrame, triggers: DataFrame) -> DataFrame:
+    """By type of alert how many are configured and active, how often they fired, and their mean threshold."""
+    return _with_triggers(alerts, triggers).groupBy("alert_type").agg(
+        F.count("*").alias("configured"), F.count_if("is_active").alias("active"), F.sum("triggers").alias("triggers"), (F.sum("threshold").cast("double") / F.count("*").cast("double")).alias("mean_threshold")
+    )
+
+
+def most_triggered(alerts: DataFrame, triggers: DataFrame) -> DataFrame:
+    return _with_triggers(alerts, triggers).groupBy("threshold").agg(F.sum("triggers").alias("triggers")).orderBy(F.desc("triggers"), "threshold").limit(1)
+
+
+RUN_STATES = ("pending", "processing", "completed", "reviewing", "failed")
+
+
+def processing_seconds(leaflets: DataFrame, ends: DataFrame) -> DataFrame:
+    """(status, n, seconds): a row for each status, and the mean time that completed leaflets took."""
+    both = leaflets.join(ends, "id").withColumn("took", F.unix_micros(F.col("done").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp")))
+    by = both.groupBy("status").agg(F.count("*").alias("n"), F.sum("took").alias("micros"))
+    spine = leaflets.sparkSession.createDataFrame([(s,) for s in RUN_STATES], "status string")
+    seconds = F.when(F.col("status") == "completed", F.bround(F.col("micros").cast("double") / 1e6 / F.col("n").cast("double"), 2))
+    return spine.join(by, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"), seconds.alias("seconds"))
+
+
+def ratios(df: DataFrame, named: dict[str, tuple[str, str]]) -> DataFrame:
+    """df plus quotients of columns, 0 where the divisor is 0."""
+    return df.withColumns({k: F.when(F.col(d) == 0, 0.0).otherwise(F.col(n).cast("double") / F.col(d).cast("double")) for k, (n, d) in named.items()})
+
+
+def moving_average(df: DataFrame, value: str, reach: int, order: str, *by: str) -> DataFrame:
+    """df plus average: over `reach` rows to either side; rows beyond the ends count as 0."""
+    near = Window.partitionBy(*by).orderBy(order).rowsBetween(-reach, reach)
+    return df.withColumn("average", F.sum(value).over(near).cast("double") / (2 * reach + 1))

@@ -1,11 +1,11 @@
-"""Boxes on pages: unions, overlaps, grids, and a greedy choice of distinct boxes."""
+"""Boxes on pages: unions, overlaps, grids, columns, and a greedy choice of distinct boxes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BOX = ("bbox_x", "bbox_y", "bbox_width", "bbox_height")
@@ -49,7 +49,7 @@ def grid(spark, width: int, height: int, columns: int, rows: int, margin: int) -
     cells = spark.range(columns * rows).withColumnRenamed("id", "cell")
     w, h = width // columns, height // rows
     at = lambda n, size: n * size + margin
-    return cells.select("cell", at(F.col("cell") % columns, w).alias("bbox_x"), at(F.floor(F.col("cell") / columns), h).alias("bbox_y"), F.lit(w - 2 * margin).alias("bbox_width"), F.lit(h - 2 * margin).alias("bbox_height"))
+    return cells.select((F.col("cell") + 1).alias("cell"), at(F.col("cell") % columns, w).alias("bbox_x"), at(F.floor(F.col("cell") / columns), h).alias("bbox_y"), F.lit(w - 2 * margin).alias("bbox_width"), F.lit(h - 2 * margin).alias("bbox_height"))
 
 
 def image_quality(sharpness: Column, brightness: Column, contrast: Column, complete: Column) -> Column:
@@ -57,26 +57,85 @@ def image_quality(sharpness: Column, brightness: Column, contrast: Column, compl
     return sharpness * 0.3 + brightness * 0.2 + contrast * 0.2 + complete * 0.3
 
 
+def _shared(a: Column, b: Column) -> Column:
+    side = lambda p, s: F.greatest(F.lit(0), F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]))
+    return side("bbox_x", "bbox_width") * side("bbox_y", "bbox_height")
+
+
 def greedy_distinct(boxes: DataFrame, least: float) -> DataFrame:
-    """Boxes in order of confidence, each kept if it overlaps none kept before on its page by more than `least`. A page
-    is a small group, and each choice depends on those before, so pages are walked one by one in tasks."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["confidence", "id"], ascending=[False, True])
-        kept: list[tuple] = []
-        rows = []
-        for i, box in zip(page.index, page[list(BOX)].itertuples(index=False), strict=True):
-            x, y, w, h = box
-            overlaps = False
-            for a, b, c, d in kept:
-                shared = max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b))
-                overlaps |= shared / (w * h + c * d - shared) > least
-            if not overlaps:
-                kept.append((x, y, w, h))
-                rows.append(i)
-        return page.loc[rows]
-
-    return boxes.groupBy("leaflet_id", "page_number").applyInPandas(run, boxes.schema)
+    """(leaflet_id, page_number, id): boxes in order of their source's priority (column source, then id), each kept if it
+    overlaps none kept before on its page by more than `least`. A page is a small group, and each choice depends on those
+    before, so a page's boxes are one list, which is folded."""
+    size = lambda x: x["bbox_width"] * x["bbox_height"]
+    overlap = lambda a, b: _shared(a, b).cast("double") / (size(a) + size(b) - _shared(a, b)).cast("double")
+    pages = boxes.groupBy("leaflet_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("source", "id", *BOX))).alias("boxes"))
+    add = lambda kept, b: F.when(F.exists(kept, lambda k: overlap(k, b) > least), kept).otherwise(F.array_append(kept, b))
+    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), add)
+    return pages.select("leaflet_id", "page_number", F.explode(F.transform(kept, lambda b: b["id"])).alias("id"))
+
+
+def centre_inside(a: str, b: str) -> Column:
+    """The centre of box a lies in box b, its edges included."""
+    mid = lambda p, s: F.col(f"{a}.{p}") + F.col(f"{a}.{s}") / 2
+    inside = lambda p, s: mid(p, s).between(F.col(f"{b}.{p}"), F.col(f"{b}.{p}") + F.col(f"{b}.{s}"))
+    return inside("bbox_x", "bbox_width") & inside("bbox_y", "bbox_height")
+
+
+def containment(a: str, b: str) -> Column:
+    """The part of box a that lies in box b."""
+    return F.when(area(a) > 0, intersection(a, b).cast("double") / area(a).cast("double")).otherwise(0.0)
+
+
+def padded_union(boxes: DataFrame, padding: int, width: int, height: int, *by: str) -> DataFrame:
+    """The box around each group's boxes, wider by a padding within the page, 50 points at least."""
+    around = union_of_boxes(boxes, *by)
+    x, y, w, h = map(F.col, BOX)
+    left, top = F.greatest(F.lit(0), x - padding), F.greatest(F.lit(0), y - padding)
+    right, low = F.least(F.lit(width), x + w + padding), F.least(F.lit(height), y + h + padding)
+    return around.select(*by, left.alias("bbox_x"), top.alias("bbox_y"), F.greatest(right - left, F.lit(50)).alias("bbox_width"), F.greatest(low - top, F.lit(50)).alias("bbox_height"))
+
+
+def fixed_box(width: int, height: int) -> list[Column]:
+    """The box moved on to the page, widened to a card's least size, and cut to the page, in this order; null without one."""
+    x, y, w, h = map(F.col, BOX)
+    place = lambda p, size: F.when(p < 0, 0).when(p >= size, size - 100).otherwise(p)
+    x, y = place(x, width), place(y, height)
+    side = lambda p, s, size, least: F.when(s.isNotNull(), F.least(F.greatest(s, F.lit(max(least, size // 10))), F.lit(size) - p))
+    return [x.alias("bbox_x"), y.alias("bbox_y"), side(x, w, width, 150).alias("bbox_width"), side(y, h, height, 200).alias("bbox_height")]
+
+
+def even_cells(boxes: DataFrame, *by: str, most: float = 2.5) -> DataFrame:
+    """For each group whether its boxes' widths and heights differ by a factor of `most` at the most."""
+    ratio = lambda c: F.max(c).cast("double") / F.greatest(F.min(c), F.lit(1)).cast("double")
+    return boxes.groupBy(*by).agg(((ratio("bbox_width") <= most) & (ratio("bbox_height") <= most)).alias("even"))
+
+
+def columns_by_gaps(boxes: DataFrame, least: int, narrowest: int, width: int, *by: str) -> DataFrame:
+    """Column starts and ends of each group: its boxes' edges are sorted, and the five largest gaps over `least` between
+    them end one column and start the next; columns up to `narrowest` go. Groups with fewer than two gaps have none."""
+    edges = boxes.select(*by, F.explode(F.array(F.col("bbox_x"), F.col("bbox_x") + F.col("bbox_width"))).alias("edge"))
+    after = F.lead("edge").over(Window.partitionBy(*by).orderBy("edge"))
+    gaps = edges.withColumn("after", after).where(F.col("after") - F.col("edge") > least)
+    largest = Window.partitionBy(*by).orderBy((F.col("after") - F.col("edge")).desc(), "edge")
+    gaps = gaps.select("*", F.row_number().over(largest).alias("nth"), F.count("*").over(Window.partitionBy(*by)).alias("n")).where("n >= 2 and nth <= 5")
+    across = Window.partitionBy(*by).orderBy("edge")
+    inner = gaps.select(*by, F.coalesce(F.lag("after").over(across), F.lit(0)).alias("start"), F.col("edge").alias("stop"))
+    last = gaps.groupBy(*by).agg(F.max("after").alias("start")).withColumn("stop", F.lit(width).cast("long"))
+    return inner.unionByName(last).where(F.col("stop") - F.col("start") > narrowest)
+
+
+def boxes_for_missing(products: DataFrame, width: int, height: int) -> DataFrame:
+    """products without a box get a cell of an equal grid by their place on the page. It has as many columns as the centres
+    of the page's boxes take tenths of its width, or without any box about the root of 1.2 a product, from 2 to 4."""
+    page = ("leaflet_id", "page_number")
+    tenth = F.floor(F.floor(F.col("bbox_x") + F.col("bbox_width") / 2) / max(1, width // 10))
+    counts = products.groupBy(*page).agg(F.count_distinct(tenth).alias("tenths"), F.count("*").alias("n"))
+    columns = F.when(F.col("tenths") > 0, F.col("tenths")).otherwise(F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.sqrt(F.col("n") * F.lit(1.2).cast("double"))))))
+    layout = counts.select(*page, columns.alias("columns"), F.greatest(F.lit(2), F.ceil(F.col("n") / columns)).alias("rows"))
+    place = (F.row_number().over(Window.partitionBy(*page).orderBy("id")) - 1).alias("place")
+    made = products.select("id", *page, *BOX, place).join(layout, list(page)).where("bbox_x is null")
+    w, h = F.floor(F.lit(width) / F.col("columns")), F.floor(F.lit(height) / F.col("rows"))
+    return made.select("id", ((F.col("place") % F.col("columns")) * w + 20).alias("bbox_x"), (F.floor(F.col("place") / F.col("columns")) * h + 20).alias("bbox_y"), (w - 40).alias("bbox_width"), (h - 40).alias("bbox_height"))
 
 
 def similar_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -57,6 +57,28 @@ def addressed(user_id: int, organizations: list[int], roles: list[str]) -> Colum
     )
 
 
+def live(expires: str, now: Column, read: Column | None = None, dismissed: Column | None = None) -> Column:
+    """Messages that have not expired (null: never do), and, where asked, are neither read nor dismissed."""
+    out = F.col(expires).isNull() | (F.col(expires) > now)
+    for gone in (read, dismissed):
+        out = out if gone is None else out & ~gone
+    return out
+
+
+def preferred(messages: DataFrame, kind: str, enabled: list[str], level: str, successes: bool = False) -> DataFrame:
+    """Messages of the kinds a user wants (an empty list wants all), without those of success unless wanted. It comes after
+    paging, so a page may hold fewer messages."""
+    out = messages.where(F.col(kind).isin(enabled)) if enabled else messages
+    return out if successes else out.where(F.col(level) != "success")
+
+
+def by_human_id(df: DataFrame, leaflets: DataFrame, text: str) -> DataFrame:
+    """Rows of the leaflet that a text names, by its id if it is a number, else by its human id; none if there is none."""
+    if text.isdigit():
+        return df.where(F.col("leaflet_id") == int(text))
+    return df.join(leaflets.where(F.col("leaflet_id") == text).select(F.col("id").alias("leaflet_id")), "leaflet_id", "left_semi")
+
+
 def subscribed(event: str, column: str = "events") -> Column:
     return F.array_contains(column, event) | F.array_contains(column, "*")
 

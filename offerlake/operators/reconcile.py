@@ -23,38 +23,93 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(score)
 
 
-def split_candidates(products: DataFrame, page_height: int, least: float = 0.5) -> DataFrame:
-    """Pairs (first, second, score) of a product in the lowest tenth of a page and one in the highest of the next, with a
-    score that they are one offer. The join is on document and page, so it never meets all pairs of a document."""
+def flag_list(flags: Column) -> Column:
+    """Flags as an array, from an array or from a text with commas."""
+    return F.array_remove(F.split(F.coalesce(flags, F.lit("")), ","), "")
+
+
+def falsy(column: str) -> Column:
+    """A value, with 0 and the empty text as missing."""
+    return F.nullif(F.col(column), F.lit("")) if column in TEXTS else F.nullif(F.col(column), F.lit(0))
+
+
+TEXTS = ("brand", "product_code", "product_name", "category", "currency", "units")
+NUMBERS = ("regular_price", "discounted_price", "discount_percentage", "quantity")
+SPLIT_FLAGS = ("partial_product", "continues_on_next_page", "continued_from_previous")
+MERGE_POINTS = 75
+
+
+def split_candidates(products: DataFrame, page_height: int, least: int = 50) -> DataFrame:
+    """Pairs (first, second, points of 100) of a product that ends in the lowest tenth of a page and one that begins in
+    the highest of the document's next page, whatever its number; products without a box are in none. The join is on
+    document and page, so it never meets all pairs of a document."""
     columns = ["leaflet_id", "page_number", "id", "product_name", "brand", "discounted_price", "bbox_x", "bbox_y", "bbox_height"]
-    flags = F.col("uncertainty_flags") if "uncertainty_flags" in products.columns else F.array().cast("array<string>")
-    own = products.select(*columns, flags.alias("flags"))
-    low = own.where(F.col("bbox_y") + F.col("bbox_height") >= 0.9 * page_height).alias("a")
-    high = own.where(F.col("bbox_y") <= 0.1 * page_height).alias("b")
-    pairs = low.join(high, (F.col("a.leaflet_id") == F.col("b.leaflet_id")) & (F.col("a.page_number") + 1 == F.col("b.page_number")))
+    place = F.dense_rank().over(Window.partitionBy("leaflet_id").orderBy("page_number"))
+    own = products.select(*columns, flag_list(F.col("flags")).alias("flags"), place.alias("place"))
+    low = own.where(F.col("bbox_y") + F.col("bbox_height") > page_height - page_height * 0.1).alias("a")
+    high = own.where(F.col("bbox_y") < page_height * 0.1).alias("b")
+    pairs = low.join(high, (F.col("a.leaflet_id") == F.col("b.leaflet_id")) & (F.col("a.place") + 1 == F.col("b.place")))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    has = lambda side, flag: F.when(F.array_contains(side("flags"), flag), True).otherwise(False)
-    brand = F.when(F.lower(a("brand")) == F.lower(b("brand")), 0.15).when(a("brand").isNull() != b("brand").isNull(), 0.1).otherwise(0.0)
+    brand = lambda side: F.nullif(F.lower(F.trim(side("brand"))), F.lit(""))
     points = (
-        F.when(name_similarity(a("product_name"), b("product_name")) > 0.7, 0.3).otherwise(0.0) + F.when(a("discounted_price").isNull() != b("discounted_price").isNull(), 0.2).otherwise(0.0) + brand
-        + F.when(F.abs(a("bbox_x") - b("bbox_x")) < 50, 0.15).otherwise(0.0) + F.when(has(a, "partial_product") | has(b, "partial_product"), 0.2).otherwise(0.0)
-        + F.when(has(a, "continues_on_next_page"), 0.25).otherwise(0.0) + F.when(has(b, "continued_from_previous"), 0.25).otherwise(0.0)
+        F.when(name_similarity(a("product_name"), b("product_name")) > 0.7, 30).otherwise(0) + F.when(a("discounted_price").isNull() != b("discounted_price").isNull(), 20).otherwise(0)
+        + F.when(brand(a) == brand(b), 15).when(brand(a).isNull() != brand(b).isNull(), 10).otherwise(0) + F.when(F.abs(a("bbox_x") - b("bbox_x")) < 50, 15).otherwise(0)
+        + F.when(F.array_contains(a("flags"), "partial_product") | F.array_contains(b("flags"), "partial_product"), 20).otherwise(0)
+        + F.when(F.array_contains(a("flags"), "continues_on_next_page"), 25).otherwise(0) + F.when(F.array_contains(b("flags"), "continued_from_previous"), 25).otherwise(0)
     )
-    scored = pairs.select(a("leaflet_id").alias("leaflet_id"), a("page_number").alias("page_number"), a("id").alias("first_id"), b("id").alias("second_id"), F.least(F.lit(1.0), points).alias("score"))
-    return scored.where(F.col("score") > least)
+    scored = pairs.select(a("leaflet_id").alias("leaflet_id"), a("page_number").alias("page_number"), a("id").alias("first_id"), b("id").alias("second_id"), F.least(F.lit(100), points).alias("points"))
+    return scored.where(F.col("points") > least)
 
 
-def best_on_page(products: DataFrame, order: str = "id") -> DataFrame:
-    """Of equal names and prices on a page the most confident stays, the first of equals."""
-    price = F.coalesce(F.nullif("discounted_price", F.lit(0.0)), "regular_price", F.lit(0.0))
-    same = Window.partitionBy("leaflet_id", "page_number", spaced(F.lower("product_name")), price).orderBy(F.desc("confidence"), order)
+def merged(products: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One product for each pair (first_id, second_id): the first's values where it has any (0 and empty texts are none),
+    boxes joined with heights added, the mean of both confidences, flags of both but those of splitting."""
+    a, b = products.alias("a"), products.alias("b")
+    both = pairs.join(a, F.col("first_id") == F.col("a.id")).join(b, F.col("second_id") == F.col("b.id"))
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    empty = lambda c: F.lit("" if c in TEXTS else 0)
+    either = {c: F.coalesce(F.nullif(x(c), empty(c)), y(c)) for c in (*TEXTS, *NUMBERS)}
+    named, next_ = x("product_name"), y("product_name")
+    goes_on = (next_ != "") & (next_ != named) & ~F.lower(next_).startswith(F.substring(F.lower(named), 1, 10))
+    either["product_name"] = F.when(goes_on, F.trim(F.concat(named, F.lit(" "), next_))).otherwise(named)
+    one, two = F.nullif(x("confidence"), F.lit(0)).cast("double"), F.nullif(y("confidence"), F.lit(0)).cast("double")
+    right = F.greatest(x("bbox_x") + x("bbox_width"), y("bbox_x") + y("bbox_width"))
+    left = F.least(x("bbox_x"), y("bbox_x"))
+    flags = F.array_except(F.array_union(flag_list(x("flags")), flag_list(y("flags"))), F.array(*map(F.lit, SPLIT_FLAGS)))
+    made = either | {
+        "id": F.concat("first_id", F.lit("+"), "second_id"), "confidence": F.coalesce((one + two) / 2, one, two), "category_confidence": F.greatest(x("category_confidence"), y("category_confidence")),
+        "bbox_x": left, "bbox_y": x("bbox_y"), "bbox_width": right - left, "bbox_height": x("bbox_height") + y("bbox_height"), "flags": F.array_join(F.array_sort(F.array_append(flags, "merged_from_split")), ","),
+    }
+    return both.select(*[(made[c] if c in made else x(c)).alias(c) for c in products.columns])
+
+
+def reconciled(products: DataFrame, page_height: int) -> DataFrame:
+    """Splits merged and put after the rest (a product may be part of several), then the best on each page, the first
+    in each cell, and the clean-up, in this order. Ties follow page and id, merged products last."""
+    pairs = split_candidates(products, page_height).where(F.col("points") >= MERGE_POINTS).select("first_id", "second_id")
+    own = products.withColumn("confidence", F.col("confidence").cast("double"))
+    parts = pairs.select(F.explode(F.array("first_id", "second_id")).alias("id"))
+    rest = own.join(parts, "id", "left_anti").select(*own.columns, F.lit(0).alias("_late"))
+    every = rest.unionByName(merged(own, pairs).withColumn("_late", F.lit(1)))
+    order = ("_late", "page_number", "id")
+    return sanitized(first_in_cell(best_on_page(every, *order), *order)).drop("_late")
+
+
+def offer_price() -> Column:
+    return F.coalesce(falsy("discounted_price"), falsy("regular_price"), F.lit(0.0))
+
+
+def best_on_page(products: DataFrame, *order: str) -> DataFrame:
+    """Of equal names and prices on a page the most confident stays, a code counting as 1 more; the first of equals."""
+    coded = F.when(falsy("product_code").isNotNull(), 1).otherwise(0) if "product_code" in products.columns else F.lit(0)
+    same = Window.partitionBy("leaflet_id", "page_number", spaced(F.lower("product_name")), offer_price()).orderBy((F.col("confidence").cast("double") + coded).desc(), *(order or ("id",)))
     return products.withColumn("_rank", F.row_number().over(same)).where("_rank = 1").drop("_rank")
 
 
-def first_in_cell(products: DataFrame, order: str = "id") -> DataFrame:
-    """The first of equal names (50 characters) and prices in a cell of 50 by 50 points."""
-    price = F.coalesce(F.nullif("discounted_price", F.lit(0.0)), "regular_price", F.lit(0.0))
-    same = Window.partitionBy("leaflet_id", F.substring(F.trim(F.lower("product_name")), 1, 50), price, F.floor(F.col("bbox_x") / 50), F.floor(F.col("bbox_y") / 50)).orderBy("page_number", order)
+def first_in_cell(products: DataFrame, *order: str) -> DataFrame:
+    """The first of equal names (50 characters) and prices in a cell of 50 by 50 points; without a box, on a page."""
+    boxless = F.when(F.col("bbox_x").isNull(), F.col("page_number"))
+    same = Window.partitionBy("leaflet_id", F.substring(F.trim(F.lower("product_name")), 1, 50), offer_price(), F.floor(F.col("bbox_x") / 50), F.floor(F.col("bbox_y") / 50), boxless).orderBy(*(order or ("page_number", "id")))
     return products.withColumn("_rank", F.row_number().over(same)).where("_rank = 1").drop("_rank")
 
 
@@ -92,6 +147,12 @@ def new_only(fresh: DataFrame, existing: DataFrame) -> DataFrame:
     return a.join(b, (x("leaflet_id") == y("leaflet_id")) & same, "left_anti").drop("_name", "_norm", "_words", "_price")
 
 
+def later_repeats(products: DataFrame) -> DataFrame:
+    """(id, first_id): products whose name (50 characters) and reduced price an earlier one of the document has."""
+    same = Window.partitionBy("leaflet_id", F.substring(F.trim(F.lower("product_name")), 1, 50), "discounted_price").orderBy("page_number", "id")
+    return products.select("id", F.first("id").over(same).alias("first_id"), F.row_number().over(same).alias("_nth")).where("_nth > 1").drop("_nth")
+
+
 def overlapping(products: DataFrame, order: str = "id") -> DataFrame:
     """Pairs of products of a page whose boxes meet; touching counts. Joined by page, then by inequality."""
     own = products.select("leaflet_id", "page_number", order, "bbox_x", "bbox_y", "bbox_width", "bbox_height")

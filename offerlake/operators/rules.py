@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,36 +55,55 @@ def _list(*conditions: tuple[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in conditions]), lambda x: x.isNotNull())
 
 
-def validated(products: DataFrame, currency: str = "EUR", page: tuple[int, int] = (2480, 3508)) -> DataFrame:
-    """products plus errors, warnings, is_valid, auto_approve and priority."""
+def _count(*conditions: tuple[str, Column]) -> Column:
+    return reduce(lambda total, c: total + F.when(c[1], 1).otherwise(0), conditions, F.lit(0))
+
+
+def validated(products: DataFrame, currency: str = "EUR", page: tuple[int, int] = (2480, 3508), lists: bool = False) -> DataFrame:
+    """products plus n_errors, n_warnings, is_valid, auto_approve and priority; with lists, also what the errors and
+    warnings are. Counts are sums of conditions, which are compiled; the lists are not, so they are only made on demand."""
     have = set(products.columns)
     col = lambda c, kind="double": F.col(c) if c in have else F.lit(None).cast(kind)
     regular, reduced, confidence = F.col("regular_price"), F.col("discounted_price"), F.col("confidence").cast("double")
-    money = col("currency", "string") if "currency" in have else F.lit(currency)
+    money = F.coalesce(F.col("currency"), F.lit(currency)) if "currency" in have else F.lit(currency)
     state = discount_state(regular, reduced, F.col("discount_percentage"))
-    flags = F.coalesce(col("uncertainty_flags", "array<string>"), F.array().cast("array<string>"))
-    quantity, category = col("quantity"), col("category_confidence")
-    weak_category = F.coalesce(category < 0.8, F.lit(False))
-    errors = _list(
+    kind = dict(products.dtypes)
+    flag_column = next((c for c in ("uncertainty_flags", "flags") if c in have), None)
+    given = F.array().cast("array<string>") if flag_column is None else F.col(flag_column) if kind[flag_column].startswith("array") else F.array_remove(F.split(F.col(flag_column), ","), "")
+    given = F.coalesce(given, F.array().cast("array<string>"))
+    quantity, category = col("quantity"), col("category_confidence").cast("double")
+    weak = F.coalesce(category < 0.8, F.lit(False))
+    flags = F.when(weak & ~F.array_contains(given, "CATEGORY_LOW_CONFIDENCE"), F.array_append(given, "CATEGORY_LOW_CONFIDENCE")).otherwise(given) if {"category_confidence"} & have else given
+    weak_fields = reduce(or_, (F.coalesce(F.col(f"{c}_confidence").cast("double") < 0.7, F.lit(False)) for c in ("brand", "product_name", "discounted_price") if f"{c}_confidence" in have), F.lit(False))
+    errors = (
         ("regular_price", price_error(regular, money)), ("discounted_price", price_error(reduced, money)), ("discount", state == "error"), ("quantity", (quantity <= 0) | (quantity > 10000)),
         ("bounding_box", box_error(*map(F.lit, page)) if set(BOUNDS) <= have else F.lit(False)), ("product_name", name_error(F.col("product_name"))),
     )
-    warnings = _list(
+    warnings = (
         ("discount", state == "warning"), ("product_code", code_warning(col("product_code", "string"))), ("no_price", regular.isNull() & reduced.isNull()), ("confidence", confidence < 0.5),
-        ("category", weak_category), ("category_flag", weak_category & ~F.array_contains(flags, "CATEGORY_LOW_CONFIDENCE")),
+        ("field_confidence", weak_fields), ("category", weak), *((flag, F.array_contains("_flags", flag)) for flag in CRITICAL_FLAGS if flag_column or flag == CRITICAL_FLAGS[-1]),
     )
-    critical = F.filter(flags, lambda f: f.isin(*CRITICAL_FLAGS))
-    made = products.withColumn("errors", errors).withColumn("warnings", F.concat(warnings, critical)).withColumn("is_valid", F.size("errors") == 0)
-    approve = F.col("is_valid") & (F.size("warnings") == 0) & (confidence >= 0.9) & F.coalesce(category >= 0.8, F.lit(True))
+    made = products.withColumn("_flags", flags)
+    made = made.select(*[f"`{c}`" for c in products.columns], _count(*errors).alias("n_errors"), _count(*warnings).alias("n_warnings"), F.size("_flags").alias("_n_flags"), *([_list(*errors).alias("errors"), _list(*warnings).alias("warnings")] if lists else []))
+    approve = (F.col("n_errors") == 0) & (F.col("n_warnings") == 0) & (confidence >= 0.9) & F.coalesce(category >= 0.8, F.lit(True))
+    brand = F.nullif(F.trim("brand"), F.lit(""))
     points = (
-        F.size("errors") * 20 + F.size("warnings") * 5 + F.when(confidence < 0.7, 30).when(confidence < 0.85, 15).otherwise(0) + F.size(flags) * 5
-        + F.when(reduced.isNull(), 10).otherwise(0) + F.when(F.col("brand").isNull(), 5).otherwise(0) + F.when(weak_category, 10).otherwise(0)
+        F.col("n_errors") * 20 + F.col("n_warnings") * 5 + F.when(confidence < 0.7, 30).when(confidence < 0.85, 15).otherwise(0) + F.col("_n_flags") * 5
+        + F.when(reduced.isNull(), 10).otherwise(0) + F.when(brand.isNull(), 5).otherwise(0) + F.when(weak, 10).otherwise(0)
     )
-    return made.withColumn("auto_approve", approve).withColumn("priority", F.least(F.lit(100), points))
+    return made.withColumns({"is_valid": F.col("n_errors") == 0, "auto_approve": approve, "priority": F.least(F.lit(100), points)}).drop("_n_flags")
+
+
+def low_fields(have: set[str], strict: bool = False) -> Column:
+    """The fields whose confidence is below what review asks for."""
+    fields = ("brand", "product_name", "quantity", "regular_price", "discounted_price", "discount_percentage", "product_code")
+    return _list(*((c, F.col(f"{c}_confidence").cast("double") < (0.75 if strict else 0.7)) for c in fields if f"{c}_confidence" in have))
 
 
 def routed(rows: DataFrame, strict: bool = False) -> DataFrame:
-    """rows (confidence, n_errors, n_warnings, image_score, critical) plus effective, path, path_priority and seconds."""
+    """rows (confidence, n_errors, n_warnings, image_score, critical, n_flagged) plus effective, path, path_priority and
+    seconds. n_flagged, where there is such a column, counts fields flagged by errors, flags and low confidence, before
+    equal ones are merged; else the errors count."""
     enough, quick = (0.95, 0.85) if strict else (0.9, 0.75)
     errors, warnings, image = F.col("n_errors"), F.col("n_warnings"), F.col("image_score")
     base = F.col("confidence").cast("double") - F.least(F.lit(0.2), errors * 0.05) - F.least(F.lit(0.1), warnings * 0.02)
@@ -98,4 +118,12 @@ def routed(rows: DataFrame, strict: bool = False) -> DataFrame:
     points = F.when(first, F.least(F.lit(100), 70 + errors * 10)).when(auto, 0).when(fast, F.floor(30 + (1 - eff) * 40)).otherwise(F.least(F.lit(100), slow))
     made = made.withColumn("path", path).withColumn("path_priority", points.cast("int"))
     seconds = reduce(lambda out, x: F.when(F.col("path") == x[0], x[1]).otherwise(out), (("quick_review", 5), ("detailed_review", 30), ("priority_review", 60)), F.lit(0))
-    return made.withColumn("seconds", seconds + 3 * errors)
+    return made.withColumn("seconds", seconds + 3 * (F.col("n_flagged") if "n_flagged" in rows.columns else errors))
+
+
+def review_rates(routed_rows: DataFrame) -> DataFrame:
+    """(path, n, share, auto_rate, mean_priority) for each path; no rows for no decisions."""
+    by = routed_rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("path_priority").alias("points"))
+    total = by.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("path") == "auto_approve", F.col("n")).otherwise(0)).alias("auto"), F.sum("points").alias("all_points"))
+    ratio = lambda a: F.col(a).cast("double") / F.col("total").cast("double")
+    return by.join(F.broadcast(total)).select("path", "n", ratio("n").alias("share"), ratio("auto").alias("auto_rate"), ratio("all_points").alias("mean_priority"))

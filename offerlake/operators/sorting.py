@@ -43,3 +43,16 @@ def in_given_order(df: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
     """The rows of a short list of ids, in its order; ids without rows are dropped."""
     wanted = df.sparkSession.createDataFrame(list(enumerate(ids)), f"position int, {id_col} {dict(df.dtypes)[id_col]}")
     return df.join(F.broadcast(wanted), id_col).orderBy("position")
+
+
+def client_sort(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """Numbers by value, then other texts by their characters; nulls are empty texts."""
+    number = F.col(column).try_cast("double")
+    return df.orderBy(number.isNull(), number, F.coalesce(column, F.lit("")), *ties)
+
+
+def within_budget(providers: DataFrame) -> DataFrame:
+    """The first provider by priority, defaults and newer ones first among equals, that is active and within its budgets."""
+    under = lambda spent, budget: F.col(budget).isNull() | (F.col(spent) < F.col(budget))
+    free = providers.where(F.col("is_active") & under("month_spent", "monthly_budget") & under("day_spent", "daily_budget") & (F.col("hour_requests") < F.col("max_requests_per_hour")))
+    return free.orderBy(key("priority"), F.desc("is_default"), F.desc("created_at"), key("id")).limit(1)

@@ -56,3 +56,16 @@ def custom(first: date | None, last: date | None, as_of: date) -> tuple[date, da
 def reset_if_past(counter: str, stamp: str, now: Column, unit: str) -> Column:
     """A counter, or 0 once a new hour, day or month has begun."""
     return F.when(F.date_trunc(unit, stamp) < F.date_trunc(unit, now), 0).otherwise(F.col(counter))
+
+
+def presets(spark: SparkSession, as_of: str) -> DataFrame:
+    """(name, first, last) of every named period."""
+    names = ("all", "last_30", "last_7", "last_month", "this_month", "this_year")
+    return spark.createDataFrame([(n, *map(str, preset(n, date.fromisoformat(as_of)))) for n in names], "name string, first string, last string")
+
+
+def end_bound(text: Column, default: str) -> Column:
+    """A bound's time: the last second of a day of ten characters, else an ISO time with or without Z, else the default."""
+    day = F.try_to_timestamp(F.concat(text, F.lit(" 23:59:59")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    moment = F.replace(F.replace(text, F.lit("Z"), F.lit("")), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+    return F.coalesce(F.when(F.length(text) == 10, day.cast("timestamp_ntz")).otherwise(moment), F.lit(default).cast("timestamp_ntz"))

@@ -164,10 +164,6 @@ add(
     "a27_hour_spikes", "audit", lambda x: a.spikes(a.grouped(x.audit, "usage_hour", n=F.count("*")), "n", 1.02),
     f"SELECT usage_hour, n FROM (SELECT usage_hour, {CNT} AS n, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / CAST(COUNT(*) OVER () AS DOUBLE) AS m FROM audit GROUP BY usage_hour) WHERE n > 1.02 * m",
 )
-add(
-    "a28_threshold_hits", "audit", lambda x: a.grouped(x.audit, "provider_id", n=F.count("*"), worst=F.max_by("id", F.struct("cost", "id"))),
-    f"SELECT provider_id, {CNT} AS n, arg_max(id, (cost, id)) AS worst FROM audit GROUP BY provider_id",
-)
 add("a29_by_type_and_status", "audit", lambda x: a.grouped(x.audit, "event_type", "status", n=F.count("*")), f"SELECT event_type, status, {CNT} AS n FROM audit GROUP BY 1, 2")
 add(
     "a30_usage_rollup", "audit", lambda x: a.usage_rollup(x.audit).withColumns({c: F.to_date(c) for c in ("first_at", "last_at")}),
@@ -242,9 +238,7 @@ add(
     "j11_product_counts", "leaflets products", lambda x: s.page(x.leaflets, "created_at", "desc", 1, 100).join(a.grouped(x.products, F.col("leaflet_id").alias("id"), n=F.count("*")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")),
     f"SELECT id, COALESCE(n, 0) AS n FROM (SELECT id FROM leaflets ORDER BY created_at DESC, id LIMIT 100) LEFT JOIN (SELECT leaflet_id, {CNT} AS n FROM products GROUP BY 1) ON leaflet_id = id",
 )
-add("j16_pages_of_leaflet", "products", lambda x: x.products.where("leaflet_id < 200").groupBy("leaflet_id").agg(F.array_join(F.array_sort(F.collect_set("page_number").cast("array<string>")), ",").alias("pages")), "SELECT leaflet_id, array_to_string(list_sort(list(DISTINCT CAST(page_number AS STRING))), ',') AS pages FROM products WHERE leaflet_id < 200 GROUP BY 1")
-# j16 is held to its SQL, which stops at leaflet 200; this is the whole table
-add("j16_pages_of_leaflet_whole", "", lambda x: x.products.groupBy("leaflet_id").agg(F.array_join(F.array_sort(F.collect_set("page_number").cast("array<string>")), ",").alias("pages")), "")
+add("j16_pages_of_leaflet", "products", lambda x: x.products.groupBy("leaflet_id").agg(F.array_join(F.array_sort(F.collect_set("page_number").cast("array<string>")), ",").alias("pages")), "SELECT leaflet_id, array_to_string(list_sort(list(DISTINCT CAST(page_number AS STRING))), ',') AS pages FROM products GROUP BY 1")
 
 # windows
 add(
@@ -274,9 +268,7 @@ add("w10_above_mean", "audit", lambda x: a.spikes(a.grouped(x.audit, "user_id",
 add("s1_page", "products", lambda x: s.page(x.products, "regular_price", "desc", 3, 40).select("id", "regular_price"), "SELECT id, regular_price FROM products ORDER BY regular_price DESC NULLS FIRST, id LIMIT 40 OFFSET 80")
 add("s1_page_fallback", "products", lambda x: s.page(x.products, "no_such_column", "asc", 1, 25).select("id", "created_at"), "SELECT id, created_at FROM products ORDER BY created_at, id LIMIT 25", "created_at")
 add("s2_review_queue", "products", lambda x: s.review_queue(x.products, 30).select("id"), "SELECT id FROM products WHERE review_status IN ('pending', 'needs_correction') ORDER BY review_priority DESC, confidence, id LIMIT 30")
-add("s9_reading_order", "products", lambda x: x.products.where("leaflet_id < 500").select("id", F.row_number().over(Window.partitionBy("leaflet_id", "page_number").orderBy(F.floor(F.col("bbox_y") / 100), "bbox_x", "id")).alias("place")), "SELECT id, CAST(row_number() OVER (PARTITION BY leaflet_id, page_number ORDER BY floor(bbox_y / 100), bbox_x, id) AS INT) AS place FROM products WHERE leaflet_id < 500")
-# s9 is held to its SQL, which stops at leaflet 500; this is the whole table
-add("s9_reading_order_whole", "", lambda x: x.products.select("id", F.row_number().over(Window.partitionBy("leaflet_id", "page_number").orderBy(F.floor(F.col("bbox_y") / 100), "bbox_x", "id")).alias("place")), "")
+add("s9_reading_order", "products", lambda x: x.products.select("id", F.row_number().over(Window.partitionBy("leaflet_id", "page_number").orderBy(F.floor(F.col("bbox_y") / 100), "bbox_x", "id")).alias("place")), "SELECT id, CAST(row_number() OVER (PARTITION BY leaflet_id, page_number ORDER BY floor(bbox_y / 100), bbox_x, id) AS INT) AS place FROM products")
 
 # series
 add(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import text as f
 from ..operators import geometry as g
 from ..operators import reconcile as r
-from ..operators import rules as v
 from .dashboards import CNT, add
 
 
@@ -26,45 +25,7 @@ add(
 )
 add("n21_image_place", "products", lambda x: x.products.select("id", f.image_place(F.col("bbox_width") * F.col("bbox_height") * 8, "row", True).alias("place")), "SELECT id, CASE WHEN bbox_width * bbox_height * 8 < 200000 THEN 'base64' ELSE 'cdn' END AS place FROM products")
 add("src3_natural_order", "products", lambda x: x.products.select(f.natural_key(F.concat(F.lit("Page"), "page_number", F.lit("_"), "leaflet_id", F.lit(".png"))).alias("k")).distinct(), "SELECT DISTINCT concat('page', lpad(CAST(page_number AS STRING), 12, '0'), '_', lpad(CAST(leaflet_id AS STRING), 12, '0'), '.png') AS k FROM products")
-add(
-    "v1_v12_validate", "products", lambda x: v.validated(x.products, page=(900, 1000)).select("id", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), "is_valid", "auto_approve", "priority"),
-    """SELECT id, e AS n_errors, w AS n_warnings, e = 0 AS is_valid, e = 0 AND w = 0 AND confidence >= 0.9 AS auto_approve, LEAST(100, e * 20 + w * 5 + CASE WHEN confidence < 0.7 THEN 30 WHEN confidence < 0.85 THEN 15 ELSE 0 END
-    + CASE WHEN discounted_price IS NULL THEN 10 ELSE 0 END + CASE WHEN brand IS NULL THEN 5 ELSE 0 END) AS priority FROM (SELECT *,
-    CAST(regular_price < 0.01 OR regular_price > 10000 AS INT) + CAST(COALESCE(discounted_price < 0.01 OR discounted_price > 10000, FALSE) AS INT) + CAST(COALESCE(regular_price < discounted_price, FALSE) AS INT)
-    + CAST(bbox_x + bbox_width > 900 OR bbox_y + bbox_height > 1000 OR bbox_width < 50 OR bbox_height < 50 AS INT) AS e,
-    CAST(COALESCE(abs(discount_percentage - (regular_price - discounted_price) / regular_price * 100) > 2, FALSE) AS INT) + CAST(confidence < 0.5 AS INT) AS w FROM products)""",
-)
-add(
-    "route_products", "products",
-    lambda x: v.routed(x.products.select("id", "confidence", F.expr("CAST(page_number % 4 AS INT)").alias("n_errors"), F.expr("CAST(leaflet_id % 3 AS INT)").alias("n_warnings"), F.lit(None).cast("double").alias("image_score"), (F.col("review_priority") > 95).alias("critical"))).select("id", "path", "seconds"),
-    """SELECT id, path, CAST(CASE path WHEN 'quick_review' THEN 5 WHEN 'detailed_review' THEN 30 WHEN 'priority_review' THEN 60 ELSE 0 END + 3 * e AS INT) AS seconds FROM (SELECT id, e, CASE WHEN c OR e >= 3 THEN 'priority_review'
-    WHEN eff >= 0.9 AND e = 0 AND w <= 1 THEN 'auto_approve' WHEN eff >= 0.75 AND e <= 1 AND w <= 3 THEN 'quick_review' ELSE 'detailed_review' END AS path FROM (SELECT id, e, w, c,
-    GREATEST(0.0, LEAST(1.0, CAST(confidence AS DOUBLE) - LEAST(CAST(0.2 AS DOUBLE), e * CAST(0.05 AS DOUBLE)) - LEAST(CAST(0.1 AS DOUBLE), w * CAST(0.02 AS DOUBLE)))) AS eff
-    FROM (SELECT id, confidence, page_number % 4 AS e, leaflet_id % 3 AS w, review_priority > 95 AS c FROM products)))""",
-)
-add(
-    "d5_best_on_page", "products", lambda x: r.best_on_page(x.products).select("id"),
-    f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY leaflet_id, page_number, {NAME}, {PRICE} ORDER BY confidence DESC, id) AS k FROM products) WHERE k = 1",
-)
-add(
-    "d6_first_in_cell", "products", lambda x: r.first_in_cell(x.products).select("id"),
-    f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY leaflet_id, substring(trim(lower(product_name)), 1, 50), {PRICE}, floor(bbox_x / 50), floor(bbox_y / 50) ORDER BY page_number, id) AS k FROM products) WHERE k = 1",
-)
 SPLIT = "list_distinct(string_split(lower({0}.product_name), ' '))"
-add(
-    "d1_split_candidates", "products", lambda x: r.split_candidates(x.products, 1000, 0.25).select("first_id", "second_id", "leaflet_id", "page_number"),
-    f"""SELECT first_id, second_id, leaflet_id, page_number FROM (SELECT a.id AS first_id, b.id AS second_id, a.leaflet_id, a.page_number,
-    CASE WHEN (CASE WHEN a.product_name = b.product_name THEN 1.0 WHEN contains(a.product_name, b.product_name) OR contains(b.product_name, a.product_name) THEN 0.9 ELSE LEAST(1.0, CAST(length(list_intersect({SPLIT.format("a")}, {SPLIT.format("b")})) AS DOUBLE) / length(list_distinct(list_concat({SPLIT.format("a")}, {SPLIT.format("b")})))
-    + length(list_intersect({SPLIT.format("a")}, {SPLIT.format("b")})) * 0.1) END) > 0.7 THEN 30 ELSE 0 END + CASE WHEN (a.discounted_price IS NULL) <> (b.discounted_price IS NULL) THEN 20 ELSE 0 END
-    + CASE WHEN lower(a.brand) = lower(b.brand) THEN 15 ELSE 0 END + CASE WHEN abs(a.bbox_x - b.bbox_x) < 50 THEN 15 ELSE 0 END AS points
-    FROM products a JOIN products b ON a.leaflet_id = b.leaflet_id AND a.page_number + 1 = b.page_number WHERE a.bbox_y + a.bbox_height >= 900 AND b.bbox_y <= 100) WHERE points > 25""",
-)
-add(
-    "d7_sanitize", "products", lambda x: r.sanitized(x.products.withColumn("regular_price", F.when(F.col("page_number") > 5, None).otherwise(F.col("regular_price")))).select("id", F.col("regular_price").isNull().alias("no_regular"), F.col("discounted_price").isNull().alias("no_reduced")),
-    """SELECT id, FALSE AS no_regular, CASE WHEN page_number > 5 AND COALESCE(discount_percentage = 0, TRUE) THEN TRUE ELSE discounted_price IS NULL END AS no_reduced FROM products WHERE NOT (page_number > 5 AND discounted_price IS NULL AND
-    ((trim(product_name) = upper(trim(product_name)) AND length(product_name) > 5))) AND NOT (page_number > 5 AND discounted_price IS NULL)
-    UNION ALL SELECT id, TRUE, TRUE FROM products WHERE page_number > 5 AND discounted_price IS NULL AND NOT (trim(product_name) = upper(trim(product_name)) AND length(product_name) > 5)""",
-)
 add(
     "j13_overlapping_boxes", "products", lambda x: r.overlapping(x.products),
     """SELECT a.leaflet_id, a.page_number, a.id AS first_id, b.id AS second_id FROM products a JOIN products b ON a.leaflet_id = b.leaflet_id AND a.page_number = b.page_number AND a.id < b.id
@@ -76,14 +37,11 @@ add(
     OR length(list_intersect({SPLIT.format("a")}, {SPLIT.format("b")})) >= 0.5 * LEAST(length({SPLIT.format("a")}), length({SPLIT.format("b")}))))""",
 )
 add(
-    "g2_iou", "products", lambda x: g.pair_iou(r.overlapping(x.products.where("leaflet_id < 2000")), x.products).select("first_id", "second_id", "iou"),
+    "g2_iou", "products", lambda x: g.pair_iou(r.overlapping(x.products), x.products).select("first_id", "second_id", "iou"),
     """SELECT first_id, second_id, CASE WHEN i = 0 THEN 0.0 ELSE CAST(i AS DOUBLE) / CAST(s - i AS DOUBLE) END AS iou FROM (SELECT a.id AS first_id, b.id AS second_id, a.bbox_width * a.bbox_height + b.bbox_width * b.bbox_height AS s,
     GREATEST(0, LEAST(a.bbox_x + a.bbox_width, b.bbox_x + b.bbox_width) - GREATEST(a.bbox_x, b.bbox_x)) * GREATEST(0, LEAST(a.bbox_y + a.bbox_height, b.bbox_y + b.bbox_height) - GREATEST(a.bbox_y, b.bbox_y)) AS i
-    FROM products a JOIN products b ON a.leaflet_id = b.leaflet_id AND a.page_number = b.page_number AND a.id < b.id WHERE a.leaflet_id < 2000
-    AND a.bbox_x <= b.bbox_x + b.bbox_width AND b.bbox_x <= a.bbox_x + a.bbox_width AND a.bbox_y <= b.bbox_y + b.bbox_height AND b.bbox_y <= a.bbox_y + a.bbox_height)""",
+    FROM products a JOIN products b ON a.leaflet_id = b.leaflet_id AND a.page_number = b.page_number AND a.id < b.id WHERE a.bbox_x <= b.bbox_x + b.bbox_width AND b.bbox_x <= a.bbox_x + a.bbox_width AND a.bbox_y <= b.bbox_y + b.bbox_height AND b.bbox_y <= a.bbox_y + a.bbox_height)""",
 )
-# g2_iou is held to its SQL, which stops at leaflet 2000; this is the whole table
-add("g2_iou_whole", "", lambda x: g.pair_iou(r.overlapping(x.products), x.products).select("first_id", "second_id", "iou"), "")
 add(
     "g3_box_union", "products", lambda x: g.union_of_boxes(x.products, "leaflet_id", "page_number"),
     """SELECT leaflet_id, page_number, MIN(bbox_x) AS bbox_x, MIN(bbox_y) AS bbox_y, MAX(bbox_x + bbox_width) - MIN(bbox_x) AS bbox_width, MAX(bbox_y + bbox_height) - MIN(bbox_y) AS bbox_height FROM products GROUP BY 1, 2""",
@@ -92,5 +50,3 @@ add(
     "g15_grid_cells", "products", lambda x: g.grid_cells(x.products, 900, 1000, 3, 5).groupBy("leaflet_id", "page_number", "cell").agg(F.count("*").alias("n")),
     f"""SELECT leaflet_id, page_number, CAST(LEAST(4, floor((bbox_y + bbox_height / 2) * 5 / 1000)) * 3 + LEAST(2, floor((bbox_x + bbox_width / 2) * 3 / 900)) AS INT) AS cell, {CNT} AS n FROM products GROUP BY 1, 2, 3""",
 )
-add("g14_greedy_boxes", "", lambda x: g.greedy_distinct(x.products, 0.5).select("id"), "")
-

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import size_label
+from ..operators import sorting as s
 from ..sources import sinks
 from ..streaming import usage as u
 from .dashboards import CNT, add
@@ -19,21 +20,58 @@ add("r4_rate_windows_stream", "", lambda x: u.replay(u.rate_windows(u.events(x.s
     w AS (SELECT user_id, event_id, t, i, t AS opened, CAST(1 AS BIGINT) AS nth FROM e WHERE i = 1
     UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, CASE WHEN e.t >= w.opened + 86400 THEN e.t ELSE w.opened END, CASE WHEN e.t >= w.opened + 86400 THEN 1 ELSE w.nth + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
     SELECT user_id, event_id, nth, nth <= 3 AS allowed FROM w""")
-add("r9_budget_alerts_stream", "", lambda x: u.replay(u.budget_alerts(u.events(x.spark, x.sf_dir), 0.5), "append").select("organization_id", "event_id"), "")
+add("r9_budget_alerts_stream", "", lambda x: u.replay(u.budget_alerts(u.events(x.spark, x.sf_dir), 20_000, 3600, 3), "append"), """WITH RECURSIVE e AS (SELECT user_id % 10 AS o, strftime(ts, '%Y-%m-%d') AS day, event_id, epoch(ts) AS t, CAST(SUM(CAST(round(abs(value) * 100) AS BIGINT)) OVER w AS BIGINT) AS spent, row_number() OVER w AS i FROM events
+    WINDOW w AS (PARTITION BY user_id % 10, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id)), c AS (SELECT *, row_number() OVER (PARTITION BY o, day ORDER BY i) AS k FROM e WHERE spent >= 20000),
+    walked AS (SELECT o, day, event_id, spent, k, t AS last, 1 AS fired, TRUE AS fires FROM c WHERE k = 1 UNION ALL SELECT c.o, c.day, c.event_id, c.spent, c.k, CASE WHEN f THEN c.t ELSE last END, CASE WHEN f THEN fired + 1 ELSE fired END, f
+    FROM (SELECT c.*, w.last, w.fired, w.fired < 3 AND c.t - w.last >= 3600 AS f FROM walked w JOIN c ON c.o = w.o AND c.day = w.day AND c.k = w.k + 1) c)
+    SELECT o AS organization_id, day, event_id, spent FROM walked WHERE fires""")
+add(
+    "r1_live_events", "audit", lambda x: u.live_latest(x.audit.groupBy("user_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.max("created_at").alias("ts")), 86_400, F.lit("2024-01-30").cast("timestamp_ntz")).select("user_id", "id"),
+    "SELECT user_id, arg_max(id, (created_at, id)) AS id FROM audit GROUP BY user_id HAVING MAX(created_at) >= TIMESTAMP '2024-01-29'",
+)
+add(
+    "r2_progress", "leaflets", lambda x: x.leaflets.select("id", u.progress(F.when(F.col("id") % 3 == 0, F.col("status")), F.when(F.col("id") % 3 > 0, F.col("id") % 5 + 1), F.lit(5)).alias("progress")),
+    "SELECT id, CASE WHEN id % 3 > 0 THEN CAST(0.35 AS DOUBLE) + CAST(id % 5 + 1 AS DOUBLE) / 5 * CAST(0.45 AS DOUBLE) WHEN status = 'completed' THEN 1.0 WHEN status = 'failed' THEN -1.0 END AS progress FROM leaflets",
+)
+add("r3_w5_replayed", "audit", lambda x: x.audit.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id")))).where("k <= 20").withColumn("replayed", F.col("k") <= 10).select("user_id", "id", "replayed"), "SELECT user_id, id, k <= 10 AS replayed FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS k FROM audit) WHERE k <= 20")
+WINDOWS = """e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    w AS (SELECT user_id, event_id, t, i, t AS a, t AS b, 1 AS na, 1 AS nb FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, CASE WHEN e.t >= w.a + 86400 THEN e.t ELSE w.a END, CASE WHEN e.t >= w.b + 432000 THEN e.t ELSE w.b END,
+    CASE WHEN e.t >= w.a + 86400 THEN 1 ELSE w.na + 1 END, CASE WHEN e.t >= w.b + 432000 THEN 1 ELSE w.nb + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)"""
+add(
+    "r5_dual_limits_stream", "", lambda x: u.replay(u.rate_windows(u.events(x.spark, x.sf_dir), 86_400, 3), "append").select("user_id", "event_id", F.col("allowed").alias("a")).join(u.replay(u.rate_windows(u.events(x.spark, x.sf_dir), 432_000, 12), "append").select("event_id", F.col("allowed").alias("b")), "event_id").select("user_id", "event_id", (F.col("a") & F.col("b")).alias("allowed")),
+    f"WITH RECURSIVE {WINDOWS} SELECT user_id, event_id, na <= 3 AND nb <= 12 AS allowed FROM w",
+)
+COUNTERS = """SELECT provider_id, SUM(cost) AS month_spent, CAST(COALESCE(SUM(cost) FILTER (WHERE CAST(created_at AS DATE) = DATE '2024-01-20'), 0) AS DECIMAL(28,4)) AS day_spent, CAST(COUNT(*) FILTER (WHERE date_trunc('hour', created_at) = TIMESTAMP '2024-01-20 13:00:00') AS BIGINT) AS hour_requests
+    FROM audit WHERE created_at <= TIMESTAMP '2024-01-20 13:30:00' AND created_at >= TIMESTAMP '2024-01-01' GROUP BY 1"""
+add("r7_provider_counters", "audit", lambda x: u.provider_counters(x.audit, "2024-01-20 13:30:00"), COUNTERS)
+BUDGETS = "SELECT id AS provider_id, id AS priority, id % 2 = 0 AS is_default, TRUE AS is_active, CAST('2024-01-01' AS DATE) AS created_at, CASE id WHEN 0 THEN CAST(1 AS DECIMAL(28,4)) WHEN 1 THEN CAST(100000 AS DECIMAL(28,4)) END AS monthly_budget, CASE id WHEN 2 THEN CAST(0 AS DECIMAL(28,4)) END AS daily_budget, CAST(1000 AS BIGINT) AS max_requests_per_hour FROM providers"
+budgets = lambda x: u.budget_states(x.spark.sql(BUDGETS.replace("FROM providers", "FROM {p}"), p=x.providers), u.provider_counters(x.audit, "2024-01-20 13:30:00"))
+STATES = f"SELECT b.*, COALESCE(month_spent, 0) < COALESCE(monthly_budget, 1e18) AS month_ok, COALESCE(day_spent, 0) < COALESCE(daily_budget, 1e18) AS day_ok, COALESCE(hour_requests, 0) < max_requests_per_hour AS hour_ok FROM ({BUDGETS}) b LEFT JOIN ({COUNTERS}) c ON c.provider_id = b.provider_id"
+add("r8_budget_checks", "audit providers", lambda x: budgets(x).select("provider_id", "month_ok", "day_ok", "hour_ok", "ok"), f"SELECT provider_id, month_ok, day_ok, hour_ok, month_ok AND day_ok AND hour_ok AS ok FROM ({STATES})")
+add("s5_provider_pick", "audit providers", lambda x: s.within_budget(budgets(x).withColumn("id", F.col("provider_id"))).select("provider_id"), f"SELECT provider_id FROM ({STATES}) WHERE is_active AND month_ok AND day_ok AND hour_ok ORDER BY priority, is_default DESC, created_at DESC LIMIT 1")
+add(
+    "r10_disabled_hooks", "audit", lambda x: u.disabled_hooks(x.audit.withColumn("hook", F.col("user_id")), 3),
+    """SELECT hook, arg_min(id, (created_at, id)) AS at FROM (SELECT *, row_number() OVER (PARTITION BY hook, run ORDER BY created_at, id) AS nth FROM (SELECT user_id AS hook, id, created_at, status, SUM(CASE WHEN status = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS run FROM audit) WHERE status <> 'success') WHERE nth = 3 GROUP BY hook""",
+)
+add("r10_retry_delays", "audit", lambda x: x.audit.select("id", F.array_join(u.retry_delays((F.col("id") % 4 + 1).cast("int"), 30).cast("array<string>"), ",").alias("delays")), "SELECT id, array_to_string(list_transform(generate_series(1, id % 4 + 1), lambda k: CAST(k * 30 AS VARCHAR)), ',') AS delays FROM audit")
+add(
+    "r13_cost_spikes", "audit", lambda x: u.cost_spikes(x.audit.withColumn("cost", F.when(F.expr("usage_date = DATE '2024-01-09'"), F.col("cost") * 4).otherwise(F.col("cost")))),
+    "SELECT usage_date, cost, CASE WHEN cost > 3 * m THEN 'high' ELSE 'medium' END AS severity FROM (SELECT usage_date, SUM(c) AS cost, CAST(SUM(SUM(c)) OVER () AS DOUBLE) / COUNT(*) OVER () AS m, COUNT(*) OVER () AS days FROM (SELECT usage_date, CASE WHEN usage_date = DATE '2024-01-09' THEN cost * 4 ELSE cost END AS c FROM audit) GROUP BY 1) WHERE days >= 3 AND cost > 2 * m", "usage_date",
+)
+add("r13_busy_users", "audit", lambda x: x.audit.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 1000"), f"SELECT user_id, {CNT} AS n FROM audit GROUP BY 1 HAVING COUNT(*) > 1000")
+for name, days, errors in (("notifications", 30, False), ("files", 90, False), ("audit", 365, True)):
+    add(f"r15_retention_{name}", "audit", lambda x, days=days, errors=errors: u.kept(x.audit, "usage_date", "2024-04-10", days, errors).select("id"), f"SELECT id FROM audit WHERE usage_date >= DATE '2024-04-10' - {days}" + (" OR status = 'error'" if errors else ""))
 add("r11_within_quota", "audit", lambda x: u.within_quota(x.audit, 20, "organization_id", "usage_date").select("id"), "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY organization_id, usage_date ORDER BY created_at, id) AS k FROM audit) WHERE k <= 20")
 add("r12_daily_counters", "audit", lambda x: x.audit.groupBy("user_id", "usage_date").agg(F.count("*").alias("n")), f"SELECT user_id, usage_date, {CNT} AS n FROM audit GROUP BY 1, 2", "usage_date")
 add(
-    "r13_error_hours", "audit", lambda x: u.error_hours(x.audit, 10, 0.3),
-    f"SELECT usage_date, usage_hour, {CNT} AS n, CAST(COUNT(*) FILTER (WHERE status = 'error') AS BIGINT) AS errors FROM audit GROUP BY 1, 2 HAVING COUNT(*) > 10 AND COUNT(*) FILTER (WHERE status = 'error') > 0.3 * COUNT(*)", "usage_date",
+    "r13_error_hours", "audit", lambda x: u.error_hours(x.audit, 10, 0.2),
+    f"SELECT usage_date, usage_hour, {CNT} AS n, CAST(COUNT(*) FILTER (WHERE status = 'error') AS BIGINT) AS errors, CASE WHEN COUNT(*) FILTER (WHERE status = 'error') > 0.5 * COUNT(*) THEN 'high' ELSE 'medium' END AS severity FROM audit GROUP BY 1, 2 HAVING COUNT(*) > 10 AND COUNT(*) FILTER (WHERE status = 'error') > 0.2 * COUNT(*)", "usage_date",
 )
 add("r15_retention", "audit", lambda x: u.kept(x.audit, "usage_date", "2024-01-30", 10, True).select("id"), "SELECT id FROM audit WHERE usage_date >= DATE '2024-01-20' OR status = 'error'")
+human = lambda: [F.concat(F.lit("LEAF_"), "id").alias("human_id"), F.concat(F.col("retailer"), F.lit(".pdf")).alias("filename"), F.when(F.col("id") % 2 == 0, "EUR").alias("currency")]
 add(
-    "snk4_product_rows", "products leaflets", lambda x: sinks.product_rows(x.products, x.leaflets),
-    """SELECT p.id, leaflet_id, COALESCE(retailer, '') AS retailer, COALESCE(l.status, '') AS leaflet_status, page_number, COALESCE(product_name, '') AS product_name, COALESCE(brand, '') AS brand, COALESCE(category, '') AS category,
-    review_status, CASE WHEN validation_passed THEN 'Yes' ELSE 'No' END AS validated, discounted_price IS NOT NULL AS reduced FROM products p LEFT JOIN leaflets l ON l.id = leaflet_id""",
+    "snk4_product_rows", "offers leaflets", lambda x: sinks.product_rows(x.offers, x.leaflets.select("id", *human()), "url"),
+    """SELECT COALESCE('LEAF_' || l.id, '') AS "Leaflet ID", COALESCE(retailer || '.pdf', '') AS "Leaflet Name", page_number AS "Page", COALESCE(brand, '') AS "Brand", COALESCE(product_code, '') AS "Product Code", COALESCE(product_name, '') AS "Product Name", COALESCE(CAST(quantity AS VARCHAR), '') AS "Quantity", COALESCE(units, '') AS "Units",
+    regular_price AS "Regular Price", discounted_price AS "Discounted Price", discount_percentage AS "Discount %", COALESCE(NULLIF(currency, ''), CASE WHEN l.id % 2 = 0 THEN 'EUR' END, '') AS "Currency", o.id AS "Product ID", '' AS "Promotional Info", COALESCE(category, '') AS "Category", COALESCE(CAST(confidence AS VARCHAR), '') AS "Confidence", COALESCE(state, '') AS "Review Status",
+    CASE WHEN validation_passed THEN 'Yes' ELSE 'No' END AS "Validation Passed", CAST(o.created_at AS VARCHAR) AS "Created At", '' AS "Image URL" FROM offers o LEFT JOIN leaflets l ON l.id = leaflet_id""",
 )
-add(
-    "snk12_export_sizes", "products", lambda x: x.products.groupBy("leaflet_id").agg(F.count("*").alias("n")).select("leaflet_id", sinks.estimated_bytes(F.col("n"), "csv").alias("bytes"), size_label(sinks.estimated_bytes(F.col("n"), "csv")).alias("label")),
-    f"SELECT leaflet_id, n * 500 AS bytes, CASE WHEN n * 500 < 1024 THEN printf('%.1f B', CAST(n * 500 AS DOUBLE)) ELSE printf('%.1f KB', n * 500 / 1024.0) END AS label FROM (SELECT leaflet_id, {CNT} AS n FROM products GROUP BY 1)",
-)
-

@@ -32,6 +32,27 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(100 + p_size * 4 AS BIGINT) AS bbox_width, CAST(120 + l_partkey % 50 AS BIGINT) AS bbox_height
         FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey""",
     ),
+    "offers": (  # products as they come from extraction: with gaps in pages, missing values, flags
+        ("lineitem", "orders", "part"),
+        """SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+        CAST(CAST(l_quantity AS BIGINT) AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS id,
+        l_orderkey AS leaflet_id, CAST(o_custkey % 10 AS BIGINT) AS organization_id, CAST(l_linenumber + CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END AS BIGINT) AS page_number,
+        CASE WHEN l_partkey % 19 = 0 THEN upper(p_name) WHEN l_partkey % 23 = 0 THEN concat('  ', p_name, ' 500 g TO!') WHEN l_partkey % 29 = 0 THEN 'Test 1' WHEN l_partkey % 31 = 0 THEN '' ELSE p_name END AS product_name,
+        CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 12 = 0 THEN '  ' ELSE p_brand END AS brand,
+        CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'N/A' WHEN 2 THEN 'X' ELSE concat('SKU-', CAST(l_partkey AS STRING)) END AS product_code, p_type AS category,
+        CASE WHEN l_suppkey % 13 = 0 THEN NULL WHEN l_suppkey % 17 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice END AS regular_price,
+        CASE WHEN l_discount > 0.02 THEN CASE WHEN l_suppkey % 19 = 0 THEN p_retailprice * 2 WHEN l_suppkey % 23 = 0 THEN p_retailprice ELSE p_retailprice * (1 - l_discount) END END AS discounted_price,
+        CASE WHEN l_discount > 0.02 AND l_partkey % 3 > 0 THEN CASE WHEN l_suppkey % 7 = 0 THEN CAST(55 AS DOUBLE) ELSE l_discount * 100 END END AS discount_percentage,
+        CASE l_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'HUF' WHEN 2 THEN 'RSD' WHEN 3 THEN 'XYZ' ELSE 'EUR' END AS currency, CAST(l_quantity AS BIGINT) % 40 AS quantity, 'kg' AS units,
+        CAST(1 - CAST(l_tax AS DECIMAL(4,2)) * 8 AS DECIMAL(6,2)) AS confidence,
+        CASE WHEN l_partkey % 4 > 0 THEN CAST(CAST(50 + l_suppkey % 50 AS DECIMAL(6,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(6,2)) END AS category_confidence,
+        CASE WHEN l_partkey % 6 > 0 THEN CAST(CAST(60 + l_partkey % 40 AS DECIMAL(6,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(6,2)) END AS brand_confidence,
+        CASE l_suppkey % 6 WHEN 0 THEN 'partial_product' WHEN 1 THEN 'continues_on_next_page' WHEN 2 THEN 'continued_from_previous,price_unclear' WHEN 3 THEN 'CATEGORY_LOW_CONFIDENCE' ELSE '' END AS flags,
+        CASE WHEN l_partkey % 9 > 0 THEN CAST(l_partkey % 20 * 40 AS BIGINT) END AS bbox_x, CASE WHEN l_partkey % 9 > 0 THEN CAST(l_suppkey % 15 * 60 AS BIGINT) END AS bbox_y,
+        CASE WHEN l_partkey % 9 > 0 THEN CAST(30 + p_size * 4 AS BIGINT) END AS bbox_width, CASE WHEN l_partkey % 9 > 0 THEN CAST(120 + l_partkey % 50 AS BIGINT) END AS bbox_height,
+        CAST(l_shipdate AS DATE) AS created_at, l_returnflag AS state, l_linestatus = 'F' AS validation_passed
+        FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey""",
+    ),
     "costs": (
         ("orders",),
         """SELECT o_orderkey AS leaflet_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INT) AS processed_at,
@@ -56,7 +77,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
 def duckdb_with(*names: str) -> str:
     """The adapters as a WITH clause over the driver's plain table names."""
     made = (f"{n} AS ({ADAPTERS[n][1].format(**{t: t for t in ADAPTERS[n][0]})})" for n in names)
-    return "WITH " + ", ".join(made) + " "
+    return "WITH RECURSIVE " + ", ".join(made) + " "
 
 
 class Tables:
@@ -74,6 +95,7 @@ class Tables:
 
     leaflets = cached_property(lambda self: self._adapted("leaflets"))
     products = cached_property(lambda self: self._adapted("products"))
+    offers = cached_property(lambda self: self._adapted("offers"))
     costs = cached_property(lambda self: self._adapted("costs"))
     audit = cached_property(lambda self: self._adapted("audit"))
     organizations = cached_property(lambda self: self._adapted("organizations"))

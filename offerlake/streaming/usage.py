@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Files that a micro-batch reads, which bounds what one of a key's groups brings to a task. Files are in order of time.
+FILES = 8
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream. Their times have no zone; watermarks need one, so they are read as UTC."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/events.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -25,7 +29,10 @@ def replay(stream: DataFrame, mode: str = "update", keys: list[str] | None = Non
     spark = stream.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="offerlake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="offerlake-"))
     folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -62,13 +69,22 @@ def progress(status: Column, page: Column, pages: Column) -> Column:
     return out
 
 
-def rate_windows(stream: DataFrame, seconds: int, limit: int) -> DataFrame:
+def _until(state: GroupState, seconds: float) -> None:
+    """The state goes when the watermark passes the time."""
+    state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs()) + 1)
+
+
+def rate_windows(stream: DataFrame, seconds: int, limit: int, late: str = "1 hour") -> DataFrame:
     """(user_id, event_id, nth, allowed): the count in a window that opens with a user's first event and lasts `seconds`;
-    the next event after it opens another. Events of a batch are taken in order of time."""
+    the next event after it opens another. Events of a batch are taken in order of time. State ends with its window, once
+    the watermark (`late` behind the latest event) has passed it."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat([b[["ts", "event_id"]] for b in batches]).sort_values(["ts", "event_id"])
         counts = []
         for now in rows["ts"].map(pd.Timestamp.timestamp):
             if opened is None or now >= opened + seconds:
@@ -76,31 +92,76 @@ def rate_windows(stream: DataFrame, seconds: int, limit: int) -> DataFrame:
             n += 1
             counts.append(n)
         state.update((opened, n))
+        _until(state, opened + seconds)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "nth": counts, "allowed": [c <= limit for c in counts]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, nth long, allowed boolean", "opened double, n long", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.select("user_id", "event_id", "ts").withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, nth long, allowed boolean", "opened double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def budget_alerts(stream: DataFrame, threshold: float, cooldown: int = 3600, per_day: int = 10) -> DataFrame:
-    """(organization_id, event_id, spent): alerts when a day's spending is at the threshold or more, at least `cooldown`
-    seconds apart and at most `per_day` a day."""
+def budget_alerts(stream: DataFrame, threshold: int, cooldown: int = 3600, per_day: int = 10, late: str = "1 hour") -> DataFrame:
+    """(organization_id, day, event_id, spent): alerts when a day's spending, in hundredths, is at the threshold or more, at
+    least `cooldown` seconds apart; with the `per_day`-th the day's alert is switched off. The state is of an organization
+    and day, so a busy organization's days are in different tasks, and it ends when the watermark has passed the day."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, spent, fired, last = state.get if state.exists else ("", 0.0, 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        spent, fired, last = state.get if state.exists else (0, 0, 0.0)
+        rows = pd.concat([b[["ts", "event_id", "cents"]] for b in batches]).sort_values(["ts", "event_id"])
         out = []
-        for event_id, ts, value in zip(rows["event_id"], rows["ts"], rows["value"], strict=True):
-            if (today := ts.strftime("%Y-%m-%d")) != day:
-                day, spent, fired = today, 0.0, 0
-            spent += abs(value) / 100
-            if spent >= threshold and fired < per_day and ts.timestamp() - last >= cooldown:
-                out.append((key[0], event_id, spent))
-                fired, last = fired + 1, ts.timestamp()
-        state.update((day, spent, fired, last))
-        yield pd.DataFrame(out, columns=["organization_id", "event_id", "spent"])
+        for event_id, now, cents in zip(rows["event_id"], rows["ts"].map(pd.Timestamp.timestamp), rows["cents"], strict=True):
+            spent += int(cents)
+            if spent >= threshold and fired < per_day and (not fired or now - last >= cooldown):
+                out.append((*key, event_id, spent))
+                fired, last = fired + 1, now
+        state.update((spent, fired, last))
+        _until(state, pd.Timestamp(key[1], tz="UTC").timestamp() + 86_400)
+        yield pd.DataFrame(out, columns=["organization_id", "day", "event_id", "spent"])
+
+    cents = F.round(F.abs("value") * 100).cast("long")
+    keyed = stream.select("ts", "event_id", (F.col("user_id") % 10).alias("organization_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), cents.alias("cents")).withWatermark("ts", late)
+    return keyed.groupBy("organization_id", "day").applyInPandasWithState(run, "organization_id long, day string, event_id long, spent long", "spent long, fired long, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_latest(latest_rows: DataFrame, seconds: int, as_of: Column) -> DataFrame:
+    """The latest rows that are not older than their lifetime."""
+    return latest_rows.where(F.col("ts") >= as_of - F.make_interval(secs=F.lit(seconds)))
+
+
+def disabled_hooks(deliveries: DataFrame, most: int) -> DataFrame:
+    """(hook, at): hooks with `most` failures one after the other, and the delivery that switched them off; a success starts
+    the count anew."""
+    order = Window.partitionBy("hook").orderBy("created_at", "id")
+    runs = deliveries.withColumn("run", F.sum(F.when(F.col("status") == "success", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    nth = F.row_number().over(Window.partitionBy("hook", "run").orderBy("created_at", "id"))
+    failed = runs.where(F.col("status") != "success").withColumn("nth", nth).where(F.col("nth") == most)
+    return failed.groupBy("hook").agg(F.min_by("id", F.struct("created_at", "id")).alias("at"))
+
+
+def provider_counters(audit: DataFrame, as_of: str) -> DataFrame:
+    """By provider what was spent in the month and day, and requested in the hour, that hold as_of: what counters with lazy
+    resets would show then."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    inside = lambda unit: F.date_trunc(unit, "created_at") == F.date_trunc(unit, now)
+    past = audit.where((F.col("created_at") <= now) & inside("month"))
+    return past.groupBy("provider_id").agg(F.sum("cost").alias("month_spent"), F.coalesce(F.sum(F.when(inside("day"), F.col("cost"))), F.lit(0)).cast("decimal(28,4)").alias("day_spent"), F.count_if(inside("hour")).alias("hour_requests"))
+
+
+def budget_states(providers: DataFrame, counters: DataFrame) -> DataFrame:
+    """Providers with their counters and whether each limit still holds; a null budget is no limit, and no events are 0."""
+    both = providers.join(counters, "provider_id", "left").fillna(0, ["month_spent", "day_spent", "hour_requests"])
+    under = lambda spent, budget: F.coalesce(F.col(spent) < F.col(budget), F.lit(True))
+    return both.withColumns({"month_ok": under("month_spent", "monthly_budget"), "day_ok": under("day_spent", "daily_budget"), "hour_ok": F.col("hour_requests") < F.col("max_requests_per_hour")}).withColumn("ok", F.expr("month_ok and day_ok and hour_ok"))
+
 
-    keyed = stream.withColumn("organization_id", F.col("user_id") % 10)
-    return keyed.groupBy("organization_id").applyInPandasWithState(run, "organization_id long, event_id long, spent double", "day string, spent double, fired long, last double", "append", GroupStateTimeout.NoTimeout)
+def cost_spikes(audit: DataFrame) -> DataFrame:
+    """Days that cost over twice the mean day's, high over three times; none before there are three days."""
+    by = audit.groupBy("usage_date").agg(F.sum("cost").alias("cost"))
+    whole = by.agg((F.sum("cost").cast("double") / F.count("*").cast("double")).alias("mean"), F.count("*").alias("days"))  # one row
+    found = by.join(F.broadcast(whole)).where((F.col("days") >= 3) & (F.col("cost").cast("double") > 2 * F.col("mean")))
+    return found.select("usage_date", "cost", F.when(F.col("cost").cast("double") > 3 * F.col("mean"), "high").otherwise("medium").alias("severity"))
 
 
 def within_quota(audit: DataFrame, limit: int, *by: str) -> DataFrame:
@@ -110,9 +171,10 @@ def within_quota(audit: DataFrame, limit: int, *by: str) -> DataFrame:
 
 
 def error_hours(audit: DataFrame, least: int, share: float) -> DataFrame:
-    """Hours with more than `least` events of which more than `share` are errors."""
+    """Hours with more than `least` events of which more than `share` are errors, high where more than half are."""
     by = audit.groupBy("usage_date", "usage_hour").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"))
-    return by.where((F.col("n") > least) & (F.col("errors") > share * F.col("n")))
+    found = by.where((F.col("n") > least) & (F.col("errors") > share * F.col("n")))
+    return found.withColumn("severity", F.when(F.col("errors") > 0.5 * F.col("n"), "high").otherwise("medium"))
 
 
 def retry_delays(attempts: Column, base: int) -> Column:

@@ -58,7 +58,7 @@ def test_growth_branches(spark):
 
 def test_validation(spark):
     made = frame(spark, {}, {"id": "b", "product_name": "test", "regular_price": 5.0, "discounted_price": 8.0}, {"id": "c", "product_name": None, "regular_price": None, "discounted_price": None, "brand": None, "confidence": 0.4})
-    a, b, c = rules.validated(made).orderBy("id").collect()
+    a, b, c = rules.validated(made, lists=True).orderBy("id").collect()
     assert a.is_valid and a.auto_approve and a.priority == 0
     assert set(b.errors) == {"discount", "product_name"}
     assert c.errors == ["product_name"] and set(c.warnings) == {"no_price", "confidence"} and c.priority == 20 + 10 + 30 + 10 + 5
@@ -116,7 +116,7 @@ def test_periods():
 
 
 def test_greedy_boxes_and_similar_texts(spark):
-    made = frame(spark, {"id": "a"}, {"id": "b", "bbox_x": 10, "confidence": 0.99}, {"id": "c", "bbox_x": 400})
+    made = frame(spark, {"id": "a"}, {"id": "b", "bbox_x": 10, "confidence": 0.99}, {"id": "c", "bbox_x": 400}).withColumn("source", F.expr("case id when 'b' then 0 else 1 end"))
     assert {r.id for r in geometry.greedy_distinct(made, 0.5).collect()} == {"b", "c"}
     pairs = spark.createDataFrame([("abcd", "bcde"), (None, "")], "a string, b string")
     assert [r.similarity for r in geometry.similar_texts(pairs, "a", "b").collect()] == [0.75, 1.0]
@@ -128,3 +128,64 @@ def test_csv_quotes(spark, tmp_path):
     (line,) = [x for f in (tmp_path / "c").glob("part-*") for x in f.read_text().splitlines()[1:]]
     assert line == '"say ""x"", y",plain'
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first() == rows.first()
+
+
+OFFER = "id string, leaflet_id long, page_number long, product_name string, brand string, product_code string, category string, currency string, units string, regular_price double, discounted_price double, discount_percentage double, quantity long, confidence double, category_confidence double, bbox_x long, bbox_y long, bbox_width long, bbox_height long, flags string"
+
+
+def offer(id_, page, y, height, name="milk", flags="", **other):
+    row = {"brand": "B", "product_code": None, "category": "c", "currency": "EUR", "units": "kg", "regular_price": 2.0, "discounted_price": None, "discount_percentage": None, "quantity": 1, "confidence": 0.8, "category_confidence": None, "x": 10, "width": 100} | other
+    return (id_, 1, page, name, *(row[k] for k in ("brand", "product_code", "category", "currency", "units", "regular_price", "discounted_price", "discount_percentage", "quantity", "confidence", "category_confidence", "x")), y, row["width"], height, flags)
+
+
+def test_splits_merge_and_reconcile(spark):
+    rows = [
+        offer("a", 1, 800, 101, flags="continues_on_next_page", regular_price=0.0, confidence=0.6),  # ends below 900
+        offer("edge", 1, 800, 100, flags="continues_on_next_page"),  # ends at 900, which is not in the lowest tenth
+        offer("b", 3, 99, 50, "fresh milk", "continued_from_previous,price_unclear", x=20, width=200, discounted_price=1.5),  # page 2 is missing
+        offer("top", 3, 100, 50, "cheese", flags="continued_from_previous"),
+        offer("none", 3, None, None, x=None, width=None, flags="continued_from_previous"),
+    ]
+    offers = spark.createDataFrame(rows, OFFER)
+    pairs = reconcile.split_candidates(offers, 1000).collect()
+    assert [(r.first_id, r.second_id, r.points) for r in pairs] == [("a", "b", 100)]
+    one = reconcile.merged(offers, spark.createDataFrame([("a", "b")], "first_id string, second_id string")).first()
+    assert (one.id, one.product_name, one.regular_price, one.discounted_price, one.flags) == ("a+b", "milk fresh milk", 2.0, 1.5, "merged_from_split,price_unclear")
+    assert (one.bbox_x, one.bbox_y, one.bbox_width, one.bbox_height) == (10, 800, 210, 151) and abs(one.confidence - 0.7) < 1e-9
+    kept = {r.id for r in reconcile.reconciled(offers, 1000).collect()}
+    assert kept == {"a+b", "edge", "top", "none"}
+
+
+def test_weak_category_is_a_flag(spark):
+    rows = [offer("w", 1, 0, 100, category_confidence=0.7, confidence=0.95, discounted_price=1.5, product_code="SKU1"), offer("s", 1, 0, 100, category_confidence=0.9, confidence=0.95, discounted_price=1.9, product_code="SKU1")]
+    weak, strong = (rules.validated(spark.createDataFrame([r], OFFER), lists=True).first() for r in rows)
+    assert weak.warnings == ["category", "CATEGORY_LOW_CONFIDENCE"] and weak.priority == 2 * 5 + 5 + 10 and not weak.auto_approve
+    assert strong.warnings == [] and strong.priority == 0 and strong.auto_approve
+
+
+def test_provider_pick_and_stored_files(spark, tmp_path):
+    from offerlake.operators import sorting
+    from offerlake.sources import files
+
+    rows = [(1, 1, False, 5.0, 5.0), (2, 2, False, 1.0, None), (3, 2, True, 1.0, 2.0)]
+    made = spark.createDataFrame(rows, "id int, priority int, is_default boolean, month_spent double, monthly_budget double")
+    made = made.selectExpr("*", "true as is_active", "0.0 as day_spent", "cast(null as double) as daily_budget", "1 as hour_requests", "10 as max_requests_per_hour", "current_date() as created_at")
+    assert sorting.within_budget(made).first().id == 3  # the first has spent its budget, the default comes before the other
+    for name in ("a1.csv", "a2.csv", "b.csv"):
+        (tmp_path / name).write_text("x")
+    assert files.listed(spark, str(tmp_path), "a").count() == 2
+    assert files.remove_older(spark, str(tmp_path), "2000-01-01", 1) == 0
+    assert files.remove(spark, [str(tmp_path / "b.csv"), str(tmp_path / "b.csv")]) == 1
+    assert files.remove_older(spark, str(tmp_path), "2100-01-01", 1) == 2 and not list(tmp_path.glob("*.csv"))
+
+
+def test_rate_windows_end_with_their_state(spark, tmp_path):
+    """Windows over several batches: state that the watermark ended opens a new window, as a plain loop has it."""
+    from offerlake.streaming import usage
+
+    times = [(u, e, f"2024-01-0{1 + e // 8} {e % 8 * 3:02d}:00:00") for u in range(3) for e in range(24)]
+    whole = spark.createDataFrame([(u, u * 100 + e, t) for u, e, t in times], "user_id long, event_id long, t string").selectExpr("user_id", "event_id", "cast(t as timestamp_ntz) ts")
+    for day in range(3):
+        whole.where(f"event_id % 100 div 8 = {day}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.nth for r in usage.replay(usage.rate_windows(usage.events(spark, str(tmp_path)), 5 * 3600, 2), "append").collect()}
+    assert len(got) == 72 and all(got[u * 100 + e] == 1 + e % 2 for u, e, _ in times)

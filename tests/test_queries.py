@@ -9,7 +9,7 @@ import pytest
 from offerlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -31,9 +31,7 @@ def test_query(spark, duck, name):
     run, sql = catalog.QUERIES[name]
     got = run(spark, SF)
     rows = [tuple(plain(r[c]) for c in sorted(got.columns)) for r in got.collect()]
-    if not sql:
-        assert len(rows) >= 0
-        return
+    assert sql, "a query without SQL needs a brute-force test of its own"
     cursor = duck.execute(sql)
     names = [c[0] for c in cursor.description]
     expected = [tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in cursor.fetchall()]
