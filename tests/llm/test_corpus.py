@@ -53,59 +53,88 @@ def test_op9_query(spark, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+SMALL = dict(frequent_words=20, endings=4, per_class=5, size=8, rounds=2)
+
+
 def test_language_model_odd_rows(odd, empty):
-    model = language_model.train(odd, frequent_words=20, steps=5)
+    model = language_model.train(odd, **SMALL)
     rows = model.score(odd).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 5)} == {1}
+    assert len({r.score for r in rows if r.doc_id == 3}) == 1  # repeated rows, equal texts
     assert model.score(empty).count() == 0
-    none = language_model.train(empty, steps=5)
+    none = language_model.train(empty, **SMALL)
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in none.score(odd).collect())
 
 
 def test_probabilities_add_up(odd):
-    """All words of the vocabulary and an unknown one, after an empty context."""
-    model = language_model.train(odd, frequent_words=20, steps=5)
-    words = [bytes(r.word).decode() for r in model.counts.select("word").collect()]
-    spark = odd.sparkSession
-    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words) if w.strip()], "doc_id long, text string")
-    network, classes = model.network, model.classes
-    h = np.zeros((1, network.size), np.float32)
-    start = network.step(np.array([network.classes]), h)[0]
-    shares = np.exp(network.log_probabilities(np.repeat(start, network.classes, 0), np.arange(network.classes)))
-    assert abs(shares.sum() - 1) < 1e-4
-    inside = collections.Counter()
-    for r in model.counts.collect():
-        c = int(classes.classes(classes.codes([bytes(r.word)]))[0])
-        inside[c] += (r.n + 0.1) / model.mass[c]
-    assert all(x <= 1 + 1e-9 for x in inside.values()) and docs.count() > 0
+    """All words of the vocabulary, and an unknown one for each ending, after an empty and a longer context."""
+    model = language_model.train(odd, **SMALL)
+    slots, network = model.slots, model.network
+    rows = model.counts.collect()
+    assert len(slots.numbers) < len(rows)  # some words share an ending's slot
+    for context in ([], [b"the", b"same"]):
+        h = np.zeros((1, network.size), np.float32)
+        for before in [-1, *slots.slot[slots.codes(context)]]:
+            h = network.step(network.inputs(np.array([before])), h)[0]
+        share = lambda number: math.exp(network.log_probabilities(h, slots.slot[[number]])[0])
+        total = 0.0
+        for r in rows:
+            number = int(slots.codes([bytes(r.word)])[0])
+            rest = 1.0 if number < len(slots.numbers) else (r.n + 0.1) / model.mass[number - len(slots.numbers)]
+            total += share(number) * rest
+        total += sum(share(len(slots.numbers) + e) * 0.1 / model.mass[e] for e in range(slots.endings))
+        assert abs(total - 1) < 1e-4
+
+
+def test_classes_depend_on_company(spark):
+    """The network beats the counts where the words before tell the next one."""
+    docs = spark.createDataFrame([(i, " ".join(f"a{j} b{j}" for j in np.random.default_rng(i).integers(0, 30, 60))) for i in range(400)], "doc_id long, text string")
+    model = language_model.train(docs, frequent_words=70, endings=4, per_class=9, size=16, rate=0.03, every=1)
+    r = model.score(docs.where("doc_id = 7")).first()
+    assert r.score > 0.75 * r.base_score  # a third of what is there to learn, at the least
 
 
 def test_network_carries_its_state():
     rng = np.random.default_rng(1)
-    network = gru.Gru(6)
-    sequences = [rng.integers(0, 6, n) for n in (1, 70, 3, 33)]
-    together = network.score(sequences, window=16)
+    network = gru.Gru(3, 4, 8)
+    sequences = [rng.integers(0, 12, n) for n in (1, 70, 3, 33)]
+    together = network.score(sequences)
     for s, got in zip(sequences, together, strict=True):
-        h, before, total = np.zeros((1, network.size), np.float32), 6, 0.0
+        h, before, total = np.zeros((1, network.size), np.float32), -1, 0.0
         for x in s:
-            h = network.step(np.array([before]), h)[0]
+            h = network.step(network.inputs(np.array([before])), h)[0]
             total += float(network.log_probabilities(h, np.array([x]))[0])
             before = x
         assert abs(total - got) < 1e-3
-    learned = [np.tile([0, 1, 2, 3], 50) for _ in range(20)]
-    network.train(learned, lanes=8, steps=150)
-    assert network.score(learned)[0] > 0.5 * len(learned[0]) * math.log(1 / 4)
+    learned = [np.tile([0, 5, 10, 3], 50) for _ in range(20)]
+    network.train(learned, 0.03, lanes=8, every=1)
+    assert network.score(learned)[0] > 0.5 * len(learned[0]) * math.log(1 / 12)
 
 
-def test_gradients():
-    """Backpropagation against differences: a step of training lowers the loss on what it saw."""
+def test_gradients_equal_differences():
     rng = np.random.default_rng(2)
-    data = [rng.integers(0, 5, 64) for _ in range(4)]
-    one, more = gru.Gru(5), gru.Gru(5)
-    one.train(data, lanes=4, window=64, steps=1)
-    more.train(data, lanes=4, window=64, steps=60)
-    assert more.score(data).sum() > one.score(data).sum()
+    network = gru.Gru(3, 4, 5, kind=np.float64)
+    slots = rng.integers(0, 12, (2, 6))
+    before = np.concatenate([np.full((2, 1), -1), slots[:, :-1]], axis=1)
+    begins = before < 0
+    before[1, 3], begins[1, 3] = -1, True
+
+    def loss():
+        g = {k: np.zeros_like(x) for k, x in network.p.items()}
+        return network._gradients(network.window(slots, before, begins, np.zeros((2, 5)))[1], g), g
+
+    _, g = loss()
+    for k, values in network.p.items():
+        x = values.ravel()
+        for i in rng.choice(len(x), min(10, len(x)), replace=False):
+            kept = x[i]
+            x[i] = kept + 1e-5
+            high = loss()[0]
+            x[i] = kept - 1e-5
+            low = loss()[0]
+            x[i] = kept
+            assert abs((high - low) / 2e-5 - g[k].ravel()[i]) < 1e-8, k
 
 
 def test_pipeline_stages(spark, documents):
