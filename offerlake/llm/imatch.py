@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
-from .words import ODD, hashes, mixed
+from .common import freed, slices, stored, texts
+from .words import HASHES, ODD, hashes, mixed
 
-#: Terms are counted by the first bits of their hash, so that the lexicon's size does not grow with the corpus.
-#: Other terms in a term's cell add about (distinct terms a text) / 2^20 of all texts to its count, at every corpus size.
+#: Terms are first counted by the first bits of their hash. A cell's count is no less than any of its terms', so those of
+#: cells below the band need no count of their own.
 CELL_BITS = 20
+#: Terms that a task counts before it sends them on.
+TERMS = 1 << 20
 #: (how many random subsets, one in how many terms each keeps): small texts show in the dense, long in the sparse ones.
 SUBSETS = ((8, 16), (16, 64), (24, 256))
 _EACH = [one_in for n, one_in in SUBSETS for _ in range(n)]
@@ -26,18 +28,15 @@ VOID = "------"
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _cells(text: str) -> np.ndarray:
-    return np.unique(hashes(text) >> np.uint64(64 - CELL_BITS))
-
-
-def document_counts(docs: DataFrame) -> DataFrame:
+def _cell_counts(docs: DataFrame) -> DataFrame:
     """(cell, n): in how many texts a term of the cell occurs. Each task sends one row a cell at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in slices(batches, limit=8 << 20):
-            for text in batch.column("text").to_pylist():
-                counts[_cells(text)] += 1
+        with freed(HASHES):
+            for batch in slices(batches, limit=8 << 20):
+                for text in batch.column("text"):
+                    counts[np.unique(hashes(text.as_py()) >> np.uint64(64 - CELL_BITS))] += 1
         found = np.flatnonzero(counts)
         for part in np.array_split(found, len(found) // 50_000 + 1):
             yield pa.record_batch([pa.array(part, pa.int32()), pa.array(counts[part], pa.int32())], ["cell", "n"])
@@ -45,17 +44,49 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def _term_counts(docs: DataFrame, cells) -> DataFrame:
+    """(term, n): in how many texts each term of the given cells (a broadcast array of bits) occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n_held = 0
+
+        def sent() -> pa.RecordBatch:
+            terms, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.record_batch([pa.array(terms.view(np.int64)), pa.array(n, pa.int64())], ["term", "n"])
+
+        with freed(HASHES):
+            for batch in slices(batches, limit=8 << 20):
+                for text in batch.column("text"):
+                    found = np.unique(hashes(text.as_py()))
+                    held.append(found[cells.value[found >> np.uint64(64 - CELL_BITS)]])
+                    n_held += len(held[-1])
+                    if n_held >= TERMS:
+                        yield sent()
+                        held, n_held = [], 0
+            yield sent()
+
+    return texts(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 class Lexicon:
-    """The cells whose share of texts lies in the band: 2^20 bits, whatever the corpus."""
+    """The terms whose share of texts lies in the band: their hashes, sorted."""
+
+    def __init__(self, inside: np.ndarray):
+        self.inside = np.sort(inside)
+        self.cells = np.zeros(1 << CELL_BITS, bool)
+        self.cells[self.inside >> np.uint64(64 - CELL_BITS)] = True
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __reduce__(self):
+        return Lexicon, (self.inside,)
 
     def terms(self, text: str) -> np.ndarray:
         """Distinct terms of the lexicon, sorted; all distinct terms of a text that has none of the lexicon."""
         found = np.unique(hashes(text))
-        inside = self.bits[found >> np.uint64(64 - CELL_BITS)]
-        return found[inside] if inside.any() else found
+        some = found[self.cells[found >> np.uint64(64 - CELL_BITS)]]
+        if len(some):
+            some = some[self.inside[np.minimum(np.searchsorted(self.inside, some), len(self.inside) - 1)] == some]
+        return some if len(some) else found
 
     def fingerprint(self, text: str) -> str:
         """Six digits for each subset that has terms of the text. A text whose terms are in no subset has the digest of
@@ -72,17 +103,18 @@ class Lexicon:
 
 def lexicon(docs: DataFrame, most: float = 0.1, least: float = 0.0005) -> Lexicon:
     """Terms that occur in at most the share `most` of all texts and in at least the share `least`: a band of inverse
-    document frequencies from ln(1/most) to ln(1/least). All texts are counted."""
-    counts = document_counts(docs)
+    document frequencies from ln(1/most) to ln(1/least). All texts are counted, each term by itself (its 64-bit hash). There
+    are at most (mean distinct terms of a text) / least such terms, 4 MB at 250 distinct terms, whatever the corpus."""
     total = docs.count()
-    inside = counts.where(F.col("n").between(least * total, most * total))
+    least_n, most_n = least * total, most * total
     place = F.col("cell") + 1  # these functions count from 1
-    maps = inside.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(1 << CELL_BITS, bool)
+    maps = _cell_counts(docs).where(F.col("n") >= least_n).groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    cells = np.zeros(1 << CELL_BITS, bool)
     for number, packed in maps.collect():  # at most 33 rows of 4 kB
         own = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little"))
-        bits[own + (number - 1) * 32768] = True
-    return Lexicon(bits)
+        cells[own + (number - 1) * 32768] = True
+    counts = _term_counts(docs, docs.sparkSession.sparkContext.broadcast(cells)).where(F.col("n").between(least_n, most_n))
+    return Lexicon(counts.select("term").toArrow().column("term").to_numpy().view(np.uint64))
 
 
 def likeness(a: str, b: str) -> float:

@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from offerlake.llm import imatch, near_duplicates, queries, suffix_dedup
 from offerlake.llm.components import components
+from offerlake.llm.words import ODD
 
 from .conftest import SF
 
@@ -183,31 +185,68 @@ def test_remove_repeats_odd_rows(odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+U64 = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 & U64
+    return x ^ x >> 29
+
+
+def fingerprint_by_hand(words, lexicon_words):
+    """The digests from sets of words and plain integers."""
+    terms = sorted(xxhash.xxh3_64_intdigest(w) for w in (words & lexicon_words or words))
+    packed = lambda kept: b"".join(t.to_bytes(8, "little") for t in kept)
+    out, some = "", False
+    for k, one_in in enumerate([16] * 8 + [64] * 16 + [256] * 24):
+        salt = int(ODD[k])
+        kept = [t for t in terms if mix(mix(t ^ salt) * salt & U64) < (1 << 64) // one_in]
+        some |= bool(kept)
+        out += xxhash.xxh3_64_hexdigest(packed(kept))[:6] if kept else "------"
+    return out if some else "=" + xxhash.xxh3_128_hexdigest(packed(terms))
+
+
+def like_by_hand(a, b):
+    if "=" in (a[0], b[0]):
+        return float(a == b)
+    pairs = [p for p in ((a[i : i + 6], b[i : i + 6]) for i in range(0, 288, 6)) if p != ("------", "------")]
+    return sum(x == y for x, y in pairs) / len(pairs)
+
+
 def test_op4_query(spark, documents):
+    """The whole result against sets of words: document frequencies, the band, subsets, edits and likeness."""
     rows = {r.doc_id: r for r in queries.op4_imatch(spark, SF).collect()}
     texts = {r.doc_id: r.text for r in documents.collect()}
+    words = lambda t: set(re.findall(r"\w+", t.lower()))
+    counts = collections.Counter(w for t in texts.values() for w in words(t))
+    band = {w for w, n in counts.items() if 0.0005 * len(texts) <= n <= 0.1 * len(texts)}
     ids = sorted(texts)
-    own = imatch.lexicon(documents)
     for i, after in zip(ids, ids[1:] + ids[:1], strict=True):
         text, next_ = texts[i], texts[after]
         half = len(text) // 2
         changed = text[: len(text) - half] + next_[:half]
+        own, edited, other = (fingerprint_by_hand(words(t), band) for t in (text, changed, next_))
         r = rows[i]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (own.fingerprint(text), own.fingerprint(changed))
-        assert (r.near_edited, r.near_next) == (imatch.likeness(r.fingerprint, r.edited_fingerprint), imatch.likeness(r.fingerprint, own.fingerprint(next_)))
+        assert (r.fingerprint, r.edited_fingerprint) == (own, edited)
+        assert (r.near_edited, r.near_next) == (like_by_hand(own, edited), like_by_hand(own, other))
     assert sum(r.near_edited for r in rows.values()) > 3 * sum(r.near_next for r in rows.values())
 
 
-def test_lexicon_band(spark):
-    docs = spark.createDataFrame([(i, f"common {'middling' if i % 20 == 0 else ''} rare{i}") for i in range(400)], "doc_id long, text string")
-    own = imatch.lexicon(docs, most=0.1, least=0.01)
-    assert len(own.terms("common middling rare1")) == 1 and len(own.terms("common")) == 1  # the second for want of others
+def test_lexicon_counts_terms_exactly(spark, monkeypatch):
+    """Bands of document frequency, also where all terms share one cell and tasks send what they have often."""
+    docs = spark.createDataFrame([(i, f"common {'middling' if i % 20 == 0 else ''} {'few' if i < 3 else ''} rare{i}") for i in range(400)], "doc_id long, text string")
+    for bits, terms in ((20, 1 << 20), (1, 7)):
+        monkeypatch.setattr(imatch, "CELL_BITS", bits)
+        monkeypatch.setattr(imatch, "TERMS", terms)
+        own = imatch.lexicon(docs, most=0.1, least=0.01)
+        assert own.inside.tolist() == [xxhash.xxh3_64_intdigest("middling")]
+        assert len(own.terms("common middling rare1")) == 1 and len(own.terms("common")) == 1  # the second for want of others
 
 
 def test_short_texts_are_not_alike():
-    own = imatch.Lexicon(np.ones(1 << imatch.CELL_BITS, bool))
     words = [f"word{i}" for i in range(300)]
+    own = imatch.Lexicon(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
     prints = [own.fingerprint(w) for w in words]
     assert len(set(prints)) == len(words) and len(imatch._EACH) == 48
     assert all(imatch.likeness(a, b) == 0.0 for a, b in zip(prints, prints[1:], strict=False))
