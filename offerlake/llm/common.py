@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,17 @@ def freed(*caches: dict) -> Iterator[None]:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def one_core() -> None:
+    """Matrix products keep to the one core that a task has: threads beyond it only wait for one another, at full load."""
+    with suppress(OSError):
+        with open("/proc/self/maps") as f:
+            paths = set(re.findall(r"/\S*openblas\S*\.so\S*", f.read()))
+        for path in paths:
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if call := getattr(ctypes.CDLL(path), name, None):
+                    call(1)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text at most (single rows may be longer)."""
     for batch in batches:
