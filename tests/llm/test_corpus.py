@@ -53,7 +53,7 @@ def test_op9_query(spark, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-SMALL = dict(frequent_words=20, endings=4, per_class=5, size=8, rounds=2)
+SMALL = dict(known_words=20, frequent_words=9, endings=4, per_class=5, size=8, rounds=2)
 
 
 def test_language_model_odd_rows(odd, empty):
@@ -73,17 +73,18 @@ def test_probabilities_add_up(odd):
     slots, network = model.slots, model.network
     rows = model.counts.collect()
     assert len(slots.numbers) < len(rows)  # some words share an ending's slot
+    assert slots.own < len(slots.numbers)
     for context in ([], [b"the", b"same"]):
         h = np.zeros((1, network.size), np.float32)
-        for before in [-1, *slots.slot[slots.codes(context)]]:
+        for before in [-1, *slots.slot[slots.kind[slots.codes(context)]]]:
             h = network.step(network.inputs(np.array([before])), h)[0]
         share = lambda number: math.exp(network.log_probabilities(h, slots.slot[[number]])[0])
         total = 0.0
         for r in rows:
-            number = int(slots.codes([bytes(r.word)])[0])
-            rest = 1.0 if number < len(slots.numbers) else (r.n + 0.1) / model.mass[number - len(slots.numbers)]
-            total += share(number) * rest
-        total += sum(share(len(slots.numbers) + e) * 0.1 / model.mass[e] for e in range(slots.endings))
+            kind = int(slots.kind[slots.codes([bytes(r.word)])[0]])
+            rest = 1.0 if kind < slots.own else (r.n + 0.1) / model.mass[kind - slots.own]
+            total += share(kind) * rest
+        total += sum(share(slots.own + e) * 0.1 / model.mass[e] for e in range(slots.endings))
         assert abs(total - 1) < 1e-4
 
 
@@ -162,3 +163,19 @@ def test_pipeline_odd_rows(spark, odd, empty):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "ids", "n_tokens"] and 0 < out.count() < 200
+
+
+def test_score_is_the_sum_over_words(odd):
+    """Scores by word, with the shares of endings joined or known, equal what the query's way gives."""
+    model = language_model.train(odd, **SMALL)
+    slots, counts = model.slots, {bytes(r.word): r.n for r in model.counts.collect()}
+    text = "the same text of some unseen words, x the a"
+    h, before, total = np.zeros((1, model.network.size), np.float32), -1, 0.0
+    for word in language_model.words(text):
+        kind = int(slots.kind[slots.codes([word])[0]])
+        h = model.network.step(model.network.inputs(np.array([before])), h)[0]
+        before = int(slots.slot[kind])
+        total += float(model.network.log_probabilities(h, np.array([before]))[0]) / math.log(10)
+        total += 0 if kind < slots.own else math.log10((counts.get(word, 0) + 0.1) / model.mass[kind - slots.own])
+    got = model.score(odd.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert abs(got.score - total) < 1e-3
