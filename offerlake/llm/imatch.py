@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import freed, slices, stored, texts
-from .words import HASHES, ODD, hashes, mixed
+from .words import HASHES, ODD, WORD, mixed
 
 #: Terms are first counted by the first bits of their hash. A cell's count is no less than any of its terms', so those of
 #: cells below the band need no count of their own.
@@ -28,6 +28,12 @@ VOID = "------"
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _distinct(text: str | None) -> np.ndarray:
+    """The hashes of a text's distinct terms, in no order; each word is looked up once."""
+    found = set(WORD.findall((text or "").lower()))
+    return np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
+
+
 def _cell_counts(docs: DataFrame) -> DataFrame:
     """(cell, n): in how many texts a term of the cell occurs. Each task sends one row a cell at most."""
 
@@ -36,7 +42,7 @@ def _cell_counts(docs: DataFrame) -> DataFrame:
         with freed(HASHES):
             for batch in slices(batches, limit=8 << 20):
                 for text in batch.column("text"):
-                    counts[np.unique(hashes(text.as_py()) >> np.uint64(64 - CELL_BITS))] += 1
+                    counts[np.unique(_distinct(text.as_py()) >> np.uint64(64 - CELL_BITS))] += 1
         found = np.flatnonzero(counts)
         for part in np.array_split(found, len(found) // 50_000 + 1):
             yield pa.record_batch([pa.array(part, pa.int32()), pa.array(counts[part], pa.int32())], ["cell", "n"])
@@ -58,7 +64,7 @@ def _term_counts(docs: DataFrame, cells) -> DataFrame:
         with freed(HASHES):
             for batch in slices(batches, limit=8 << 20):
                 for text in batch.column("text"):
-                    found = np.unique(hashes(text.as_py()))
+                    found = _distinct(text.as_py())
                     held.append(found[cells.value[found >> np.uint64(64 - CELL_BITS)]])
                     n_held += len(held[-1])
                     if n_held >= TERMS:
@@ -82,7 +88,7 @@ class Lexicon:
 
     def terms(self, text: str) -> np.ndarray:
         """Distinct terms of the lexicon, sorted; all distinct terms of a text that has none of the lexicon."""
-        found = np.unique(hashes(text))
+        found = np.sort(_distinct(text))
         some = found[self.cells[found >> np.uint64(64 - CELL_BITS)]]
         if len(some):
             some = some[self.inside[np.minimum(np.searchsorted(self.inside, some), len(self.inside) - 1)] == some]
