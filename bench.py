@@ -1,4 +1,4 @@
-"""Runs the headline queries and prints one JSON line: seconds for each (median of three after a warm-up)."""
+"""Runs the headline queries and prints one JSON line: seconds for each (median of two after a warm-up)."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ def main() -> None:
     seconds = {}
     for name in HEADLINE:
         run, took = catalog.QUERIES[name][0], []
-        for _ in range(4):
+        for _ in range(3):
             began = time.time()
             run(spark, folder).write.format("noop").mode("overwrite").save()
             took.append(time.time() - began)
