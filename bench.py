@@ -25,7 +25,8 @@ def main() -> None:
     folder, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate()  # larger methods are never compiled by the JVM
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

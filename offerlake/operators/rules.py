@@ -21,11 +21,15 @@ CRITICAL_FLAGS = ("price_unclear", "prices_swapped", "multiple_prices", "product
 BOUNDS = tuple(f"bbox_{x}" for x in ("x", "y", "width", "height"))
 
 
+def _bounds(k: int) -> Column:
+    """Least (0) or largest (1) price by currency: a literal map, as a branch for each currency makes the compiled method
+    too large for the JVM's own compiler."""
+    return F.create_map(*[F.lit(x) for code, bounds in PRICE_RANGES.items() for x in (code, float(bounds[k]))])
+
+
 def price_error(price: Column, currency: Column) -> Column:
-    low, high = F.lit(float(OTHER_RANGE[0])), F.lit(float(OTHER_RANGE[1]))
-    for code, (a, b) in PRICE_RANGES.items():
-        low, high = F.when(currency == code, float(a)).otherwise(low), F.when(currency == code, float(b)).otherwise(high)
-    return F.coalesce((price < 0) | (price < low) | (price > high), F.lit(False))
+    low, high = (F.coalesce(F.try_element_at(_bounds(k), currency), F.lit(float(OTHER_RANGE[k]))) for k in (0, 1))
+    return F.coalesce(~price.between(low, high), F.lit(False))
 
 
 def discount_state(regular: Column, discounted: Column, stated: Column) -> Column:
@@ -79,12 +83,16 @@ def validated(products: DataFrame, currency: str = "EUR", page: tuple[int, int]
         ("regular_price", price_error(regular, money)), ("discounted_price", price_error(reduced, money)), ("discount", state == "error"), ("quantity", (quantity <= 0) | (quantity > 10000)),
         ("bounding_box", box_error(*map(F.lit, page)) if set(BOUNDS) <= have else F.lit(False)), ("product_name", name_error(F.col("product_name"))),
     )
+    known = [flag for flag in CRITICAL_FLAGS if flag_column or flag == CRITICAL_FLAGS[-1]]
     warnings = (
         ("discount", state == "warning"), ("product_code", code_warning(col("product_code", "string"))), ("no_price", regular.isNull() & reduced.isNull()), ("confidence", confidence < 0.5),
-        ("field_confidence", weak_fields), ("category", weak), *((flag, F.array_contains("_flags", flag)) for flag in CRITICAL_FLAGS if flag_column or flag == CRITICAL_FLAGS[-1]),
+        ("field_confidence", weak_fields), ("category", weak),
     )
+    n_warnings = _count(*warnings) + F.size(F.array_intersect("_flags", F.array(*map(F.lit, known))))
+    if lists:
+        warnings += tuple((flag, F.array_contains("_flags", flag)) for flag in known)
     made = products.withColumn("_flags", flags)
-    made = made.select(*[f"`{c}`" for c in products.columns], _count(*errors).alias("n_errors"), _count(*warnings).alias("n_warnings"), F.size("_flags").alias("_n_flags"), *([_list(*errors).alias("errors"), _list(*warnings).alias("warnings")] if lists else []))
+    made = made.select(*[f"`{c}`" for c in products.columns], _count(*errors).alias("n_errors"), n_warnings.alias("n_warnings"), F.size("_flags").alias("_n_flags"), *([_list(*errors).alias("errors"), _list(*warnings).alias("warnings")] if lists else []))
     approve = (F.col("n_errors") == 0) & (F.col("n_warnings") == 0) & (confidence >= 0.9) & F.coalesce(category >= 0.8, F.lit(True))
     brand = F.nullif(F.trim("brand"), F.lit(""))
     points = (
