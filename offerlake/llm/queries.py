@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, imatch, language_model, near_duplicates, sharding, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontamination, imatch, language_model, near_duplicates, oracles, sharding, suffix_dedup, token_counts, toxicity, url_filter
 from .common import shared_dir, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -92,4 +92,4 @@ QUERIES = {
     for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_language_model, op10_decontamination)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL

@@ -17,6 +17,8 @@ UNWANTED_WORDS = (
     "pharma", "pills", "poker", "porn", "prize", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx",
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Parts of the labelled URLs; a row's suffix rate comes from the other parts.
+FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -102,18 +104,23 @@ def train(labelled: DataFrame, sample: int = 20_000, trees: int = 20, depth: int
 
     At most `sample` URLs of each label are used, the first in the order of a hash, so that a rare label is not lost.
     With no rows, or one label only, the model gives the overall rate to all. Suffix rates are drawn towards the
-    overall rate by 20 rows' weight.
+    overall rate by 20 rows' weight; a row that trains the trees has its suffix's rate over the FOLDS - 1 folds that it
+    is not in, as its own label must not reach its features.
     """
     order = [F.xxhash64("url"), "url"]
     rare, rest = (labelled.where(F.col("label") == x).orderBy(*order).limit(sample) for x in (1, 0))
     chosen = stored(rare.unionByName(rest).coalesce(2))
     base, n, kinds = chosen.agg(F.coalesce(F.avg("label"), F.lit(0.0)), F.count("*"), F.count_distinct("label")).first()
-    with_suffix = lexical(chosen)
-    suffixes = stored(with_suffix.groupBy("suffix").agg(((F.sum("label") + 20 * base) / (F.count("*") + 20)).alias("suffix_rate")).coalesce(1))
+    with_suffix = lexical(chosen).withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
+    counts = stored(with_suffix.groupBy("suffix", "fold").agg(F.sum("label").alias("ones"), F.count("*").alias("n")).coalesce(1))
+    totals = counts.groupBy("suffix").agg(F.sum("ones").alias("all_ones"), F.sum("n").alias("all_n"))
+    rate = lambda ones, n: ((ones + 20 * base) / (n + 20)).alias("suffix_rate")
+    suffixes = stored(totals.select("suffix", rate(F.col("all_ones"), F.col("all_n"))).coalesce(1))
     if kinds < 2:
         return UrlModel(None, suffixes, base)
     columns = [*FEATURES, "suffix_rate"]
-    rows = with_suffix.join(F.broadcast(suffixes), "suffix").select(*columns, "label")
+    unseen = counts.join(totals, "suffix").select("suffix", "fold", rate(F.col("all_ones") - F.col("ones"), F.col("all_n") - F.col("n")))
+    rows = with_suffix.join(F.broadcast(unseen), ["suffix", "fold"]).select(*columns, "label")
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
     ready = assembler.transform(rows).select("features", "label").coalesce(2).persist()
     fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(ready)

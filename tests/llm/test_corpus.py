@@ -2,7 +2,9 @@ import collections
 import math
 import zlib
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -179,3 +181,14 @@ def test_score_is_the_sum_over_words(odd):
         total += 0 if kind < slots.own else math.log10((counts.get(word, 0) + 0.1) / model.mass[kind - slots.own])
     got = model.score(odd.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert abs(got.score - total) < 1e-3
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_gives_the_same_rows(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    cursor = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(cursor.fetchall())

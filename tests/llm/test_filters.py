@@ -66,6 +66,27 @@ def test_trees_learn_urls(spark):
     assert url_filter.train(made(7, 30).where("label = 1")).score(made(1, 3)).first().unwanted == 1.0
 
 
+def test_urls_held_out(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, path = url_filter.host_and_path(F.col("url"))
+    urls = url_filter.weak_labels(pages.select("url", host.alias("host"), path.alias("path")))
+    kept = F.pmod(F.crc32("url"), F.lit(4)) != 2
+    rows = url_filter.train(urls.where(kept)).score(urls.where(~kept)).select("label", "unwanted").collect()
+    ones, zeros = ([r.unwanted for r in rows if r.label == x] for x in (1, 0))
+    above = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+    print("held-out area under the curve", above, len(ones), len(zeros))
+    assert above >= 0.9
+
+
+def test_suffix_rates_leave_the_row_out(spark):
+    """Labels that chance gave: a suffix of its own for each URL must not tell them."""
+    rows = [(f"http://a.s{i}.io/{'x' * (i % 5)}", float(i * 7919 % 10 < 3)) for i in range(400)]
+    host, path = url_filter.host_and_path(F.col("url"))
+    urls = spark.createDataFrame(rows, "url string, label double").select("url", host.alias("host"), path.alias("path"), "label")
+    model = url_filter.train(urls, trees=3)
+    assert model.trees.stages[1].featureImportances[len(url_filter.FEATURES)] == 0
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op2_toxicity(spark, "/root/testdata/sf0.01").collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
