@@ -148,3 +148,41 @@ def similar_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:
             yield pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
 
     return pairs.withColumn("similarity", ratio(a, b))
+
+
+def cells_by_ranges(boxes: DataFrame, across: DataFrame, down: DataFrame, *by: str) -> DataFrame:
+    """boxes plus column and row: the place, from 0, of the first range (by, start, stop) that holds the box's centre, its
+    end excluded; 0 where none does. A group has a few ranges, so they travel as one list each."""
+    x, y, w, h = map(F.col, BOX)
+    holds = lambda middle: lambda r: (r["start"] <= middle) & (middle < r["stop"])
+    found = boxes
+    for ranges, name, middle in ((across, "column", x + w / 2), (down, "row", y + h / 2)):
+        listed = ranges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_ranges"))
+        place = F.greatest(F.lit(0), F.array_position(F.transform("_ranges", holds(middle)), True) - 1)
+        found = found.join(listed, list(by), "left").withColumn(name, F.coalesce(place, F.lit(0)).cast("int")).drop("_ranges")
+    return found
+
+
+def best_region(texts: DataFrame, regions: DataFrame, *by: str, least: float = 0.1) -> DataFrame:
+    """texts (id, boxes) plus region: the one of the same group that shares the largest part of the text's box, the smaller
+    number among equals; null if none shares more than `least`."""
+    own = regions.select(*by, "region", F.struct(*BOX).alias("_b"))
+    pairs = texts.select(*by, "id", F.struct(*BOX).alias("_a")).join(own, list(by)).withColumn("part", containment("_a", "_b")).where(F.col("part") > least)
+    best = pairs.groupBy("id").agg(F.max_by("region", F.struct("part", -F.col("region"))).alias("region"))
+    return texts.join(best, "id", "left")
+
+
+def hinted_box(hint: Column, index: Column, total: Column, width: int, height: int, least: int = 100) -> list[Column]:
+    """The box of a cell that words like "top left" or "second row" name, in a grid of three columns and three rows or more;
+    without a hint, the cell of the product's place on the page. Without any word the hint names the first cell."""
+    has = lambda word: F.contains(F.lower(hint), F.lit(word))
+    rows = F.greatest(F.lit(3), F.ceil(total / 3))
+    nth = F.when(has("second"), 1).when(has("third"), 2)
+    column = F.when(~has("row"), nth)
+    column = F.coalesce(column, F.when(has("left"), 0).when(has("center") | has("middle"), 1).when(has("right"), 2), F.lit(0))
+    row = F.coalesce(F.when(has("row"), nth), F.when(has("top"), 0).when(has("bottom"), rows - 1).when(has("middle"), F.floor(rows / 2)), F.lit(0))
+    unnamed = hint.isNull() | (hint == "")
+    column, row = F.when(unnamed, index % 3).otherwise(column), F.when(unnamed, F.floor(index / 3)).otherwise(row)
+    wide, high = F.lit(width // 3), F.floor(F.lit(height) / rows)
+    made = column * wide + 20, row * high + 20, F.greatest(F.lit(least), wide - 40), F.greatest(F.lit(least), high - 40)
+    return [c.cast("long").alias(n) for c, n in zip(made, BOX, strict=True)]

@@ -160,3 +160,41 @@ add("p11_export_modes", "products", lambda x: p.export_scope(x.products, "filter
 for op, value, sql in (("equals", "cold rod", "product_name = 'cold rod'"), ("ends_with", "Bolt", "ends_with(lower(product_name), 'bolt')"), ("less_than", "c", "product_name < 'c'"), ("in", ["cold rod", "red rod"], "product_name IN ('cold rod', 'red rod')")):
     add(f"p12_{op}", "products", lambda x, op=op, value=value: x.products.where(p.client_filters([("product_name", op, value)])).select("id"), f"SELECT id FROM products WHERE {sql}")
 add("p9_live_messages", "audit", lambda x: x.audit.where(p.live("created_at", F.to_timestamp_ntz(F.lit("2024-01-20")), F.col("id") % 3 == 0, F.col("id") % 5 == 0)).select("id"), "SELECT id FROM audit WHERE created_at > TIMESTAMP '2024-01-20' AND id % 3 <> 0 AND id % 5 <> 0")
+
+
+def _ranges(x, place: str, size: str):
+    return g.columns_by_gaps(x.products.select("leaflet_id", F.col(place).alias("bbox_x"), F.col(size).alias("bbox_width")), 30, 100, 1000, "leaflet_id")
+
+
+def _ranges_sql(name: str, place: str, size: str) -> str:
+    return f"""{name}_edges AS (SELECT leaflet_id, unnest([{place}, {place} + {size}]) AS edge FROM products), {name}_gaps AS (SELECT * FROM (SELECT leaflet_id, edge, LEAD(edge) OVER (PARTITION BY leaflet_id ORDER BY edge) AS nxt FROM {name}_edges) WHERE nxt - edge > 30),
+    {name}_widest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leaflet_id ORDER BY nxt - edge DESC, edge) AS nth, COUNT(*) OVER (PARTITION BY leaflet_id) AS n FROM {name}_gaps) WHERE n >= 2 AND nth <= 5),
+    {name} AS (SELECT *, row_number() OVER (PARTITION BY leaflet_id ORDER BY start, stop) - 1 AS place FROM (SELECT leaflet_id, COALESCE(LAG(nxt) OVER (PARTITION BY leaflet_id ORDER BY edge), 0) AS start, edge AS stop FROM {name}_widest UNION ALL SELECT leaflet_id, MAX(nxt), 1000 FROM {name}_widest GROUP BY 1) WHERE stop - start > 100)"""
+
+
+def _first(name: str, middle: str) -> str:
+    return f"CAST(COALESCE((SELECT MIN(place) FROM {name} r WHERE r.leaflet_id = p.leaflet_id AND r.start <= {middle} AND {middle} < r.stop), 0) AS INT)"
+
+
+add(
+    "g9_cells_by_ranges", "products", lambda x: g.cells_by_ranges(x.products, _ranges(x, "bbox_x", "bbox_width"), _ranges(x, "bbox_y", "bbox_height"), "leaflet_id").select("id", F.col("column").alias("at_column"), F.col("row").alias("at_row")),
+    f", {_ranges_sql('across', 'bbox_x', 'bbox_width')}, {_ranges_sql('down', 'bbox_y', 'bbox_height')} SELECT id, {_first('across', 'p.bbox_x + p.bbox_width / 2')} AS at_column, {_first('down', 'p.bbox_y + p.bbox_height / 2')} AS at_row FROM products p",
+)
+SIDE = "GREATEST(0, LEAST(a.bbox_{0} + a.bbox_{1}, b.bbox_{0} + b.bbox_{1}) - GREATEST(a.bbox_{0}, b.bbox_{0}))"
+add(
+    "g13_best_region", "products",
+    lambda x: g.best_region(x.products, g.union_of_boxes(x.products.where("review_priority > 50"), "leaflet_id", "page_number").withColumn("region", F.col("page_number")).drop("page_number"), "leaflet_id").select("id", "region"),
+    f""", regions AS (SELECT leaflet_id, page_number AS region, MIN(bbox_x) AS bbox_x, MIN(bbox_y) AS bbox_y, MAX(bbox_x + bbox_width) - MIN(bbox_x) AS bbox_width, MAX(bbox_y + bbox_height) - MIN(bbox_y) AS bbox_height FROM products WHERE review_priority > 50 GROUP BY 1, 2),
+    parts AS (SELECT a.id, region, CAST({SIDE.format('x', 'width')} * {SIDE.format('y', 'height')} AS DOUBLE) / CAST(a.bbox_width * a.bbox_height AS DOUBLE) AS part FROM products a JOIN regions b USING (leaflet_id)),
+    best AS (SELECT id, region FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part DESC, region) AS k FROM parts WHERE part > 0.1) WHERE k = 1) SELECT id, region FROM products LEFT JOIN best USING (id)""",
+)
+HINTS = "CASE leaflet_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 'Top left' WHEN 2 THEN 'bottom right' WHEN 3 THEN 'middle' WHEN 4 THEN 'second row, left' WHEN 5 THEN 'Third' WHEN 6 THEN '' WHEN 7 THEN 'bottom center' ELSE 'page' END"
+HAS = lambda word: f"contains(lower(hint), '{word}')"
+add(
+    "g18_hinted_boxes", "products",
+    lambda x: x.products.select("id", F.expr(HINTS).alias("hint"), (F.row_number().over(Window.partitionBy("leaflet_id").orderBy("page_number", "id")) - 1).alias("place"), F.count("*").over(Window.partitionBy("leaflet_id")).alias("n")).select("id", *g.hinted_box(F.col("hint"), F.col("place"), F.col("n"), 2480, 3508)),
+    f""", placed AS (SELECT id, {HINTS} AS hint, row_number() OVER (PARTITION BY leaflet_id ORDER BY page_number, id) - 1 AS place, GREATEST(3, (COUNT(*) OVER (PARTITION BY leaflet_id) + 2) // 3) AS nrows FROM products),
+    named AS (SELECT *, CASE WHEN COALESCE(hint, '') = '' THEN place % 3 WHEN {HAS('second')} AND NOT {HAS('row')} THEN 1 WHEN {HAS('third')} AND NOT {HAS('row')} THEN 2 WHEN {HAS('left')} THEN 0 WHEN {HAS('center')} OR {HAS('middle')} THEN 1 WHEN {HAS('right')} THEN 2 ELSE 0 END AS c,
+    CASE WHEN COALESCE(hint, '') = '' THEN place // 3 WHEN {HAS('second')} AND {HAS('row')} THEN 1 WHEN {HAS('third')} AND {HAS('row')} THEN 2 WHEN {HAS('top')} THEN 0 WHEN {HAS('bottom')} THEN nrows - 1 WHEN {HAS('middle')} THEN nrows // 2 ELSE 0 END AS r FROM placed)
+    SELECT id, CAST(c * 826 + 20 AS BIGINT) AS bbox_x, CAST(r * (3508 // nrows) + 20 AS BIGINT) AS bbox_y, CAST(GREATEST(100, 826 - 40) AS BIGINT) AS bbox_width, CAST(GREATEST(100, 3508 // nrows - 40) AS BIGINT) AS bbox_height FROM named""",
+)
