@@ -37,6 +37,7 @@ def main() -> None:
             run(spark, folder).write.format("noop").mode("overwrite").save()
             took.append(time.time() - began)
         seconds[name] = round(statistics.median(took[1:]), 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({"metric": "seconds of all headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
 
