@@ -22,4 +22,17 @@ SHARDS = """WITH entries AS (SELECT list(list_reduce(list_prepend(k, range(8)),
     placed AS (SELECT *, CAST(40 * (SUM(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size) // SUM(size) OVER () AS INT) AS shard FROM summed)
     SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed"""
 
-ORACLE_SQL = {"op7_suffix_dedup": PASSAGES, "op8_sharding": SHARDS}
+# Each node is the list of its turns itself, and every node counts towards all lists that it begins with.
+TRIE = """WITH entries AS (SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY k) AS entry FROM range(256) r(k)),
+    ids AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
+    heads AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(s)), lambda i: CAST(ord(s[i + 1]) AS BIGINT))), lambda x, b: xor(x >> 8, entry[xor(x & 255, b) + 1])), 4294967295) % 4 AS h FROM ids, entries),
+    turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, {'role': COALESCE(role, ''), 'text': COALESCE(text, '')} AS said FROM conversations),
+    rebuilt AS (SELECT heads.c, p, said FROM heads JOIN turns t ON t.c = base WHERE p <= h UNION ALL SELECT heads.c, p, said FROM heads JOIN turns t ON t.c = heads.c WHERE p > h),
+    paths AS (SELECT heads.c, COALESCE(path, []) AS path FROM heads LEFT JOIN (SELECT c, list(said ORDER BY p) AS path FROM rebuilt GROUP BY c) USING (c)),
+    nodes AS (SELECT path[1:d] AS node, d, MIN(c) AS conv_id, COUNT(*) AS n_convs, COALESCE(string_agg(CASE WHEN d = len(path) THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '') AS ends FROM (SELECT c, path, unnest(range(len(path) + 1)) AS d FROM paths) GROUP BY ALL),
+    counted AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node[d].text, '[^\\x20\\x09-\\x0D]+')) END AS saved, node NOT IN (SELECT node[1:d - 1] FROM nodes WHERE d > 0) AS leaf FROM nodes),
+    sums AS (SELECT node[1:a] AS node, SUM(CASE WHEN a = d - 1 THEN 1 ELSE 0 END) AS n_children, COUNT(*) FILTER (leaf) AS n_leaves, SUM(saved) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS a FROM counted) GROUP BY ALL)
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+    FROM nodes n JOIN sums USING (node) LEFT JOIN nodes p ON n.d > 0 AND p.node = n.node[1:n.d - 1]"""
+
+ORACLE_SQL = {"op11_prefix_trie": TRIE, "op7_suffix_dedup": PASSAGES, "op8_sharding": SHARDS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, imatch, language_model, near_duplicates, oracles, sharding, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontamination, imatch, language_model, near_duplicates, oracles, prefix_trie, sharding, suffix_dedup, token_counts, toxicity, url_filter
 from .common import shared_dir, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -87,9 +87,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.array_sort(F.array_distinct("leaks.item_id")).alias("item_ids"), "leaks")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_language_model, op10_decontamination)
+    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_language_model, op10_decontamination, op11_prefix_trie)
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL
