@@ -32,7 +32,7 @@ TRIE = """WITH entries AS (SELECT list(list_reduce(list_prepend(k, range(8)), la
     nodes AS (SELECT path[1:d] AS node, d, MIN(c) AS conv_id, COUNT(*) AS n_convs, COALESCE(string_agg(CASE WHEN d = len(path) THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '') AS ends FROM (SELECT c, path, unnest(range(len(path) + 1)) AS d FROM paths) GROUP BY ALL),
     counted AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node[d].text, '[^\\x20\\x09-\\x0D]+')) END AS saved, node NOT IN (SELECT node[1:d - 1] FROM nodes WHERE d > 0) AS leaf FROM nodes),
     sums AS (SELECT node[1:a] AS node, SUM(CASE WHEN a = d - 1 THEN 1 ELSE 0 END) AS n_children, COUNT(*) FILTER (leaf) AS n_leaves, SUM(saved) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS a FROM counted) GROUP BY ALL)
-    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
     FROM nodes n JOIN sums USING (node) LEFT JOIN nodes p ON n.d > 0 AND p.node = n.node[1:n.d - 1]"""
 
 ORACLE_SQL = {"op11_prefix_trie": TRIE, "op7_suffix_dedup": PASSAGES, "op8_sharding": SHARDS}
