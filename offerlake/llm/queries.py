@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, imatch, language_model, near_duplicates, oracles, prefix_trie, sharding, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontamination, imatch, language_model, near_duplicates, oracles, prefix_trie, sharding, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from .common import shared_dir, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -91,9 +91,20 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(embeddings)
+    rows = model.transform(embeddings).select("vec_id", F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, "at").alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_language_model, op10_decontamination, op11_prefix_trie)
+    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_language_model, op10_decontamination, op11_prefix_trie, op12_whitening)
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL
