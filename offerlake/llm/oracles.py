@@ -35,4 +35,27 @@ TRIE = """WITH entries AS (SELECT list(list_reduce(list_prepend(k, range(8)), la
     SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
     FROM nodes n JOIN sums USING (node) LEFT JOIN nodes p ON n.d > 0 AND p.node = n.node[1:n.d - 1]"""
 
-ORACLE_SQL = {"op11_prefix_trie": TRIE, "op7_suffix_dedup": PASSAGES, "op8_sharding": SHARDS}
+# A match starts after the pieces and matches before it; values are counted by source, and by source and language.
+_SECRETS = [
+    ("assign", "((?i:password|passwd|secret|token|api_?key))[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)", 2, "length(value) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", 0, "length(value) >= 20"),
+    ("hex", "[0-9a-f]{24,}", 0, "true"),
+    ("token", "[A-Za-z0-9_-]{20,}", 0, "regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')"),
+]
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT doc_id, {k} AS rank, '{kind}' AS kind, start, start + length(whole) AS stop, value FROM (
+    SELECT doc_id, unnest(whole) AS whole, unnest(value) AS value, unnest(list_transform(range(1, len(whole) + 1), lambda k: CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + COALESCE(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) AS BIGINT))) AS start
+    FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS whole, regexp_extract_all(text, '{pattern}', {group}) AS value, string_split_regex(text, '{pattern}') AS gaps FROM texts) WHERE len(whole) > 0)) WHERE {least}"""
+    for k, (kind, pattern, group, least) in enumerate(_SECRETS)
+)
+SECRETS = f"""WITH texts AS (SELECT doc_id, COALESCE(source, '') AS owner, COALESCE(source, '') || '/' || COALESCE(lang, '') AS repository, COALESCE(text, '') AS text FROM documents),
+    matches AS ({_MATCHES}),
+    judged AS (SELECT *, len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(lower(value), 'example|sample|dummy|placeholder|changeme|your|xxxx|0000|123456|abcdef') AS live, MIN(rank) OVER (PARTITION BY doc_id, value) AS first_rank FROM matches),
+    common AS (SELECT value, COUNT(DISTINCT owner) > 2 OR COUNT(DISTINCT repository) > 20 AS copied FROM matches JOIN texts USING (doc_id) GROUP BY value),
+    shown AS (SELECT doc_id, rank, kind || ':' || start || ':' || stop AS span, start, stop, live, copied FROM judged JOIN common USING (value) WHERE rank < 3 OR live AND NOT copied AND first_rank = 3),
+    found AS (SELECT doc_id, COUNT(*) FILTER (rank = 0) AS n_assign, COUNT(*) FILTER (rank = 1) AS n_access, COUNT(*) FILTER (rank = 2) AS n_hex, COALESCE(string_agg(span, ',' ORDER BY start, rank, stop) FILTER (rank < 3), '') AS base,
+    string_agg(span, ',' ORDER BY start, rank, stop) AS spans, COUNT(*) FILTER (live AND NOT copied) AS n_live, COUNT(*) FILTER (copied) AS n_copied FROM shown GROUP BY doc_id)
+    SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(n_live, 0) AS n_live, COALESCE(n_copied, 0) AS n_copied
+    FROM texts LEFT JOIN found USING (doc_id)"""
+
+ORACLE_SQL = {"op13_secret_scan": SECRETS, "op11_prefix_trie": TRIE, "op7_suffix_dedup": PASSAGES, "op8_sharding": SHARDS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, imatch, language_model, near_duplicates, oracles, prefix_trie, sharding, suffix_dedup, token_counts, toxicity, url_filter, whitening
+from . import bpe, decontamination, imatch, language_model, near_duplicates, oracles, prefix_trie, secret_scan, sharding, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from .common import shared_dir, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -102,9 +102,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its owner; what the source has in one language is a repository."""
+    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"), F.col("source"), repository)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_language_model, op10_decontamination, op11_prefix_trie, op12_whitening)
+    for f in (op1_url_filter, op2_toxicity, op3_byte_bpe, op4_imatch, op5_near_duplicates, op6_token_counts, op7_suffix_dedup, op8_sharding, op9_language_model, op10_decontamination, op11_prefix_trie, op12_whitening, op13_secret_scan)
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL
