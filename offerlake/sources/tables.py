@@ -53,6 +53,15 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(l_shipdate AS DATE) AS created_at, l_returnflag AS state, l_linestatus = 'F' AS validation_passed
         FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey""",
     ),
+    "regions": (  # of a leaflet's sheet, with what was read in them; one in four offers has none
+        ("lineitem", "part"),
+        """SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+        CAST(CAST(l_quantity AS BIGINT) AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS region, l_orderkey AS leaflet_id,
+        CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE CASE l_partkey % 7 WHEN 0 THEN concat(upper(p_brand), ' ', p_name, ' ', replace(CAST(p_retailprice AS STRING), '.', ',')) WHEN 1 THEN concat(p_name, ' extra') WHEN 2 THEN concat('akcija sku - ', CAST(l_partkey AS STRING))
+        WHEN 3 THEN concat('samo ', CAST(p_retailprice AS STRING), ' eur') WHEN 4 THEN '' WHEN 5 THEN concat(p_name, ' ', CAST(CAST(l_quantity AS BIGINT) % 40 AS STRING), ' kg') END END AS text,
+        CAST(l_partkey % 20 * 40 + 15 AS BIGINT) AS bbox_x, CAST(l_suppkey % 15 * 60 + 10 AS BIGINT) AS bbox_y, CAST(60 + p_size * 4 AS BIGINT) AS bbox_width, CAST(140 + l_partkey % 50 AS BIGINT) AS bbox_height
+        FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_suppkey % 4 > 0""",
+    ),
     "costs": (
         ("orders",),
         """SELECT o_orderkey AS leaflet_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INT) AS processed_at,
@@ -96,6 +105,7 @@ class Tables:
     leaflets = cached_property(lambda self: self._adapted("leaflets"))
     products = cached_property(lambda self: self._adapted("products"))
     offers = cached_property(lambda self: self._adapted("offers"))
+    regions = cached_property(lambda self: self._adapted("regions"))
     costs = cached_property(lambda self: self._adapted("costs"))
     audit = cached_property(lambda self: self._adapted("audit"))
     organizations = cached_property(lambda self: self._adapted("organizations"))
