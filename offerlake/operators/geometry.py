@@ -110,18 +110,43 @@ def even_cells(boxes: DataFrame, *by: str, most: float = 2.5) -> DataFrame:
     return boxes.groupBy(*by).agg(((ratio("bbox_width") <= most) & (ratio("bbox_height") <= most)).alias("even"))
 
 
-def columns_by_gaps(boxes: DataFrame, least: int, narrowest: int, width: int, *by: str) -> DataFrame:
-    """Column starts and ends of each group: its boxes' edges are sorted, and the five largest gaps over `least` between
-    them end one column and start the next; columns up to `narrowest` go. Groups with fewer than two gaps have none."""
-    edges = boxes.select(*by, F.explode(F.array(F.col("bbox_x"), F.col("bbox_x") + F.col("bbox_width"))).alias("edge"))
-    after = F.lead("edge").over(Window.partitionBy(*by).orderBy("edge"))
-    gaps = edges.withColumn("after", after).where(F.col("after") - F.col("edge") > least)
-    largest = Window.partitionBy(*by).orderBy((F.col("after") - F.col("edge")).desc(), "edge")
-    gaps = gaps.select("*", F.row_number().over(largest).alias("nth"), F.count("*").over(Window.partitionBy(*by)).alias("n")).where("n >= 2 and nth <= 5")
-    across = Window.partitionBy(*by).orderBy("edge")
-    inner = gaps.select(*by, F.coalesce(F.lag("after").over(across), F.lit(0)).alias("start"), F.col("edge").alias("stop"))
-    last = gaps.groupBy(*by).agg(F.max("after").alias("start")).withColumn("stop", F.lit(width).cast("long"))
-    return inner.unionByName(last).where(F.col("stop") - F.col("start") > narrowest)
+def _gaps(edges: Column, least: int) -> Column:
+    """The gaps over `least` between neighbours of a sorted array, each with where it begins and ends."""
+    n = F.size(edges)
+    pairs = F.zip_with(F.slice(edges, F.lit(1), n - 1), F.slice(edges, F.lit(2), n - 1), lambda a, b: F.struct((a - b).alias("cost"), a.alias("at"), b.alias("next")))
+    return F.filter(pairs, lambda g: -g["cost"] > least)
+
+
+def _between(gaps: Column, size: int, least: int, padding: int = 0) -> Column:
+    """What lies between gaps that are in order, over `least` wide, the padding taken from the gaps; the whole size without any."""
+    whole, long = F.lit(size).cast("long"), lambda x: x.cast("long")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(gaps, lambda g: long(g["next"] - padding)))
+    stops = F.concat(F.transform(gaps, lambda g: F.struct(long(g["at"]).alias("at"), F.lit(padding).alias("pad"))), F.array(F.struct(whole.alias("at"), F.lit(0).alias("pad"))))
+    wide = F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop"))), lambda r: r["stop"]["at"] - r["start"] > least)
+    made = F.transform(wide, lambda r: F.struct(r["start"].alias("start"), (r["stop"]["at"] + r["stop"]["pad"]).alias("stop")))
+    return F.when(F.size(made) > 0, made).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("start"), whole.alias("stop"))))
+
+
+# Least gaps, least sizes of a product, the padding, how many gaps bound columns, a column's usual width.
+COLUMN_GAP, ROW_GAP, LEAST_WIDTH, LEAST_HEIGHT, PADDING, MOST_GAPS, USUAL_WIDTH = 30, 40, 120, 150, 10, 5, 400
+
+
+def layout(boxes: DataFrame, width: int, height: int, *by: str) -> DataFrame:
+    """(by, columns, rows) of each group of boxes: arrays of (start, stop).
+
+    Columns lie between the five largest gaps over COLUMN_GAP of the sorted left and right edges; with fewer than two such gaps
+    the width is cut evenly, into a part for each USUAL_WIDTH, from two to six. Rows lie between all gaps over ROW_GAP, each
+    wider by PADDING towards the gap, and are the whole height without any. What is not over LEAST_WIDTH or LEAST_HEIGHT goes.
+    A group is a sheet with a few boxes, so that its edges are one array; null boxes have no edges.
+    """
+    edges = lambda p, s: F.array_sort(F.flatten(F.collect_list(F.array(F.col(p), F.col(p) + F.col(s)))))
+    sheets = boxes.where("bbox_x is not null").groupBy(*by).agg(edges("bbox_x", "bbox_width").alias("across"), edges("bbox_y", "bbox_height").alias("down"))
+    gaps = _gaps(F.col("across"), COLUMN_GAP)
+    largest = F.array_sort(F.slice(F.array_sort(gaps), 1, MOST_GAPS), lambda a, b: F.when(a["at"] < b["at"], -1).otherwise(1))
+    n = max(2, min(6, width // USUAL_WIDTH))
+    even = F.array(*[F.struct(F.lit(int(i * width / n)).cast("long").alias("start"), F.lit(int((i + 1) * width / n)).cast("long").alias("stop")) for i in range(n)])
+    columns = F.when(F.size(gaps) < 2, even).otherwise(_between(largest, width, LEAST_WIDTH))
+    return sheets.select(*by, columns.alias("columns"), _between(_gaps(F.col("down"), ROW_GAP), height, LEAST_HEIGHT, PADDING).alias("rows"))
 
 
 def boxes_for_missing(products: DataFrame, width: int, height: int) -> DataFrame:
@@ -150,17 +175,13 @@ def similar_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("similarity", ratio(a, b))
 
 
-def cells_by_ranges(boxes: DataFrame, across: DataFrame, down: DataFrame, *by: str) -> DataFrame:
-    """boxes plus column and row: the place, from 0, of the first range (by, start, stop) that holds the box's centre, its
-    end excluded; 0 where none does. A group has a few ranges, so they travel as one list each."""
+def cells_by_ranges(boxes: DataFrame, sheets: DataFrame, *by: str) -> DataFrame:
+    """boxes plus column and row, and the sheet's columns and rows: the place, from 0, of the first range that holds the box's
+    centre, its end excluded; 0 where none does."""
     x, y, w, h = map(F.col, BOX)
     holds = lambda middle: lambda r: (r["start"] <= middle) & (middle < r["stop"])
-    found = boxes
-    for ranges, name, middle in ((across, "column", x + w / 2), (down, "row", y + h / 2)):
-        listed = ranges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_ranges"))
-        place = F.greatest(F.lit(0), F.array_position(F.transform("_ranges", holds(middle)), True) - 1)
-        found = found.join(listed, list(by), "left").withColumn(name, F.coalesce(place, F.lit(0)).cast("int")).drop("_ranges")
-    return found
+    place = lambda ranges, middle: F.coalesce(F.greatest(F.lit(0), F.array_position(F.transform(ranges, holds(middle)), True) - 1), F.lit(0)).cast("int")
+    return boxes.join(sheets, list(by), "left").withColumns({"column": place("columns", x + w / 2), "row": place("rows", y + h / 2)})
 
 
 def best_region(texts: DataFrame, regions: DataFrame, *by: str, least: float = 0.1) -> DataFrame:

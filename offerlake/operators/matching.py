@@ -16,6 +16,8 @@ CODE, PRICE, TEXT, QUANTITY, LEAST_TEXT = 0.6, 0.4, 0.8, 0.1, 0.35
 CENTRE, LEAST_PLACE, MOST_PLACE, BY_ORDER = 0.3, 0.05, 0.85, 0.5
 #: Reading order: rows are this part of the mean distance of the regions' tops apart, and ROW_LEAST at least.
 ROW_PART, ROW_LEAST, ROW_ALONE = 0.4, 50, 300
+#: What of a product is looked for in a text.
+READ = ("product_name", "brand", "product_code", "regular_price", "discounted_price", "quantity", "units")
 
 
 def exclusive(candidates: DataFrame, *by: str) -> DataFrame:
@@ -66,7 +68,8 @@ def by_text(products: DataFrame, regions: DataFrame, *by: str, order: tuple[str,
     regions have by, region (their order), text. Null texts are empty. Pages without products or regions have no row.
     """
     texts = regions.select(*by, "region", F.lower(F.coalesce("text", F.lit(""))).alias("region_text")).where("trim(region_text) <> ''")
-    pairs = products.withColumn("turn", F.struct(*order)).join(texts, list(by)).withColumn("score", text_score(F.col("region_text")))
+    read = products.select(*by, F.struct(*order).alias("turn"), *[c for c in READ if c not in by])
+    pairs = read.join(texts, list(by)).withColumn("score", text_score(F.col("region_text")))
     return exclusive(pairs.where(F.col("score") >= LEAST_TEXT).select(*by, "turn", "region", "score"), *by)
 
 

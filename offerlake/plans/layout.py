@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as f
+from ..operators import geometry as g
 from ..operators import matching as m
+from ..operators import regions as r
 from .dashboards import add
+from .more import LOOKS, WORDS
 
 LOW = "lower(COALESCE({0}, ''))"
 BARE = "regexp_replace({0}, '[\\s\\-]', '', 'g')"
@@ -57,3 +61,137 @@ add(
     pages AS (SELECT leaflet_id, bool_or(trim(COALESCE(text, '')) <> '') AS has_text FROM sheets GROUP BY 1), every AS (SELECT *, 'ocr_text_match' AS source FROM texted UNION ALL SELECT * FROM by_place)
     SELECT p.id, region, score, COALESCE(source, CASE WHEN has_text THEN 'vlm_estimated' WHEN has_text IS NOT NULL THEN 'no_match' END) AS source FROM goods p LEFT JOIN every e ON e.id = p.id LEFT JOIN pages g ON g.leaflet_id = p.leaflet_id""",
 )
+
+# columns, rows and cells: the sheet's width and height are 1,000
+def _edges(place: str, size: str) -> str:
+    return f"list_sort(flatten(list([{place}, {place} + {size}])))"
+
+
+def _gaps(edges: str, least: int) -> str:
+    return f"list_filter(list_transform(range(1, len({edges})), lambda i: {{'cost': {edges}[i] - {edges}[i + 1], 'at': {edges}[i], 'next': {edges}[i + 1]}}), lambda g: -g.cost > {least})"
+
+
+def _between(gaps: str, size: int, least: int, padding: int = 0) -> str:
+    found = f"""list_filter(list_transform(range(1, len({gaps}) + 2), lambda i: {{'start': CASE WHEN i = 1 THEN 0 ELSE {gaps}[i - 1].next - {padding} END, 'stop': CASE WHEN i > len({gaps}) THEN {size} ELSE {gaps}[i].at END, 'pad': CASE WHEN i > len({gaps}) THEN 0 ELSE {padding} END}}), lambda r: r.stop - r.start > {least})"""
+    made = f"list_transform({found}, lambda r: {{'start': CAST(r.start AS BIGINT), 'stop': CAST(r.stop + r.pad AS BIGINT)}})"
+    return f"CASE WHEN len({made}) > 0 THEN {made} ELSE [{{'start': CAST(0 AS BIGINT), 'stop': CAST({size} AS BIGINT)}}] END"
+
+
+def _sheets_sql(table: str) -> str:
+    return f"""edges AS (SELECT leaflet_id, {_edges('bbox_x', 'bbox_width')} AS across, {_edges('bbox_y', 'bbox_height')} AS down FROM {table} WHERE bbox_x IS NOT NULL GROUP BY 1),
+    gaps AS (SELECT leaflet_id, {_gaps('across', 30)} AS a, {_gaps('down', 40)} AS d FROM edges), largest AS (SELECT leaflet_id, len(a) AS n, list_sort(list_transform(list_sort(a)[1:5], lambda g: {{'at': g.at, 'next': g.next}})) AS a, d FROM gaps),
+    laid AS (SELECT leaflet_id, CASE WHEN n < 2 THEN [{{'start': CAST(0 AS BIGINT), 'stop': CAST(500 AS BIGINT)}}, {{'start': CAST(500 AS BIGINT), 'stop': CAST(1000 AS BIGINT)}}] ELSE {_between('a', 1000, 120)} END AS columns, {_between('d', 1000, 150, 10)} AS nrows FROM largest)"""
+
+
+PLACE = "CAST(COALESCE(list_position(list_transform({0}, lambda r: r.start <= {1} AND {1} < r.stop), TRUE) - 1, 0) AS INT)"
+CELLS = f"SELECT p.*, columns, nrows, {PLACE.format('columns', 'p.bbox_x + p.bbox_width / 2')} AS at_column, {PLACE.format('nrows', 'p.bbox_y + p.bbox_height / 2')} AS at_row FROM {{0}} p LEFT JOIN laid USING (leaflet_id)"
+
+
+for _name, _column in (("columns", "columns"), ("rows", "nrows")):
+    add(
+        f"g8_{_name}_by_gaps", "products", lambda x, name=_name: g.layout(x.products, 1000, 1000, "leaflet_id").select("leaflet_id", F.explode(name).alias("r")).select("leaflet_id", "r.*"),
+        f", {_sheets_sql('products')} SELECT leaflet_id, r.start, r.stop FROM (SELECT leaflet_id, unnest({_column}) AS r FROM laid)",
+    )
+add(
+    "g9_cells_by_ranges", "products", lambda x: g.cells_by_ranges(x.products, g.layout(x.products, 1000, 1000, "leaflet_id"), "leaflet_id").select("id", F.col("column").alias("at_column"), F.col("row").alias("at_row")),
+    f", {_sheets_sql('products')} SELECT id, at_column, at_row FROM ({CELLS.format('products')})",
+)
+
+
+# boxes that grow: box after box, the regions so far are the state
+def _grown(order: str, joins: str) -> str:
+    """joins speaks of a region g (own sides l, t, r, b, those of its first box sl to sb) and the sides l, t, r, b of a box."""
+    return f""", numbered AS (SELECT leaflet_id, id, bbox_x AS l, bbox_y AS t, bbox_x + bbox_width AS r, bbox_y + bbox_height AS b, row_number() OVER (PARTITION BY leaflet_id ORDER BY {order}) AS k FROM products),
+    walk AS (SELECT leaflet_id, k, [{{'first': id, 'n': CAST(1 AS BIGINT), 'sl': l, 'st': t, 'sr': r, 'sb': b, 'l': l, 't': t, 'r': r, 'b': b}}] AS kept FROM numbered WHERE k = 1 UNION ALL
+    SELECT leaflet_id, k, CASE WHEN spot IS NULL THEN list_append(kept, {{'first': id, 'n': CAST(1 AS BIGINT), 'sl': l, 'st': t, 'sr': r, 'sb': b, 'l': l, 't': t, 'r': r, 'b': b}})
+    ELSE list_transform(kept, lambda g, i: CASE WHEN i = spot THEN {{'first': g.first, 'n': g.n + 1, 'sl': g.sl, 'st': g.st, 'sr': g.sr, 'sb': g.sb, 'l': LEAST(g.l, l), 't': LEAST(g.t, t), 'r': GREATEST(g.r, r), 'b': GREATEST(g.b, b)}} ELSE g END) END AS kept
+    FROM (SELECT w.leaflet_id, n.k, kept, n.id, n.l, n.t, n.r, n.b, list_position(list_transform(kept, lambda g: {joins}), TRUE) AS spot FROM walk w JOIN numbered n ON n.leaflet_id = w.leaflet_id AND n.k = w.k + 1)),
+    ended AS (SELECT w.leaflet_id, unnest(kept) AS g FROM walk w JOIN (SELECT leaflet_id, MAX(k) AS k FROM numbered GROUP BY 1) USING (leaflet_id, k))
+    SELECT leaflet_id, g.first AS first, g.n AS n, g.l AS bbox_x, g.t AS bbox_y, g.r - g.l AS bbox_width, g.b - g.t AS bbox_height FROM ended"""
+
+
+SHARED = "CAST(GREATEST(0, LEAST(g.sr, n.r) - GREATEST(g.sl, n.l)) * GREATEST(0, LEAST(g.sb, n.b) - GREATEST(g.st, n.t)) AS DOUBLE)"
+add("g22_overlap_merged", "products", lambda x: r.overlap_merged(x.products, "leaflet_id"), _grown("id", f"{SHARED} / ((g.sr - g.sl) * (g.sb - g.st) + (n.r - n.l) * (n.b - n.t) - {SHARED}) > 0.5"))
+add("g14_near_merged", "products", lambda x: r.near_merged(x.products, "leaflet_id"), _grown("bbox_y, bbox_x, id", "GREATEST(g.l, n.l) - LEAST(g.r, n.r) <= 50 AND GREATEST(g.t, n.t) - LEAST(g.b, n.b) <= 50"))
+
+
+# clusters around prices: price after price, then what is left, box after box
+KIND = f"CASE WHEN regexp_matches(t, '{LOOKS(f.PRICE_LOOKS)}') THEN 'price' WHEN regexp_matches(t, '{LOOKS(f.DISCOUNT_LOOKS)}') OR length(list_filter([{WORDS}], lambda w: contains(upper(t), w))) > 0 THEN 'discount' WHEN regexp_matches(lower(t), '{LOOKS(f.UNIT_LOOKS)}') THEN 'unit' WHEN length(t) >= 4 AND regexp_matches(t, '\\p{{L}}') THEN 'name' ELSE 'other' END"
+CELL = "leaflet_id, at_column, at_row"
+WIDER = "{{'members': list_append(g.members, {0}.no), 'l': LEAST(g.l, {0}.l), 't': LEAST(g.t, {0}.t), 'r': GREATEST(g.r, {0}.r), 'b': GREATEST(g.b, {0}.b)}}"
+CLUSTERS = f""", {_sheets_sql('texts')}, celled AS (SELECT *, {KIND} AS kind, row_number() OVER (PARTITION BY {CELL} ORDER BY bbox_y, bbox_x, id) AS no FROM (SELECT *, trim(COALESCE(text, '')) AS t FROM ({CELLS.format('texts')}) WHERE bbox_x IS NOT NULL)),
+    boxed AS (SELECT {CELL}, list({{'no': no, 'id': id, 'text': COALESCE(text, ''), 'kind': kind, 'l': bbox_x, 't': bbox_y, 'r': bbox_x + bbox_width, 'b': bbox_y + bbox_height}} ORDER BY no) AS boxes, any_value(columns)[at_column + 1] AS across, any_value(nrows)[at_row + 1] AS down FROM celled GROUP BY {CELL}),
+    many AS (SELECT *, list_filter(boxes, lambda x: x.kind = 'price') AS prices FROM boxed WHERE len(list_filter(boxes, lambda x: x.kind = 'price')) > 1),
+    priced AS (SELECT {CELL}, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS STRUCT(members BIGINT[], l BIGINT, t BIGINT, r BIGINT, b BIGINT)[]) AS clusters FROM many
+    UNION ALL SELECT {CELL}, k + 1, list_concat(used, members), list_append(clusters, {{'members': members, 'l': list_min(list_transform(members, lambda i: boxes[i].l)), 't': list_min(list_transform(members, lambda i: boxes[i].t)), 'r': list_max(list_transform(members, lambda i: boxes[i].r)), 'b': list_max(list_transform(members, lambda i: boxes[i].b))}})
+    FROM (SELECT *, list_concat(core, list_transform(list_filter(boxes, lambda x: x.kind NOT IN ('price', 'name') AND NOT list_contains(used, x.no) AND (x.t + x.b) / 2 BETWEEN list_min(list_transform(core, lambda i: boxes[i].t)) - 30 AND list_max(list_transform(core, lambda i: boxes[i].b)) + 30), lambda x: x.no)) AS members
+    FROM (SELECT *, CASE WHEN near IS NULL THEN [price.no] ELSE [price.no, near.no] END AS core FROM (SELECT *, list_sort(list_transform(list_filter(boxes, lambda x: x.kind = 'name' AND NOT list_contains(used, x.no) AND x.t <= price.b), lambda x: {{'far': abs(x.t - price.t), 'no': x.no}}))[1] AS near
+    FROM (SELECT p.*, boxes, prices[k + 1] AS price FROM priced p JOIN many USING ({CELL}) WHERE k < len(prices)))))),
+    rests AS (SELECT {CELL}, clusters, list_filter(boxes, lambda x: NOT list_contains(used, x.no)) AS rest FROM priced JOIN many USING ({CELL}) WHERE k = len(prices)),
+    joined AS (SELECT {CELL}, CAST(0 AS BIGINT) AS k, rest, clusters FROM rests UNION ALL
+    SELECT {CELL}, k + 1, rest, CASE WHEN near.far < 100 THEN list_transform(clusters, lambda g, i: CASE WHEN i = near.no THEN {WIDER.format('x')} ELSE g END) ELSE clusters END
+    FROM (SELECT *, list_sort(list_transform(clusters, lambda g, i: {{'far': sqrt(((x.l + x.r) / 2 - (g.l + g.r) / 2) * ((x.l + x.r) / 2 - (g.l + g.r) / 2) + ((x.t + x.b) / 2 - (g.t + g.b) / 2) * ((x.t + x.b) / 2 - (g.t + g.b) / 2)), 'no': i}}))[1] AS near FROM (SELECT *, rest[k + 1] AS x FROM joined WHERE k < len(rest)))),
+    lists AS (SELECT {CELL}, list_transform(clusters, lambda g: g.members) AS lists FROM joined WHERE k = len(rest) UNION ALL SELECT {CELL}, [list_transform(boxes, lambda x: x.no)] FROM boxed WHERE len(list_filter(boxes, lambda x: x.kind = 'price')) < 2),
+    grouped AS (SELECT {CELL}, i - 1 AS cluster, list_transform(lists[i], lambda no: boxes[no]) AS own, across, down FROM (SELECT *, unnest(range(1, len(lists) + 1)) AS i FROM lists) JOIN boxed USING ({CELL}))"""
+REGIONS = f""", sides AS (SELECT *, list_min(list_transform(own, lambda x: x.l)) AS l, list_min(list_transform(own, lambda x: x.t)) AS t, list_max(list_transform(own, lambda x: x.r)) AS r, list_max(list_transform(own, lambda x: x.b)) AS b FROM grouped),
+    cut AS (SELECT *, GREATEST(0, l - 10, across.start) AS x, GREATEST(0, t - 10, down.start) AS y FROM sides),
+    long AS (SELECT *, LEAST(1000 - x, CASE WHEN x + r - l + 20 > across.stop THEN across.stop - x ELSE r - l + 20 END) AS w, LEAST(1000 - y, CASE WHEN y + b - t + 20 > down.stop THEN down.stop - y ELSE b - t + 20 END) AS h FROM cut),
+    high AS (SELECT *, GREATEST(down.start, y - CAST(floor((b - t) * CAST(0.8 AS DOUBLE)) AS BIGINT)) AS above FROM long WHERE w >= 120 AND h >= 150),
+    firsts AS (SELECT {CELL}, boxes[1].t AS ft, boxes[1].l AS fl, boxes[1].id AS fid FROM boxed)
+    SELECT leaflet_id, at_column, at_row, CAST(cluster AS INT) AS cluster, x AS bbox_x, above AS bbox_y, w AS bbox_width, h + y - above AS bbox_height, CAST(len(own) AS BIGINT) AS n, array_to_string(list_transform(own, lambda box: box.text), ' ') AS text, len(list_filter(own, lambda box: box.kind = 'price')) > 0 AS has_price, len(list_filter(own, lambda box: box.kind = 'name')) > 0 AS has_name,
+    CAST(row_number() OVER (PARTITION BY leaflet_id ORDER BY floor(above / 100), x, ft, fl, fid, cluster) AS INT) AS place FROM high JOIN firsts USING ({CELL})"""
+
+
+def _cells(x):
+    return g.cells_by_ranges(x.texts, g.layout(x.texts, 1000, 1000, "leaflet_id"), "leaflet_id").withColumnsRenamed({"column": "at_column", "row": "at_row"})
+
+
+add(
+    "g10_price_clusters", "texts", lambda x: r.price_clusters(_cells(x), "leaflet_id", "at_column", "at_row").withColumn("boxes", F.array_join(F.transform("boxes", lambda b: b["id"]), ",")).withColumnRenamed("boxes", "ids"),
+    CLUSTERS + f" SELECT {CELL}, CAST(cluster AS INT) AS cluster, array_to_string(list_transform(own, lambda x: x.id), ',') AS ids FROM grouped",
+)
+add("g11_text_regions", "texts", lambda x: r.text_regions(x.texts, 1000, 1000, "leaflet_id").withColumnsRenamed({"column": "at_column", "row": "at_row"}), CLUSTERS + REGIONS)
+
+
+# clusters by nearness: a row of the walk is one box tested, the start of another sweep, or a cluster that is done
+NEAREST = f""", ordered AS (SELECT leaflet_id, list({{'id': id, 'text': COALESCE(text, ''), 'l': bbox_x, 't': bbox_y, 'r': bbox_x + bbox_width, 'b': bbox_y + bbox_height}} ORDER BY bbox_y, bbox_x, id) AS boxes FROM texts WHERE bbox_x IS NOT NULL GROUP BY 1),
+    walk AS (SELECT leaflet_id, CAST(0 AS BIGINT) AS cluster, FALSE AS done, FALSE AS more, boxes[1] AS sweep, boxes[1] AS grown, [boxes[1]] AS members, boxes[2:] AS todo, boxes[1:0] AS kept, boxes[1:0] AS ended FROM ordered
+    UNION ALL SELECT leaflet_id, CASE WHEN step = 'next' THEN cluster + 1 ELSE cluster END, step = 'end', CASE step WHEN 'test' THEN more OR fits ELSE FALSE END,
+    CASE step WHEN 'test' THEN sweep WHEN 'sweep' THEN grown ELSE kept[1] END, CASE WHEN step = 'test' AND fits THEN wider WHEN step = 'next' THEN kept[1] ELSE grown END,
+    CASE WHEN step = 'test' AND fits THEN list_append(members, todo[1]) WHEN step = 'next' THEN [kept[1]] ELSE members END, CASE step WHEN 'test' THEN todo[2:] WHEN 'sweep' THEN kept WHEN 'next' THEN kept[2:] ELSE todo END,
+    CASE WHEN step = 'test' AND NOT fits THEN list_append(kept, todo[1]) WHEN step = 'test' THEN kept ELSE kept[1:0] END, CASE WHEN step IN ('next', 'end') THEN members ELSE kept[1:0] END
+    FROM (SELECT *, CASE WHEN len(todo) > 0 THEN 'test' WHEN more AND len(kept) > 0 THEN 'sweep' WHEN len(kept) > 0 THEN 'next' ELSE 'end' END AS step,
+    COALESCE(todo[1].l <= sweep.r + 50 AND todo[1].r >= sweep.l - 50 AND todo[1].t <= sweep.b + 50 AND todo[1].b >= sweep.t - 50 AND wider.r > wider.l AND wider.b > wider.t AND GREATEST((wider.r - wider.l) / (wider.b - wider.t), (wider.b - wider.t) / (wider.r - wider.l)) <= 3, FALSE) AS fits
+    FROM (SELECT *, {{'id': grown.id, 'text': grown.text, 'l': LEAST(grown.l, todo[1].l), 't': LEAST(grown.t, todo[1].t), 'r': GREATEST(grown.r, todo[1].r), 'b': GREATEST(grown.b, todo[1].b)}} AS wider FROM walk WHERE NOT done))),
+    clusters AS (SELECT leaflet_id, CASE WHEN done THEN cluster ELSE cluster - 1 END AS cluster, ended FROM walk WHERE len(ended) > 0)"""
+add("g12_near_clusters", "texts", lambda x: r.near_clusters(x.texts, "leaflet_id").select("leaflet_id", "cluster", F.array_join(F.transform("boxes", lambda b: b["id"]), ",").alias("ids")), NEAREST + " SELECT leaflet_id, CAST(cluster AS INT) AS cluster, array_to_string(list_transform(ended, lambda box: box.id), ',') AS ids FROM clusters")
+add(
+    "g12_near_regions", "texts", lambda x: r.near_regions(x.texts, 1000, 1000, "leaflet_id"),
+    NEAREST + """, sides AS (SELECT leaflet_id, cluster, ended, list_min(list_transform(ended, lambda box: box.l)) AS l, list_min(list_transform(ended, lambda box: box.t)) AS t, list_max(list_transform(ended, lambda box: box.r)) AS r, list_max(list_transform(ended, lambda box: box.b)) AS b FROM clusters)
+    SELECT * FROM (SELECT leaflet_id, CAST(cluster AS INT) AS cluster, GREATEST(0, l - 10) AS bbox_x, GREATEST(0, t - 10) AS bbox_y, LEAST(r - l + 20, 1000 - GREATEST(0, l - 10)) AS bbox_width, LEAST(b - t + 20, 1000 - GREATEST(0, t - 10)) AS bbox_height, CAST(len(ended) AS BIGINT) AS n,
+    array_to_string(list_transform(ended, lambda box: box.text), ' ') AS text FROM sides) WHERE bbox_width >= 120 AND bbox_height >= 150""",
+)
+
+
+# dividers: 100 steps of ten points; parts hinted, so that dividers are one more and half a part apart
+def _dividers_sql(place: str, size: str, parts: int) -> str:
+    apart = max(3, int(100 * (0.5 / parts)))
+    window = max(3, apart // 3)
+    return f""", spans AS (SELECT leaflet_id, list({{'a': {place}, 'b': {place} + {size}}}) AS spans FROM texts WHERE bbox_x IS NOT NULL GROUP BY 1),
+    profiles AS (SELECT leaflet_id, list_transform(range(100), lambda i: GREATEST(0, 255 - 20 * len(list_filter(spans, lambda s: s.a < (i + 1) * 10 AND s.b > i * 10)))) AS p FROM spans),
+    smoothed AS (SELECT leaflet_id, list_transform(range(1, 101), lambda i: list_sum(p[GREATEST(1, i - 1):LEAST(100, i + 1)])) AS s FROM profiles),
+    ranked AS (SELECT leaflet_id, list_sort(list_transform(list_filter(range(2, 100), lambda i: s[i] >= list_max(s[GREATEST(1, i - {window}):LEAST(100, i + {window})])), lambda i: {{'dark': -s[i], 'spot': i - 1}})) AS peaks FROM smoothed),
+    chosen AS (SELECT leaflet_id, peaks, CAST(1 AS BIGINT) AS k, [CAST(0 AS BIGINT), CAST(99 AS BIGINT)] AS taken FROM ranked UNION ALL
+    SELECT leaflet_id, peaks, k + 1, CASE WHEN len(taken) <= {parts} AND len(list_filter(taken, lambda x: abs(x - peaks[k].spot) < {apart})) = 0 THEN list_append(taken, peaks[k].spot) ELSE taken END FROM chosen WHERE k <= len(peaks)),
+    filled AS (SELECT leaflet_id, list_sort(taken) AS places FROM chosen WHERE k = len(peaks) + 1 UNION ALL
+    SELECT leaflet_id, list_sort(list_append(places, CAST(widest.since + widest.wide // 2 AS BIGINT))) FROM (SELECT *, list_reverse_sort(list_transform(range(1, len(places)), lambda i: {{'wide': places[i + 1] - places[i], 'since': places[i]}}))[1] AS widest FROM filled WHERE len(places) <= {parts}) WHERE widest.wide >= 4),
+    most AS (SELECT leaflet_id, arg_max(places, len(places)) AS places FROM filled GROUP BY 1)
+    SELECT leaflet_id, CAST(i - 1 AS INT) AS divider, CAST(places[i] AS INT) AS at_step FROM (SELECT *, unnest(range(1, len(places) + 1)) AS i FROM most)"""
+
+
+for _name, _place, _size, _parts in (("rows", "bbox_y", "bbox_height", 4), ("columns", "bbox_x", "bbox_width", 3)):
+    add(
+        f"g7_{_name}_dividers", "texts",
+        lambda x, place=_place, size=_size, parts=_parts: r.dividers(r.covered(x.texts, place, size, 1000, 10, "leaflet_id"), parts + 1, 0.5 / parts, "leaflet_id"),
+        _dividers_sql(_place, _size, _parts),
+    )

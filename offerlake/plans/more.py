@@ -96,12 +96,6 @@ add(
 )
 add("g5_equal_grid", "", lambda x: g.grid(x.spark, 2480, 3508, 3, 5, 5), "SELECT i + 1 AS cell, i % 3 * 826 + 5 AS bbox_x, i // 3 * 701 + 5 AS bbox_y, CAST(816 AS INT) AS bbox_width, CAST(691 AS INT) AS bbox_height FROM range(15) r(i)")
 add("g6_even_cells", "products", lambda x: g.even_cells(x.products, "leaflet_id"), "SELECT leaflet_id, CAST(MAX(bbox_width) AS DOUBLE) / GREATEST(MIN(bbox_width), 1) <= 2.5 AND CAST(MAX(bbox_height) AS DOUBLE) / GREATEST(MIN(bbox_height), 1) <= 2.5 AS even FROM products GROUP BY 1")
-add(
-    "g8_columns_by_gaps", "products", lambda x: g.columns_by_gaps(x.products, 30, 100, 1000, "leaflet_id"),
-    """, edges AS (SELECT leaflet_id, unnest([bbox_x, bbox_x + bbox_width]) AS edge FROM products), gaps AS (SELECT * FROM (SELECT leaflet_id, edge, LEAD(edge) OVER (PARTITION BY leaflet_id ORDER BY edge) AS nxt FROM edges) WHERE nxt - edge > 30),
-    widest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leaflet_id ORDER BY nxt - edge DESC, edge) AS nth, COUNT(*) OVER (PARTITION BY leaflet_id) AS n FROM gaps) WHERE n >= 2 AND nth <= 5)
-    SELECT * FROM (SELECT leaflet_id, COALESCE(LAG(nxt) OVER (PARTITION BY leaflet_id ORDER BY edge), 0) AS start, edge AS stop FROM widest UNION ALL SELECT leaflet_id, MAX(nxt), 1000 FROM widest GROUP BY 1) WHERE stop - start > 100""",
-)
 add(
     "g15_grid_texts", "products", lambda x: g.grid_cells(x.products, 900, 1000, 3, 5).groupBy("leaflet_id", "page_number", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bbox_y", "bbox_x", "id", "product_name"))), lambda b: b["product_name"]), " ").alias("text")),
     """SELECT leaflet_id, page_number, CAST(LEAST(4, floor((bbox_y + bbox_height / 2) * 5 / 1000)) * 3 + LEAST(2, floor((bbox_x + bbox_width / 2) * 3 / 900)) AS INT) AS cell, string_agg(product_name, ' ' ORDER BY bbox_y, bbox_x, id) AS text FROM products GROUP BY 1, 2, 3""",
@@ -162,24 +156,6 @@ for op, value, sql in (("equals", "cold rod", "product_name = 'cold rod'"), ("en
 add("p9_live_messages", "audit", lambda x: x.audit.where(p.live("created_at", F.to_timestamp_ntz(F.lit("2024-01-20")), F.col("id") % 3 == 0, F.col("id") % 5 == 0)).select("id"), "SELECT id FROM audit WHERE created_at > TIMESTAMP '2024-01-20' AND id % 3 <> 0 AND id % 5 <> 0")
 
 
-def _ranges(x, place: str, size: str):
-    return g.columns_by_gaps(x.products.select("leaflet_id", F.col(place).alias("bbox_x"), F.col(size).alias("bbox_width")), 30, 100, 1000, "leaflet_id")
-
-
-def _ranges_sql(name: str, place: str, size: str) -> str:
-    return f"""{name}_edges AS (SELECT leaflet_id, unnest([{place}, {place} + {size}]) AS edge FROM products), {name}_gaps AS (SELECT * FROM (SELECT leaflet_id, edge, LEAD(edge) OVER (PARTITION BY leaflet_id ORDER BY edge) AS nxt FROM {name}_edges) WHERE nxt - edge > 30),
-    {name}_widest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leaflet_id ORDER BY nxt - edge DESC, edge) AS nth, COUNT(*) OVER (PARTITION BY leaflet_id) AS n FROM {name}_gaps) WHERE n >= 2 AND nth <= 5),
-    {name} AS (SELECT *, row_number() OVER (PARTITION BY leaflet_id ORDER BY start, stop) - 1 AS place FROM (SELECT leaflet_id, COALESCE(LAG(nxt) OVER (PARTITION BY leaflet_id ORDER BY edge), 0) AS start, edge AS stop FROM {name}_widest UNION ALL SELECT leaflet_id, MAX(nxt), 1000 FROM {name}_widest GROUP BY 1) WHERE stop - start > 100)"""
-
-
-def _first(name: str, middle: str) -> str:
-    return f"CAST(COALESCE((SELECT MIN(place) FROM {name} r WHERE r.leaflet_id = p.leaflet_id AND r.start <= {middle} AND {middle} < r.stop), 0) AS INT)"
-
-
-add(
-    "g9_cells_by_ranges", "products", lambda x: g.cells_by_ranges(x.products, _ranges(x, "bbox_x", "bbox_width"), _ranges(x, "bbox_y", "bbox_height"), "leaflet_id").select("id", F.col("column").alias("at_column"), F.col("row").alias("at_row")),
-    f", {_ranges_sql('across', 'bbox_x', 'bbox_width')}, {_ranges_sql('down', 'bbox_y', 'bbox_height')} SELECT id, {_first('across', 'p.bbox_x + p.bbox_width / 2')} AS at_column, {_first('down', 'p.bbox_y + p.bbox_height / 2')} AS at_row FROM products p",
-)
 SIDE = "GREATEST(0, LEAST(a.bbox_{0} + a.bbox_{1}, b.bbox_{0} + b.bbox_{1}) - GREATEST(a.bbox_{0}, b.bbox_{0}))"
 add(
     "g13_best_region", "products",

@@ -62,6 +62,19 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(l_partkey % 20 * 40 + 15 AS BIGINT) AS bbox_x, CAST(l_suppkey % 15 * 60 + 10 AS BIGINT) AS bbox_y, CAST(60 + p_size * 4 AS BIGINT) AS bbox_width, CAST(140 + l_partkey % 50 AS BIGINT) AS bbox_height
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_suppkey % 4 > 0""",
     ),
+    "texts": (  # boxes of text on a leaflet's sheet: a name, a price, a unit or the like of each line
+        ("lineitem", "part"),
+        """SELECT concat(id, '-', CAST(nth AS STRING)) AS id, leaflet_id,
+        CASE nth WHEN 1 THEN p_name WHEN 2 THEN CASE s % 3 WHEN 0 THEN concat(CAST(q AS STRING), ',99 €') WHEN 1 THEN '1⁹⁹' ELSE concat(CAST(q AS STRING), ',50') END
+        ELSE CASE k % 4 WHEN 0 THEN '500 g' WHEN 1 THEN '-20 %' WHEN 2 THEN 'ab' END END AS text,
+        CASE WHEN k % 37 > 0 THEN CAST(k % 20 * 40 + CASE nth WHEN 1 THEN 0 WHEN 2 THEN k % 3 * 30 ELSE 20 END AS BIGINT) END AS bbox_x,
+        CASE WHEN k % 37 > 0 THEN CAST(s % 15 * 60 + CASE nth WHEN 1 THEN 0 WHEN 2 THEN 40 + s % 4 * 20 ELSE 110 + s % 5 * 30 END AS BIGINT) END AS bbox_y,
+        CASE WHEN k % 37 > 0 THEN CAST(CASE nth WHEN 1 THEN 150 WHEN 2 THEN 80 ELSE 60 END AS BIGINT) END AS bbox_width,
+        CASE WHEN k % 37 > 0 THEN CAST(CASE nth WHEN 1 THEN 30 WHEN 2 THEN 40 ELSE 20 END AS BIGINT) END AS bbox_height
+        FROM (SELECT DISTINCT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+        CAST(CAST(l_quantity AS BIGINT) AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS id, l_orderkey AS leaflet_id, l_partkey AS k, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q, p_name
+        FROM {lineitem} JOIN {part} ON p_partkey = l_partkey) CROSS JOIN (SELECT 1 AS nth UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE nth = 1 OR nth = 2 AND k % 4 > 0 OR nth = 3 AND k % 5 > 0""",
+    ),
     "costs": (
         ("orders",),
         """SELECT o_orderkey AS leaflet_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INT) AS processed_at,
@@ -106,6 +119,7 @@ class Tables:
     products = cached_property(lambda self: self._adapted("products"))
     offers = cached_property(lambda self: self._adapted("offers"))
     regions = cached_property(lambda self: self._adapted("regions"))
+    texts = cached_property(lambda self: self._adapted("texts"))
     costs = cached_property(lambda self: self._adapted("costs"))
     audit = cached_property(lambda self: self._adapted("audit"))
     organizations = cached_property(lambda self: self._adapted("organizations"))
