@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sorting as s
 from ..sources import sinks
+from ..streaming import stateful as st
 from ..streaming import usage as u
 from .dashboards import CNT, add
 
@@ -20,11 +21,32 @@ add("r4_rate_windows_stream", "", lambda x: u.replay(u.rate_windows(u.events(x.s
     w AS (SELECT user_id, event_id, t, i, t AS opened, CAST(1 AS BIGINT) AS nth FROM e WHERE i = 1
     UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, CASE WHEN e.t >= w.opened + 86400 THEN e.t ELSE w.opened END, CASE WHEN e.t >= w.opened + 86400 THEN 1 ELSE w.nth + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
     SELECT user_id, event_id, nth, nth <= 3 AS allowed FROM w""")
-add("r9_budget_alerts_stream", "", lambda x: u.replay(u.budget_alerts(u.events(x.spark, x.sf_dir), 20_000, 3600, 3), "append"), """WITH RECURSIVE e AS (SELECT user_id % 10 AS o, strftime(ts, '%Y-%m-%d') AS day, event_id, epoch(ts) AS t, CAST(SUM(CAST(round(abs(value) * 100) AS BIGINT)) OVER w AS BIGINT) AS spent, row_number() OVER w AS i FROM events
-    WINDOW w AS (PARTITION BY user_id % 10, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id)), c AS (SELECT *, row_number() OVER (PARTITION BY o, day ORDER BY i) AS k FROM e WHERE spent >= 20000),
-    walked AS (SELECT o, day, event_id, spent, k, t AS last, 1 AS fired, TRUE AS fires FROM c WHERE k = 1 UNION ALL SELECT c.o, c.day, c.event_id, c.spent, c.k, CASE WHEN f THEN c.t ELSE last END, CASE WHEN f THEN fired + 1 ELSE fired END, f
-    FROM (SELECT c.*, w.last, w.fired, w.fired < 3 AND c.t - w.last >= 3600 AS f FROM walked w JOIN c ON c.o = w.o AND c.day = w.day AND c.k = w.k + 1) c)
-    SELECT o AS organization_id, day, event_id, spent FROM walked WHERE fires""")
+add("r9_budget_alerts_stream", "", lambda x: u.replay(st.budget_alerts(u.events(x.spark, x.sf_dir), 20_000, 3600, 3), "append"), """WITH RECURSIVE e AS (SELECT user_id % 10 AS o, strftime(ts, '%Y-%m-%d') AS day, event_id, epoch_us(ts) AS t, CAST(SUM(CAST(round(abs(value) * 100) AS BIGINT)) OVER w AS BIGINT) AS spent FROM events
+    WINDOW w AS (PARTITION BY user_id % 10, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id)), c AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY t, event_id) AS k FROM e WHERE spent >= 20000),
+    walked AS (SELECT o, day, event_id, spent, k, t AS last, day AS last_day, 1 AS fired, TRUE AS fires FROM c WHERE k = 1 UNION ALL SELECT o, day, event_id, spent, k, CASE WHEN f THEN t ELSE last END, CASE WHEN f THEN day ELSE last_day END, CASE WHEN NOT f THEN fired WHEN day = last_day THEN fired + 1 ELSE 1 END, f
+    FROM (SELECT c.*, w.last, w.last_day, w.fired, w.fired < 3 AND c.t - w.last >= 3600000000 AS f FROM walked w JOIN c ON c.o = w.o AND c.k = w.k + 1))
+    SELECT o AS organization_id, event_id, spent, fired < 3 AS active FROM walked WHERE fires""")
+add(
+    "r1_latest_with_lifetime", "", lambda x: u.replay(st.latest_alive(u.events(x.spark, x.sf_dir), 1800), keys=["user_id"]).where("live").drop("live"),
+    "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id HAVING MAX(ts) + INTERVAL 30 MINUTE > (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)",
+)
+add(
+    "r3_replayed_histories", "", lambda x: u.replay(st.replayed(u.events(x.spark, x.sf_dir), F.col("user_id"), F.col("event_type") == "signup"), "append"),
+    """SELECT user_id AS channel, join_id, sent[i] AS event_id, i AS nth FROM (SELECT *, unnest(range(1, len(sent) + 1)) AS i FROM (SELECT user_id, event_id AS join_id, (list(event_id) FILTER (event_type <> 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))[-10:] AS sent, event_type FROM events) WHERE event_type = 'signup')""",
+)
+FAILS = "CASE WHEN event_type = 'error' THEN event_id % 6 ELSE 0 END"
+add(
+    "r10_deliveries_stream", "", lambda x: u.replay(st.deliveries(u.events(x.spark, x.sf_dir), F.col("user_id") % 40, F.expr(FAILS), 2, 7_200, 2), "append"),
+    f"""WITH RECURSIVE d AS (SELECT user_id % 40 AS hook, event_id AS id, epoch_us(ts) AS t, {FAILS} AS fails, epoch_us(ts) + CASE LEAST({FAILS}, 2) WHEN 0 THEN 0 WHEN 1 THEN 7200000000 ELSE 21600000000 END AS ends FROM events),
+    moments AS (SELECT *, row_number() OVER (PARTITION BY hook ORDER BY at_us, begins, id) AS k FROM (SELECT hook, id, t AS at_us, TRUE AS begins, fails FROM d UNION ALL SELECT hook, id, ends, FALSE, fails FROM d WHERE fails > 0)),
+    walk AS (SELECT hook, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS failures, TRUE AS active, CAST([] AS BIGINT[]) AS skipped, CAST(NULL AS BIGINT) AS id, FALSE AS taken FROM moments WHERE k = 1 UNION ALL
+    SELECT hook, k, CASE WHEN (begins AND NOT active) OR list_contains(skipped, id) THEN failures WHEN begins AND fails = 0 OR NOT begins AND fails < 3 THEN 0 WHEN NOT begins THEN failures + 1 ELSE failures END,
+    active AND NOT (NOT begins AND fails >= 3 AND NOT list_contains(skipped, id) AND failures + 1 >= 2), CASE WHEN begins AND NOT active AND fails > 0 THEN list_append(skipped, id) ELSE skipped END, CASE WHEN begins THEN id END, active
+    FROM (SELECT m.*, w.failures, w.active, w.skipped FROM walk w JOIN moments m ON m.hook = w.hook AND m.k = w.k + 1)),
+    told AS (SELECT d.*, taken FROM walk JOIN d USING (hook, id) WHERE id IS NOT NULL), seen AS (SELECT hook, GREATEST(MAX(t), (SELECT epoch_us(MAX(ts) - INTERVAL 1 HOUR) FROM events)) AS until FROM d GROUP BY 1),
+    attempts AS (SELECT hook, id, a AS attempt, t + CASE a WHEN 1 THEN 0 WHEN 2 THEN 7200000000 ELSE 21600000000 END AS us, CASE WHEN a > fails THEN 'success' WHEN a < 3 THEN 'retry' ELSE 'failed' END AS outcome FROM (SELECT *, unnest(range(1, LEAST(fails, 2) + 2)) AS a FROM told WHERE taken)
+    UNION ALL SELECT hook, id, 0, t, 'skipped' FROM told WHERE NOT taken) SELECT a.hook, id AS delivery_id, attempt, us, outcome FROM attempts a JOIN seen USING (hook) WHERE us <= until""",
+)
 add(
     "r1_live_events", "audit", lambda x: u.live_latest(x.audit.groupBy("user_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.max("created_at").alias("ts")), 86_400, F.lit("2024-01-30").cast("timestamp_ntz")).select("user_id", "id"),
     "SELECT user_id, arg_max(id, (created_at, id)) AS id FROM audit GROUP BY user_id HAVING MAX(created_at) >= TIMESTAMP '2024-01-29'",

@@ -1,10 +1,11 @@
-"""Event streams: hourly usage, latest progress, rate windows from a key's first event, budget alerts with cooldown."""
+"""Event streams: hourly usage, latest progress, rate windows from a key's first event; counters and retention."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,13 +17,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 FILES = 8
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
     """The events as a file stream. Their times have no zone; watermarks need one, so they are read as UTC."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/events.parque[t]")
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which operators with several kinds of state and timers need."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def replay(stream: DataFrame, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
     """All that a stream gives on what is there now, as a table: by key the row of the last batch, if there are keys.
     Batches go to Parquet under their number, so that a batch that is repeated after a failure replaces itself."""
@@ -38,8 +51,9 @@ def replay(stream: DataFrame, mode: str = "update", keys: list[str] | None = Non
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start()
-    query.awaitTermination()
+    with state_store(spark):
+        query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).start()
+        query.awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     if keys:
         last = Window.partitionBy(*keys).orderBy(F.desc("batch"))
@@ -99,32 +113,6 @@ def rate_windows(stream: DataFrame, seconds: int, limit: int, late: str = "1 hou
     return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, nth long, allowed boolean", "opened double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def budget_alerts(stream: DataFrame, threshold: int, cooldown: int = 3600, per_day: int = 10, late: str = "1 hour") -> DataFrame:
-    """(organization_id, day, event_id, spent): alerts when a day's spending, in hundredths, is at the threshold or more, at
-    least `cooldown` seconds apart; with the `per_day`-th the day's alert is switched off. The state is of an organization
-    and day, so a busy organization's days are in different tasks, and it ends when the watermark has passed the day."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        spent, fired, last = state.get if state.exists else (0, 0, 0.0)
-        rows = pd.concat([b[["ts", "event_id", "cents"]] for b in batches]).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, now, cents in zip(rows["event_id"], rows["ts"].map(pd.Timestamp.timestamp), rows["cents"], strict=True):
-            spent += int(cents)
-            if spent >= threshold and fired < per_day and (not fired or now - last >= cooldown):
-                out.append((*key, event_id, spent))
-                fired, last = fired + 1, now
-        state.update((spent, fired, last))
-        _until(state, pd.Timestamp(key[1], tz="UTC").timestamp() + 86_400)
-        yield pd.DataFrame(out, columns=["organization_id", "day", "event_id", "spent"])
-
-    cents = F.round(F.abs("value") * 100).cast("long")
-    keyed = stream.select("ts", "event_id", (F.col("user_id") % 10).alias("organization_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), cents.alias("cents")).withWatermark("ts", late)
-    return keyed.groupBy("organization_id", "day").applyInPandasWithState(run, "organization_id long, day string, event_id long, spent long", "spent long, fired long, last double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def live_latest(latest_rows: DataFrame, seconds: int, as_of: Column) -> DataFrame:
     """The latest rows that are not older than their lifetime."""
     return latest_rows.where(F.col("ts") >= as_of - F.make_interval(secs=F.lit(seconds)))
