@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import sorting as s
 from ..sources import sinks
+from ..sources.shared import new_folder
 from ..streaming import stateful as st
+from ..streaming import upsert as up
 from ..streaming import usage as u
 from .dashboards import CNT, add
 
@@ -90,6 +92,32 @@ add(
     f"SELECT usage_date, usage_hour, {CNT} AS n, CAST(COUNT(*) FILTER (WHERE status = 'error') AS BIGINT) AS errors, CASE WHEN COUNT(*) FILTER (WHERE status = 'error') > 0.5 * COUNT(*) THEN 'high' ELSE 'medium' END AS severity FROM audit GROUP BY 1, 2 HAVING COUNT(*) > 10 AND COUNT(*) FILTER (WHERE status = 'error') > 0.2 * COUNT(*)", "usage_date",
 )
 add("r15_retention", "audit", lambda x: u.kept(x.audit, "usage_date", "2024-01-30", 10, True).select("id"), "SELECT id FROM audit WHERE usage_date >= DATE '2024-01-20' OR status = 'error'")
+
+
+def _upserted(x):
+    path = new_folder(x.spark, "usage")
+    stream = u.events(x.spark, x.sf_dir).writeStream.foreachBatch(lambda batch, number: up.upsert(batch, number, f"{path}/table"))
+    stream.trigger(availableNow=True).option("checkpointLocation", f"{path}/check").start().awaitTermination()
+    return up.with_mean(up.current(x.spark, f"{path}/table"))
+
+
+def _rolled(x):
+    path = new_folder(x.spark, "rollups")
+    for query in up.scheduled(u.events(x.spark, x.sf_dir), x.raw("events"), path, once=True):
+        query.awaitTermination()
+    parts = [x.spark.read.parquet(f"{path}/{job}").select(F.lit(job).alias("job"), "start", "organization_id", "requests", "errors", "tokens") for job in up.SCHEDULES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+add(
+    "r6_usage_upserts", "", _upserted,
+    f"""SELECT user_id % 10 AS organization_id, event_id % 5 AS provider_id, CAST(ts AS DATE) AS usage_date, CAST(extract(hour FROM ts) AS BIGINT) AS usage_hour, {CNT} AS requests, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens,
+    CAST(SUM(CASE WHEN event_id % 7 > 0 THEN event_id % 100 END) AS DOUBLE) / 100 / COUNT(CASE WHEN event_id % 7 > 0 THEN 1 END) AS average_confidence FROM events GROUP BY 1, 2, 3, 4""", "usage_date",
+)
+add(
+    "r14_scheduled_rollups", "", _rolled,
+    " UNION ALL ".join(f"SELECT '{job}' AS job, CAST(floor(epoch(ts) / {s}) * {s} AS BIGINT) AS start, user_id % 10 AS organization_id, {CNT} AS requests, CAST(COUNT(*) FILTER (event_type = 'error') AS BIGINT) AS errors, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2, 3" for job, s in up.SCHEDULES.items()),
+)
 human = lambda: [F.concat(F.lit("LEAF_"), "id").alias("human_id"), F.concat(F.col("retailer"), F.lit(".pdf")).alias("filename"), F.when(F.col("id") % 2 == 0, "EUR").alias("currency")]
 add(
     "snk4_product_rows", "offers leaflets", lambda x: sinks.product_rows(x.offers, x.leaflets.select("id", *human()), "url"),

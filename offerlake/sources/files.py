@@ -18,6 +18,17 @@ def listed(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).where(name.startswith(prefix))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    own, system = _system(spark, path)
+    return bool(system.exists(own))
+
+
+def get(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
+    """(path, data) of the files below a folder whose name begins with the prefix."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.where(F.element_at(F.split("path", "/"), -1).startswith(prefix)).select("path", F.col("content").alias("data"))
+
+
 def remove(spark: SparkSession, paths: list[str]) -> int:
     """Deletes files; returns how many there were. Those already gone are no error."""
     gone = 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,13 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import new_folder
+
 
 #: Files that a micro-batch reads, which bounds what one of a key's groups brings to a task. Files are in order of time.
 FILES = 8
 
 
 def events(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
-    """The events as a file stream. Their times have no zone; watermarks need one, so they are read as UTC."""
+    """The events as a file stream, the oldest file first. Their times have no zone; watermarks need one, so they are read as
+    UTC. Rows behind an operator's watermark are lost to it: files must be in order of time, as far as its `late` does not
+    cover them."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -40,13 +42,7 @@ def replay(stream: DataFrame, mode: str = "update", keys: list[str] | None = Non
     """All that a stream gives on what is there now, as a table: by key the row of the last batch, if there are keys.
     Batches go to Parquet under their number, so that a batch that is repeated after a failure replaces itself."""
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="offerlake-"))
-    folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
