@@ -229,3 +229,36 @@ def moving_average(df: DataFrame, value: str, reach: int, order: str, *by: str)
     """df plus average: over `reach` rows to either side; rows beyond the ends count as 0."""
     near = Window.partitionBy(*by).orderBy(order).rowsBetween(-reach, reach)
     return df.withColumn("average", F.sum(value).over(near).cast("double") / (2 * reach + 1))
+
+
+def average_cost(costs: DataFrame, leaflets: DataFrame) -> DataFrame:
+    """Sums of a period's costs, and their mean over the period's leaflets, those without costs too; 0 leaflets count as one."""
+    sums = costs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("total_cost", "cost"), ("input_tokens", "input_tokens"), ("output_tokens", "output_tokens"))])
+    both = sums.join(F.broadcast(leaflets.agg(F.count("*").alias("leaflets"))))  # one row each
+    return both.withColumn("average", F.bround(F.col("cost").cast("double") / F.greatest(F.col("leaflets"), F.lit(1)), 4))
+
+
+def products_per_leaflet(products: DataFrame, leaflets: DataFrame) -> DataFrame:
+    both = products.agg(F.count("*").alias("products")).join(F.broadcast(leaflets.agg(F.count("*").alias("leaflets"))))  # one row each
+    return both.withColumn("mean", F.bround(F.col("products").cast("double") / F.greatest(F.col("leaflets"), F.lit(1)), 1))
+
+
+def by_user(owners: DataFrame, leaflets: DataFrame, products: DataFrame) -> DataFrame:
+    """By user of owners (id of a leaflet, user_id): organizations, leaflets, products and cost; products are counted by leaflet
+    first, so that no leaflet counts twice."""
+    counts = products.groupBy(F.col("leaflet_id").alias("id")).agg(F.count("*").alias("n"))
+    own = owners.join(leaflets, "id").join(counts, "id", "left")
+    return own.groupBy("user_id").agg(F.count_distinct("organization_id").alias("organizations"), F.count("*").alias("leaflets"), F.sum(F.coalesce("n", F.lit(0))).alias("products"), F.sum("processing_cost").alias("cost"))
+
+
+def organization_report(audit: DataFrame, least: float) -> DataFrame:
+    """Organizations that cost `least` or more: requests, cost, and lists of providers (by cost) and of days with their mean cost.
+    Lists have a row for each provider or day, counted before they are gathered."""
+    n, cost = F.count("*").alias("n"), F.sum("cost")
+    days = audit.groupBy("organization_id", "usage_date").agg(n, cost.alias("day_cost"))
+    day = F.struct("usage_date", "n", "day_cost", (F.col("day_cost").cast("double") / F.col("n").cast("double")).alias("mean"))
+    by_day = days.groupBy("organization_id").agg(F.sum("n").alias("requests"), F.sum("day_cost").alias("cost"), F.array_sort(F.collect_list(day)).alias("days")).where(F.col("cost") >= least)
+    providers = audit.groupBy("organization_id", "provider_id").agg(n, cost.alias("provider_cost"))
+    provider = F.struct((-F.col("provider_cost")).alias("order"), F.struct("provider_id", "n", "provider_cost").alias("p"))
+    by_provider = providers.groupBy("organization_id").agg(F.transform(F.array_sort(F.collect_list(provider)), lambda x: x["p"]).alias("providers"))
+    return by_day.join(by_provider, "organization_id")

@@ -63,7 +63,8 @@ def split_candidates(products: DataFrame, page_height: int, least: int = 50) ->
 
 def merged(products: DataFrame, pairs: DataFrame) -> DataFrame:
     """One product for each pair (first_id, second_id): the first's values where it has any (0 and empty texts are none),
-    boxes joined with heights added, the mean of both confidences, flags of both but those of splitting."""
+    boxes joined with heights added (the one there is, if a part has none), the mean of both confidences, each field's higher one (0
+    is none), flags of both but those of splitting."""
     a, b = products.alias("a"), products.alias("b")
     both = pairs.join(a, F.col("first_id") == F.col("a.id")).join(b, F.col("second_id") == F.col("b.id"))
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
@@ -75,21 +76,28 @@ def merged(products: DataFrame, pairs: DataFrame) -> DataFrame:
     one, two = F.nullif(x("confidence"), F.lit(0)).cast("double"), F.nullif(y("confidence"), F.lit(0)).cast("double")
     right = F.greatest(x("bbox_x") + x("bbox_width"), y("bbox_x") + y("bbox_width"))
     left = F.least(x("bbox_x"), y("bbox_x"))
+    higher = lambda c: F.nullif(F.greatest(F.coalesce(x(c), F.lit(0)), F.coalesce(y(c), F.lit(0))), F.lit(0))
+    fields = {c: higher(c) for c in products.columns if c.endswith("_confidence") and c != "category_confidence"}
+    box = lambda joined, c: F.when(x("bbox_x").isNull() | y("bbox_x").isNull(), F.coalesce(x(c), y(c))).otherwise(joined).alias(c)
     flags = F.array_except(F.array_union(flag_list(x("flags")), flag_list(y("flags"))), F.array(*map(F.lit, SPLIT_FLAGS)))
-    made = either | {
+    made = either | fields | {
         "id": F.concat("first_id", F.lit("+"), "second_id"), "confidence": F.coalesce((one + two) / 2, one, two), "category_confidence": F.greatest(x("category_confidence"), y("category_confidence")),
-        "bbox_x": left, "bbox_y": x("bbox_y"), "bbox_width": right - left, "bbox_height": x("bbox_height") + y("bbox_height"), "flags": F.array_join(F.array_sort(F.array_append(flags, "merged_from_split")), ","),
+        "bbox_x": box(left, "bbox_x"), "bbox_y": box(x("bbox_y"), "bbox_y"), "bbox_width": box(right - left, "bbox_width"), "bbox_height": box(x("bbox_height") + y("bbox_height"), "bbox_height"), "flags": F.array_join(F.array_sort(F.array_append(flags, "merged_from_split")), ","),
     }
     return both.select(*[(made[c] if c in made else x(c)).alias(c) for c in products.columns])
 
 
 def reconciled(products: DataFrame, page_height: int) -> DataFrame:
     """Splits merged and put after the rest (a product may be part of several), then the best on each page, the first
-    in each cell, and the clean-up, in this order. Ties follow page and id, merged products last."""
+    in each cell, and the clean-up, in this order. With a part go all products of its page that are equal to it in everything but
+    their id. Ties follow page and id, merged products last."""
     pairs = split_candidates(products, page_height).where(F.col("points") >= MERGE_POINTS).select("first_id", "second_id")
     own = products.withColumn("confidence", F.col("confidence").cast("double"))
-    parts = pairs.select(F.explode(F.array("first_id", "second_id")).alias("id"))
-    rest = own.join(parts, "id", "left_anti").select(*own.columns, F.lit(0).alias("_late"))
+    values = [c for c in own.columns if c != "id"]
+    ids = pairs.select(F.explode(F.array("first_id", "second_id")).alias("id")).distinct()
+    parts = own.join(ids, "id", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in values])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in values]
+    rest = own.join(parts, same, "left_anti").select(*own.columns, F.lit(0).alias("_late"))
     every = rest.unionByName(merged(own, pairs).withColumn("_late", F.lit(1)))
     order = ("_late", "page_number", "id")
     return sanitized(first_in_cell(best_on_page(every, *order), *order)).drop("_late")

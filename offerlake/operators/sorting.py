@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 
 def key(column: str, direction: str = "asc") -> Column:
     return F.col(column).desc_nulls_first() if direction == "desc" else F.col(column).asc_nulls_last()
@@ -45,10 +47,14 @@ def in_given_order(df: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
     return df.join(F.broadcast(wanted), id_col).orderBy("position")
 
 
-def client_sort(df: DataFrame, column: str, *ties: str) -> DataFrame:
+def client_key(column: str) -> list[Column]:
     """Numbers by value, then other texts by their characters; nulls are empty texts."""
     number = F.col(column).try_cast("double")
-    return df.orderBy(number.isNull(), number, F.coalesce(column, F.lit("")), *ties)
+    return [number.isNull(), number, F.coalesce(column, F.lit(""))]
+
+
+def client_sort(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    return df.orderBy(*client_key(column), *ties)
 
 
 def within_budget(providers: DataFrame) -> DataFrame:
@@ -56,3 +62,18 @@ def within_budget(providers: DataFrame) -> DataFrame:
     under = lambda spent, budget: F.col(budget).isNull() | (F.col(spent) < F.col(budget))
     free = providers.where(F.col("is_active") & under("month_spent", "monthly_budget") & under("day_spent", "daily_budget") & (F.col("hour_requests") < F.col("max_requests_per_hour")))
     return free.orderBy(key("priority"), F.desc("is_default"), F.desc("created_at"), key("id")).limit(1)
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df plus place, from 1, in an order of all rows: ranges of the order are dealt to partitions and counted, and a row's place
+    is its number in the partition after the rows of those before (one row a partition). Rows that are equal in the order are
+    numbered as they come."""
+    path = new_folder(df.sparkSession, "ordered")
+    part = F.spark_partition_id().alias("_part")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part, F.monotonically_increasing_id().alias("_at"))
+    dealt.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", "_first", before.alias("_before"))
+    return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")

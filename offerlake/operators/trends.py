@@ -69,3 +69,9 @@ def end_bound(text: Column, default: str) -> Column:
     day = F.try_to_timestamp(F.concat(text, F.lit(" 23:59:59")), F.lit("yyyy-MM-dd HH:mm:ss"))
     moment = F.replace(F.replace(text, F.lit("Z"), F.lit("")), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
     return F.coalesce(F.when(F.length(text) == 10, day.cast("timestamp_ntz")).otherwise(moment), F.lit(default).cast("timestamp_ntz"))
+
+
+def range_label(first: Column, last: Column) -> Column:
+    """Jan 01 – Jan 31, 2024; the first year is named where month or year differ."""
+    alike = F.date_trunc("month", first) == F.date_trunc("month", last)
+    return F.concat(F.when(alike, F.date_format(first, "MMM dd")).otherwise(F.date_format(first, "MMM dd, yyyy")), F.lit(" – "), F.date_format(last, "MMM dd, yyyy"))

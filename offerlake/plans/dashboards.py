@@ -278,3 +278,29 @@ add(
 )
 add("t2_same_day_costs", "leaflets costs", lambda x: t.same_day_costs(x.leaflets, x.costs), "SELECT created_at AS day, SUM(total_cost) AS cost FROM leaflets JOIN costs ON leaflet_id = id AND processed_at = created_at GROUP BY 1", "day")
 add("t10_week_labels", "audit", lambda x: a.grouped(x.audit, t.week_label("usage_date").alias("week"), n=F.count("*")), f"SELECT strftime(date_trunc('week', usage_date), '%Y-W%U') AS week, {CNT} AS n FROM audit GROUP BY 1")
+
+# figures whose terms come from two tables, each summed by itself first
+STATES = "CASE WHEN id % 7 = 0 THEN 'extracting' WHEN id % 11 = 0 THEN 'processing' ELSE status END"
+add("a2_leaflet_states", "leaflets", lambda x: p.tenant(x.leaflets, 3).withColumn("status", F.expr(STATES)).agg(F.count_if(F.col("status").isin("processing", "extracting")).alias("processing"), F.count_if(F.col("status") == "completed").alias("completed")), f"SELECT {n_if(f"{STATES} IN ('processing', 'extracting')")} AS processing, {n_if(f"{STATES} = 'completed'")} AS completed FROM leaflets WHERE organization_id = 3")
+add(
+    "a4_average_cost", "costs leaflets",
+    lambda x: a.average_cost(p.tenant_by_leaflet(x.costs, x.leaflets, 3).where(p.days("processed_at", FIRST, LAST)), p.tenant(x.leaflets, 3).where(period())),
+    f"""SELECT cost, input_tokens, output_tokens, leaflets, round_even(CAST(cost AS DOUBLE) / GREATEST(leaflets, 1), 4) AS average FROM (SELECT COALESCE(SUM(total_cost), 0) AS cost, CAST(COALESCE(SUM(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(COALESCE(SUM(output_tokens), 0) AS BIGINT) AS output_tokens FROM costs
+    WHERE leaflet_id IN (SELECT id FROM leaflets WHERE organization_id = 3) AND {PERIOD.replace("created_at", "processed_at")}), (SELECT {CNT} AS leaflets FROM leaflets WHERE organization_id = 3 AND {PERIOD})""",
+)
+add(
+    "a15_products_per_leaflet", "leaflets products", lambda x: a.products_per_leaflet(x.products, x.leaflets),
+    f"SELECT products, leaflets, round_even(CAST(products AS DOUBLE) / GREATEST(leaflets, 1), 1) AS mean FROM (SELECT {CNT} AS products FROM products), (SELECT {CNT} AS leaflets FROM leaflets)",
+)
+add(
+    "a16_users", "leaflets products", lambda x: a.by_user(x.raw("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id")), x.leaflets, x.products),
+    f"""SELECT o_custkey AS user_id, CAST(COUNT(DISTINCT organization_id) AS BIGINT) AS organizations, {CNT} AS leaflets, CAST(SUM(COALESCE(n, 0)) AS BIGINT) AS products, SUM(processing_cost) AS cost FROM orders JOIN leaflets l ON l.id = o_orderkey LEFT JOIN (SELECT leaflet_id, COUNT(*) AS n FROM products GROUP BY 1) p ON p.leaflet_id = l.id GROUP BY 1""",
+)
+add(
+    "a23_organization_days", "audit", lambda x: a.organization_report(x.audit, 100).select("organization_id", "requests", "cost", F.size("providers").alias("n_providers"), F.explode("days").alias("d")).select("organization_id", "requests", "cost", "n_providers", "d.*"),
+    f"""SELECT organization_id, requests, cost, n_providers, usage_date, n, day_cost, CAST(day_cost AS DOUBLE) / CAST(n AS DOUBLE) AS mean FROM (SELECT organization_id, {CNT} AS requests, SUM(cost) AS cost, CAST(COUNT(DISTINCT provider_id) AS INT) AS n_providers FROM audit GROUP BY 1 HAVING SUM(cost) >= 100) JOIN (SELECT organization_id, usage_date, {CNT} AS n, SUM(cost) AS day_cost FROM audit GROUP BY 1, 2) USING (organization_id)""", "usage_date",
+)
+add(
+    "a23_organization_providers", "audit", lambda x: a.organization_report(x.audit, 100).select("organization_id", F.explode("providers").alias("d")).select("organization_id", "d.*"),
+    f"SELECT organization_id, provider_id, {CNT} AS n, SUM(cost) AS provider_cost FROM audit WHERE organization_id IN (SELECT organization_id FROM audit GROUP BY 1 HAVING SUM(cost) >= 100) GROUP BY 1, 2",
+)

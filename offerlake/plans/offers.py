@@ -33,11 +33,11 @@ def _either(column: str) -> str:
 GOES_ON = "b.product_name <> '' AND b.product_name <> a.product_name AND NOT starts_with(lower(b.product_name), substring(lower(a.product_name), 1, 10))"
 MERGED = f""", chosen AS (SELECT * FROM pairs WHERE points >= {r.MERGE_POINTS}), merged AS (SELECT concat(a.id, '+', b.id) AS id, a.leaflet_id, a.page_number, CASE WHEN {GOES_ON} THEN trim(concat(a.product_name, ' ', b.product_name)) ELSE a.product_name END AS product_name,
     {", ".join(_either(c) for c in (*r.TEXTS, *r.NUMBERS) if c != "product_name")}, COALESCE((CAST(NULLIF(a.confidence, 0) AS DOUBLE) + CAST(NULLIF(b.confidence, 0) AS DOUBLE)) / 2, CAST(NULLIF(a.confidence, 0) AS DOUBLE), CAST(NULLIF(b.confidence, 0) AS DOUBLE)) AS confidence,
-    CASE WHEN a.category_confidence IS NULL THEN b.category_confidence WHEN b.category_confidence IS NULL THEN a.category_confidence ELSE GREATEST(a.category_confidence, b.category_confidence) END AS category_confidence,
+    CASE WHEN a.category_confidence IS NULL THEN b.category_confidence WHEN b.category_confidence IS NULL THEN a.category_confidence ELSE GREATEST(a.category_confidence, b.category_confidence) END AS category_confidence, NULLIF(GREATEST(COALESCE(a.brand_confidence, 0), COALESCE(b.brand_confidence, 0)), 0) AS brand_confidence,
     LEAST(a.bbox_x, b.bbox_x) AS bbox_x, a.bbox_y, GREATEST(a.bbox_x + a.bbox_width, b.bbox_x + b.bbox_width) - LEAST(a.bbox_x, b.bbox_x) AS bbox_width, a.bbox_height + b.bbox_height AS bbox_height,
     array_to_string(list_sort(list_append(list_filter(list_distinct(list_concat({FLAGS.format("a")}, {FLAGS.format("b")})), lambda f: f NOT IN ({", ".join(repr(f) for f in r.SPLIT_FLAGS)})), 'merged_from_split')), ',') AS flags
     FROM chosen JOIN placed a ON a.id = first_id JOIN placed b ON b.id = second_id) """
-OUT = "id leaflet_id page_number product_name brand product_code category currency units regular_price discounted_price discount_percentage quantity confidence category_confidence bbox_x bbox_y bbox_width bbox_height flags".split()
+OUT = "id leaflet_id page_number product_name brand product_code category currency units regular_price discounted_price discount_percentage quantity confidence category_confidence brand_confidence bbox_x bbox_y bbox_width bbox_height flags".split()
 COLUMNS = ", ".join(OUT)
 PRICE = "COALESCE(NULLIF(discounted_price, 0), NULLIF(regular_price, 0), 0)"
 SPACED = "trim(regexp_replace(lower(product_name), '\\s+', ' ', 'g'))"
@@ -70,7 +70,7 @@ add("d6_first_in_cell", "offers", lambda x: r.first_in_cell(x.offers).select("id
 add("d7_sanitize", "offers", lambda x: r.sanitized(x.offers).select("id", "regular_price", "discounted_price", "discount_percentage"), f"SELECT id, regular_price, discounted_price, discount_percentage FROM ({clean('offers')})")
 add(
     "d8_reconcile", "offers", lambda x: r.reconciled(x.offers, 1000).select(OUT),
-    PAIRS + MERGED + f""", every AS (SELECT {", ".join(c if c != "confidence" else "CAST(confidence AS DOUBLE) AS confidence" for c in OUT)}, 0 AS late FROM offers WHERE id NOT IN (SELECT first_id FROM chosen UNION ALL SELECT second_id FROM chosen) UNION ALL SELECT {COLUMNS}, 1 AS late FROM merged),
+    PAIRS + MERGED + f""", every AS (SELECT {", ".join(c if c != "confidence" else "CAST(confidence AS DOUBLE) AS confidence" for c in OUT)}, 0 AS late FROM offers WHERE concat_ws('|', {", ".join(f"COALESCE(CAST({c} AS VARCHAR), '~')" for c in OUT if c != "id")}) NOT IN (SELECT concat_ws('|', {", ".join(f"COALESCE(CAST({c} AS VARCHAR), '~')" for c in OUT if c != "id")}) FROM offers WHERE id IN (SELECT first_id FROM chosen UNION ALL SELECT second_id FROM chosen)) UNION ALL SELECT {COLUMNS}, 1 AS late FROM merged),
     best AS (SELECT * FROM (SELECT *, row_number() OVER ({BEST}, late, page_number, id) AS k FROM every) WHERE k = 1), cells AS (SELECT * FROM (SELECT * REPLACE (row_number() OVER ({CELL} ORDER BY late, page_number, id) AS k) FROM best) WHERE k = 1)
     SELECT {COLUMNS} FROM ({clean("cells")})""",
 )

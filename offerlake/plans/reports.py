@@ -86,8 +86,9 @@ for column in ("status", "provider_id", "organization_id"):
     add(f"a26_by_{column}", "audit", lambda x, column=column: a.grouped(x.audit, column, n=F.count("*"), cost=F.sum("cost")), f"SELECT {column}, {CNT} AS n, SUM(cost) AS cost FROM audit GROUP BY 1")
 BY_IP = f"SELECT request_ip, {CNT} AS requests, {n_if("status = 'error'")} AS failures, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users FROM audit GROUP BY 1"
 BY_USER = f"SELECT user_id, {CNT} AS requests, {n_if("status = 'error'")} AS failures, CAST(COUNT(DISTINCT request_ip) AS BIGINT) AS addresses FROM audit GROUP BY 1"
+SHARED_IP, FAILING = "CASE WHEN user_id % 40 < 5 THEN '10.0.0.200' ELSE request_ip END", "CASE WHEN user_id % 40 = 39 THEN 'error' ELSE status END"  # planted: one address of many users, one whose requests all fail
 add(
-    "a27_addresses", "audit", lambda x: a.flagged_addresses(x.audit), f"SELECT request_ip, requests, CASE WHEN failures * 100.0 / requests > 50 AND requests > 10 THEN 'High failure rate' ELSE 'Multiple users from same IP' END AS reason FROM ({BY_IP}) WHERE (failures * 100.0 / requests > 50 AND requests > 10) OR users > 10",
+    "a27_addresses", "audit", lambda x: a.flagged_addresses(x.audit.withColumns({"request_ip": F.expr(SHARED_IP), "status": F.expr(FAILING)})), f"SELECT request_ip, requests, CASE WHEN failures * 100.0 / requests > 50 AND requests > 10 THEN 'High failure rate' ELSE 'Multiple users from same IP' END AS reason FROM ({BY_IP.replace('FROM audit', f'FROM (SELECT * REPLACE ({SHARED_IP} AS request_ip, {FAILING} AS status) FROM audit)')}) WHERE (failures * 100.0 / requests > 50 AND requests > 10) OR users > 10",
 )
 add("a27_top_addresses", "audit", lambda x: s.top(a.grouped(x.audit, "request_ip", requests=F.count("*")), 10, "requests", "request_ip"), f"SELECT request_ip, requests FROM ({BY_IP}) ORDER BY requests DESC, request_ip LIMIT 10")
 add("a27_users", "audit", lambda x: a.flagged_users(x.audit), f"SELECT user_id, requests, CASE WHEN addresses > 5 THEN 'Multiple IP addresses' ELSE 'High failure rate' END AS reason FROM ({BY_USER}) WHERE addresses > 5 OR (failures * 100.0 / requests > 30 AND requests > 5)")
@@ -100,9 +101,10 @@ add(
     "a27_hour_of_day_spikes", "audit", lambda x: a.spikes(a.grouped(x.audit.withColumn("i", F.explode(F.sequence(F.lit(1), F.when(F.col("usage_hour") == 13, 4).otherwise(1)))), "usage_hour", n=F.count("*")), "n", 3),
     f"SELECT usage_hour, n FROM (SELECT usage_hour, n, CAST(SUM(n) OVER () AS DOUBLE) / CAST(COUNT(*) OVER () AS DOUBLE) AS m FROM (SELECT usage_hour, {CNT} AS n FROM (SELECT usage_hour, unnest({SPIKED}) AS i FROM audit) GROUP BY 1)) WHERE n > 3 * m",
 )
+BURST = "usage_hour = 13 AND usage_date = DATE '2024-01-05'"  # the hour of a planted burst, thirty times its events
 add(
-    "a27_bursts", "audit", lambda x: a.bursts(x.audit.where("user_id = 3 or usage_hour = 13 and usage_date = DATE '2024-01-05'")),
-    f"SELECT usage_date, usage_hour, n FROM (SELECT usage_date, usage_hour, n, CAST(SUM(n) OVER () AS DOUBLE) / CAST(COUNT(*) OVER () AS DOUBLE) AS m, SUM(n) OVER () AS every FROM (SELECT usage_date, usage_hour, {CNT} AS n FROM audit WHERE user_id = 3 OR usage_hour = 13 AND usage_date = DATE '2024-01-05' GROUP BY 1, 2)) WHERE every > 100 AND n > 4 * m", "usage_date",
+    "a27_bursts", "audit", lambda x: a.bursts(x.audit.withColumn("i", F.explode(F.sequence(F.lit(1), F.when(F.expr(BURST), 30).otherwise(1))))),
+    f"SELECT usage_date, usage_hour, n FROM (SELECT usage_date, usage_hour, n, CAST(SUM(n) OVER () AS DOUBLE) / CAST(COUNT(*) OVER () AS DOUBLE) AS m, SUM(n) OVER () AS every FROM (SELECT usage_date, usage_hour, {CNT} AS n FROM (SELECT usage_date, usage_hour, unnest(range(CASE WHEN {BURST} THEN 30 ELSE 1 END)) AS i FROM audit) GROUP BY 1, 2)) WHERE every > 100 AND n > 4 * m", "usage_date",
 )
 ALERTS = "SELECT DISTINCT provider_id * 100 + organization_id AS id, CASE provider_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'monthly' ELSE 'hourly' END AS alert_type, CAST(50 + 10 * (organization_id % 5) AS BIGINT) AS threshold, organization_id % 4 > 0 AS is_active FROM {audit}"
 TRIGGERS = "SELECT provider_id * 100 + organization_id AS id, COUNT(*) AS triggers FROM audit WHERE status = 'error' GROUP BY 1"
@@ -125,8 +127,13 @@ add("a37_products_by_page", "offers", lambda x: a.grouped(x.offers, "page_number
 add("a38_json_sum_of_month", "", lambda x: x.raw("events").where(F.date_trunc("month", "ts") == F.lit("2024-01-01").cast("timestamp_ntz")).agg(F.coalesce(F.sum(F.get_json_object("props", "$.k").cast("decimal(12,4)")), F.lit(0)).alias("k")), "SELECT COALESCE(SUM(CAST(json_extract_string(props, '$.k') AS DECIMAL(12,4))), 0) AS k FROM events WHERE date_trunc('month', ts) = TIMESTAMP '2024-01-01'")
 ratios = {"per_request": ("cost", "requests"), "per_token": ("cost", "tokens"), "tokens_per_error": ("tokens", "errors")}
 add(
-    "a42_usage_ratios", "audit", lambda x: a.ratios(a.grouped(x.audit.where("user_id < 60"), "user_id", requests=F.count("*"), cost=F.sum("cost"), tokens=F.sum("tokens"), errors=F.count_if(F.col("status") == "error")), ratios).select("user_id", *ratios),
-    f"SELECT user_id, {', '.join(f'CASE WHEN {d} = 0 THEN 0.0 ELSE CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) END AS {k}' for k, (n, d) in ratios.items())} FROM (SELECT user_id, COUNT(*) AS requests, SUM(cost) AS cost, SUM(tokens) AS tokens, COUNT(*) FILTER (WHERE status = 'error') AS errors FROM audit WHERE user_id < 60 GROUP BY 1)",
+    "a42_usage_ratios", "audit", lambda x: a.ratios(a.grouped(x.audit, "user_id", requests=F.count("*"), cost=F.sum("cost"), tokens=F.sum("tokens"), errors=F.count_if(F.col("status") == "error")), ratios).select("user_id", *ratios),
+    f"SELECT user_id, {', '.join(f'CASE WHEN {d} = 0 THEN 0.0 ELSE CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) END AS {k}' for k, (n, d) in ratios.items())} FROM (SELECT user_id, COUNT(*) AS requests, SUM(cost) AS cost, SUM(tokens) AS tokens, COUNT(*) FILTER (WHERE status = 'error') AS errors FROM audit GROUP BY 1)",
+)
+add(
+    "a42_leaflet_ratios", "leaflets products",
+    lambda x: a.ratios(a.grouped(x.leaflets, "organization_id", leaflets=F.count("*"), pages=F.sum("page_count"), cost=F.sum("processing_cost")).join(a.grouped(x.products, "organization_id", products=F.count("*")), "organization_id", "left").fillna(0, ["products"]), {"per_leaflet": ("cost", "leaflets"), "products_per_leaflet": ("products", "leaflets"), "pages_per_leaflet": ("pages", "leaflets")}).select("organization_id", "per_leaflet", "products_per_leaflet", "pages_per_leaflet"),
+    "SELECT organization_id, CAST(cost AS DOUBLE) / n AS per_leaflet, CAST(COALESCE(products, 0) AS DOUBLE) / n AS products_per_leaflet, CAST(pages AS DOUBLE) / n AS pages_per_leaflet FROM (SELECT organization_id, COUNT(*) AS n, SUM(page_count) AS pages, SUM(processing_cost) AS cost FROM leaflets GROUP BY 1) LEFT JOIN (SELECT organization_id, COUNT(*) AS products FROM products GROUP BY 1) USING (organization_id)",
 )
 add("a44_unread_badge", "audit", lambda x: x.audit.where("organization_id < 5").limit(1000).agg(F.count("*").alias("unread")), "SELECT LEAST(COUNT(*), 1000) AS unread FROM audit WHERE organization_id < 5")
 
@@ -145,6 +152,10 @@ add(
 )
 add("t3_presets", "", lambda x: t.presets(x.spark, "2024-03-31"), "SELECT * FROM (VALUES ('all', '2020-01-01', '2024-03-31'), ('last_30', '2024-03-02', '2024-03-31'), ('last_7', '2024-03-25', '2024-03-31'), ('last_month', '2024-02-01', '2024-02-29'), ('this_month', '2024-03-01', '2024-03-31'), ('this_year', '2024-01-01', '2024-03-31')) v(name, first, last)")
 add("t7_month_labels", "costs", lambda x: a.grouped(x.costs, F.date_format("processed_at", "MMMM yyyy").alias("label"), cost=F.sum("total_cost")), "SELECT strftime(processed_at, '%B %Y') AS label, SUM(total_cost) AS cost FROM costs GROUP BY 1")
+add(
+    "t7_range_labels", "leaflets costs", lambda x: x.leaflets.select(F.col("id").alias("leaflet_id"), "created_at").join(x.costs, "leaflet_id").select("leaflet_id", t.range_label(F.col("created_at"), F.date_add("processed_at", (F.col("leaflet_id") % 400).cast("int"))).alias("label")),
+    "SELECT leaflet_id, CASE WHEN date_trunc('month', f) = date_trunc('month', l) THEN strftime(f, '%b %d') ELSE strftime(f, '%b %d, %Y') END || ' – ' || strftime(l, '%b %d, %Y') AS label FROM (SELECT leaflet_id, created_at AS f, processed_at + CAST(leaflet_id % 400 AS INT) AS l FROM leaflets JOIN costs ON leaflet_id = id)",
+)
 add("t8_parsed_bounds", "", lambda x: x.raw("events").select("event_id", t.end_bound(F.expr("CASE event_id % 3 WHEN 0 THEN date_format(ts, 'yyyy-MM-dd') WHEN 1 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") ELSE 'bad' END"), "2024-02-01 00:00:00").cast("string").alias("bound")), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d 23:59:59') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE '2024-02-01 00:00:00' END AS bound FROM events")
 for unit in ("hour", "day", "month"):
     add(f"t9_reset_by_{unit}", "audit", lambda x, unit=unit: x.audit.select("id", t.reset_if_past("tokens", "created_at", F.lit("2024-01-20 13:30:00").cast("timestamp_ntz"), unit).alias("counter")), f"SELECT id, CASE WHEN date_trunc('{unit}', created_at) < date_trunc('{unit}', TIMESTAMP '2024-01-20 13:30:00') THEN 0 ELSE tokens END AS counter FROM audit")

@@ -82,9 +82,10 @@ add(
     "r13_cost_spikes", "audit", lambda x: u.cost_spikes(x.audit.withColumn("cost", F.when(F.expr("usage_date = DATE '2024-01-09'"), F.col("cost") * 4).otherwise(F.col("cost")))),
     "SELECT usage_date, cost, CASE WHEN cost > 3 * m THEN 'high' ELSE 'medium' END AS severity FROM (SELECT usage_date, SUM(c) AS cost, CAST(SUM(SUM(c)) OVER () AS DOUBLE) / COUNT(*) OVER () AS m, COUNT(*) OVER () AS days FROM (SELECT usage_date, CASE WHEN usage_date = DATE '2024-01-09' THEN cost * 4 ELSE cost END AS c FROM audit) GROUP BY 1) WHERE days >= 3 AND cost > 2 * m", "usage_date",
 )
-add("r13_busy_users", "audit", lambda x: x.audit.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 1000"), f"SELECT user_id, {CNT} AS n FROM audit GROUP BY 1 HAVING COUNT(*) > 1000")
-for name, days, errors in (("notifications", 30, False), ("files", 90, False), ("audit", 365, True)):
-    add(f"r15_retention_{name}", "audit", lambda x, days=days, errors=errors: u.kept(x.audit, "usage_date", "2024-04-10", days, errors).select("id"), f"SELECT id FROM audit WHERE usage_date >= DATE '2024-04-10' - {days}" + (" OR status = 'error'" if errors else ""))
+BUSY = "CASE WHEN user_id < 30 THEN 400 ELSE 1 END"  # planted: the first users have four hundred times their events
+add("r13_busy_users", "audit", lambda x: x.audit.withColumn("i", F.explode(F.sequence(F.lit(1), F.expr(BUSY)))).groupBy("user_id").agg(F.count("*").alias("n")).where("n > 1000"), f"SELECT user_id, {CNT} AS n FROM (SELECT user_id, unnest(range({BUSY})) AS i FROM audit) GROUP BY 1 HAVING COUNT(*) > 1000")
+for name, days, errors, today in (("notifications", 30, False, "2024-02-15"), ("files", 90, False, "2024-04-10"), ("audit", 365, True, "2025-01-20")):
+    add(f"r15_retention_{name}", "audit", lambda x, days=days, errors=errors, today=today: u.kept(x.audit, "usage_date", today, days, errors).select("id"), f"SELECT id FROM audit WHERE usage_date >= DATE '{today}' - {days}" + (" OR status = 'error'" if errors else ""))
 add("r11_within_quota", "audit", lambda x: u.within_quota(x.audit, 20, "organization_id", "usage_date").select("id"), "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY organization_id, usage_date ORDER BY created_at, id) AS k FROM audit) WHERE k <= 20")
 add("r12_daily_counters", "audit", lambda x: x.audit.groupBy("user_id", "usage_date").agg(F.count("*").alias("n")), f"SELECT user_id, usage_date, {CNT} AS n FROM audit GROUP BY 1, 2", "usage_date")
 add(

@@ -189,3 +189,38 @@ def test_rate_windows_end_with_their_state(spark, tmp_path):
         whole.where(f"event_id % 100 div 8 = {day}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     got = {r.event_id: r.nth for r in usage.replay(usage.rate_windows(usage.events(spark, str(tmp_path)), 5 * 3600, 2), "append").collect()}
     assert len(got) == 72 and all(got[u * 100 + e] == 1 + e % 2 for u, e, _ in times)
+
+
+OFFER = "id string, leaflet_id long, page_number long, product_name string, brand string, product_code string, category string, currency string, units string, regular_price double, discounted_price double, discount_percentage double, quantity long, confidence double, category_confidence double, brand_confidence double, bbox_x long, bbox_y long, bbox_width long, bbox_height long, flags string"
+
+
+def test_merged_fields_and_equal_rows(spark):
+    def row(id_, page, name, y, brand_confidence=None, flags="", **k):
+        return (id_, 1, page, name, "B", None, None, "EUR", None, k.get("price"), None, None, None, 0.8, None, brand_confidence, 10, y, 80, 60, flags)
+
+    rows = [
+        row("a", 1, "long bread", 950, 0.5, "continues_on_next_page"), row("a2", 1, "long bread", 950, 0.5, "continues_on_next_page"), row("b", 2, "long bread loaf", 5, 0.9, "continued_from_previous", price=3.0),
+        row("b2", 2, "long bread loaf", 5, 0.9, "continued_from_previous", price=3.0), row("c", 2, "milk", 500, 0.0),
+    ]
+    df = spark.createDataFrame(rows, OFFER)
+    (made,) = reconcile.merged(df, spark.createDataFrame([("a", "b")], "first_id string, second_id string")).collect()
+    assert made.brand_confidence == 0.9 and made.regular_price == 3.0 and made.bbox_height == 120
+    (none,) = reconcile.merged(df, spark.createDataFrame([("c", "c")], "first_id string, second_id string")).collect()
+    assert none.brand_confidence is None  # 0 is none
+    # equal parts are one product: every pair is merged, all parts go, and the merged ones are the same product
+    assert sorted(x.id for x in reconcile.reconciled(df, 1000).collect()) == ["a+b", "c"]
+    alone = df.where("id in ('a', 'a2', 'b', 'c')")
+    assert sorted(x.id for x in reconcile.reconciled(alone, 1000).collect()) == ["a+b", "c"]
+    boxless = df.withColumn("bbox_x", F.when(F.col("id") == "a", None).otherwise(F.col("bbox_x")))
+    (kept,) = reconcile.merged(boxless, spark.createDataFrame([("a", "b")], "first_id string, second_id string")).collect()
+    assert (kept.bbox_x, kept.bbox_height) == (10, 60)
+
+
+def test_places_of_all_rows(spark):
+    from offerlake.operators import sorting
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 3).alias("v"))
+    expected = sorted(((r.v is not None, -(r.v or 0), r.k) for r in df.collect()))
+    got = sorted((r.place, r.v is not None, -(r.v or 0), r.k) for r in sorting.numbered(df, F.desc_nulls_first("v"), F.col("k")).collect())
+    assert [x[0] for x in got] == list(range(1, 1001)) and [x[1:] for x in got] == expected
+    assert sorting.numbered(df.limit(0), F.col("k")).collect() == []
