@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .geometry import BOX, LEAST_HEIGHT, LEAST_WIDTH, PADDING, cells_by_ranges, layout
+from .geometry import BOX, LEAST_HEIGHT, LEAST_WIDTH, PADDING, cells_by_ranges, containment, greedy_distinct, layout
 
 # Fixed values.
 NEAR, MERGE_DISTANCE, MOST_ASPECT, IMAGE_PART = 50, 50, 3.0, 0.8
@@ -46,7 +46,7 @@ def _box(c: str | Column) -> list[Column]:
 
 
 def _merged(boxes: DataFrame, order: tuple[str, ...], joins: Callable[[Column, Column], Column], *by: str) -> DataFrame:
-    """(by, first, n, box): in the given order, each box joins the first region that it fits and widens it, or begins one.
+    """(by, first, n, box, nth): in the given order, each box joins the first region that it fits and widens it, or begins one.
 
     Going region by region over the boxes that are left gives the same: whether a box fits a region depends on the region's
     own boxes before it alone.
@@ -62,8 +62,8 @@ def _merged(boxes: DataFrame, order: tuple[str, ...], joins: Callable[[Column, C
         return F.when(at > 0, _changed(kept, at, wider)).otherwise(F.array_append(kept, first(b)))
 
     none = F.slice(F.transform("boxes", lambda e: first(e["b"])), 1, 0)
-    made = sheets.select(*by, F.explode(F.aggregate("boxes", none, step)).alias("r"))
-    return made.select(*by, "r.first", "r.n", *_box("r"))
+    made = sheets.select(*by, F.posexplode(F.aggregate("boxes", none, step)).alias("nth", "r"))
+    return made.select(*by, "r.first", "r.n", *_box("r"), "nth")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -193,6 +193,107 @@ def text_regions(texts: DataFrame, width: int, height: int, *by: str) -> DataFra
     return made.select(*cell, "cluster", *BOX, "n", "text", "has_price", "has_name", place.alias("place"))
 
 
+# visual regions and texts together
+# Gaps between centres that part columns and rows, least and most sizes of a card as parts of what a sheet suggests.
+CARD_GAPS, CARD_LEAST, CARD_PART, CARD_AREA = (0.15, 0.10), (200, 250), 0.35, 2.5
+SHEET_PARTS, CARD_TIMES, LEAST_SHARE, CARD_PADDING = (0.40, 0.90, 0.60), 2.0, 0.1, 15
+SOURCES = ("hybrid", "visual_only", "grid_fallback")
+
+
+def card_sizes(visual: DataFrame, width: int, height: int, *by: str) -> DataFrame:
+    """(by, least_wide, least_high, most_wide, most_high, most_area): what a product's card may measure on each sheet, from the
+    columns and rows that its regions' centres make, and their median size; a third by a quarter of the sheet under two regions."""
+    middles = lambda p, s: F.array_sort(F.collect_list(F.col(p) + F.col(s) / 2))
+    sheets = visual.groupBy(*by).agg(
+        middles("bbox_x", "bbox_width").alias("xs"), middles("bbox_y", "bbox_height").alias("ys"), F.median("bbox_width").alias("mw"), F.median("bbox_height").alias("mh"), F.count("*").alias("n")
+    )
+    jumps = lambda a, least: F.size(F.filter(F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda x, y: y - x), lambda gap: gap > least))
+    columns, rows = F.least(F.lit(6), jumps("xs", width * CARD_GAPS[0]) + 1), F.least(F.lit(8), jumps("ys", height * CARD_GAPS[1]) + 1)
+    few = F.col("n") < 2
+    wide = F.when(few, F.lit(width / 3)).otherwise(F.greatest("mw", F.lit(float(width)) / columns * 0.6))
+    high = F.when(few, F.lit(height / 4)).otherwise(F.greatest("mh", F.lit(float(height)) / rows * 0.6))
+    sheets = sheets.select(*by, wide.alias("w"), high.alias("h"))
+    floor = lambda c, least: F.greatest(F.lit(least), F.floor(F.col(c) * CARD_PART).cast("int"))
+    return sheets.select(
+        *by, floor("w", CARD_LEAST[0]).alias("least_wide"), floor("h", CARD_LEAST[1]).alias("least_high"), F.least(F.lit(width * SHEET_PARTS[1]), F.col("w") * CARD_TIMES).alias("most_wide"),
+        F.least(F.lit(height * SHEET_PARTS[2]), F.col("h") * CARD_TIMES).alias("most_high"), F.least(F.lit(width * height * SHEET_PARTS[0]), F.col("w") * F.col("h") * CARD_AREA).alias("most_area"),
+    )
+
+
+def cards(visual: DataFrame, sizes: DataFrame, *by: str) -> DataFrame:
+    """(by, kind, place, BOX): visual regions (by, id, BOX) of a card's size, in order of id (kind 0), then those that near small
+    ones make together (kind 1), in the order in which they begin."""
+    x = visual.where("bbox_x is not null").join(sizes, list(by))
+    large = F.expr("bbox_width * bbox_height > most_area or bbox_width > most_wide or bbox_height > most_high")
+    small = F.expr("bbox_width < least_wide or bbox_height < least_high")
+    whole = x.where(~large & ~small).select(*by, F.lit(0).alias("kind"), F.row_number().over(Window.partitionBy(*by).orderBy("id")).alias("place"), *BOX)
+    made = near_merged(x.where(~large & small).select(*by, "id", *BOX), *by).join(sizes, list(by)).where(~large & ~small)
+    return whole.unionByName(made.select(*by, F.lit(1).alias("kind"), F.col("nth").alias("place"), *BOX))
+
+
+def _sides_within(low: Column, high: Column, padding: int, size: int) -> tuple[Column, Column]:
+    return F.greatest(F.lit(0.0), low - padding), F.least(F.lit(float(size)), high + padding)
+
+
+def hybrid_regions(texts: DataFrame, visual: DataFrame, width: int, height: int, *by: str) -> DataFrame:
+    """Product regions of sheets that have texts and visual regions: (by, source, BOX, n, text, has_price, has_name, place).
+
+    A text goes to the card that holds the largest part of it, over LEAST_SHARE, the first among equals. A card grows by its texts
+    that are near enough, by PADDING, and is cut, around its middle, to a card's most; cards without texts are visual_only; texts
+    without a card are gathered by cells of the least card's size. Of regions that overlap by more than half the first stays, in
+    order of SOURCES. place counts in rows of 100 points from left to right. Sizes are truncated to whole points.
+    """
+    sizes = card_sizes(visual.where("bbox_x is not null"), width, height, *by)
+    boxes = texts.where("bbox_x is not null").select(*by, "id", F.coalesce("text", F.lit("")).alias("text"), t.box_kind(F.col("text")).alias("box_kind"), F.struct("bbox_y", "bbox_x", "id").alias("at"), F.struct(*BOX).alias("a"))
+    boxes = boxes.join(sizes, list(by))
+    found = cards(visual, sizes, *by).select(*by, "kind", "place", F.struct(*BOX).alias("b"))
+    pairs = boxes.select(*by, "id", "a").join(found, list(by)).withColumn("part", containment("a", "b")).where(F.col("part") > LEAST_SHARE)
+    best = pairs.groupBy(*by, "id").agg(F.min_by(F.struct("kind", "place", "b"), F.struct(-F.col("part"), F.col("kind"), F.col("place"))).alias("card"))
+    told = boxes.join(best, [*by, "id"], "left")
+    said = [F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("texts"), F.bool_or(F.col("box_kind") == "price").alias("has_price"), F.bool_or(F.col("box_kind") == "name").alias("has_name"), F.min("at").alias("begins")]
+
+    mid = lambda c, p, s: F.col(f"{c}.{p}") + F.col(f"{c}.{s}") / 2
+    with_card = told.where("card is not null").withColumns({"b": F.col("card.b"), "kind": F.col("card.kind"), "place": F.col("card.place")})
+    near = (F.abs(mid("a", "bbox_x", "bbox_width") - mid("b", "bbox_x", "bbox_width")) <= F.col("most_wide") / 2) & (F.abs(mid("a", "bbox_y", "bbox_height") - mid("b", "bbox_y", "bbox_height")) <= F.col("most_high") / 2)
+    side = lambda f, edge: f(F.when(near, edge("a")))
+    grown = with_card.groupBy(*by, "kind", "place", "b", "most_wide", "most_high").agg(
+        side(F.min, lambda c: F.col(f"{c}.bbox_x")).alias("l"), side(F.min, lambda c: F.col(f"{c}.bbox_y")).alias("t"), side(F.max, lambda c: F.col(f"{c}.bbox_x") + F.col(f"{c}.bbox_width")).alias("r"),
+        side(F.max, lambda c: F.col(f"{c}.bbox_y") + F.col(f"{c}.bbox_height")).alias("low"), *said,
+    )
+    x0, x1 = _sides_within(F.least("b.bbox_x", "l"), F.greatest(F.expr("b.bbox_x + b.bbox_width"), "r"), PADDING, width)
+    y0, y1 = _sides_within(F.least("b.bbox_y", "t"), F.greatest(F.expr("b.bbox_y + b.bbox_height"), "low"), PADDING, height)
+    grown = grown.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1})
+    over = lambda a, b, most: F.greatest(F.lit(0.0), F.col(b) - F.col(a) - F.col(most))
+    grown = grown.withColumns({"left": F.col("x0") + over("x0", "x1", "most_wide") / 2, "top": F.col("y0") + over("y0", "y1", "most_high") / 2, "wide": F.least(F.col("x1") - F.col("x0"), "most_wide"), "high": F.least(F.col("y1") - F.col("y0"), "most_high")})
+
+    bare = found.join(with_card.select(*by, "kind", "place").distinct(), [*by, "kind", "place"], "left_anti")
+    none = F.struct(F.lit(0).cast("long").alias("bbox_y"), F.lit(0).cast("long").alias("bbox_x"), F.lit(None).cast("string").alias("id"))
+    bare = bare.select(
+        *by, "kind", "place", F.col("b.bbox_x").cast("double").alias("left"), F.col("b.bbox_y").cast("double").alias("top"), F.col("b.bbox_width").cast("double").alias("wide"), F.col("b.bbox_height").cast("double").alias("high"),
+        F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<at:struct<bbox_y:long,bbox_x:long,id:string>,text:string>>").alias("texts"), F.lit(False).alias("has_price"), F.lit(False).alias("has_name"), none.alias("begins"),
+    ).join(boxes.select(*by).distinct(), list(by), "left_semi")
+
+    columns, rows = F.greatest(F.lit(1), F.floor(F.lit(width) / F.col("least_wide"))), F.greatest(F.lit(1), F.floor(F.lit(height) / F.col("least_high")))
+    cell = lambda p, s, n, size: F.least(n - 1, F.floor(mid("a", p, s) / (F.lit(float(size)) / n)))
+    loose = told.where("card is null").withColumns({"column": cell("bbox_x", "bbox_width", columns, width), "row": cell("bbox_y", "bbox_height", rows, height)})
+    loose = loose.groupBy(*by, "column", "row", "least_wide", "least_high").agg(F.min("a.bbox_x").alias("l"), F.min("a.bbox_y").alias("t"), F.max(F.expr("a.bbox_x + a.bbox_width")).alias("r"), F.max(F.expr("a.bbox_y + a.bbox_height")).alias("low"), *said)
+    for a, b, least, size, low, high in (("l", "r", "least_wide", width, "x0", "x1"), ("t", "low", "least_high", height, "y0", "y1")):
+        more = F.greatest(F.lit(0.0), (F.col(least) - (F.col(b) - F.col(a))) / 2)
+        begin, end = _sides_within(F.greatest(F.lit(0.0), F.col(a) - more), F.least(F.lit(float(size)), F.col(b) + more), CARD_PADDING, size)
+        loose = loose.withColumns({low: begin, high: end})
+    loose = loose.withColumns({"left": F.col("x0"), "top": F.col("y0"), "wide": F.col("x1") - F.col("x0"), "high": F.col("y1") - F.col("y0"), "kind": F.lit(0), "place": F.lit(0)})
+
+    keep = [*by, "kind", "place", "left", "top", "wide", "high", "n", "texts", "has_price", "has_name", "begins"]
+    parts = [df.select(*keep, F.lit(k).alias("source")) for k, df in enumerate((grown, bare, loose))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnsRenamed({"left": "bbox_x", "top": "bbox_y", "wide": "bbox_width", "high": "bbox_height"}).withColumns({c: F.floor(F.col(c)).cast("long") for c in BOX})
+    every = every.withColumn("id", F.struct("source", "begins", "kind", "place"))
+    kept = greedy_distinct(every, 0.5, *by)
+    order = Window.partitionBy(*by).orderBy(F.floor(F.col("bbox_y") / 100), "bbox_x", "id")
+    names = F.array(*map(F.lit, SOURCES))
+    out = every.join(kept, [*by, "id"]).withColumn("nth", F.row_number().over(order))
+    return out.select(*by, F.get(names, F.col("source")).alias("source"), *BOX, "n", F.array_join(F.transform("texts", lambda e: e["text"]), " ").alias("text"), "has_price", "has_name", F.col("nth").alias("place"))
+
+
 # clusters by nearness
 def _near_clusters(boxes: list[dict]) -> list[list[dict]]:
     """From the first box that is left, sweeps over the others: a box joins if it is near the cluster as it was when the sweep

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as f
@@ -111,8 +113,8 @@ def _grown(order: str, joins: str) -> str:
 
 
 SHARED = "CAST(GREATEST(0, LEAST(g.sr, n.r) - GREATEST(g.sl, n.l)) * GREATEST(0, LEAST(g.sb, n.b) - GREATEST(g.st, n.t)) AS DOUBLE)"
-add("g22_overlap_merged", "products", lambda x: r.overlap_merged(x.products, "leaflet_id"), _grown("id", f"{SHARED} / ((g.sr - g.sl) * (g.sb - g.st) + (n.r - n.l) * (n.b - n.t) - {SHARED}) > 0.5"))
-add("g14_near_merged", "products", lambda x: r.near_merged(x.products, "leaflet_id"), _grown("bbox_y, bbox_x, id", "GREATEST(g.l, n.l) - LEAST(g.r, n.r) <= 50 AND GREATEST(g.t, n.t) - LEAST(g.b, n.b) <= 50"))
+add("g22_overlap_merged", "products", lambda x: r.overlap_merged(x.products, "leaflet_id").drop("nth"), _grown("id", f"{SHARED} / ((g.sr - g.sl) * (g.sb - g.st) + (n.r - n.l) * (n.b - n.t) - {SHARED}) > 0.5"))
+add("g14_near_merged", "products", lambda x: r.near_merged(x.products, "leaflet_id").drop("nth"), _grown("bbox_y, bbox_x, id", "GREATEST(g.l, n.l) - LEAST(g.r, n.r) <= 50 AND GREATEST(g.t, n.t) - LEAST(g.b, n.b) <= 50"))
 
 
 # clusters around prices: price after price, then what is left, box after box
@@ -195,3 +197,49 @@ for _name, _place, _size, _parts in (("rows", "bbox_y", "bbox_height", 4), ("col
         lambda x, place=_place, size=_size, parts=_parts: r.dividers(r.covered(x.texts, place, size, 1000, 10, "leaflet_id"), parts + 1, 0.5 / parts, "leaflet_id"),
         _dividers_sql(_place, _size, _parts),
     )
+
+
+# visual regions with texts: sizes of cards, cards, texts to cards, what is left to cells, and of overlapping regions the first
+def _num(text: str) -> str:
+    """Plain decimals are doubles."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"CAST(\1 AS DOUBLE)", text)
+
+
+CARD = "{'first': id, 'l': l, 't': t, 'r': r, 'b': b}"
+SMALL = f"""small AS (SELECT leaflet_id, v.id, bbox_x AS l, bbox_y AS t, bbox_x + bbox_width AS r, bbox_y + bbox_height AS b, row_number() OVER (PARTITION BY leaflet_id ORDER BY bbox_y, bbox_x, v.id) AS k FROM fit v WHERE NOT large AND small),
+    near AS (SELECT leaflet_id, k, [{CARD}] AS kept FROM small WHERE k = 1 UNION ALL SELECT leaflet_id, k, CASE WHEN spot IS NULL THEN list_append(kept, {CARD}) ELSE list_transform(kept, lambda g, i: CASE WHEN i = spot THEN {{'first': g.first, 'l': LEAST(g.l, l), 't': LEAST(g.t, t), 'r': GREATEST(g.r, r), 'b': GREATEST(g.b, b)}} ELSE g END) END
+    FROM (SELECT w.leaflet_id, n.k, kept, n.id, n.l, n.t, n.r, n.b, list_position(list_transform(kept, lambda g: GREATEST(g.l, n.l) - LEAST(g.r, n.r) <= 50 AND GREATEST(g.t, n.t) - LEAST(g.b, n.b) <= 50), TRUE) AS spot FROM near w JOIN small n ON n.leaflet_id = w.leaflet_id AND n.k = w.k + 1)),
+    made AS (SELECT leaflet_id, i - 1 AS place, kept[i] AS g FROM (SELECT w.leaflet_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM near w JOIN (SELECT leaflet_id, MAX(k) AS k FROM small GROUP BY 1) USING (leaflet_id, k)))"""
+SIDE2 = "GREATEST(0, LEAST(a.{1}, b.{1}) - GREATEST(a.{0}, b.{0}))"
+HYBRID = _num(f""", visual AS (SELECT DISTINCT leaflet_id, region AS id, bbox_x, bbox_y, bbox_width * 2 AS bbox_width, bbox_height * 2 AS bbox_height FROM regions),
+    mids AS (SELECT leaflet_id, list_sort(list(bbox_x + bbox_width / 2)) AS xs, list_sort(list(bbox_y + bbox_height / 2)) AS ys, median(bbox_width) AS mw, median(bbox_height) AS mh, COUNT(*) AS n FROM visual GROUP BY 1),
+    expected AS (SELECT leaflet_id, CASE WHEN n < 2 THEN 1000.0 / 3 ELSE GREATEST(mw, 1000.0 / LEAST(6, len(list_filter(range(1, len(xs)), lambda i: xs[i + 1] - xs[i] > 150)) + 1) * 0.6) END AS w, CASE WHEN n < 2 THEN 1000.0 / 4 ELSE GREATEST(mh, 1000.0 / LEAST(8, len(list_filter(range(1, len(ys)), lambda i: ys[i + 1] - ys[i] > 100)) + 1) * 0.6) END AS h FROM mids),
+    sizes AS (SELECT leaflet_id, GREATEST(200, CAST(floor(w * 0.35) AS BIGINT)) AS lw, GREATEST(250, CAST(floor(h * 0.35) AS BIGINT)) AS lh, LEAST(900.0, w * 2) AS mw, LEAST(600.0, h * 2) AS mh, LEAST(400000.0, w * h * 2.5) AS ma FROM expected),
+    fit AS (SELECT v.*, bbox_width * bbox_height > ma OR bbox_width > mw OR bbox_height > mh AS large, bbox_width < lw OR bbox_height < lh AS small FROM visual v JOIN sizes USING (leaflet_id)), {SMALL},
+    cards AS (SELECT leaflet_id, 0 AS kind, row_number() OVER (PARTITION BY leaflet_id ORDER BY id) AS place, bbox_x AS l, bbox_y AS t, bbox_x + bbox_width AS r, bbox_y + bbox_height AS b FROM fit WHERE NOT large AND NOT small
+    UNION ALL SELECT leaflet_id, 1, place, g.l, g.t, g.r, g.b FROM made JOIN sizes USING (leaflet_id) WHERE g.r - g.l >= lw AND g.b - g.t >= lh AND g.r - g.l <= mw AND g.b - g.t <= mh AND (g.r - g.l) * (g.b - g.t) <= ma),
+    boxes AS (SELECT leaflet_id, id, said, bbox_x AS l, bbox_y AS t, bbox_x + bbox_width AS r, bbox_y + bbox_height AS b, {KIND} AS box_kind, lw, lh, mw, mh FROM (SELECT *, COALESCE(text, '') AS said, trim(COALESCE(text, '')) AS t FROM texts WHERE bbox_x IS NOT NULL) JOIN sizes USING (leaflet_id)),
+    parts AS (SELECT a.leaflet_id, a.id, b.kind, b.place, b.l, b.t, b.r, b.b, CAST({SIDE2.format('l', 'r')} * {SIDE2.format('t', 'b')} AS DOUBLE) / CAST((a.r - a.l) * (a.b - a.t) AS DOUBLE) AS part FROM boxes a JOIN cards b USING (leaflet_id)),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leaflet_id, id ORDER BY part DESC, kind, place) AS nth FROM parts WHERE part > 0.1) WHERE nth = 1),
+    told AS (SELECT a.*, kind, place, c.l AS cl, c.t AS ct, c.r AS cr, c.b AS cb, c.id IS NOT NULL AS has_card FROM boxes a LEFT JOIN best c ON c.leaflet_id = a.leaflet_id AND c.id = a.id),
+    close AS (SELECT *, abs((l + r) / 2 - (cl + cr) / 2) <= mw / 2 AND abs((t + b) / 2 - (ct + cb) / 2) <= mh / 2 AS near_card FROM told WHERE has_card),
+    gathered AS (SELECT leaflet_id, kind, place, LEAST(cl, MIN(CASE WHEN near_card THEN l END)) AS l, LEAST(ct, MIN(CASE WHEN near_card THEN t END)) AS t, GREATEST(cr, MAX(CASE WHEN near_card THEN r END)) AS r, GREATEST(cb, MAX(CASE WHEN near_card THEN b END)) AS b, mw, mh, {{0}} FROM close GROUP BY leaflet_id, kind, place, cl, ct, cr, cb, mw, mh),
+    padded AS (SELECT *, CAST(GREATEST(0, l - 10) AS DOUBLE) AS x0, CAST(LEAST(1000, r + 10) AS DOUBLE) AS x1, CAST(GREATEST(0, t - 10) AS DOUBLE) AS y0, CAST(LEAST(1000, b + 10) AS DOUBLE) AS y1 FROM gathered),
+    celled AS (SELECT *, LEAST(GREATEST(1, 1000 // lw) - 1, floor((l + r) / 2 / (1000.0 / GREATEST(1, 1000 // lw)))) AS col, LEAST(GREATEST(1, 1000 // lh) - 1, floor((t + b) / 2 / (1000.0 / GREATEST(1, 1000 // lh)))) AS line FROM told WHERE NOT has_card),
+    loose AS (SELECT leaflet_id, MIN(l) AS l, MIN(t) AS t, MAX(r) AS r, MAX(b) AS b, lw, lh, {{0}} FROM celled GROUP BY leaflet_id, col, line, lw, lh),
+    wider AS (SELECT *, GREATEST(0.0, (lw - (r - l)) / 2) AS dx, GREATEST(0.0, (lh - (b - t)) / 2) AS dy FROM loose),
+    spread AS (SELECT *, GREATEST(0.0, GREATEST(0.0, l - dx) - 15) AS x0, LEAST(1000.0, LEAST(1000.0, r + dx) + 15) AS x1, GREATEST(0.0, GREATEST(0.0, t - dy) - 15) AS y0, LEAST(1000.0, LEAST(1000.0, b + dy) + 15) AS y1 FROM wider),
+    every AS (SELECT leaflet_id, 0 AS s, kind, place, x0 + GREATEST(0.0, x1 - x0 - mw) / 2 AS x, y0 + GREATEST(0.0, y1 - y0 - mh) / 2 AS y, LEAST(x1 - x0, mw) AS w, LEAST(y1 - y0, mh) AS h, n, said, has_price, has_name, begins FROM padded
+    UNION ALL SELECT leaflet_id, 1, kind, place, l, t, r - l, b - t, 0, '', FALSE, FALSE, {{{{'t': CAST(0 AS BIGINT), 'l': CAST(0 AS BIGINT), 'id': ''}}}} FROM cards c WHERE leaflet_id IN (SELECT leaflet_id FROM boxes) AND NOT EXISTS (SELECT 1 FROM best q WHERE q.leaflet_id = c.leaflet_id AND q.kind = c.kind AND q.place = c.place)
+    UNION ALL SELECT leaflet_id, 2, 0, 0, x0, y0, x1 - x0, y1 - y0, n, said, has_price, has_name, begins FROM spread),
+    whole AS (SELECT * REPLACE (CAST(floor(x) AS BIGINT) AS x, CAST(floor(y) AS BIGINT) AS y, CAST(floor(w) AS BIGINT) AS w, CAST(floor(h) AS BIGINT) AS h), row_number() OVER (PARTITION BY leaflet_id ORDER BY s, begins.t, begins.l, begins.id, kind, place) AS k FROM every),
+    chosen AS (SELECT leaflet_id, k, [{{{{'x': x, 'y': y, 'w': w, 'h': h}}}}] AS kept, TRUE AS stays FROM whole WHERE k = 1 UNION ALL SELECT leaflet_id, k, CASE WHEN apart THEN list_append(kept, {{{{'x': x, 'y': y, 'w': w, 'h': h}}}}) ELSE kept END, apart
+    FROM (SELECT w.*, c.kept, len(list_filter(c.kept, lambda g: {{1}} > 0.5)) = 0 AS apart FROM chosen c JOIN whole w ON w.leaflet_id = c.leaflet_id AND w.k = c.k + 1))
+    SELECT leaflet_id, ['hybrid', 'visual_only', 'grid_fallback'][s + 1] AS source, x AS bbox_x, y AS bbox_y, w AS bbox_width, h AS bbox_height, n, said AS text, has_price, has_name, CAST(row_number() OVER (PARTITION BY leaflet_id ORDER BY floor(y / 100), x, k) AS INT) AS place FROM whole JOIN chosen USING (leaflet_id, k) WHERE stays""")
+TOLD = "CAST(COUNT(*) AS BIGINT) AS n, string_agg(said, ' ' ORDER BY t, l, id) AS said, bool_or(box_kind = 'price') AS has_price, bool_or(box_kind = 'name') AS has_name, MIN({'t': t, 'l': l, 'id': id}) AS begins"
+MEET2 = "CAST(GREATEST(0, LEAST(g.x + g.w, w.x + w.w) - GREATEST(g.x, w.x)) * GREATEST(0, LEAST(g.y + g.h, w.y + w.h) - GREATEST(g.y, w.y)) AS DOUBLE)"
+add(
+    "g13_hybrid_regions", "texts regions",
+    lambda x: r.hybrid_regions(x.texts, x.regions.distinct().withColumnsRenamed({"region": "id"}).withColumns({c: F.col(c) * 2 for c in ("bbox_width", "bbox_height")}), 1000, 1000, "leaflet_id"),
+    HYBRID.replace("{0}", TOLD).replace("{1}", f"{MEET2} / (g.w * g.h + w.w * w.h - {MEET2})").replace("{{", "{").replace("}}", "}"),
+)
