@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import freed, slices, stored, texts
-from .words import HASHES, ODD, WORD, mixed
+from .words import HASHES, ODD, WORD, Memory, mixed
 
 #: Terms are first counted by the first bits of their hash. A cell's count is no less than any of its terms', so those of
 #: cells below the band need no count of their own.
@@ -34,20 +35,35 @@ def _distinct(text: str | None) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
 
 
+#: Cells of one row of counts.
+BLOCK = 1 << 12
+
+
 def _cell_counts(docs: DataFrame) -> DataFrame:
-    """(cell, n): in how many texts a term of the cell occurs. Each task sends one row a cell at most."""
+    """(block, counts): in how many texts a term of each cell occurs, as 64-bit numbers, BLOCK cells a row. Each task sends a row a
+    block at most, in the narrowest numbers that hold its counts; rows meet by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
         with freed(HASHES):
             for batch in slices(batches, limit=8 << 20):
                 for text in batch.column("text"):
-                    counts[np.unique(_distinct(text.as_py()) >> np.uint64(64 - CELL_BITS))] += 1
-        found = np.flatnonzero(counts)
-        for part in np.array_split(found, len(found) // 50_000 + 1):
-            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(counts[part], pa.int32())], ["cell", "n"])
+                    counts[_distinct(text.as_py()) >> np.uint64(64 - CELL_BITS)] += 1  # a cell that comes twice counts once
+        for block, part in enumerate(counts.reshape(-1, BLOCK)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": [part.astype(np.min_scalar_type(part.max())).tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}  # as many as there are blocks, at most
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = np.frombuffer(packed, f"u{len(packed) // BLOCK}")
+                totals[block] = totals[block] + own if block in totals else own.astype(np.int64)
+        for block, total in totals.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": [total.tobytes()]})
 
-    return texts(docs).select("text").mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
+    schema = "block int, counts binary"
+    return texts(docs).select("text").mapInArrow(run, schema).repartition("block").mapInArrow(add, schema)
 
 
 def _term_counts(docs: DataFrame, cells) -> DataFrame:
@@ -75,36 +91,71 @@ def _term_counts(docs: DataFrame, cells) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+class Print(NamedTuple):
+    """A fingerprint, and its digests as numbers (-1 for subsets without terms) if it has any."""
+
+    text: str
+    digests: np.ndarray | None = None
+
+    def like(self, other: Print) -> float:
+        """likeness() of both."""
+        if self.digests is None or other.digests is None:
+            return float(self.text == other.text)
+        used = (self.digests >= 0) | (other.digests >= 0)
+        return float(np.count_nonzero(used & (self.digests == other.digests)) / np.count_nonzero(used))
+
+
 class Lexicon:
     """The terms whose share of texts lies in the band: their hashes, sorted."""
 
     def __init__(self, inside: np.ndarray):
         self.inside = np.sort(inside)
-        self.cells = np.zeros(1 << CELL_BITS, bool)
-        self.cells[self.inside >> np.uint64(64 - CELL_BITS)] = True
+        #: The subsets of each term, a bit for each.
+        self.subsets = np.zeros(len(inside), np.uint64)
+        for k, (salt, limit) in enumerate(zip(_SALTS.ravel(), _LIMITS.ravel())):
+            self.subsets |= (mixed(mixed(self.inside ^ salt) * salt) < limit).astype(np.uint64) << np.uint64(k)
+        #: word -> its place in the lexicon, -1 for others, as words come up.
+        self.places = Memory(self._place)
 
     def __reduce__(self):
         return Lexicon, (self.inside,)
 
-    def terms(self, text: str) -> np.ndarray:
-        """Distinct terms of the lexicon, sorted; all distinct terms of a text that has none of the lexicon."""
-        found = np.sort(_distinct(text))
-        some = found[self.cells[found >> np.uint64(64 - CELL_BITS)]]
-        if len(some):
-            some = some[self.inside[np.minimum(np.searchsorted(self.inside, some), len(self.inside) - 1)] == some]
-        return some if len(some) else found
-
-    def fingerprint(self, text: str) -> str:
+    def _place(self, word: str) -> int:
+        term = np.uint64(HASHES[word])
+        at = int(np.searchsorted(self.inside, term))
+        return at if at < len(self.inside) and self.inside[at] == term else -1
+
+    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, subsets): distinct terms of the lexicon, sorted, and which subsets have each (a row a subset); all
+        distinct terms of a text that has none of the lexicon."""
+        found = set(WORD.findall((text or "").lower()))
+        at = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
+        at = np.sort(at[at >= 0])
+        if len(at):
+            bits = np.unpackbits(self.subsets[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            return self.inside[at], bits.T[: len(_EACH)]
+        terms = np.sort(_distinct(text))
+        return terms, mixed(mixed(terms[None, :] ^ _SALTS) * _SALTS) < _LIMITS
+
+    def print(self, text: str) -> Print:
         """Six digits for each subset that has terms of the text. A text whose terms are in no subset has the digest of
         all of them, and one without any word that of itself, so that only such as have the same are like it."""
-        terms = self.terms(text)
+        terms, subsets = self.terms(text)
         if not len(terms):
-            return "=" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
-        kept = mixed(mixed(terms[None, :] ^ _SALTS) * _SALTS) < _LIMITS
-        some = kept.any(axis=1)
-        if not some.any():
-            return "=" + xxhash.xxh3_128_hexdigest(terms.tobytes())
-        return "".join(xxhash.xxh3_64_hexdigest(terms[k].tobytes())[:6] if x else VOID for k, x in zip(kept, some.tolist(), strict=True))
+            return Print("=" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")))
+        subset, at = np.nonzero(subsets)
+        if not len(at):
+            return Print("=" + xxhash.xxh3_128_hexdigest(terms.tobytes()))
+        packed, ends = terms[at].tobytes(), np.cumsum(np.bincount(subset, minlength=len(_EACH))).tolist()  # subset by subset
+        digests, start = [-1] * len(_EACH), 0
+        for k, end in enumerate(ends):
+            if end > start:
+                digests[k] = xxhash.xxh3_64_intdigest(packed[8 * start : 8 * end]) >> 40
+                start = end
+        return Print("".join(["%06x" % d if d >= 0 else VOID for d in digests]), np.array(digests))
+
+    def fingerprint(self, text: str) -> str:
+        return self.print(text).text
 
 
 def lexicon(docs: DataFrame, most: float = 0.1, least: float = 0.0005) -> Lexicon:
@@ -113,12 +164,10 @@ def lexicon(docs: DataFrame, most: float = 0.1, least: float = 0.0005) -> Lexico
     are at most (mean distinct terms of a text) / least such terms, 4 MB at 250 distinct terms, whatever the corpus."""
     total = docs.count()
     least_n, most_n = least * total, most * total
-    place = F.col("cell") + 1  # these functions count from 1
-    maps = _cell_counts(docs).where(F.col("n") >= least_n).groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     cells = np.zeros(1 << CELL_BITS, bool)
-    for number, packed in maps.collect():  # at most 33 rows of 4 kB
-        own = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little"))
-        cells[own + (number - 1) * 32768] = True
+    reach = lambda batches: (pa.RecordBatch.from_pydict({"block": b.column("block"), "bits": [np.packbits(np.frombuffer(c, np.int64) >= least_n).tobytes() for c in b.column("counts").to_pylist()]}) for b in batches)
+    for block, bits in _cell_counts(docs).mapInArrow(reach, "block int, bits binary").collect():  # at most 256 rows of 512 bytes
+        cells[block * BLOCK : (block + 1) * BLOCK] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
     counts = _term_counts(docs, docs.sparkSession.sparkContext.broadcast(cells)).where(F.col("n").between(least_n, most_n))
     return Lexicon(counts.select("term").toArrow().column("term").to_numpy().view(np.uint64))
 
@@ -149,11 +198,11 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _row(own: Lexicon, doc_id, text: str, print_: str, after: str, after_print: str) -> tuple:
+def _row(own: Lexicon, doc_id, text: str, print_: Print, after: str, after_print: Print) -> tuple:
     changed = _edited(text, after)
-    changed_print = own.fingerprint(changed)
+    changed_print = own.print(changed)
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), digest, print_, changed_print, likeness(print_, changed_print), likeness(print_, after_print)
+    return doc_id, len(text), digest, print_.text, changed_print.text, print_.like(changed_print), print_.like(after_print)
 
 
 _NAMES = [x.split()[0] for x in RESULT.split(", ")]
@@ -182,7 +231,7 @@ def compare_with_edits(docs: DataFrame, own: Lexicon) -> DataFrame:
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                now = (doc_id, text, lexicon.fingerprint(text))
+                now = (doc_id, text, lexicon.print(text))
                 if before:
                     rows.append(_row(lexicon, *before, *now[1:]))
                 head, before = head or now, now
@@ -197,7 +246,7 @@ def compare_with_edits(docs: DataFrame, own: Lexicon) -> DataFrame:
         lexicon = shared.value
         for batch in slices(batches):
             own = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True)
-            yield pa.RecordBatch.from_pydict(_columns([_row(lexicon, i, t, lexicon.fingerprint(t), a, lexicon.fingerprint(a)) for i, t, a in own]))
+            yield pa.RecordBatch.from_pydict(_columns([_row(lexicon, i, t, lexicon.print(t), a, lexicon.print(a)) for i, t, a in own]))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
