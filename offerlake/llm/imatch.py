@@ -133,7 +133,7 @@ class Lexicon:
         at = np.sort(at[at >= 0])
         if len(at):
             bits = np.unpackbits(self.subsets[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            return self.inside[at], bits.T[: len(_EACH)]
+            return self.inside[at], np.ascontiguousarray(bits[:, : len(_EACH)].T).view(bool)
         terms = np.sort(_distinct(text))
         return terms, mixed(mixed(terms[None, :] ^ _SALTS) * _SALTS) < _LIMITS
 
