@@ -8,29 +8,51 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerlake.llm import bpe, decontamination, near_duplicates, suffix_dedup, toxicity
-from offerlake.llm.common import shared_dir, table
+from offerlake.llm.common import shared_dir, stored, table
 
 #: Documents of this toxicity or more are rejected.
 TOXIC = 0.3
+#: A column that a stage adds; no table has it.
+KEY = "_near_duplicates_key"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score below TOXIC, by a model of the labels whose ids' checksums leave 0, 1 or 3 of 4."""
+    """The documents that score below TOXIC, by a model of the labels whose ids' checksums leave 0, 1 or 3 of 4.
+
+    Each row is judged by its text alone: null and empty texts have the score of a text without words, equal texts go or
+    stay together, rows without id are judged like others but not learned from, and other columns are kept."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     return model.score(docs).where(F.col("toxicity") < TOXIC).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its class. Of rows with equal ids one stays; rows without id stay, once a text."""
-    classes = near_duplicates.near_duplicates(docs)
-    named = classes.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*[f"`{c}`" for c in docs.columns])
+    """The document of each class that has the smallest id.
+
+    Of rows of one id the text with the smallest SHA-256 counts, and one row of that text stays (by a hash of its other columns, so
+    that two runs agree). A row without id takes part under a number that its text gives it, above 2**62 and so behind all other ids:
+    it goes if its text is a copy or near copy of another document, else one row of its text stays, without an id. Null texts
+    are empty; empty texts are copies of one another; other columns are kept as they are.
+    """
+    text = F.coalesce("text", F.lit(""))
+    behind = F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    keyed = docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), behind))
+    digests = keyed.groupBy(KEY).agg(F.min(F.sha2(text, 256)).alias(f"{KEY}_text"), F.count("*").alias("n"))
+    repeated = stored(digests.where("n > 1").select(KEY, f"{KEY}_text"), "repeated-ids")
+    own = keyed
+    if repeated.head(1):
+        own = keyed.join(repeated, KEY, "left").where(F.col(f"{KEY}_text").isNull() | (F.col(f"{KEY}_text") == F.sha2(text, 256))).drop(f"{KEY}_text")
+    classes = near_duplicates.near_duplicates(own.select(F.col(KEY).alias("doc_id"), "text"))
+    named = classes.where("doc_id = class_id").select(F.col("doc_id").alias(KEY)).distinct()
+    kept = own.join(named, KEY, "left_semi")
+    if repeated.head(1):
+        order = Window.partitionBy(KEY).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
+        kept = kept.withColumn(f"{KEY}_nth", F.row_number().over(order)).where(F.col(f"{KEY}_nth") == 1)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +69,15 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that overlap no benchmark item."""
+    """The documents that overlap no benchmark item. Null and empty texts overlap none; equal texts go or stay together, with an id
+    or without; other columns are kept. Without benchmark items all stay."""
     found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens) of every document."""
+    """(doc_id, ids, n_tokens) of every document: a row for each row, those without id and repeated ones too; null and empty texts
+    have no ids. Other columns go."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
