@@ -1,10 +1,15 @@
 import collections
+import hashlib
 import math
+import re
 import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+import tiktoken.load
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -162,6 +167,58 @@ def test_pipeline_odd_rows(spark, odd, empty):
             assert docs_out.count() <= docs.count(), name
 
 
+def similar(a, b):
+    """Shingles of five words matched in order, of all shingles of both."""
+    a, b = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (re.findall(r"\w+", x.lower()) for x in (a, b)))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1] / (len(a) + len(b) - row[-1]) if a and b else 0.0
+
+
+def test_pipeline_against_plain_loops(spark, tmp_path):
+    """All five stages over a small table with null ids, equal ids, copies, near copies, shared passages and leaks."""
+    some = lambda seed, n: " ".join(f"w{(seed * 7919 + i * i * 31 + i) % 9973}" for i in range(n))
+    passage, item = some(3, 60), some(99, 40)
+    rows = [
+        (1, some(1, 80)), (2, some(1, 79) + " changed"), (None, some(1, 80)), (None, some(2, 70)), (None, some(2, 70)), (3, some(4, 50)), (3, some(5, 50)), (4, some(6, 40) + " " + passage),
+        (5, some(7, 40) + " " + passage), (6, some(8, 30) + " " + item + " " + some(9, 30)), (7, None), (8, ""), (9, some(10, 5)), (None, None), (10, some(11, 300)), (10, some(11, 300)),
+    ]
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")  # one label alone: none is toxic
+    # one text for each id, the smallest digest's; those without id behind them, one row a text
+    by_id = {}
+    for i, t in rows:
+        key = (0, i) if i is not None else (1, hashlib.sha256((t or "").encode()).hexdigest())
+        by_id[key] = min(by_id.get(key, t or ""), t or "", key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    kept = []
+    for key in sorted(by_id):
+        if not any(by_id[key] == t or similar(by_id[key], t) >= 0.8 for _, t in kept):
+            kept.append((key, by_id[key]))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert sorted(map(str, ((r.doc_id, r.text or "") for r in near.collect()))) == sorted(str((k[1] if k[0] == 0 else None, t)) for k, t in kept)
+    # bytes of 100-byte strings that start earlier; what is left of the texts, without those that leak
+    seen, cut = set(), []
+    for key, text in sorted(kept, key=lambda x: (x[0][0] == 0, x[0])):  # null ids come first
+        data, gone = text.encode(), set()
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                gone.update(range(i, i + 100))
+            seen.add(data[i : i + 100])
+        cut.append((key[1] if key[0] == 0 else None, bytes(x for i, x in enumerate(data) if i not in gone).decode(), bool(gone)))
+    clean = [(i, t) for i, t, shorter in cut if (t.strip() or not shorter) and item not in t]
+    assert any(shorter for _, _, shorter in cut) and len(clean) < len(cut)
+    encoding = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    expected = sorted(str((i, encoding.encode_ordinary(t))) for i, t in clean)
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(str((r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist())) for r in out) == expected
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "ids", "n_tokens"] and 0 < out.count() < 200
