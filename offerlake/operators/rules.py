@@ -32,6 +32,17 @@ def price_error(price: Column, currency: Column) -> Column:
     return F.coalesce(~price.between(low, high), F.lit(False))
 
 
+def _with_ranges(products: DataFrame, money: Column) -> DataFrame:
+    """products plus _low and _high, their currency's prices: a join with the list of currencies."""
+    rows = products.sparkSession.createDataFrame([(c, float(lo), float(hi)) for c, (lo, hi) in PRICE_RANGES.items()], "_code string, _low double, _high double")
+    either = lambda c, k: F.coalesce(c, F.lit(float(OTHER_RANGE[k]))).alias(c)
+    return products.withColumn("_money", money).join(F.broadcast(rows), F.col("_money") == F.col("_code"), "left").select(*[f"`{c}`" for c in products.columns], either("_low", 0), either("_high", 1))
+
+
+def _outside(price: Column) -> Column:
+    return F.coalesce(~price.between(F.col("_low"), F.col("_high")), F.lit(False))
+
+
 def discount_state(regular: Column, discounted: Column, stated: Column) -> Column:
     """error, warning or null."""
     real = (regular - discounted) / regular * 100
@@ -60,17 +71,19 @@ def _list(*conditions: tuple[str, Column]) -> Column:
 
 
 def _count(*conditions: tuple[str, Column]) -> Column:
-    return reduce(lambda total, c: total + F.when(c[1], 1).otherwise(0), conditions, F.lit(0))
+    """How many hold. The filter keeps a projection with many conditions out of whole-stage methods, which the JVM would not compile
+    at this size (over 8,000 bytes): outside, Spark splits the conditions into small methods."""
+    return F.size(F.filter(F.array(*[c for _, c in conditions]), lambda x: x))
 
 
 def validated(products: DataFrame, currency: str = "EUR", page: tuple[int, int] = (2480, 3508), lists: bool = False) -> DataFrame:
     """products plus n_errors, n_warnings, is_valid, auto_approve and priority; with lists, also what the errors and
-    warnings are. Counts are sums of conditions, which are compiled; the lists are not, so they are only made on demand."""
+    warnings are."""
     have = set(products.columns)
     col = lambda c, kind="double": F.col(c) if c in have else F.lit(None).cast(kind)
     regular, reduced, confidence = F.col("regular_price"), F.col("discounted_price"), F.col("confidence").cast("double")
     money = F.coalesce(F.col("currency"), F.lit(currency)) if "currency" in have else F.lit(currency)
-    state = discount_state(regular, reduced, F.col("discount_percentage"))
+    state = F.col("_state")
     kind = dict(products.dtypes)
     flag_column = next((c for c in ("uncertainty_flags", "flags") if c in have), None)
     given = F.array().cast("array<string>") if flag_column is None else F.col(flag_column) if kind[flag_column].startswith("array") else F.array_remove(F.split(F.col(flag_column), ","), "")
@@ -80,7 +93,7 @@ def validated(products: DataFrame, currency: str = "EUR", page: tuple[int, int]
     flags = F.when(weak & ~F.array_contains(given, "CATEGORY_LOW_CONFIDENCE"), F.array_append(given, "CATEGORY_LOW_CONFIDENCE")).otherwise(given) if {"category_confidence"} & have else given
     weak_fields = reduce(or_, (F.coalesce(F.col(f"{c}_confidence").cast("double") < 0.7, F.lit(False)) for c in ("brand", "product_name", "discounted_price") if f"{c}_confidence" in have), F.lit(False))
     errors = (
-        ("regular_price", price_error(regular, money)), ("discounted_price", price_error(reduced, money)), ("discount", state == "error"), ("quantity", (quantity <= 0) | (quantity > 10000)),
+        ("regular_price", _outside(regular)), ("discounted_price", _outside(reduced)), ("discount", state == "error"), ("quantity", (quantity <= 0) | (quantity > 10000)),
         ("bounding_box", box_error(*map(F.lit, page)) if set(BOUNDS) <= have else F.lit(False)), ("product_name", name_error(F.col("product_name"))),
     )
     known = [flag for flag in CRITICAL_FLAGS if flag_column or flag == CRITICAL_FLAGS[-1]]
@@ -91,8 +104,11 @@ def validated(products: DataFrame, currency: str = "EUR", page: tuple[int, int]
     n_warnings = _count(*warnings) + F.size(F.array_intersect("_flags", F.array(*map(F.lit, known))))
     if lists:
         warnings += tuple((flag, F.array_contains("_flags", flag)) for flag in known)
-    made = products.withColumn("_flags", flags)
-    made = made.select(*[f"`{c}`" for c in products.columns], _count(*errors).alias("n_errors"), n_warnings.alias("n_warnings"), F.size("_flags").alias("_n_flags"), *([_list(*errors).alias("errors"), _list(*warnings).alias("warnings")] if lists else []))
+    made = products.withColumns({"_flags": flags, "_state": discount_state(regular, reduced, F.col("discount_percentage"))})
+    made = made.select("*", n_warnings.alias("n_warnings"), F.size("_flags").alias("_n_flags"), *([_list(*warnings).alias("warnings")] if lists else []))
+    made = _with_ranges(made, money)
+    listed = [_list(*errors).alias("errors"), "warnings"] if lists else []
+    made = made.select(*[f"`{c}`" for c in products.columns], _count(*errors).alias("n_errors"), "n_warnings", "_n_flags", *listed)
     approve = (F.col("n_errors") == 0) & (F.col("n_warnings") == 0) & (confidence >= 0.9) & F.coalesce(category >= 0.8, F.lit(True))
     brand = F.nullif(F.trim("brand"), F.lit(""))
     points = (
