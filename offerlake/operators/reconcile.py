@@ -44,11 +44,13 @@ def split_candidates(products: DataFrame, page_height: int, least: int = 50) ->
     the highest of the document's next page, whatever its number; products without a box are in none. The join is on
     document and page, so it never meets all pairs of a document."""
     columns = ["leaflet_id", "page_number", "id", "product_name", "brand", "discounted_price", "bbox_x", "bbox_y", "bbox_height"]
-    place = F.dense_rank().over(Window.partitionBy("leaflet_id").orderBy("page_number"))
-    own = products.select(*columns, flag_list(F.col("flags")).alias("flags"), place.alias("place"))
-    low = own.where(F.col("bbox_y") + F.col("bbox_height") > page_height - page_height * 0.1).alias("a")
+    # pages alone are put in order; products are filtered by their boxes before they move
+    after = F.lead("page_number").over(Window.partitionBy("leaflet_id").orderBy("page_number")).alias("next_page")
+    pages = products.select("leaflet_id", "page_number").distinct().select("leaflet_id", "page_number", after)
+    own = products.select(*columns, flag_list(F.col("flags")).alias("flags"))
+    low = own.where(F.col("bbox_y") + F.col("bbox_height") > page_height - page_height * 0.1).join(pages, ["leaflet_id", "page_number"]).alias("a")
     high = own.where(F.col("bbox_y") < page_height * 0.1).alias("b")
-    pairs = low.join(high, (F.col("a.leaflet_id") == F.col("b.leaflet_id")) & (F.col("a.place") + 1 == F.col("b.place")))
+    pairs = low.join(high, (F.col("a.leaflet_id") == F.col("b.leaflet_id")) & (F.col("a.next_page") == F.col("b.page_number")))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     brand = lambda side: F.nullif(F.lower(F.trim(side("brand"))), F.lit(""))
     points = (
