@@ -403,3 +403,41 @@ def covered(boxes: DataFrame, place: str, size: str, length: int, step: int, *by
     counts = boxes.where("bbox_x is not null").select(*by).distinct().join(over.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("at", "count"))).alias("counts")), list(by), "left")
     n = lambda i: F.coalesce(F.try_element_at(F.col("counts"), i), F.lit(0).cast("long"))
     return counts.select(*by, F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.greatest(F.lit(0).cast("long"), F.lit(255) - n(i) * 20)).alias("profile"))
+
+
+# even grids
+#: Grids to look for (columns, rows), the grid where none is even, how uneven its cells may be, and their least size.
+GRID_HINTS, PLAIN_GRID, MOST_UNEVEN, LEAST_CELL = ((3, 4), (3, 5), (4, 5), (4, 6)), (3, 5), 2.5, (100, 120)
+
+
+def _even_grid(across: np.ndarray, down: np.ndarray, step: int) -> tuple[int, int, list[int], list[int]] | None:
+    """The first hinted grid whose cells are of like sizes: columns, rows, and the places of their dividers."""
+    width, height = len(across) * step, len(down) * step
+    for columns, rows in GRID_HINTS:
+        xs, ys = ([at * step for at in _divided(p, n + 1, 0.5 / n)] for p, n in ((across, columns), (down, rows)))
+        wide = [b - a for a, b in zip(xs, xs[1:]) if b - a >= max(LEAST_CELL[0], width // 20)]
+        high = [b - a for a, b in zip(ys, ys[1:]) if b - a >= max(LEAST_CELL[1], height // 20)]
+        if len(wide) * len(high) >= 2 and max(wide) <= MOST_UNEVEN * min(wide) and max(high) <= MOST_UNEVEN * min(high):
+            return columns, rows, xs, ys
+    return None
+
+
+def even_grids(across: DataFrame, down: DataFrame, step: int, *by: str) -> DataFrame:
+    """(by, columns, rows, xs, ys) of sheets with profiles (by, profile) in both directions: the first of GRID_HINTS whose dividers
+    cut cells that are large enough, two at least, and whose widths and heights each differ by a factor of MOST_UNEVEN at the
+    most; else PLAIN_GRID with equal cells."""
+    both = across.select(*by, F.col("profile").alias("across")).join(down.select(*by, F.col("profile").alias("down")), list(by))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for a, d in zip(batch.column("across").to_pylist(), batch.column("down").to_pylist()):
+                n, m = PLAIN_GRID
+                plain = (n, m, [i * (len(a) * step // n) for i in range(n + 1)], [i * (len(d) * step // m) for i in range(m + 1)])
+                made.append(_even_grid(np.array(a, np.int64), np.array(d, np.int64), step) or plain)
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = [pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], [*batch.schema.names[:-2], "columns", "rows", "xs", "ys"])
+
+    schema = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in by) + ", columns int, rows int, xs array<int>, ys array<int>"
+    return both.mapInArrow(run, schema)

@@ -243,3 +243,29 @@ add(
     lambda x: r.hybrid_regions(x.texts, x.regions.distinct().withColumnsRenamed({"region": "id"}).withColumns({c: F.col(c) * 2 for c in ("bbox_width", "bbox_height")}), 1000, 1000, "leaflet_id"),
     HYBRID.replace("{0}", TOLD).replace("{1}", f"{MEET2} / (g.w * g.h + w.w * w.h - {MEET2})").replace("{{", "{").replace("}}", "}"),
 )
+
+
+# even grids: dividers of both directions for each number of parts at once
+EVEN = """, spans AS (SELECT leaflet_id, 'x' AS way, list({'a': bbox_x, 'b': bbox_x + bbox_width}) AS spans FROM texts WHERE bbox_x IS NOT NULL GROUP BY 1 UNION ALL SELECT leaflet_id, 'y', list({'a': bbox_y, 'b': bbox_y + bbox_height}) FROM texts WHERE bbox_x IS NOT NULL GROUP BY 1),
+    profiles AS (SELECT leaflet_id, way, list_transform(range(100), lambda i: GREATEST(0, 255 - 20 * len(list_filter(spans, lambda s: s.a < (i + 1) * 10 AND s.b > i * 10)))) AS p FROM spans),
+    smoothed AS (SELECT leaflet_id, way, list_transform(range(1, 101), lambda i: list_sum(p[GREATEST(1, i - 1):LEAST(100, i + 1)])) AS s FROM profiles),
+    wanted AS (SELECT *, GREATEST(3, apart // 3) AS near FROM (VALUES ('x', 3, 16), ('x', 4, 12), ('y', 4, 12), ('y', 5, 10), ('y', 6, 8)) v(way, parts, apart)),
+    ranked AS (SELECT leaflet_id, way, parts, apart, list_sort(list_transform(list_filter(range(2, 100), lambda i: s[i] >= list_max(s[GREATEST(1, i - near):LEAST(100, i + near)])), lambda i: {'dark': -s[i], 'spot': i - 1})) AS peaks FROM smoothed JOIN wanted USING (way)),
+    chosen AS (SELECT leaflet_id, way, parts, apart, peaks, CAST(1 AS BIGINT) AS k, [CAST(0 AS BIGINT), CAST(99 AS BIGINT)] AS taken FROM ranked UNION ALL
+    SELECT leaflet_id, way, parts, apart, peaks, k + 1, CASE WHEN len(taken) <= parts AND len(list_filter(taken, lambda x: abs(x - peaks[k].spot) < apart)) = 0 THEN list_append(taken, peaks[k].spot) ELSE taken END FROM chosen WHERE k <= len(peaks)),
+    filled AS (SELECT leaflet_id, way, parts, list_sort(taken) AS places FROM chosen WHERE k = len(peaks) + 1 UNION ALL
+    SELECT leaflet_id, way, parts, list_sort(list_append(places, CAST(widest.since + widest.wide // 2 AS BIGINT))) FROM (SELECT *, list_reverse_sort(list_transform(range(1, len(places)), lambda i: {'wide': places[i + 1] - places[i], 'since': places[i]}))[1] AS widest FROM filled WHERE len(places) <= parts) WHERE widest.wide >= 4),
+    cut AS (SELECT leaflet_id, way, parts, list_transform(arg_max(places, len(places)), lambda x: x * 10) AS places FROM filled GROUP BY 1, 2, 3),
+    sized AS (SELECT *, list_filter(list_transform(range(1, len(places)), lambda i: places[i + 1] - places[i]), lambda w: w >= CASE WHEN way = 'x' THEN 100 ELSE 120 END) AS sizes FROM cut),
+    tried AS (SELECT x.leaflet_id, h.nth, h.c, h.r, x.places AS xs, y.places AS ys, len(x.sizes) * len(y.sizes) >= 2 AND list_max(x.sizes) <= 2.5 * list_min(x.sizes) AND list_max(y.sizes) <= 2.5 * list_min(y.sizes) AS even
+    FROM (VALUES (1, 3, 4), (2, 3, 5), (3, 4, 5), (4, 4, 6)) h(nth, c, r) JOIN sized x ON x.way = 'x' AND x.parts = h.c JOIN sized y ON y.way = 'y' AND y.parts = h.r AND y.leaflet_id = x.leaflet_id),
+    first_even AS (SELECT leaflet_id, arg_min({'c': c, 'r': r, 'xs': xs, 'ys': ys}, nth) AS g FROM tried WHERE even GROUP BY 1)
+    SELECT l.leaflet_id, CAST(COALESCE(g.c, 3) AS INT) AS columns, CAST(COALESCE(g.r, 5) AS INT) AS nrows, COALESCE(array_to_string(g.xs, ','), '0,333,666,999') AS xs, COALESCE(array_to_string(g.ys, ','), '0,200,400,600,800,1000') AS ys FROM (SELECT DISTINCT leaflet_id FROM cut) l LEFT JOIN first_even USING (leaflet_id)"""
+
+
+def _even_grids(x):
+    across, down = (r.covered(x.texts, place, size, 1000, 10, "leaflet_id") for place, size in (("bbox_x", "bbox_width"), ("bbox_y", "bbox_height")))
+    return r.even_grids(across, down, 10, "leaflet_id").select("leaflet_id", "columns", F.col("rows").alias("nrows"), *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("xs", "ys")])
+
+
+add("g6_even_grids", "texts", _even_grids, EVEN)
