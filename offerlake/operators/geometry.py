@@ -37,6 +37,13 @@ def union_of_boxes(boxes: DataFrame, *by: str) -> DataFrame:
     return boxes.groupBy(*by).agg(F.min(x).alias("bbox_x"), F.min(y).alias("bbox_y"), (F.max(x + w) - F.min(x)).alias("bbox_width"), (F.max(y + h) - F.min(y)).alias("bbox_height"))
 
 
+def scaled_union(boxes: DataFrame, across: float, down: float, *by: str) -> DataFrame:
+    """The box around each group's boxes, scaled to another size of the page: places and lengths are cut to whole points, places
+    are 0 at least and lengths 1."""
+    whole = lambda c, scale, least: F.greatest(F.lit(least).cast("long"), (F.col(c).cast("double") * scale).cast("long")).alias(c)
+    return union_of_boxes(boxes, *by).select(*by, whole("bbox_x", across, 0), whole("bbox_y", down, 0), whole("bbox_width", across, 1), whole("bbox_height", down, 1))
+
+
 def grid_cells(boxes: DataFrame, width: int, height: int, columns: int, rows: int) -> DataFrame:
     """boxes plus cell: where the centre lies in an equal grid, row by row from 0."""
     x, y, w, h = map(F.col, BOX)

@@ -59,6 +59,15 @@ add(
     "n16_product_flags", "offers", lambda x: x.offers.select("id", F.coalesce(F.col("discounted_price") < F.col("regular_price"), F.lit(False)).alias("has_discount"), f.discount(F.col("regular_price"), F.col("discounted_price")).alias("calculated"), F.col("state").isin("N").alias("needs_review")),
     "SELECT id, COALESCE(discounted_price < regular_price, FALSE) AS has_discount, CASE WHEN regular_price > 0 AND regular_price > discounted_price THEN (regular_price - discounted_price) / regular_price * 100 END AS calculated, state = 'N' AS needs_review FROM offers",
 )
+RAW = """concat('{"product_name": ', CASE WHEN product_name = '' THEN 'null' ELSE concat('"', product_name, '"') END, ', "region_numbers": ', CASE quantity % 4 WHEN 0 THEN '[1, 2.7, "3", null, -4.5]' WHEN 1 THEN '"none"' WHEN 2 THEN '[]' ELSE concat('[', CAST(quantity AS STRING), ']') END,
+    ', "category_alternatives": ', CASE page_number % 4 WHEN 0 THEN '["Dairy", {"name": "Bakery", "confidence": 0.25}, 7, {"confidence": 1}]' WHEN 1 THEN '"Dairy"' WHEN 2 THEN '[3, null]' ELSE 'null' END, ', "confidence_score": ', CASE page_number % 3 WHEN 0 THEN '0' WHEN 1 THEN '"0.55"' ELSE '0.9' END, '}')"""
+ANSWERS = {"region_numbers": "array_join(transform(region_numbers, n -> CAST(n AS STRING)), ',')", "alternatives": "array_join(transform(alternatives, a -> concat(coalesce(a.name, '?'), ':', coalesce(CAST(a.confidence AS STRING), '-'))), ',')"}
+add(
+    "n5_parsed_products", "offers", lambda x: x.offers.select("id", F.expr(RAW).alias("raw")).select("id", *[c.alias(n) for n, c in f.parsed_product(F.col("raw")).items()]).where("name is not null").withColumns({n: F.expr(e) for n, e in ANSWERS.items()}),
+    f"""SELECT id, json_extract_string(j, '$.product_name') AS name, COALESCE(array_to_string(list_transform(list_filter(json_extract(j, '$.region_numbers[*]'), lambda v: json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE')), lambda v: CAST(CAST(trunc(CAST(v AS DOUBLE)) AS BIGINT) AS VARCHAR)), ','), '') AS region_numbers,
+    CASE WHEN len(alts) > 0 THEN array_to_string(list_transform(alts, lambda v: concat(CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE COALESCE(json_extract_string(v, '$.name'), '?') END, ':', CASE WHEN json_type(v) = 'OBJECT' THEN COALESCE(CAST(CAST(json_extract_string(v, '$.confidence') AS DOUBLE) AS VARCHAR), '-') ELSE '-' END)), ',') END AS alternatives,
+    COALESCE(NULLIF(TRY_CAST(json_extract_string(j, '$.confidence_score') AS DOUBLE), 0), 0.8) AS confidence FROM (SELECT id, j, list_filter(json_extract(j, '$.category_alternatives[*]'), lambda v: json_type(v) IN ('VARCHAR', 'OBJECT')) AS alts FROM (SELECT id, {RAW} AS j FROM offers)) WHERE trim(json_extract_string(j, '$.product_name')) <> ''""",
+)
 NAMES = list(f.ERROR_CATEGORIES)
 add(
     "n17_error_categories", "audit", lambda x: x.audit.select("id", f.error_category(F.when(F.col("id") % 20 < len(NAMES), F.upper(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("id") % 20 + 1).cast("int")))).when(F.col("id") % 20 == 17, "odd")).alias("category")),
@@ -94,6 +103,10 @@ add(
     "g4_padded_unions", "offers", lambda x: g.padded_union(x.offers.where("bbox_x is not null"), 10, *(900, 1000), "leaflet_id", "brand"),
     """SELECT leaflet_id, brand, l AS bbox_x, t AS bbox_y, GREATEST(r - l, 50) AS bbox_width, GREATEST(b - t, 50) AS bbox_height FROM (SELECT leaflet_id, brand, GREATEST(0, MIN(bbox_x) - 10) AS l, GREATEST(0, MIN(bbox_y) - 10) AS t, LEAST(900, MAX(bbox_x + bbox_width) + 10) AS r, LEAST(1000, MAX(bbox_y + bbox_height) + 10) AS b FROM offers WHERE bbox_x IS NOT NULL GROUP BY 1, 2)""",
 )
+add(
+    "g3_scaled_unions", "products", lambda x: g.scaled_union(x.products.withColumn("bbox_x", F.col("bbox_x") - 60), 2.48, 0.35, "leaflet_id"),
+    "SELECT leaflet_id, GREATEST(0, CAST(trunc(CAST(l AS DOUBLE) * CAST(2.48 AS DOUBLE)) AS BIGINT)) AS bbox_x, GREATEST(0, CAST(trunc(CAST(t AS DOUBLE) * CAST(0.35 AS DOUBLE)) AS BIGINT)) AS bbox_y, GREATEST(1, CAST(trunc(CAST(r - l AS DOUBLE) * CAST(2.48 AS DOUBLE)) AS BIGINT)) AS bbox_width, GREATEST(1, CAST(trunc(CAST(b - t AS DOUBLE) * CAST(0.35 AS DOUBLE)) AS BIGINT)) AS bbox_height FROM (SELECT leaflet_id, MIN(bbox_x - 60) AS l, MIN(bbox_y) AS t, MAX(bbox_x - 60 + bbox_width) AS r, MAX(bbox_y + bbox_height) AS b FROM products GROUP BY 1)",
+)
 add("g5_equal_grid", "", lambda x: g.grid(x.spark, 2480, 3508, 3, 5, 5), "SELECT i + 1 AS cell, i % 3 * 826 + 5 AS bbox_x, i // 3 * 701 + 5 AS bbox_y, CAST(816 AS INT) AS bbox_width, CAST(691 AS INT) AS bbox_height FROM range(15) r(i)")
 add("g6_even_cells", "products", lambda x: g.even_cells(x.products, "leaflet_id"), "SELECT leaflet_id, CAST(MAX(bbox_width) AS DOUBLE) / GREATEST(MIN(bbox_width), 1) <= 2.5 AND CAST(MAX(bbox_height) AS DOUBLE) / GREATEST(MIN(bbox_height), 1) <= 2.5 AS even FROM products GROUP BY 1")
 add(
@@ -122,6 +135,15 @@ ITEM = lambda alias: f"{{'page_number': {alias}.page_number, 'id': {alias}.id, '
 add("snk2_leaflet_json", "products leaflets", lambda x: sinks.documents(x.products, x.leaflets), f"SELECT l.id, CAST(to_json({{'id': l.id, 'status': status, 'retailer': retailer, 'n_products': COALESCE(n, 0), 'products': COALESCE(products, [])}}) AS VARCHAR) AS json FROM leaflets l LEFT JOIN (SELECT leaflet_id, {CNT} AS n, list({ITEM('p')} ORDER BY page_number, p.id) AS products FROM products p GROUP BY 1) ON leaflet_id = l.id")
 add("snk3_summary_sheet", "products leaflets", lambda x: sinks.summary_sheet(x.products, x.leaflets), f"SELECT l.id, status, retailer, page_count, COALESCE(n, 0) AS products, COALESCE(reduced, 0) AS reduced FROM leaflets l LEFT JOIN (SELECT leaflet_id, {CNT} AS n, CAST(COUNT(discounted_price) AS BIGINT) AS reduced FROM products GROUP BY 1) ON leaflet_id = l.id")
 add("snk3_statistics_sheet", "products", lambda x: sinks.statistics_sheet(x.products), f"SELECT leaflet_id, page_number, {CNT} AS n FROM products GROUP BY 1, 2")
+add(
+    "snk3_products_sheet", "offers", lambda x: sinks.products_sheet(x.offers, "EUR"),
+    f"""SELECT leaflet_id, id, page_number AS "Page", COALESCE(brand, '') AS "Brand", COALESCE(product_code, '') AS "Product Code", product_name AS "Product Name", NULLIF(quantity, 0) AS "Quantity", COALESCE(units, '') AS "Units", NULLIF(regular_price, 0) AS "Regular Price", NULLIF(discounted_price, 0) AS "Discounted Price", NULLIF(discount_percentage, 0) AS "Discount %",
+    COALESCE(NULLIF(currency, ''), 'EUR') AS "Currency", '' AS "Product ID", '' AS "Promotional Info", COALESCE(category, '') AS "Category", printf('%.1f%%', COALESCE(CAST(confidence AS DOUBLE), 0) * 100) AS "Confidence", COALESCE(state, '') AS "Status", CASE WHEN validation_passed THEN 'Yes' ELSE 'No' END AS "Validated" FROM offers""",
+)
+add(
+    "snk3_brands_sheet", "offers", lambda x: sinks.brands_sheet(x.offers),
+    f"SELECT leaflet_id, brand, n, CAST(k AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY leaflet_id ORDER BY n DESC, page, first) AS k FROM (SELECT leaflet_id, COALESCE(NULLIF(brand, ''), 'Unknown') AS brand, {CNT} AS n, MIN(page_number) AS page, arg_min(id, (page_number, id)) AS first FROM offers GROUP BY 1, 2)) WHERE k <= 10",
+)
 add("snk5_product_json", "offers", lambda x: sinks.json_lines(x.offers), "SELECT id, CAST(to_json({'id': id, 'leaflet_id': leaflet_id, 'page': page_number, 'brand': brand, 'name': product_name, 'code': product_code, 'currency': currency}) AS VARCHAR) AS json FROM offers")
 add("snk7_audit_export", "audit", lambda x: sinks.audit_export(x.audit), "SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, event_type, status, CAST(organization_id AS VARCHAR) AS organization_id, CAST(user_id AS VARCHAR) AS user_id, CAST(cost AS VARCHAR) AS cost FROM audit ORDER BY audit.created_at DESC, id LIMIT 10000")
 add(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bytes a row by format, for no images, links and embedded images.
@@ -86,6 +86,28 @@ def statistics_sheet(products: DataFrame) -> DataFrame:
     return products.groupBy("leaflet_id", "page_number").agg(F.count("*").alias("n"))
 
 
+def products_sheet(products: DataFrame, currency: str) -> DataFrame:
+    """The sheet of a leaflet's products: zeros are left out as missing values are, confidence is a percentage of one digit."""
+    c = F.col
+    text = lambda name: F.coalesce(c(name).cast("string"), F.lit(""))
+    filled = lambda name: F.nullif(c(name), F.lit(0))
+    named = {
+        "Page": c("page_number"), "Brand": text("brand"), "Product Code": text("product_code"), "Product Name": c("product_name"), "Quantity": filled("quantity"), "Units": text("units"), "Regular Price": filled("regular_price"),
+        "Discounted Price": filled("discounted_price"), "Discount %": filled("discount_percentage"), "Currency": F.coalesce(F.nullif("currency", F.lit("")), F.lit(currency)), "Product ID": F.lit(""), "Promotional Info": F.lit(""),
+        "Category": text("category"), "Confidence": F.format_string("%.1f%%", F.coalesce(c("confidence").cast("double"), F.lit(0.0)) * 100), "Status": text("state"), "Validated": yes_no(c("validation_passed")),
+    }
+    return products.select("leaflet_id", "id", *[v.alias(n) for n, v in named.items()])
+
+
+def brands_sheet(products: DataFrame, most: int = 10) -> DataFrame:
+    """(leaflet_id, brand, n, place): each leaflet's `most` frequent brands, the one that comes first among equals; products without a
+    brand are Unknown."""
+    brand = F.coalesce(F.nullif("brand", F.lit("")), F.lit("Unknown"))
+    counts = products.groupBy("leaflet_id", brand.alias("brand")).agg(F.count("*").alias("n"), F.min(F.struct("page_number", "id")).alias("begins"))
+    place = F.row_number().over(Window.partitionBy("leaflet_id").orderBy(F.desc("n"), "begins"))
+    return counts.select("leaflet_id", "brand", "n", place.alias("place")).where(F.col("place") <= most)
+
+
 #: An audit export is for reading, so it stops at so many of the latest events.
 AUDIT_ROWS = 10_000
 
