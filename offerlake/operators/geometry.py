@@ -59,6 +59,14 @@ def grid(spark, width: int, height: int, columns: int, rows: int, margin: int) -
     return cells.select((F.col("cell") + 1).alias("cell"), at(F.col("cell") % columns, w).alias("bbox_x"), at(F.floor(F.col("cell") / columns), h).alias("bbox_y"), F.lit(w - 2 * margin).alias("bbox_width"), F.lit(h - 2 * margin).alias("bbox_height"))
 
 
+def equal_grids(boxes: DataFrame, columns: int, rows: int, margin: int, *by: str) -> DataFrame:
+    """(by, cell, BOX): the equal grid of each group's sheet, which reaches as far as its boxes do; cells count from 1."""
+    sheets = boxes.where("bbox_x is not null").groupBy(*by).agg(F.max(F.expr("bbox_x + bbox_width")).alias("w"), F.max(F.expr("bbox_y + bbox_height")).alias("h"))
+    sheets = sheets.select(*by, F.expr(f"w div {columns}").alias("w"), F.expr(f"h div {rows}").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(columns * rows - 1))).alias("k"))
+    at = lambda place, size: (F.expr(place).cast("long") * F.col(size) + margin).cast("long")
+    return sheets.select(*by, (F.col("k") + 1).alias("cell"), at(f"k % {columns}", "w").alias("bbox_x"), at(f"k div {columns}", "h").alias("bbox_y"), (F.col("w") - 2 * margin).alias("bbox_width"), (F.col("h") - 2 * margin).alias("bbox_height"))
+
+
 def image_quality(sharpness: Column, brightness: Column, contrast: Column, complete: Column) -> Column:
     """A weighted score of four from 0 to 1; 0.7 is enough."""
     return sharpness * 0.3 + brightness * 0.2 + contrast * 0.2 + complete * 0.3

@@ -108,6 +108,10 @@ add(
     "SELECT leaflet_id, GREATEST(0, CAST(trunc(CAST(l AS DOUBLE) * CAST(2.48 AS DOUBLE)) AS BIGINT)) AS bbox_x, GREATEST(0, CAST(trunc(CAST(t AS DOUBLE) * CAST(0.35 AS DOUBLE)) AS BIGINT)) AS bbox_y, GREATEST(1, CAST(trunc(CAST(r - l AS DOUBLE) * CAST(2.48 AS DOUBLE)) AS BIGINT)) AS bbox_width, GREATEST(1, CAST(trunc(CAST(b - t AS DOUBLE) * CAST(0.35 AS DOUBLE)) AS BIGINT)) AS bbox_height FROM (SELECT leaflet_id, MIN(bbox_x - 60) AS l, MIN(bbox_y) AS t, MAX(bbox_x - 60 + bbox_width) AS r, MAX(bbox_y + bbox_height) AS b FROM products GROUP BY 1)",
 )
 add("g5_equal_grid", "", lambda x: g.grid(x.spark, 2480, 3508, 3, 5, 5), "SELECT i + 1 AS cell, i % 3 * 826 + 5 AS bbox_x, i // 3 * 701 + 5 AS bbox_y, CAST(816 AS INT) AS bbox_width, CAST(691 AS INT) AS bbox_height FROM range(15) r(i)")
+add(
+    "g5_equal_grids", "texts", lambda x: g.equal_grids(x.texts, 3, 5, 5, "leaflet_id"),
+    "SELECT leaflet_id, CAST(k + 1 AS INT) AS cell, k % 3 * w + 5 AS bbox_x, k // 3 * h + 5 AS bbox_y, w - 10 AS bbox_width, h - 10 AS bbox_height FROM (SELECT leaflet_id, MAX(bbox_x + bbox_width) // 3 AS w, MAX(bbox_y + bbox_height) // 5 AS h, unnest(range(15)) AS k FROM texts WHERE bbox_x IS NOT NULL GROUP BY 1)",
+)
 add("g6_even_cells", "products", lambda x: g.even_cells(x.products, "leaflet_id"), "SELECT leaflet_id, CAST(MAX(bbox_width) AS DOUBLE) / GREATEST(MIN(bbox_width), 1) <= 2.5 AND CAST(MAX(bbox_height) AS DOUBLE) / GREATEST(MIN(bbox_height), 1) <= 2.5 AS even FROM products GROUP BY 1")
 add(
     "g15_grid_texts", "products", lambda x: g.grid_cells(x.products, 900, 1000, 3, 5).groupBy("leaflet_id", "page_number", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bbox_y", "bbox_x", "id", "product_name"))), lambda b: b["product_name"]), " ").alias("text")),

@@ -151,6 +151,10 @@ add(
     f"SELECT organization_id, usage_date, n, CAST(SUM(n) OVER (PARTITION BY organization_id ORDER BY usage_date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS DOUBLE) / 5 AS average FROM (SELECT organization_id, usage_date, {CNT} AS n FROM audit GROUP BY 1, 2)", "usage_date",
 )
 add("t3_presets", "", lambda x: t.presets(x.spark, "2024-03-31"), "SELECT * FROM (VALUES ('all', '2020-01-01', '2024-03-31'), ('last_30', '2024-03-02', '2024-03-31'), ('last_7', '2024-03-25', '2024-03-31'), ('last_month', '2024-02-01', '2024-02-29'), ('this_month', '2024-03-01', '2024-03-31'), ('this_year', '2024-01-01', '2024-03-31')) v(name, first, last)")
+add(
+    "t3_rows_by_preset", "audit", lambda x: x.audit.groupBy("usage_date").agg(F.count("*").alias("n"), F.sum("cost").alias("cost")).join(F.broadcast(t.presets(x.spark, "2024-02-10")), F.col("usage_date").between(F.to_date("first"), F.to_date("last"))).groupBy("name").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")),
+    f"SELECT name, {CNT} AS n, SUM(cost) AS cost FROM audit JOIN (VALUES ('all', DATE '2020-01-01', DATE '2024-02-10'), ('last_30', DATE '2024-01-12', DATE '2024-02-10'), ('last_7', DATE '2024-02-04', DATE '2024-02-10'), ('last_month', DATE '2024-01-01', DATE '2024-01-31'), ('this_month', DATE '2024-02-01', DATE '2024-02-10'), ('this_year', DATE '2024-01-01', DATE '2024-02-10')) v(name, first, last) ON usage_date BETWEEN first AND last GROUP BY 1",
+)
 add("t7_month_labels", "costs", lambda x: a.grouped(x.costs, F.date_format("processed_at", "MMMM yyyy").alias("label"), cost=F.sum("total_cost")), "SELECT strftime(processed_at, '%B %Y') AS label, SUM(total_cost) AS cost FROM costs GROUP BY 1")
 add(
     "t7_range_labels", "leaflets costs", lambda x: x.leaflets.select(F.col("id").alias("leaflet_id"), "created_at").join(x.costs, "leaflet_id").select("leaflet_id", t.range_label(F.col("created_at"), F.date_add("processed_at", (F.col("leaflet_id") % 400).cast("int"))).alias("label")),
