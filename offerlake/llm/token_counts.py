@@ -58,7 +58,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     that all executors share, which is read first and then appended to, under the digests of content and tokenizer.
     The normalised content is the text in UTF-8 with null as empty, and no more: a tokenizer's own normalising belongs to its
     version, and any other (of case, spaces or Unicode) could change the count. Only digests are shuffled to look them up;
-    the texts of misses follow, one for each, by digest and id, so that copies of one text are spread. Null texts count as empty; empty texts have no tokens;
+    the texts of misses follow, one for each, by digest and id, so that copies of one text are spread: where the misses' digests
+    are few enough to be sent to all tasks nothing else moves, else all texts are shuffled to meet them. Null texts count as empty; empty texts have no tokens;
     repeated rows each get a row; other columns are ignored; an empty table gives an empty one. If a run is lost
     between its append and its result, the next finds the counts there; if two runs append the same, either's holds.
     """
