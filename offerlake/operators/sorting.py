@@ -24,6 +24,12 @@ def page_facts(total: int, number: int, size: int) -> dict[str, int | bool]:
     return {"total": total, "pages": pages, "has_next": number < pages, "has_prev": number > 1}
 
 
+def page_columns(total: Column, number: Column, size: int) -> dict[str, Column]:
+    """page_facts() for a count and a page's number in columns."""
+    pages = F.ceil(total / size) if size else F.lit(0)
+    return {"pages": pages.cast("long"), "has_next": number < pages, "has_prev": number > 1}
+
+
 def top(df: DataFrame, n: int, by: str, *ties: str) -> DataFrame:
     """The n largest; ties in ascending order of the columns named."""
     return df.orderBy(key(by, "desc"), *map(key, ties)).limit(n)

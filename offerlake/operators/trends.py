@@ -53,6 +53,14 @@ def custom(first: date | None, last: date | None, as_of: date) -> tuple[date, da
     return first, last
 
 
+def custom_range(first: Column, last: Column, as_of: Column) -> tuple[Column, Column]:
+    """(allowed, end) of ranges in columns, by the same rule: both ends, a start by as_of and by the end, 365 days at most after
+    the end was moved to as_of."""
+    end = F.least(last, as_of)
+    allowed = first.isNotNull() & last.isNotNull() & (first <= as_of) & (first <= end) & (F.date_diff(end, first) <= 365)
+    return F.coalesce(allowed, F.lit(False)), F.when(allowed, end)
+
+
 def reset_if_past(counter: str, stamp: str, now: Column, unit: str) -> Column:
     """A counter, or 0 once a new hour, day or month has begun."""
     return F.when(F.date_trunc(unit, stamp) < F.date_trunc(unit, now), 0).otherwise(F.col(counter))

@@ -155,6 +155,14 @@ add(
     "t3_rows_by_preset", "audit", lambda x: x.audit.groupBy("usage_date").agg(F.count("*").alias("n"), F.sum("cost").alias("cost")).join(F.broadcast(t.presets(x.spark, "2024-02-10")), F.col("usage_date").between(F.to_date("first"), F.to_date("last"))).groupBy("name").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")),
     f"SELECT name, {CNT} AS n, SUM(cost) AS cost FROM audit JOIN (VALUES ('all', DATE '2020-01-01', DATE '2024-02-10'), ('last_30', DATE '2024-01-12', DATE '2024-02-10'), ('last_7', DATE '2024-02-04', DATE '2024-02-10'), ('last_month', DATE '2024-01-01', DATE '2024-01-31'), ('this_month', DATE '2024-02-01', DATE '2024-02-10'), ('this_year', DATE '2024-01-01', DATE '2024-02-10')) v(name, first, last) ON usage_date BETWEEN first AND last GROUP BY 1",
 )
+add(
+    "t4_custom_ranges", "costs", lambda x: x.costs.select("leaflet_id", *[c.alias(n) for n, c in zip(("allowed", "end"), t.custom_range(F.expr("CASE WHEN leaflet_id % 9 > 0 THEN processed_at - CAST(leaflet_id % 500 AS INT) END"), F.col("processed_at"), F.to_date(F.lit("1998-06-01"))), strict=True)]),
+    "SELECT leaflet_id, COALESCE(ok, FALSE) AS allowed, CASE WHEN ok THEN l END AS end FROM (SELECT leaflet_id, l, f IS NOT NULL AND f <= DATE '1998-06-01' AND f <= l AND l - f <= 365 AS ok FROM (SELECT leaflet_id, CASE WHEN leaflet_id % 9 > 0 THEN processed_at - CAST(leaflet_id % 500 AS INT) END AS f, LEAST(processed_at, DATE '1998-06-01') AS l FROM costs))", '"end"',
+)
+add(
+    "s6_page_facts", "products", lambda x: a.grouped(x.products, "organization_id", total=F.count("*")).select("organization_id", "total", *[c.alias(n) for n, c in s.page_columns(F.col("total"), F.col("organization_id") * 13, 50).items()]),
+    f"SELECT organization_id, total, CAST(ceil(total / 50) AS BIGINT) AS pages, organization_id * 13 < ceil(total / 50) AS has_next, organization_id * 13 > 1 AS has_prev FROM (SELECT organization_id, {CNT} AS total FROM products GROUP BY 1)",
+)
 add("t7_month_labels", "costs", lambda x: a.grouped(x.costs, F.date_format("processed_at", "MMMM yyyy").alias("label"), cost=F.sum("total_cost")), "SELECT strftime(processed_at, '%B %Y') AS label, SUM(total_cost) AS cost FROM costs GROUP BY 1")
 add(
     "t7_range_labels", "leaflets costs", lambda x: x.leaflets.select(F.col("id").alias("leaflet_id"), "created_at").join(x.costs, "leaflet_id").select("leaflet_id", t.range_label(F.col("created_at"), F.date_add("processed_at", (F.col("leaflet_id") % 400).cast("int"))).alias("label")),
