@@ -191,7 +191,7 @@ def test_rate_windows_end_with_their_state(spark, tmp_path):
     assert len(got) == 72 and all(got[u * 100 + e] == 1 + e % 2 for u, e, _ in times)
 
 
-OFFER = "id string, leaflet_id long, page_number long, product_name string, brand string, product_code string, category string, currency string, units string, regular_price double, discounted_price double, discount_percentage double, quantity long, confidence double, category_confidence double, brand_confidence double, bbox_x long, bbox_y long, bbox_width long, bbox_height long, flags string"
+WHOLE_OFFER = "id string, leaflet_id long, page_number long, product_name string, brand string, product_code string, category string, currency string, units string, regular_price double, discounted_price double, discount_percentage double, quantity long, confidence double, category_confidence double, brand_confidence double, bbox_x long, bbox_y long, bbox_width long, bbox_height long, flags string"
 
 
 def test_merged_fields_and_equal_rows(spark):
@@ -202,7 +202,7 @@ def test_merged_fields_and_equal_rows(spark):
         row("a", 1, "long bread", 950, 0.5, "continues_on_next_page"), row("a2", 1, "long bread", 950, 0.5, "continues_on_next_page"), row("b", 2, "long bread loaf", 5, 0.9, "continued_from_previous", price=3.0),
         row("b2", 2, "long bread loaf", 5, 0.9, "continued_from_previous", price=3.0), row("c", 2, "milk", 500, 0.0),
     ]
-    df = spark.createDataFrame(rows, OFFER)
+    df = spark.createDataFrame(rows, WHOLE_OFFER)
     (made,) = reconcile.merged(df, spark.createDataFrame([("a", "b")], "first_id string, second_id string")).collect()
     assert made.brand_confidence == 0.9 and made.regular_price == 3.0 and made.bbox_height == 120
     (none,) = reconcile.merged(df, spark.createDataFrame([("c", "c")], "first_id string, second_id string")).collect()
