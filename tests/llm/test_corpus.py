@@ -243,7 +243,8 @@ def test_score_is_the_sum_over_words(odd):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cursor = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in cursor.description]
     got = queries.QUERIES[name](spark, SF)
