@@ -43,13 +43,15 @@ def _cell_counts(docs: DataFrame) -> DataFrame:
     """(block, counts): in how many texts a term of each cell occurs, as 64-bit numbers, BLOCK cells a row. Each task sends a row a
     block at most, in the narrowest numbers that hold its counts; rows meet by block."""
 
+    width = min(BLOCK, 1 << CELL_BITS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
         with freed(HASHES):
             for batch in slices(batches, limit=8 << 20):
                 for text in batch.column("text"):
                     counts[_distinct(text.as_py()) >> np.uint64(64 - CELL_BITS)] += 1  # a cell that comes twice counts once
-        for block, part in enumerate(counts.reshape(-1, BLOCK)):
+        for block, part in enumerate(counts.reshape(-1, width)):
             if part.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": [part.astype(np.min_scalar_type(part.max())).tobytes()]})
 
@@ -57,7 +59,7 @@ def _cell_counts(docs: DataFrame) -> DataFrame:
         totals: dict[int, np.ndarray] = {}  # as many as there are blocks, at most
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = np.frombuffer(packed, f"u{len(packed) // BLOCK}")
+                own = np.frombuffer(packed, f"u{len(packed) // width}")
                 totals[block] = totals[block] + own if block in totals else own.astype(np.int64)
         for block, total in totals.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": [total.tobytes()]})
@@ -125,7 +127,10 @@ class Lexicon:
         at = int(np.searchsorted(self.inside, term))
         return at if at < len(self.inside) and self.inside[at] == term else -1
 
-    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def terms(self, text: str) -> np.ndarray:
+        return self.terms_and_subsets(text)[0]
+
+    def terms_and_subsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms, subsets): distinct terms of the lexicon, sorted, and which subsets have each (a row a subset); all
         distinct terms of a text that has none of the lexicon."""
         found = set(WORD.findall((text or "").lower()))
@@ -140,7 +145,7 @@ class Lexicon:
     def print(self, text: str) -> Print:
         """Six digits for each subset that has terms of the text. A text whose terms are in no subset has the digest of
         all of them, and one without any word that of itself, so that only such as have the same are like it."""
-        terms, subsets = self.terms(text)
+        terms, subsets = self.terms_and_subsets(text)
         if not len(terms):
             return Print("=" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")))
         subset, at = np.nonzero(subsets)
@@ -164,10 +169,10 @@ def lexicon(docs: DataFrame, most: float = 0.1, least: float = 0.0005) -> Lexico
     are at most (mean distinct terms of a text) / least such terms, 4 MB at 250 distinct terms, whatever the corpus."""
     total = docs.count()
     least_n, most_n = least * total, most * total
-    cells = np.zeros(1 << CELL_BITS, bool)
+    cells, width = np.zeros(1 << CELL_BITS, bool), min(BLOCK, 1 << CELL_BITS)
     reach = lambda batches: (pa.RecordBatch.from_pydict({"block": b.column("block"), "bits": [np.packbits(np.frombuffer(c, np.int64) >= least_n).tobytes() for c in b.column("counts").to_pylist()]}) for b in batches)
     for block, bits in _cell_counts(docs).mapInArrow(reach, "block int, bits binary").collect():  # at most 256 rows of 512 bytes
-        cells[block * BLOCK : (block + 1) * BLOCK] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        cells[block * width : (block + 1) * width] = np.unpackbits(np.frombuffer(bits, np.uint8), count=width).astype(bool)
     counts = _term_counts(docs, docs.sparkSession.sparkContext.broadcast(cells)).where(F.col("n").between(least_n, most_n))
     return Lexicon(counts.select("term").toArrow().column("term").to_numpy().view(np.uint64))
 
