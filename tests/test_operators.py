@@ -224,3 +224,23 @@ def test_places_of_all_rows(spark):
     got = sorted((r.place, r.v is not None, -(r.v or 0), r.k) for r in sorting.numbered(df, F.desc_nulls_first("v"), F.col("k")).collect())
     assert [x[0] for x in got] == list(range(1, 1001)) and [x[1:] for x in got] == expected
     assert sorting.numbered(df.limit(0), F.col("k")).collect() == []
+
+
+def test_numbers_among_texts_are_told_as_the_cast_does(spark):
+    odd = ["1e5", "0x1p3", "inf", "-Infinity", "NaN", " 1 ", "1d", "2F", "abc", "1⁹⁹", "+5", ".5", "5.", "1_000", "\t7\n", "\x1f8", "12,99 EUR", "500 g", "in", "n", "-", "", None]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    rows = df.select(F.col("t").try_cast("double").alias("a"), sorting.client_key("t")[1].alias("b")).collect()
+    assert [str(r.a) for r in rows] == [str(r.b) for r in rows]
+
+
+def test_a_client_sort_compares_columns(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["b", "10", "9", None, "a"])], "k int, t string")
+    made = sorting.client_numbered(df, "t", "k")
+    assert made.columns == ["k", "t", "place"] and [r.k for r in made.orderBy("place").collect()] == [2, 1, 3, 4, 0]
+    orders = []
+    numbered, sorting.numbered = sorting.numbered, lambda rows, *order, keys: orders.extend([*order, *keys]) or rows
+    try:
+        sorting.client_numbered(df, "t", "k")
+    finally:
+        sorting.numbered = numbered
+    assert [str(o) for o in orders[:4]] == [f"Column<'{c}'>" for c in ("_key0", "_key1", "_key2", "k")]
