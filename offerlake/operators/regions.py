@@ -348,33 +348,64 @@ def near_regions(texts: DataFrame, width: int, height: int, *by: str) -> DataFra
 
 
 # dividers
-def _divided(profile: np.ndarray, expected: int, spacing: float) -> list[int]:
-    """Places where one profile divides; see dividers."""
-    n = len(profile)
+def _divided(profiles: np.ndarray, expected: int, spacing: float) -> list[list[int]]:
+    """Places where profiles of one length, a row each, divide; see dividers. Each step is taken for all rows at once."""
+    rows, n = profiles.shape
     if n < 3 or expected < 2:
-        return [0, n - 1]
+        return [[0, n - 1]] * rows
     apart, kernel = max(3, int(n * spacing)), max(3, n // 80)
-    smooth = np.convolve(profile, np.ones(kernel, np.int64), mode="same")
-    reach = max(3, apart // 3)
-    edges = np.full(reach, np.iinfo(np.int64).min)
-    tops = np.lib.stride_tricks.sliding_window_view(np.concatenate([edges, smooth, edges]), 2 * reach + 1).max(1)
-    peaks = np.flatnonzero(smooth[1:-1] >= tops[1:-1]) + 1
-    places = [0, n - 1]
-    for at in peaks[np.argsort(-smooth[peaks], kind="stable")].tolist():
-        if len(places) < expected and all(abs(at - x) >= apart for x in places):
-            places.append(at)
-    places.sort()
-    while len(places) < expected:
-        wide, i = max((b - a, i) for i, (a, b) in enumerate(zip(places, places[1:])))
-        if wide < 4:
+    reach, left = max(3, apart // 3), (kernel - 1) - (kernel - 1) // 2
+    sums = np.zeros((rows, n + kernel), np.int64)
+    np.cumsum(np.pad(profiles, ((0, 0), (left, kernel - 1 - left))), axis=1, out=sums[:, 1:])
+    smooth = sums[:, kernel:] - sums[:, :-kernel]
+    tops = smooth.copy()
+    for by in range(1, reach + 1):
+        np.maximum(tops[:, by:], smooth[:, :-by], out=tops[:, by:])
+        np.maximum(tops[:, :-by], smooth[:, by:], out=tops[:, :-by])
+    free = smooth >= tops  # peaks that are far enough from all taken before
+    free[:, 0] = free[:, -1] = False
+    places = np.full((rows, expected), n, np.int64)
+    places[:, 0], places[:, 1] = 0, n - 1
+    taken, steps, each = np.full(rows, 2), np.arange(n), np.arange(rows)
+    free &= (steps >= apart) & (n - 1 - steps >= apart)
+    lowest = np.iinfo(np.int64).min
+    for k in range(2, expected):
+        at = np.where(free, smooth, lowest).argmax(1)
+        some = free[each, at]
+        if not some.any():
             break
-        places.insert(i + 1, places[i] + wide // 2)
-    return places
+        places[some, k] = at[some]
+        taken += some
+        free &= np.abs(steps - at[:, None]) >= apart
+    places.sort(axis=1)
+    for _ in range(2, expected):
+        gaps = np.where(np.arange(1, expected) < taken[:, None], places[:, 1:] - places[:, :-1], -1)
+        i = expected - 2 - gaps[:, ::-1].argmax(1)
+        wide = gaps[each, i]
+        more = (taken < expected) & (wide >= 4)
+        if not more.any():
+            break
+        places[more, taken[more]] = (places[each, i] + wide // 2)[more]
+        taken += more
+        places.sort(axis=1)
+    return [p[:k] for p, k in zip(places.tolist(), taken.tolist())]
+
+
+def _profiles(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their profiles as one array) for each length among a column's profiles."""
+    sizes, values = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        yield rows, values[begins[rows, None] + np.arange(n)]
 
 
 def _each_profile(batches: Iterator[pa.RecordBatch], expected: int, spacing: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [_divided(np.array(p, np.int64), expected, spacing) for p in batch.column("profile").to_pylist()]
+        made = [None] * len(batch)
+        for rows, profiles in _profiles(batch.column("profile")):
+            for row, places in zip(rows.tolist(), _divided(profiles, expected, spacing)):
+                made[row] = places
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*batch.schema.names[:-1], "places"])
 
 
@@ -392,17 +423,32 @@ def dividers(profiles: DataFrame, expected: int, spacing: float, *by: str) -> Da
     return made.select(*by, F.posexplode("places").alias("divider", "at_step"))
 
 
+def _each_coverage(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[pa.RecordBatch]:
+    """Profiles of the ranges (begin, end, n) of each sheet, the last column, which are added up as differences."""
+    for batch in batches:
+        ranges = batch.column("ranges")
+        begin, end, n = (ranges.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("begin", "end", "n"))
+        row = np.repeat(np.arange(len(batch)), ranges.value_lengths().to_numpy(zero_copy_only=False)) * (steps + 1)
+        changes = np.bincount(row + begin, n, len(batch) * (steps + 1)) - np.bincount(row + end + 1, n, len(batch) * (steps + 1))
+        over = changes.astype(np.int64).reshape(-1, steps + 1)[:, :steps].cumsum(axis=1)
+        profiles = np.maximum(0, 255 - 20 * over).astype(np.int16)
+        made = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * steps), pa.array(profiles.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], "profile"])
+
+
 def covered(boxes: DataFrame, place: str, size: str, length: int, step: int, *by: str) -> DataFrame:
     """(by, profile): how few of a sheet's boxes lie over each step of one direction: 255 less 20 for each, 0 at least.
 
-    A box counts once at each step that it reaches; counts meet by sheet and step, so that no list of boxes is kept."""
-    last = length // step - 1
-    reach = lambda at: F.greatest(F.lit(0), F.least(F.lit(last), at)).cast("int")
+    A box counts once at each step that it reaches. Boxes are counted by sheet and range of steps, so that what is gathered of a
+    sheet is bounded by its steps and not by its boxes."""
+    steps = length // step
+    reach = lambda at: F.greatest(F.lit(0), F.least(F.lit(steps - 1), at)).cast("int")
+    inside = (F.col(place) < length) & (F.col(place) + F.col(size) > 0)
     begin, end = reach(F.floor(F.col(place) / step)), reach(F.ceil((F.col(place) + F.col(size)) / step) - 1)
-    over = boxes.where(f"bbox_x is not null and {place} < {length} and {place} + {size} > 0").select(*by, F.explode(F.sequence(begin, end)).alias("at")).groupBy(*by, "at").count()
-    counts = boxes.where("bbox_x is not null").select(*by).distinct().join(over.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("at", "count"))).alias("counts")), list(by), "left")
-    n = lambda i: F.coalesce(F.try_element_at(F.col("counts"), i), F.lit(0).cast("long"))
-    return counts.select(*by, F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.greatest(F.lit(0).cast("long"), F.lit(255) - n(i) * 20)).alias("profile"))
+    counts = boxes.where("bbox_x is not null").select(*by, F.when(inside, begin).alias("begin"), F.when(inside, end).alias("end")).groupBy(*by, "begin", "end").agg(F.count("*").alias("n"))
+    sheets = counts.groupBy(*by).agg(F.collect_list(F.when(F.col("begin").isNotNull() & (F.col("end") >= F.col("begin")), F.struct("begin", "end", "n"))).alias("ranges"))
+    schema = ", ".join(f"`{c}` {sheets.schema[c].dataType.simpleString()}" for c in by) + ", profile array<smallint>"
+    return sheets.mapInArrow(partial(_each_coverage, steps=steps), schema)
 
 
 # even grids
@@ -410,16 +456,28 @@ def covered(boxes: DataFrame, place: str, size: str, length: int, step: int, *by
 GRID_HINTS, PLAIN_GRID, MOST_UNEVEN, LEAST_CELL = ((3, 4), (3, 5), (4, 5), (4, 6)), (3, 5), 2.5, (100, 120)
 
 
-def _even_grid(across: np.ndarray, down: np.ndarray, step: int) -> tuple[int, int, list[int], list[int]] | None:
-    """The first hinted grid whose cells are of like sizes: columns, rows, and the places of their dividers."""
-    width, height = len(across) * step, len(down) * step
-    for columns, rows in GRID_HINTS:
-        xs, ys = ([at * step for at in _divided(p, n + 1, 0.5 / n)] for p, n in ((across, columns), (down, rows)))
-        wide = [b - a for a, b in zip(xs, xs[1:]) if b - a >= max(LEAST_CELL[0], width // 20)]
-        high = [b - a for a, b in zip(ys, ys[1:]) if b - a >= max(LEAST_CELL[1], height // 20)]
-        if len(wide) * len(high) >= 2 and max(wide) <= MOST_UNEVEN * min(wide) and max(high) <= MOST_UNEVEN * min(high):
-            return columns, rows, xs, ys
-    return None
+def _even(places: list[int], least: int) -> int:
+    """How many of the cells between places are large enough, if their sizes are like each other; else 0."""
+    sizes = [b - a for a, b in zip(places, places[1:]) if b - a >= least]
+    return len(sizes) if sizes and max(sizes) <= MOST_UNEVEN * min(sizes) else 0
+
+
+def _even_grids(across: np.ndarray, down: np.ndarray, step: int) -> list[tuple[int, int, list[int], list[int]]]:
+    """For each row of both the first hinted grid whose cells are of like sizes, else the plain one: columns, rows, and the places
+    of their dividers. A number of parts that several hints share is divided once."""
+    cut = {}
+    for way, profiles, parts, least in (("x", across, {c for c, _ in GRID_HINTS}, LEAST_CELL[0]), ("y", down, {r for _, r in GRID_HINTS}, LEAST_CELL[1])):
+        length = profiles.shape[1] * step
+        for n in parts:
+            places = [[at * step for at in row] for row in _divided(profiles, n + 1, 0.5 / n)]
+            cut[way, n] = [(row, _even(row, max(least, length // 20))) for row in places]
+    n, m = PLAIN_GRID
+    plain = (n, m, [i * (across.shape[1] * step // n) for i in range(n + 1)], [i * (down.shape[1] * step // m) for i in range(m + 1)])
+    made = []
+    for k in range(len(across)):
+        tried = ((c, r, *cut["x", c][k], *cut["y", r][k]) for c, r in GRID_HINTS)
+        made.append(next(((c, r, xs, ys) for c, r, xs, wide, ys, high in tried if wide * high >= 2), plain))
+    return made
 
 
 def even_grids(across: DataFrame, down: DataFrame, step: int, *by: str) -> DataFrame:
@@ -430,11 +488,11 @@ def even_grids(across: DataFrame, down: DataFrame, step: int, *by: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for a, d in zip(batch.column("across").to_pylist(), batch.column("down").to_pylist()):
-                n, m = PLAIN_GRID
-                plain = (n, m, [i * (len(a) * step // n) for i in range(n + 1)], [i * (len(d) * step // m) for i in range(m + 1)])
-                made.append(_even_grid(np.array(a, np.int64), np.array(d, np.int64), step) or plain)
+            made = [None] * len(batch)
+            for rows, wide in _profiles(batch.column("across")):
+                for own, high in _profiles(batch.column("down").take(pa.array(rows))):
+                    for row, grid in zip(rows[own].tolist(), _even_grids(wide[own], high, step)):
+                        made[row] = grid
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             columns = [pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], [*batch.schema.names[:-2], "columns", "rows", "xs", "ys"])

@@ -1,5 +1,6 @@
 """Matching, clusters, merged boxes and dividers on small sheets, case by case."""
 
+import numpy as np
 import pytest
 
 from offerlake.operators import geometry as g
@@ -130,3 +131,17 @@ def test_dividers(spark):
     assert divided(spark, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9], 9, 0.9) == [0, 2, 4, 6, 9]  # halves the last of the widest until none is four wide
     boxes_df = boxes(spark, ("", (0, 0, 35, 10)), ("", (20, 0, 15, 10)), ("", (95, 0, 900, 10)))
     assert r.covered(boxes_df, "bbox_x", "bbox_width", 100, 10, "leaflet_id").first().profile == [235, 235, 215, 215, 255, 255, 255, 255, 255, 235]
+
+
+def test_profiles_divide_alike_alone_and_side_by_side():
+    rows = np.random.default_rng(3).integers(0, 256, (40, 100))
+    assert r._divided(rows, 5, 0.125) == [r._divided(rows[i : i + 1], 5, 0.125)[0] for i in range(40)]
+    assert r._divided(rows[:2, :2], 5, 0.1) == [[0, 1]] * 2
+
+
+def test_what_is_gathered_of_a_sheet_does_not_grow_with_its_boxes(spark):
+    many = boxes(spark, *[("", (10 * (i % 3), 0, 5, 10)) for i in range(3000)], ("", (2000, 0, 5, 10)))
+    found = r.covered(many, "bbox_x", "bbox_width", 100, 10, "leaflet_id")
+    assert found.first().profile == [0, 0, 0] + [255] * 7
+    assert [f.dataType.simpleString() for f in found.schema] == ["int", "array<smallint>"]
+    assert r.covered(many.where("bbox_x = 2000"), "bbox_x", "bbox_width", 100, 10, "leaflet_id").first().profile == [255] * 10
