@@ -39,36 +39,53 @@ SPLIT_FLAGS = ("partial_product", "continues_on_next_page", "continued_from_prev
 MERGE_POINTS = 75
 
 
-def split_candidates(products: DataFrame, page_height: int, least: int = 50) -> DataFrame:
-    """Pairs (first, second, points of 100) of a product that ends in the lowest tenth of a page and one that begins in
-    the highest of the document's next page, whatever its number; products without a box are in none. The join is on
-    document and page, so it never meets all pairs of a document."""
-    columns = ["leaflet_id", "page_number", "id", "product_name", "brand", "discounted_price", "bbox_x", "bbox_y", "bbox_height"]
-    # pages alone are put in order; products are filtered by their boxes before they move
+def _ends_low(page_height: int) -> Column:
+    return F.col("bbox_y") + F.col("bbox_height") > page_height - page_height * 0.1
+
+
+def _begins_high(page_height: int) -> Column:
+    return F.col("bbox_y") < page_height * 0.1
+
+
+def _split_pairs(products: DataFrame, page_height: int, least: int) -> DataFrame:
+    """(a, b, points): the pairs of split_candidates, with both products as structs."""
+    # pages alone are put in order; products are filtered by their boxes before they move, and each moves once
     after = F.lead("page_number").over(Window.partitionBy("leaflet_id").orderBy("page_number")).alias("next_page")
     pages = products.select("leaflet_id", "page_number").distinct().select("leaflet_id", "page_number", after)
-    own = products.select(*columns, flag_list(F.col("flags")).alias("flags"))
-    low = own.where(F.col("bbox_y") + F.col("bbox_height") > page_height - page_height * 0.1).join(pages, ["leaflet_id", "page_number"]).alias("a")
-    high = own.where(F.col("bbox_y") < page_height * 0.1).alias("b")
-    pairs = low.join(high, (F.col("a.leaflet_id") == F.col("b.leaflet_id")) & (F.col("a.next_page") == F.col("b.page_number")))
+    own = F.struct(*products.columns)
+    low = products.where(_ends_low(page_height)).select("leaflet_id", "page_number", own.alias("a")).join(pages, ["leaflet_id", "page_number"])
+    high = products.where(_begins_high(page_height)).select("leaflet_id", F.col("page_number").alias("next_page"), own.alias("b"))
+    pairs = low.join(high, ["leaflet_id", "next_page"])
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    flagged = lambda side, flag: F.array_contains(flag_list(side("flags")), flag)
     brand = lambda side: F.nullif(F.lower(F.trim(side("brand"))), F.lit(""))
     points = (
         F.when(name_similarity(a("product_name"), b("product_name")) > 0.7, 30).otherwise(0) + F.when(a("discounted_price").isNull() != b("discounted_price").isNull(), 20).otherwise(0)
         + F.when(brand(a) == brand(b), 15).when(brand(a).isNull() != brand(b).isNull(), 10).otherwise(0) + F.when(F.abs(a("bbox_x") - b("bbox_x")) < 50, 15).otherwise(0)
-        + F.when(F.array_contains(a("flags"), "partial_product") | F.array_contains(b("flags"), "partial_product"), 20).otherwise(0)
-        + F.when(F.array_contains(a("flags"), "continues_on_next_page"), 25).otherwise(0) + F.when(F.array_contains(b("flags"), "continued_from_previous"), 25).otherwise(0)
+        + F.when(flagged(a, "partial_product") | flagged(b, "partial_product"), 20).otherwise(0)
+        + F.when(flagged(a, "continues_on_next_page"), 25).otherwise(0) + F.when(flagged(b, "continued_from_previous"), 25).otherwise(0)
     )
-    scored = pairs.select(a("leaflet_id").alias("leaflet_id"), a("page_number").alias("page_number"), a("id").alias("first_id"), b("id").alias("second_id"), F.least(F.lit(100), points).alias("points"))
-    return scored.where(F.col("points") > least)
+    return pairs.select("a", "b", F.least(F.lit(100), points).alias("points")).where(F.col("points") > least)
+
+
+def split_candidates(products: DataFrame, page_height: int, least: int = 50) -> DataFrame:
+    """Pairs (first, second, points of 100) of a product that ends in the lowest tenth of a page and one that begins in
+    the highest of the document's next page, whatever its number; products without a box are in none. The join is on
+    document and page, so it never meets all pairs of a document."""
+    columns = ["leaflet_id", "page_number", "id", "product_name", "brand", "discounted_price", "bbox_x", "bbox_y", "bbox_height", "flags"]
+    return _split_pairs(products.select(*columns), page_height, least).select("a.leaflet_id", "a.page_number", F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"), "points")
 
 
 def merged(products: DataFrame, pairs: DataFrame) -> DataFrame:
     """One product for each pair (first_id, second_id): the first's values where it has any (0 and empty texts are none),
     boxes joined with heights added (the one there is, if a part has none), the mean of both confidences, each field's higher one (0
     is none), flags of both but those of splitting."""
-    a, b = products.alias("a"), products.alias("b")
-    both = pairs.join(a, F.col("first_id") == F.col("a.id")).join(b, F.col("second_id") == F.col("b.id"))
+    a, b = (products.select(F.col("id").alias(f"{n}_id"), F.struct(*products.columns).alias(s)) for n, s in (("first", "a"), ("second", "b")))
+    return _merged(pairs.join(a, "first_id").join(b, "second_id").select("a", "b"), products.columns)
+
+
+def _merged(both: DataFrame, columns: list[str]) -> DataFrame:
+    """merged() of pairs of products as structs a and b of the columns named."""
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     empty = lambda c: F.lit("" if c in TEXTS else 0)
     either = {c: F.coalesce(F.nullif(x(c), empty(c)), y(c)) for c in (*TEXTS, *NUMBERS)}
@@ -79,28 +96,31 @@ def merged(products: DataFrame, pairs: DataFrame) -> DataFrame:
     right = F.greatest(x("bbox_x") + x("bbox_width"), y("bbox_x") + y("bbox_width"))
     left = F.least(x("bbox_x"), y("bbox_x"))
     higher = lambda c: F.nullif(F.greatest(F.coalesce(x(c), F.lit(0)), F.coalesce(y(c), F.lit(0))), F.lit(0))
-    fields = {c: higher(c) for c in products.columns if c.endswith("_confidence") and c != "category_confidence"}
+    fields = {c: higher(c) for c in columns if c.endswith("_confidence") and c != "category_confidence"}
     box = lambda joined, c: F.when(x("bbox_x").isNull() | y("bbox_x").isNull(), F.coalesce(x(c), y(c))).otherwise(joined).alias(c)
     flags = F.array_except(F.array_union(flag_list(x("flags")), flag_list(y("flags"))), F.array(*map(F.lit, SPLIT_FLAGS)))
     made = either | fields | {
-        "id": F.concat("first_id", F.lit("+"), "second_id"), "confidence": F.coalesce((one + two) / 2, one, two), "category_confidence": F.greatest(x("category_confidence"), y("category_confidence")),
+        "id": F.concat(x("id"), F.lit("+"), y("id")), "confidence": F.coalesce((one + two) / 2, one, two), "category_confidence": F.greatest(x("category_confidence"), y("category_confidence")),
         "bbox_x": box(left, "bbox_x"), "bbox_y": box(x("bbox_y"), "bbox_y"), "bbox_width": box(right - left, "bbox_width"), "bbox_height": box(x("bbox_height") + y("bbox_height"), "bbox_height"), "flags": F.array_join(F.array_sort(F.array_append(flags, "merged_from_split")), ","),
     }
-    return both.select(*[(made[c] if c in made else x(c)).alias(c) for c in products.columns])
+    return both.select(*[(made[c] if c in made else x(c)).alias(c) for c in columns])
 
 
 def reconciled(products: DataFrame, page_height: int) -> DataFrame:
     """Splits merged and put after the rest (a product may be part of several), then the best on each page, the first
     in each cell, and the clean-up, in this order. With a part go all products of its page that are equal to it in everything but
     their id. Ties follow page and id, merged products last."""
-    pairs = split_candidates(products, page_height).where(F.col("points") >= MERGE_POINTS).select("first_id", "second_id")
     own = products.withColumn("confidence", F.col("confidence").cast("double"))
-    values = [c for c in own.columns if c != "id"]
-    ids = pairs.select(F.explode(F.array("first_id", "second_id")).alias("id")).distinct()
-    parts = own.join(ids, "id", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in values])
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in values]
-    rest = own.join(parts, same, "left_anti").select(*own.columns, F.lit(0).alias("_late"))
-    every = rest.unionByName(merged(own, pairs).withColumn("_late", F.lit(1)))
+    pairs = _split_pairs(own, page_height, MERGE_POINTS - 1)
+    # what is equal to a part lies where parts lie, so that all other products are left without being looked up
+    split = F.coalesce(_ends_low(page_height) | _begins_high(page_height), F.lit(False))
+    value = F.struct(*[c for c in own.columns if c != "id"]).alias("_value")
+    parts = pairs.select(F.explode(F.array("a", "b")).alias("p")).select(F.col("p.leaflet_id").alias("leaflet_id"), F.struct(*[F.col(f"p.{c}") for c in own.columns if c != "id"]).alias("_value")).distinct()
+    near = own.where(split).withColumn("_value", value).join(parts, ["leaflet_id", "_value"], "left_anti").drop("_value")
+    late = lambda df, k: df.select(*own.columns, F.lit(k).alias("_late"))
+    every = late(own.where(~split), 0).unionByName(late(near, 0)).unionByName(late(_merged(pairs, own.columns), 1))
+    # by document, in which both choices below find what they compare: products move once for both
+    every = every.repartition("leaflet_id")
     order = ("_late", "page_number", "id")
     return sanitized(first_in_cell(best_on_page(every, *order), *order)).drop("_late")
 

@@ -244,3 +244,11 @@ def test_a_client_sort_compares_columns(spark):
     finally:
         sorting.numbered = numbered
     assert [str(o) for o in orders[:4]] == [f"Column<'{c}'>" for c in ("_key0", "_key1", "_key2", "k")]
+
+
+def test_reconciling_moves_products_by_document_once_for_both_choices(spark):
+    products = spark.range(10).selectExpr("concat('a', id) AS id", "id AS leaflet_id", "id % 3 AS page_number", "'x' AS flags", "id * 100 AS bbox_x", "id * 100 AS bbox_y", "10L AS bbox_width", "10L AS bbox_height", "0.5D AS confidence", "0.5D AS category_confidence",
+                                          *[f"'{c}' AS {c}" for c in reconcile.TEXTS], *[f"1.0D AS {c}" for c in reconcile.NUMBERS])
+    plan = reconcile.reconciled(products.distinct(), 1000)._jdf.queryExecution().executedPlan().toString()
+    ranked = plan[: plan.index("Union")]
+    assert ranked.count("Exchange") == 1 and "hashpartitioning(leaflet_id" in ranked
