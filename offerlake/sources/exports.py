@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -42,7 +42,8 @@ class _Writer(DataSourceWriter):
         return _Part(context.partitionId(), part, n)
 
     def commit(self, messages: list[_Part | None]) -> None:
-        """Joins the parts, in order, inside the head's object; they pass through in pieces of COPY bytes."""
+        """Joins the parts, in order, inside the head's object; they pass through in pieces of COPY bytes, and each goes when it
+        is in the document. A commit that fails leaves no document, and Spark does not repeat it."""
         system, path = file_system(self.path)
         with system.open_output_stream(path) as out:
             out.write(self.head.rstrip().removesuffix("}").encode() + (b"," if json.loads(self.head) else b"") + json.dumps(self.list_name).encode() + b":[\n")
@@ -52,6 +53,7 @@ class _Writer(DataSourceWriter):
                 with system.open_input_stream(part.path) as piece:
                     while data := piece.read(COPY):
                         out.write(data)
+                system.delete_file(part.path)  # so that the document is not there twice
                 before = True
             out.write(b"\n]}\n")
         system.delete_dir(f"{path}.parts")
@@ -103,9 +105,12 @@ def product_item(leaflet: Column) -> Column:
 def product_document(products: DataFrame, leaflets: DataFrame, path: str, exported_at: str) -> None:
     """One document of all products: exported_at, total_products, total_leaflets, products. leaflets (leaflet_id, human_id,
     filename, retailer, country, currency) may lack some; products go out by leaflet, page and id."""
-    with_leaflet = products.join(leaflets.select("leaflet_id", F.struct("human_id", "filename", "retailer", "country", "currency").alias("leaflet")), "leaflet_id", "left")
     total, different = products.agg(F.count("*"), F.count_distinct("leaflet_id")).first()
-    ordered = with_leaflet.repartitionByRange("leaflet_id", "page_number", "id").sortWithinPartitions("leaflet_id", "page_number", "id")
+    # products meet their leaflet, and come in order, in the same ranges of leaflets, so that they move once
+    heads = leaflets.select("leaflet_id", F.struct("human_id", "filename", "retailer", "country", "currency").alias("leaflet"))
+    both = products.withColumn("_product", F.lit(True)).unionByName(heads.withColumn("_product", F.lit(False)), allowMissingColumns=True)
+    of_leaflet = Window.partitionBy("leaflet_id").orderBy("_product", "page_number", "id").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = both.repartitionByRange("leaflet_id").withColumn("leaflet", F.first("leaflet", ignorenulls=True).over(of_leaflet)).where("_product")
     items = ordered.select(F.to_json(product_item(F.col("leaflet")), WHOLE).alias("json"))
     write_document(items, {"exported_at": exported_at, "total_products": total, "total_leaflets": different}, path)
 

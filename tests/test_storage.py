@@ -100,3 +100,22 @@ def test_bulk_export_goes_on_after_an_error(spark, tmp_path):
     assert list(document) == ["leaflet_id", "total_pages", "total_products", "retailer", "country", "language", "currency", "products", "metadata", "quality_metrics"]
     assert document["quality_metrics"] == {"overall_confidence": 0.75, "auto_approved_count": 1, "review_required_count": 1, "api_tokens_used": 10, "processing_cost": 0.5}
     assert [p["product_name"] for p in document["products"]] == ["milk", "bread"] and document["products"][0]["discounted_price"] is None
+
+
+def test_a_part_goes_when_it_is_in_the_document(tmp_path, monkeypatch):
+    writer, done = exports._Writer({"path": f"{tmp_path}/all.json"}), []
+    (tmp_path / "all.json.parts").mkdir()
+    parts = [exports._Part(i, f"{tmp_path}/all.json.parts/{i}", 1) for i in range(3)]
+    for p in parts:
+        open(p.path, "w").write('{"id":%d}' % p.number)
+    system, path = exports.file_system(writer.path)
+
+    class Noting:
+        def __getattr__(self, name):
+            done.append((name, len(list((tmp_path / "all.json.parts").iterdir()))))
+            return getattr(system, name)
+
+    monkeypatch.setattr(exports, "file_system", lambda _: (Noting(), path))
+    writer.commit(parts)
+    assert [n for name, n in done if name == "open_input_stream"] == [3, 2, 1]
+    assert '{"id":0},\n{"id":1},\n{"id":2}' in open(tmp_path / "all.json").read()
