@@ -165,7 +165,8 @@ class Gru:
 
     def train(self, sequences: list[np.ndarray], rate: float, lanes: int = 128, window: int = 16, every: int = 8, moments: dict | None = None) -> dict:
         """Adam over windows. The sequences are laid end to end in lanes; states are carried from window to window and
-        begin anew with each sequence; of `every` windows one is learned from, and its gradients stop at its start.
+        begin anew with each sequence. Every window is learned from: its gradients stop at its start, and the mean of those
+        of `every` windows, or of those left at the end, makes a step.
         Returns the optimiser's moments, for the next call."""
         moments = moments or {"t": 0, "1": {k: np.zeros_like(x) for k, x in self.p.items()}, "2": {k: np.zeros_like(x) for k, x in self.p.items()}}
         flat = np.concatenate(sequences) if sequences else np.zeros(0, np.int32)
@@ -181,13 +182,17 @@ class Gru:
         more = np.arange(lanes * width) % len(flat)
         flat, begins, before = (x[more].reshape(lanes, width) for x in (flat, begins, before))
         h = np.zeros((lanes, self.size), self.p["u"].dtype)
-        for k, at in enumerate(range(0, width, window)):
+        g, n = {name: np.zeros_like(x) for name, x in self.p.items()}, 0
+        for at in range(0, width, window):
             here = slice(at, at + window)
             h, trace = self.window(flat[:, here], before[:, here], begins[:, here], h)
-            if k % every == 0:
-                g = {name: np.zeros_like(x) for name, x in self.p.items()}
-                self._gradients(trace, g)
+            self._gradients(trace, g)
+            n += 1
+            if n == every or at + window >= width:
+                for x in g.values():
+                    x *= 1 / n
                 self._update(g, moments, rate)
+                g, n = {name: np.zeros_like(x) for name, x in self.p.items()}, 0
         return moments
 
     def _update(self, g: dict[str, np.ndarray], moments: dict, rate: float) -> None:

@@ -249,12 +249,16 @@ class LanguageModel:
         return both.select("doc_id", "n_tokens", (F.col("frequent") + F.col("rare_known")).alias("n_known"), (F.col("counted") + more + F.col("base")).alias("base_score"), (F.col("model") + more).alias("score"))
 
 
-def train(docs: DataFrame, known_words: int = 100_000, frequent_words: int = 3_840, endings: int = 256, per_class: int = 64, size: int = 16, rounds: int = 4, every: int = 8, rate: float = 0.01) -> LanguageModel:
+#: Texts are learned from side by side, so many that a step over one window of each costs little more than its products.
+LANES = 1024
+
+
+def train(docs: DataFrame, known_words: int = 100_000, frequent_words: int = 3_840, endings: int = 256, per_class: int = 64, size: int = 16, rounds: int = 4, every: int = 1, rate: float = 0.01) -> LanguageModel:
     """A model of all texts of docs (doc_id, text).
 
     The sizes of what every task holds are parameters: the counts of `known_words` (the others are joined), and of the
-    network `frequent_words` with slots of their own, `endings` for all others, classes of `per_class` slots, states of `size`. All texts are read through, state and all, in `rounds` rounds; of `every`
-    windows of 16 words one is learned from. As many tasks learn side by side as the cluster has cores. Null texts count
+    network `frequent_words` with slots of their own, `endings` for all others, classes of `per_class` slots, states of `size`. All texts are learned from, state and all, in `rounds` rounds, a step for
+    each `every` windows of 16 words of all lanes. As many tasks learn side by side as the cluster has cores. Null texts count
     as empty, null ids are trained on as others are. With no texts every word has the prior's share.
     """
     spark = docs.sparkSession
@@ -300,9 +304,9 @@ def _learned(coded: DataFrame, network: Gru, slot: np.ndarray, every: int, rate:
                     held.append(slot[np.frombuffer(values.as_py(), np.int32)])
                     n_held += len(held[-1])
                     if n_held >= 1 << 20:
-                        moments = own.train(held, rate, every=every, moments=moments)
+                        moments = own.train(held, rate, lanes=LANES, every=every, moments=moments)
                         seen, held, n_held = seen + n_held, [], 0
-            own.train(held, rate, every=every, moments=moments)
+            own.train(held, rate, lanes=LANES, every=every, moments=moments)
             seen += n_held
             if seen:
                 rows = [*_chunks(np.append(own.packed().astype(np.float64) * seen, seen))]

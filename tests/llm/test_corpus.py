@@ -250,3 +250,12 @@ def test_sql_gives_the_same_rows(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(cursor.fetchall())
+
+
+def test_every_window_is_learned_from(monkeypatch):
+    seen = []
+    own = gru.Gru.__dict__["_gradients"]
+    monkeypatch.setattr(gru.Gru, "_gradients", lambda self, trace, g: seen.append(sum(len(t[7]) for t in trace)) or own(self, trace, g))
+    network = gru.Gru(2, 2, 4)
+    network.train([np.arange(1000) % 4], 0.01, lanes=1, window=16, every=8)
+    assert sum(seen) == 1000
