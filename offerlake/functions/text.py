@@ -156,22 +156,21 @@ def size_label(n_bytes: Column) -> Column:
     return F.when(n < 1024, shown(n, " B")).when(n < 1024**2, shown(n / 1024, " KB")).when(n < 1024**3, shown(n / 1024**2, " MB")).otherwise(shown(n / 1024**3, " GB"))
 
 
-def parsed_product(raw: Column) -> dict[str, Column]:
-    """What a model's answer for one product gives, from its JSON text: name, region_numbers (numbers cut to whole ones, anything else
+def parsed_product(answer: Column) -> dict[str, Column]:
+    """What a model's answer for one product gives, from its JSON, parsed once before (try_parse_json): name, region_numbers (numbers cut to whole ones, anything else
     left out; empty unless it is a list), alternatives (texts as names without confidence, objects as they are, anything else left
     out; null if there are none or no list) and confidence (0.8 where it is missing, 0 or no number). name is null where
     the answer has none, and such answers are dropped by the caller."""
-    answer = F.try_parse_json(raw)
     part = lambda path, kind: F.try_variant_get(answer, path, kind)
-    of = lambda v, *kinds: F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1).isin(*kinds)
-    numbers = F.filter(part("$.region_numbers", "array<variant>"), lambda v: of(v, "BIGINT", "DOUBLE", "DECIMAL", "FLOAT"))
-    listed = F.filter(part("$.category_alternatives", "array<variant>"), lambda v: of(v, "STRING", "OBJECT"))
-    name = lambda v: F.when(of(v, "STRING"), F.try_variant_get(v, "$", "string")).otherwise(F.try_variant_get(v, "$.name", "string"))
-    own = lambda v: F.struct(name(v).alias("name"), F.when(of(v, "OBJECT"), F.try_variant_get(v, "$.confidence", "double")).alias("confidence"))
+    kinds = lambda path: F.transform(part(path, "array<variant>"), lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")))
+    numbers = F.filter(kinds("$.region_numbers"), lambda e: e["kind"].isin("BIGINT", "DOUBLE", "FLOAT") | e["kind"].startswith("DECIMAL("))
+    listed = F.filter(kinds("$.category_alternatives"), lambda e: (e["kind"] == "STRING") | e["kind"].startswith("OBJECT<"))
+    name = lambda e: F.when(e["kind"] == "STRING", F.try_variant_get(e["v"], "$", "string")).otherwise(F.try_variant_get(e["v"], "$.name", "string"))
+    own = lambda e: F.struct(name(e).alias("name"), F.when(e["kind"] != "STRING", F.try_variant_get(e["v"], "$.confidence", "double")).alias("confidence"))
     alternatives = F.transform(listed, own)
     return {
         "name": F.when(F.trim(part("$.product_name", "string")) != "", part("$.product_name", "string")),
-        "region_numbers": F.coalesce(F.transform(numbers, lambda v: F.try_variant_get(v, "$", "double").cast("long")), F.array().cast("array<long>")),
+        "region_numbers": F.coalesce(F.transform(numbers, lambda e: F.try_variant_get(e["v"], "$", "double").cast("long")), F.array().cast("array<long>")),
         "alternatives": F.when(F.size(alternatives) > 0, alternatives),
         "confidence": parsed_confidence(part("$.confidence_score", "string")),
     }
