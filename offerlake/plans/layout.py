@@ -52,7 +52,7 @@ SHEETS = f""", sheets AS (SELECT DISTINCT * FROM regions), goods AS (SELECT DIST
 
 
 def _sheets(x):
-    return x.offers.distinct(), x.regions.distinct()
+    return x.by_leaflet("offers").repartition("leaflet_id").distinct(), x.by_leaflet("regions").distinct()
 
 
 add("j15_exclusive_match", "offers regions", lambda x: m.by_text(*_sheets(x), "leaflet_id").select("leaflet_id", F.col("turn.id").alias("id"), "region", "score"), SHEETS + " SELECT * FROM texted")
@@ -145,14 +145,15 @@ REGIONS = f""", sides AS (SELECT *, list_min(list_transform(own, lambda x: x.l))
 
 
 def _cells(x):
-    return g.cells_by_ranges(x.texts, g.layout(x.texts, 1000, 1000, "leaflet_id"), "leaflet_id").withColumnsRenamed({"column": "at_column", "row": "at_row"})
+    texts = x.by_leaflet("texts")
+    return g.cells_by_ranges(texts, g.layout(texts, 1000, 1000, "leaflet_id"), "leaflet_id").withColumnsRenamed({"column": "at_column", "row": "at_row"})
 
 
 add(
     "g10_price_clusters", "texts", lambda x: r.price_clusters(_cells(x), "leaflet_id", "at_column", "at_row").withColumn("boxes", F.array_join(F.transform("boxes", lambda b: b["id"]), ",")).withColumnRenamed("boxes", "ids"),
     CLUSTERS + f" SELECT {CELL}, CAST(cluster AS INT) AS cluster, array_to_string(list_transform(own, lambda x: x.id), ',') AS ids FROM grouped",
 )
-add("g11_text_regions", "texts", lambda x: r.text_regions(x.texts, 1000, 1000, "leaflet_id").withColumnsRenamed({"column": "at_column", "row": "at_row"}), CLUSTERS + REGIONS)
+add("g11_text_regions", "texts", lambda x: r.text_regions(x.by_leaflet("texts"), 1000, 1000, "leaflet_id").withColumnsRenamed({"column": "at_column", "row": "at_row"}), CLUSTERS + REGIONS)
 
 
 # clusters by nearness: a row of the walk is one box tested, the start of another sweep, or a cluster that is done
@@ -166,9 +167,9 @@ NEAREST = f""", ordered AS (SELECT leaflet_id, list({{'id': id, 'text': COALESCE
     COALESCE(todo[1].l <= sweep.r + 50 AND todo[1].r >= sweep.l - 50 AND todo[1].t <= sweep.b + 50 AND todo[1].b >= sweep.t - 50 AND wider.r > wider.l AND wider.b > wider.t AND GREATEST((wider.r - wider.l) / (wider.b - wider.t), (wider.b - wider.t) / (wider.r - wider.l)) <= 3, FALSE) AS fits
     FROM (SELECT *, {{'id': grown.id, 'text': grown.text, 'l': LEAST(grown.l, todo[1].l), 't': LEAST(grown.t, todo[1].t), 'r': GREATEST(grown.r, todo[1].r), 'b': GREATEST(grown.b, todo[1].b)}} AS wider FROM walk WHERE NOT done))),
     clusters AS (SELECT leaflet_id, CASE WHEN done THEN cluster ELSE cluster - 1 END AS cluster, ended FROM walk WHERE len(ended) > 0)"""
-add("g12_near_clusters", "texts", lambda x: r.near_clusters(x.texts, "leaflet_id").select("leaflet_id", "cluster", F.array_join(F.transform("boxes", lambda b: b["id"]), ",").alias("ids")), NEAREST + " SELECT leaflet_id, CAST(cluster AS INT) AS cluster, array_to_string(list_transform(ended, lambda box: box.id), ',') AS ids FROM clusters")
+add("g12_near_clusters", "texts", lambda x: r.near_clusters(x.by_leaflet("texts"), "leaflet_id").select("leaflet_id", "cluster", F.array_join(F.transform("boxes", lambda b: b["id"]), ",").alias("ids")), NEAREST + " SELECT leaflet_id, CAST(cluster AS INT) AS cluster, array_to_string(list_transform(ended, lambda box: box.id), ',') AS ids FROM clusters")
 add(
-    "g12_near_regions", "texts", lambda x: r.near_regions(x.texts, 1000, 1000, "leaflet_id"),
+    "g12_near_regions", "texts", lambda x: r.near_regions(x.by_leaflet("texts"), 1000, 1000, "leaflet_id"),
     NEAREST + """, sides AS (SELECT leaflet_id, cluster, ended, list_min(list_transform(ended, lambda box: box.l)) AS l, list_min(list_transform(ended, lambda box: box.t)) AS t, list_max(list_transform(ended, lambda box: box.r)) AS r, list_max(list_transform(ended, lambda box: box.b)) AS b FROM clusters)
     SELECT * FROM (SELECT leaflet_id, CAST(cluster AS INT) AS cluster, GREATEST(0, l - 10) AS bbox_x, GREATEST(0, t - 10) AS bbox_y, LEAST(r - l + 20, 1000 - GREATEST(0, l - 10)) AS bbox_width, LEAST(b - t + 20, 1000 - GREATEST(0, t - 10)) AS bbox_height, CAST(len(ended) AS BIGINT) AS n,
     array_to_string(list_transform(ended, lambda box: box.text), ' ') AS text FROM sides) WHERE bbox_width >= 120 AND bbox_height >= 150""",
