@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,32 +145,49 @@ def _price_clusters(boxes: list[dict]) -> list[list[dict]]:
 def _each_sheet(batches: Iterator[pa.RecordBatch], clusters: Callable[[list[dict]], list[list[dict]]]) -> Iterator[pa.RecordBatch]:
     """Places of the boxes in each cluster, from 0, beside what else the batch has of a sheet; its last column is boxes."""
     for batch in batches:
-        made = []
-        for boxes in batch.column("boxes").to_pylist():
+        made, begin, lists = [], 0, batch.column("boxes")
+        flat = lists.flatten()
+        kinds = flat.field("kind").to_pylist() if flat.type.get_field_index("kind") >= 0 else repeat(None)
+        every = [{"bbox_y": y, "kind": kind, "sides": (x, y, x + w, y + h)} for x, y, w, h, kind in zip(*(flat.field(c).to_pylist() for c in BOX), kinds)]
+        for n in lists.value_lengths().to_pylist():
+            boxes = every[begin : begin + n]
             for at, b in enumerate(boxes):
-                b["at"], b["sides"] = at, (b["bbox_x"], b["bbox_y"], b["bbox_x"] + b["bbox_width"], b["bbox_y"] + b["bbox_height"])
+                b["at"] = at
             made.append([[b["at"] for b in cluster] for cluster in clusters(boxes)])
+            begin += n
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.list_(pa.int32())))], [*batch.schema.names, "clusters"])
 
 
-def _clusters_of(boxes: DataFrame, entry: list[Column], clusters: Callable[[list[dict]], list[list[dict]]], *by: str) -> DataFrame:
-    """(by, cluster, boxes) of each group's boxes that have a place, as structs of entry in their order of BOX's y and x and id."""
+def _clusters_of(boxes: DataFrame, entry: list[Column], clusters: Callable[[list[dict]], list[list[dict]]], *by: str, same: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cluster, boxes, same, begins) of each group's boxes that have a place, as structs of entry in their order of BOX's y and x
+    and id; same are columns that are the same for a whole group, begins is where it begins."""
     entry = F.struct("bbox_y", "bbox_x", "id", "bbox_width", "bbox_height", *entry)
-    sheets = boxes.where("bbox_x is not null").groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("boxes"))
+    sheets = boxes.where("bbox_x is not null").groupBy(*by).agg(*[F.first(c).alias(c) for c in same], F.array_sort(F.collect_list(entry)).alias("boxes"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sheets.schema) + ", clusters array<array<int>>"
-    made = sheets.mapInArrow(partial(_each_sheet, clusters=clusters), schema).select(*by, "boxes", F.posexplode("clusters").alias("cluster", "places"))
-    return made.select(*by, "cluster", F.transform("places", lambda i: F.get("boxes", i)).alias("boxes"))
+    made = sheets.mapInArrow(partial(_each_sheet, clusters=clusters), schema).select(*by, *same, "boxes", F.posexplode("clusters").alias("cluster", "places"))
+    begins = F.struct(*[F.get("boxes", F.lit(0))[c].alias(c) for c in ("bbox_y", "bbox_x", "id")]).alias("begins")
+    return made.select(*by, "cluster", F.transform("places", lambda i: F.get("boxes", i)).alias("boxes"), *same, begins)
+
+
+def with_kinds(texts: DataFrame) -> DataFrame:
+    """texts plus box_kind; made before texts are joined to anything, so that it is compiled and not made where they are gathered."""
+    return texts.withColumn("box_kind", t.box_kind(F.col("text")))
+
+
+def _around_prices(texts: DataFrame, *by: str, same: tuple[str, ...] = ()) -> DataFrame:
+    kind = F.col("box_kind") if "box_kind" in texts.columns else t.box_kind(F.col("text"))
+    return _clusters_of(texts, [F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind")], _price_clusters, *by, same=same)
 
 
 def price_clusters(texts: DataFrame, *by: str) -> DataFrame:
-    """(by, cluster, boxes): the boxes (id, text, kind, BOX) of each cell in clusters, from 0.
+    """(by, cluster, boxes): the boxes (id, text, kind, BOX) of each cell in clusters, from 0; texts may come with_kinds.
 
     A cell with one price or none is one cluster. Else each price, from the top, takes the nearest name that is not below it and
     not taken, then the units, discounts and others whose middle lies at most BESIDE above or below both; what is left joins the
     cluster with the nearest middle, as far as it has grown by then, if that is under FARTHEST away, and is dropped otherwise.
     Equal distances go to the upper, then left box, and to the first cluster. Boxes without a place are left out.
     """
-    return _clusters_of(texts, [F.coalesce("text", F.lit("")).alias("text"), t.box_kind(F.col("text")).alias("kind")], _price_clusters, *by)
+    return _around_prices(texts, *by).select(*by, "cluster", "boxes")
 
 
 def text_regions(texts: DataFrame, width: int, height: int, *by: str) -> DataFrame:
@@ -179,13 +197,12 @@ def text_regions(texts: DataFrame, width: int, height: int, *by: str) -> DataFra
     wider by PADDING, cut to its cell and sheet; those under LEAST_WIDTH or LEAST_HEIGHT go; the rest reach up by IMAGE_PART of
     the texts' height, for the picture, within the cell. place counts from 1 in rows of 100 points, from left to right.
     """
-    cells = cells_by_ranges(texts, layout(texts, width, height, *by), *by)
+    cells = cells_by_ranges(with_kinds(texts), layout(texts, width, height, *by), *by)
     cell = (*by, "column", "row")
-    made = price_clusters(cells, *cell)
-    bounds = cells.groupBy(*cell).agg(F.first(F.get("columns", "column")).alias("across"), F.first(F.get("rows", "row")).alias("down"), F.min(F.struct("bbox_y", "bbox_x", "id")).alias("begins"))
+    cells = cells.withColumns({"across": F.get("columns", "column"), "down": F.get("rows", "row")})
     kinds = lambda kind: F.exists("boxes", lambda b: b["kind"] == kind)
     lit = lambda n: F.lit(n).cast("long")
-    made = made.join(bounds, list(cell)).select(
+    made = _around_prices(cells, *cell, same=("across", "down")).select(
         *cell, "cluster", "begins", "across", "down", *_sides_of("boxes"), *_said("boxes"), kinds("price").alias("has_price"), kinds("name").alias("has_name"),
     )
     for low_side, high_side, size, ranges, name in (("l", "r", width, "across", "x"), ("t", "b", height, "down", "y")):
@@ -329,7 +346,7 @@ def _near_clusters(boxes: list[dict]) -> list[list[dict]]:
 def near_clusters(boxes: DataFrame, *by: str) -> DataFrame:
     """(by, cluster, boxes) of boxes (id, text, BOX) without prices to gather around: clusters by nearness that are at most
     MOST_ASPECT times as long as wide, from the upper left on, in the order of joining. Boxes without a place are left out."""
-    return _clusters_of(boxes, [F.coalesce("text", F.lit("")).alias("text")], _near_clusters, *by)
+    return _clusters_of(boxes, [F.coalesce("text", F.lit("")).alias("text")], _near_clusters, *by).select(*by, "cluster", "boxes")
 
 
 def _sides_of(boxes: str) -> list[Column]:

@@ -146,7 +146,7 @@ REGIONS = f""", sides AS (SELECT *, list_min(list_transform(own, lambda x: x.l))
 
 def _cells(x):
     texts = x.by_leaflet("texts")
-    return g.cells_by_ranges(texts, g.layout(texts, 1000, 1000, "leaflet_id"), "leaflet_id").withColumnsRenamed({"column": "at_column", "row": "at_row"})
+    return g.cells_by_ranges(r.with_kinds(texts), g.layout(texts, 1000, 1000, "leaflet_id"), "leaflet_id").withColumnsRenamed({"column": "at_column", "row": "at_row"})
 
 
 add(
