@@ -178,13 +178,14 @@ def layout(boxes: DataFrame, width: int, height: int, *by: str) -> DataFrame:
 def boxes_for_missing(products: DataFrame, width: int, height: int) -> DataFrame:
     """products without a box get a cell of an equal grid by their place on the page. It has as many columns as the centres
     of the page's boxes take tenths of its width, or without any box about the root of 1.2 a product, from 2 to 4."""
-    page = ("leaflet_id", "page_number")
+    page = Window.partitionBy("leaflet_id", "page_number").orderBy("id")
+    whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tenth = F.floor(F.floor(F.col("bbox_x") + F.col("bbox_width") / 2) / max(1, width // 10))
-    counts = products.groupBy(*page).agg(F.count_distinct(tenth).alias("tenths"), F.count("*").alias("n"))
+    # one order of the page's products serves their places and what is counted over all of them
+    counts = F.size(F.collect_set(tenth).over(whole)).cast("long").alias("tenths"), F.count("*").over(whole).alias("n")
+    placed = products.select("id", "bbox_x", (F.row_number().over(page) - 1).alias("place"), *counts).where("bbox_x is null")
     columns = F.when(F.col("tenths") > 0, F.col("tenths")).otherwise(F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.sqrt(F.col("n") * F.lit(1.2).cast("double"))))))
-    layout = counts.select(*page, columns.alias("columns"), F.greatest(F.lit(2), F.ceil(F.col("n") / columns)).alias("rows"))
-    place = (F.row_number().over(Window.partitionBy(*page).orderBy("id")) - 1).alias("place")
-    made = products.select("id", *page, *BOX, place).join(layout, list(page)).where("bbox_x is null")
+    made = placed.withColumn("columns", columns).withColumn("rows", F.greatest(F.lit(2), F.ceil(F.col("n") / F.col("columns"))))
     w, h = F.floor(F.lit(width) / F.col("columns")), F.floor(F.lit(height) / F.col("rows"))
     return made.select("id", ((F.col("place") % F.col("columns")) * w + 20).alias("bbox_x"), (F.floor(F.col("place") / F.col("columns")) * h + 20).alias("bbox_y"), (w - 40).alias("bbox_width"), (h - 40).alias("bbox_height"))
 
