@@ -26,6 +26,8 @@ HITS = "array<struct<item_id:long,start_word:int,n_words:int,most_equal:int>>"
 #: Slots of the table of bits that turns away most places of training texts before the join, for each seed of the items;
 #: and the powers of two that bound it. The join decides, so a table that is too full only lets more places through.
 SLOTS, LEAST_BITS, MOST_BITS = 64, 20, 25
+#: Words of texts that are looked up side by side, so that a short text does not cost a call of its own for each step.
+WORDS = 1 << 15
 
 
 def masks_for(lengths: list[int]) -> dict[int, tuple[list[int], int | None]]:
@@ -81,23 +83,41 @@ def _table(item_seeds: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
+def _likely(held: list[tuple[bytes, np.ndarray]], masks: dict, radius: int, bits: int, likely: np.ndarray) -> list[tuple]:
+    """(key, seed, place, lead, near) for the places of texts (key, words), laid end to end, whose seed an item may have. A seed that
+    reaches beyond its text's end is none."""
+    low, shift, out = np.uint64((1 << bits) - 1), np.uint64(64 - bits), []
+    words, ends = np.concatenate([np.zeros(0, np.uint64), *(own for _, own in held)]), np.cumsum([len(own) for _, own in held])
+    for number, (offsets, _) in masks.items():
+        found = seeds(words, number, offsets)
+        at = np.flatnonzero(likely[found >> shift])
+        at = at[likely[found[at] & low]]
+        text = np.searchsorted(ends, at, "right")
+        inside = at + max(offsets) < ends[text]
+        for p, nth, seed in zip(at[inside].tolist(), text[inside].tolist(), found[at[inside]].view(np.int64).tolist(), strict=True):
+            key, own = held[nth]
+            place = p - int(ends[nth]) + len(own)
+            out.append((key, seed, place, *_around(own, place, radius)))
+    return out
+
+
 def _places(docs: DataFrame, masks: dict, radius: int, bits: int, table) -> DataFrame:
     """(key, seed, place, lead, near) for the places of each text whose seed an item may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely, low, shift = table.value, np.uint64((1 << bits) - 1), np.uint64(64 - bits)
         with freed(HASHES):
             for batch in slices(batches, limit=4 << 20):
-                out, done = [], set()
+                out, done, held, n_held = [], set(), [], 0
                 for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                     if key in done:  # a copy
                         continue
                     done.add(key)
-                    words = hashes(text.as_py())
-                    for number, (offsets, _) in masks.items():
-                        found = seeds(words, number, offsets)
-                        for p in np.flatnonzero(likely[found >> shift] & likely[found & low]).tolist():
-                            out.append((key, int(found[p : p + 1].view(np.int64)[0]), p, *_around(words, p, radius)))
+                    held.append((key, hashes(text.as_py())))
+                    n_held += len(held[-1][1])
+                    if n_held >= WORDS:
+                        out += _likely(held, masks, radius, bits, table.value)
+                        held, n_held = [], 0
+                out += _likely(held, masks, radius, bits, table.value)
                 yield _batch(out, ("key", "seed", "place", "lead", "near"), (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))
 
     return docs.mapInArrow(run, "key binary, seed long, place int, lead int, near binary")

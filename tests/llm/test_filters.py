@@ -171,3 +171,19 @@ def test_substitutions_and_odd_rows(spark, odd, empty):
     assert out.count() == odd.count() and out.columns == [*odd.columns, "key", "seed", "leaks"]
     assert decontamination.find_leaks(empty, bench).count() == 0
     assert all(not r.leaks for r in decontamination.find_leaks(docs, bench.limit(0)).collect())
+
+
+def test_seeds_of_texts_side_by_side_are_those_of_each_alone():
+    """op10: texts are laid end to end for the lookup, and no seed may reach into the next one."""
+    rng, masks = np.random.default_rng(4), decontamination.masks_for([3])
+    held = [(b"%d" % i, rng.integers(0, 4, n).astype(np.uint64)) for i, n in enumerate((0, 30, 0, 4, 5, 200, 1, 9, 0))]
+    table = np.ones(1 << 20, bool)
+    table[::3] = False
+    together = decontamination._likely(held, masks, 13, 20, table)
+    alone = [row for one in held for row in decontamination._likely([one], masks, 13, 20, table)]
+    assert sorted(together) == sorted(alone) and len(alone) > 100
+    for key, seed, place, lead, near in together:
+        own = dict(held)[key]
+        assert near == own[place - lead : place + 13 + decontamination.LONGEST].tobytes() and lead == min(place, 13)
+        assert any(len(own) > place + max(o) and seed == int(decontamination.seeds(own[place : place + max(o) + 1], n, o).view(np.int64)[0]) for n, (o, _) in masks.items())
+    assert decontamination._likely([], masks, 13, 20, table) == []
