@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import freed, slices, stored, texts
-from .words import HASHES, ODD, WORD, Memory, mixed
+from .words import HASHES, ODD, Memory, mixed, words_of
 
 #: Terms are first counted by the first bits of their hash. A cell's count is no less than any of its terms', so those of
 #: cells below the band need no count of their own.
@@ -31,7 +31,7 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def _distinct(text: str | None) -> np.ndarray:
     """The hashes of a text's distinct terms, in no order; each word is looked up once."""
-    found = set(WORD.findall((text or "").lower()))
+    found = set(words_of(text))
     return np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
 
 
@@ -133,7 +133,7 @@ class Lexicon:
     def terms_and_subsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms, subsets): distinct terms of the lexicon, sorted, and which subsets have each (a row a subset); all
         distinct terms of a text that has none of the lexicon."""
-        found = set(WORD.findall((text or "").lower()))
+        found = set(words_of(text))
         at = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
         at = np.sort(at[at >= 0])
         if len(at):

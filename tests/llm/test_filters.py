@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from offerlake.llm import decontamination, queries, toxicity, url_filter
+from offerlake.llm import decontamination, queries, toxicity, url_filter, words
 
 from .conftest import SF
 
@@ -187,3 +187,11 @@ def test_seeds_of_texts_side_by_side_are_those_of_each_alone():
         assert near == own[place - lead : place + 13 + decontamination.LONGEST].tobytes() and lead == min(place, 13)
         assert any(len(own) > place + max(o) and seed == int(decontamination.seeds(own[place : place + max(o) + 1], n, o).view(np.int64)[0]) for n, (o, _) in masks.items())
     assert decontamination._likely([], masks, 13, 20, table) == []
+
+
+def test_words_without_the_expression_are_its_matches():
+    """op4, op10: each character alone and between letters, and texts that mix those of the first 256 with others."""
+    for c in map(chr, [*range(0x3000), *range(0xD7F0, 0xE010), *range(0xFE00, 0x10000), 0x1F600, 0x10FFFF]):
+        for text in (c, f"aB{c}c_1", f"é{c}\xa0\x85\x1cZ"):
+            assert words.words_of(text) == words.WORD.findall(text.lower())
+    assert words.words_of(None) == words.words_of("") == []
