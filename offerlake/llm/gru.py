@@ -13,26 +13,32 @@ NONE = -1e9
 ROWS = 1024
 
 
-def _small(weights: np.ndarray, bias: np.ndarray) -> bool:
-    """No state, whose values are within 1, gives a score of 80 or more."""
-    return bool((np.abs(weights).sum(axis=0) + bias).max() < 80)
+def _exponentials(weights: np.ndarray, h: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
+    """For each row of h the exponentials of its scores, their sum, and what was taken off the scores before: their largest,
+    where one may be as large as single precision has no room for."""
+    e, top = h @ weights.T, 0
+    if not bound < 40:
+        top = e.max(axis=1)
+        e -= top[:, None]
+    np.exp(e, out=e)
+    return e, e @ np.ones(e.shape[1], e.dtype), top
 
 
-def _log_share(s: np.ndarray, chosen: np.ndarray, small: bool) -> np.ndarray:
-    """The logarithm of the softmax at one place of each row. Scores are cut at 80, where single precision ends."""
-    if not small:
-        np.minimum(s, 80, out=s)
-    own = s[np.arange(len(s)), chosen]
-    np.exp(s, out=s)
-    return own - np.log(s.sum(axis=1) + 1e-30)
+def _rows(states: list[np.ndarray]) -> np.ndarray:
+    """All states, each a row that ends in 1."""
+    out, at = np.ones((sum(map(len, states)), states[0].shape[1] + 1), states[0].dtype), 0
+    for h in states:
+        out[at : at + len(h), :-1] = h
+        at += len(h)
+    return out
 
 
-def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """into[rows] += values, where rows may repeat."""
-    order = np.argsort(rows, kind="stable")
-    held = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    into[held[first]] += np.add.reduceat(values[order], first, axis=0)
+def _sums(columns: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the columns that are of 0, of 1, and so on, to n."""
+    out = np.zeros((len(columns), n), columns.dtype)
+    for row, values in zip(out, columns, strict=True):
+        np.add.at(row, of, values)
+    return out
 
 
 class Gru:
@@ -62,104 +68,161 @@ class Gru:
             at += n
         return self
 
+    def table(self) -> np.ndarray:
+        """What each slot before brings to the gates; the last row begins a text."""
+        x = np.empty((3 * self.size, self.classes * self.members + 1), self.p["v"].dtype)
+        x[:, :-1] = self.p["w"].T @ self.p["v"].T
+        x[:, :-1] += np.repeat(self.p["c"][:-1].T, self.members, axis=1)
+        x[:, -1] = self.p["c"][-1]
+        return x.T
+
     def inputs(self, before: np.ndarray) -> np.ndarray:
-        """What each slot before brings to the gates; -1 begins a text."""
-        begins = before < 0
-        x = self.p["v"][before] @ self.p["w"]
-        if begins.any():
-            x[begins] = 0
-        return x + self.p["c"][np.where(begins, self.classes, before // self.members)]
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """New states, and the gates: reset, update, candidate."""
-        n, b = self.size, h @ self.p["u"]
-        gates = np.tanh(0.5 * (x[:, : 2 * n] + b[:, : 2 * n])) * 0.5 + 0.5
-        r, z = gates[:, :n], gates[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * b[:, 2 * n :])
-        return c + z * (h - c), r, z, c
-
-    def _by_class(self, slots: np.ndarray):
-        """(class, places, members) for each class among the slots."""
+        """The table's rows for the slots before; -1 begins a text."""
+        return self.table().T.take(before, axis=1, mode="wrap").T
+
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """New states, the gates (reset, update, candidate), and what the states bring to the candidate. All are laid out column
+        by column, as x and h had best be, so that a gate's values lie side by side."""
+        n, x, h = self.size, x.T, h.T
+        b = self.p["u"].T @ h
+        gates = x[: 2 * n] + b[: 2 * n]
+        np.minimum(gates, 80, out=gates)
+        np.exp(gates, out=gates)
+        gates /= gates + 1
+        r, z, b = gates[:n], gates[n:], b[2 * n :]
+        c = r * b
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        after = h - c
+        after *= z
+        after += c
+        return after.T, r.T, z.T, c.T, b.T
+
+    def _by_class(self, slots: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order in which slots of one class are side by side, and (class, its part of the order), of ROWS at most."""
         of = (slots // self.members).astype(np.int16 if self.classes < 1 << 15 else np.int32)  # short numbers sort in linear time
         order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(edges[1:] > edges[:-1]):
-            at = order[edges[c] : edges[c + 1]]
-            yield c, at, slots[at] - c * self.members
+        edges = np.searchsorted(of[order], np.arange(self.classes + 1)).tolist()
+        return order, [(c, slice(i, min(i + ROWS, b))) for c, (a, b) in enumerate(zip(edges, edges[1:])) for i in range(a, b, ROWS)]
 
-    def _vectors(self, c: int) -> np.ndarray:
-        return self.p["v"][c * self.members : (c + 1) * self.members]
+    def _outputs(self) -> tuple[np.ndarray, float, np.ndarray, list[float], np.ndarray]:
+        """Weights and bias side by side, of the classes and of each class's members; how large the scores of a class and of a
+        member can be, as a state's values are within 1; and for each slot its own weights and its class's added up."""
+        of = np.concatenate([self.p["o"], self.p["b"][None]]).T.copy()
+        within = np.concatenate([self.p["v"].reshape(self.classes, self.members, self.size), self.p["m"][:, :, None]], axis=2)
+        bounds = [np.abs(np.where(w > NONE / 2, w, 0)).sum(axis=-1).max(axis=-1) for w in (of, within)]
+        return of, float(bounds[0]), within, bounds[1].tolist(), (within + of[:, None]).reshape(-1, self.size + 1)
 
     def log_probabilities(self, h: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Natural logarithms for the slots after the states h."""
-        out, small = np.empty(len(h), h.dtype), _small(self.p["o"], self.p["b"])
-        for i in range(0, len(h), ROWS):
-            here = slice(i, i + ROWS)
-            out[here] = _log_share(h[here] @ self.p["o"] + self.p["b"], slots[here] // self.members, small)
-        for c, at, member in self._by_class(slots):
-            vectors = self._vectors(c).T
-            small = _small(vectors, self.p["m"][c])
-            for i in range(0, len(at), ROWS):
-                here = at[i : i + ROWS]
-                out[here] += _log_share(h[here] @ vectors + self.p["m"][c], member[i : i + ROWS], small)
+        return self._logs(_rows([h]), slots)
+
+    def _logs(self, h: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        of, of_bound, within, bounds, both = self._outputs()
+        order, parts = self._by_class(slots)
+        h = h.take(order, axis=0, mode="clip")
+        logs = np.einsum("ij,ij->i", h, both.take(slots[order], axis=0, mode="clip"))
+        for i in range(0, len(slots), ROWS):
+            _, total, top = _exponentials(of, h[i : i + ROWS], of_bound)
+            logs[i : i + ROWS] -= np.log(total) + top
+        for c, part in parts:
+            _, total, top = _exponentials(within[c], h[part], bounds[c])
+            logs[part] -= np.log(total) + top
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def _gradients(self, trace: list[tuple], g: dict[str, np.ndarray]) -> float:
         """Adds the gradients of one window's mean loss, and returns it. trace: (slot before, begins, state before, gates,
-        state, slot) for each step."""
-        n, lanes = self.size, len(trace[0][0])
-        states, targets = np.concatenate([t[6] for t in trace]), np.concatenate([t[7] for t in trace])
-        scale = states.dtype.type(1 / len(targets))
-        e = states @ self.p["o"] + self.p["b"]
-        np.exp(np.minimum(e, 80, out=e), out=e)
-        e /= e.sum(axis=1, keepdims=True) + 1e-30
-        of = targets // self.members
-        loss = -np.log(e[np.arange(len(e)), of]).sum()
-        e[np.arange(len(e)), of] -= 1
-        e *= scale
-        g["o"] += states.T @ e
-        g["b"] += e.sum(axis=0)
-        d_states = e @ self.p["o"].T
-        for c, at, member in self._by_class(targets):
-            h, vectors = states[at], self._vectors(c)
-            e = h @ vectors.T + self.p["m"][c]
-            np.exp(np.minimum(e, 80, out=e), out=e)
-            e /= e.sum(axis=1, keepdims=True) + 1e-30
-            loss -= np.log(e[np.arange(len(e)), member]).sum()
-            e[np.arange(len(e)), member] -= 1
-            e *= scale
-            g["v"][c * self.members : (c + 1) * self.members] += e.T @ h
-            g["m"][c] += e.sum(axis=0)
-            d_states[at] += e @ vectors
-        dh = np.zeros((lanes, n), states.dtype)
-        into = []
+        state, slot, what the state before brought to the candidate) for each step, laid out as in step()."""
+        n, lanes, ends = self.size, len(trace[0][0]), self.classes * self.members
+        targets = np.concatenate([t[7] for t in trace])
+        order, parts = self._by_class(targets)
+        targets = targets[order]
+        h = _rows([t[6] for t in trace]).take(order, axis=0, mode="clip")
+        of, of_bound, within, bounds, both = self._outputs()
+        loss, scale = 0.0, h.dtype.type(1 / len(targets))
+
+        def output(weights: np.ndarray, h: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+            """The gradients of the weights and of the states, by the exponentials. Their sums divide the states, which are fewer
+            values."""
+            nonlocal loss
+            e, total, top = _exponentials(weights, h, bound)
+            loss += float((np.log(total) + top).sum())
+            share = (1 / total)[:, None]
+            back = e @ weights[:, :n]
+            back *= share
+            return e.T @ (h * share), back
+
+        # the chosen slots and their classes first: their scores' gradients are less by one
+        own = both.take(targets, axis=0, mode="clip")
+        loss -= float(np.vdot(own, h))
+        d_states = np.negative(own[:, :n])
+        d_within = -_sums(h.T, targets, ends).T.reshape(within.shape)
+        d_of = d_within.sum(axis=1)
+        for i in range(0, len(targets), ROWS):
+            part = slice(i, i + ROWS)
+            d, back = output(of, h[part], of_bound)
+            d_of += d
+            d_states[part] += back
+        for c, part in parts:
+            d, back = output(within[c], h[part], bounds[c])
+            d_within[c] += d
+            d_states[part] += back
+        d_of *= scale
+        d_within *= scale
+        g["o"] += d_of[:, :n].T
+        g["b"] += d_of[:, n]
+        g["v"] += d_within[:, :, :n].reshape(-1, n)
+        g["m"] += d_within[:, :, n]
+        d_states *= scale
+        places = np.empty_like(order)
+        places[order] = np.arange(len(order))
+        d_states = d_states.take(places, axis=0, mode="clip")
+
+        dh = np.zeros((n, lanes), h.dtype)
+        dx = np.empty((3 * n, len(trace), lanes), h.dtype)
+        inner = np.empty((3 * n, lanes), h.dtype)
         for j in range(len(trace) - 1, -1, -1):
-            _, begins, old, r, z, c, _, _ = trace[j]
-            d = dh + d_states[j * lanes : (j + 1) * lanes]
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (old - c) * z * (1 - z)
-            dr = dc * (old @ self.p["u"][:, 2 * n :]) * r * (1 - r)
-            inner = np.concatenate([dr, dz, dc * r], axis=1)
-            into.append(np.concatenate([dr, dz, dc], axis=1))
-            g["u"] += old.T @ inner
-            dh = np.where(begins[:, None], 0, d * z + inner @ self.p["u"].T)
-        before, dx = np.concatenate([t[0] for t in trace]), np.concatenate(into[::-1])
-        some = before >= 0
-        _scatter(g["c"], np.where(some, before // self.members, self.classes), dx)
-        if some.any():
-            g["w"] += self.p["v"][before[some]].T @ dx[some]
-            _scatter(g["v"], before[some], dx[some] @ self.p["w"].T)
-        return float(loss) / len(targets)
+            begins = trace[j][1]
+            old, r, z, c, b = (trace[j][i].T for i in (2, 3, 4, 5, 8))
+            dh += np.ascontiguousarray(d_states[j * lanes : (j + 1) * lanes].T)
+            kept = dh * z
+            dh -= kept
+            dr, dz, dc = inner[:n], inner[n : 2 * n], dx[2 * n :, j]
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= dh
+            np.multiply(dc, r, out=inner[2 * n :])
+            np.subtract(1, r, out=dr)
+            dr *= b
+            dr *= inner[2 * n :]
+            np.subtract(old, c, out=dz)
+            dz *= z
+            dz *= dh
+            dx[: 2 * n, j] = inner[: 2 * n]
+            g["u"] += (inner @ old.T).T
+            dh = self.p["u"] @ inner
+            dh += kept
+            if begins.any():
+                dh[:, begins] = 0
+        # what each slot before has brought is added up first
+        before = np.concatenate([t[0] for t in trace])
+        slots = _sums(dx.reshape(3 * n, -1), np.where(before < 0, ends, before), ends + 1)
+        g["c"] += np.concatenate([slots[:, :-1].reshape(3 * n, self.classes, self.members).sum(axis=2), slots[:, -1:]], axis=1).T
+        g["w"] += (slots[:, :-1] @ self.p["v"]).T
+        g["v"] += (self.p["w"] @ slots[:, :-1]).T
+        return loss / len(targets)
 
     def window(self, slots: np.ndarray, before: np.ndarray, begins: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
         """The states after a window of steps (rows are lanes), and its trace."""
-        x = self.inputs(np.ascontiguousarray(before.T).ravel()).reshape(before.shape[1], len(h), -1)
+        table = self.table().T
         trace = []
         for j in range(slots.shape[1]):
             if begins[:, j].any():
-                h = np.where(begins[:, j, None], 0, h).astype(h.dtype)
-            after, r, z, c = self.step(x[j], h)
-            trace.append((before[:, j], begins[:, j], h, r, z, c, after, slots[:, j]))
+                h = np.where(begins[:, j], 0, h.T).astype(h.dtype).T
+            after, r, z, c, b = self.step(table.take(before[:, j], axis=1, mode="wrap").T, h)
+            trace.append((before[:, j], begins[:, j], h, r, z, c, after, slots[:, j], b))
             h = after
         return h, trace
 
@@ -215,31 +278,36 @@ class Gru:
             self.p[k] -= x
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Natural log-probability of each whole sequence, all side by side, states carried from window to window."""
-        sizes = np.array([len(s) for s in sequences])
+        """Natural log-probability of each whole sequence, ROWS of about one length side by side, states carried from window to
+        window."""
+        sizes = np.array([len(s) for s in sequences], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        total = np.zeros(len(sequences))
-        begin = (np.cumsum(sizes) - sizes)[order]
+        begin = np.cumsum(sizes) - sizes
         flat = np.concatenate(sequences) if len(sequences) else np.zeros(0, np.int32)
-        left = sizes[order]
-        table = np.concatenate([self.inputs(np.arange(self.classes * self.members)), self.inputs(np.array([-1]))])
-        h = np.zeros((len(sequences), self.size), self.p["u"].dtype)
-        at, longest = 0, int(left[0]) if len(left) else 0
+        table, out = self.table().T, np.zeros(len(sequences))
+        for i in range(0, len(order), ROWS):
+            own = order[i : i + ROWS]
+            out[own] = self._scored(flat, begin[own], sizes[own], table)
+        return out
+
+    def _scored(self, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Of the sequences that begin at these places of flat, the longest first."""
+        total, h = np.zeros(len(sizes)), np.zeros((self.size, len(sizes)), self.p["u"].dtype).T
+        at, longest = 0, int(sizes[0])
         while at < longest:
-            states, targets, owners = [], [], []  # the texts in order of length, so those still going on are the first
-            alive = int(np.searchsorted(-left, -at, "left"))
-            for j in range(at, min(at + max(16, 4096 // max(alive, 1)), longest)):
-                alive = int(np.searchsorted(-left, -j, "left"))  # those of more than j
+            states, targets, owners = [], [], []  # those still going on are the first
+            alive = int(np.searchsorted(-sizes, -at, "left"))
+            until = min(at + 32 * ROWS // max(alive, 1), longest)
+            for j, alive in enumerate(np.searchsorted(-sizes, -np.arange(at, until), "left").tolist(), at):  # those of more than j
                 place = begin[:alive] + j
-                h = self.step(table[flat[place - 1]] if j else np.repeat(table[-1:], alive, 0), h[:alive])[0]
+                x = table.take(flat[place - 1], axis=1, mode="wrap") if j else np.repeat(table[:, -1:], alive, axis=1)
+                h = self.step(x.T, h[:alive])[0]
                 states.append(h)
                 targets.append(flat[place])
                 owners.append(alive)
-            logs, done = self.log_probabilities(np.concatenate(states), np.concatenate(targets)), 0
+            logs, done = self._logs(_rows(states), np.concatenate(targets)), 0
             for alive in owners:
                 total[:alive] += logs[done : done + alive]
                 done += alive
-            at += len(states)
-        out = np.empty(len(total))
-        out[order] = total
-        return out
+            at = until
+        return total

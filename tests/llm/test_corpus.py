@@ -259,3 +259,30 @@ def test_every_window_is_learned_from(monkeypatch):
     network = gru.Gru(2, 2, 4)
     network.train([np.arange(1000) % 4], 0.01, lanes=1, window=16, every=8)
     assert sum(seen) == 1000
+
+
+def test_words_are_told_apart_by_class_many_at_a_time(monkeypatch):
+    """Every class has products of its own, so texts of any lengths are scored in few and large windows."""
+    seen = []
+    own = gru.Gru.__dict__["_by_class"]
+    monkeypatch.setattr(gru.Gru, "_by_class", lambda self, slots: seen.append(len(slots)) or own(self, slots))
+    rng = np.random.default_rng(3)
+    for sizes in ([20_000], [100] * 300):
+        seen.clear()
+        gru.Gru(3, 4, 8).score([rng.integers(0, 12, n) for n in sizes])
+        assert sum(seen) == sum(sizes) and len(seen) == 1
+
+
+def test_large_scores_are_not_cut():
+    """Shares are those of double precision, also where single precision has no room for the exponentials."""
+    rng = np.random.default_rng(4)
+    network = gru.Gru(3, 4, 8)
+    network.p["b"] += np.array([0, 95, 150], np.float32)
+    network.p["m"] += rng.normal(0, 90, (3, 4)).astype(np.float32)
+    h, slots = np.tanh(rng.normal(0, 1, (50, 8))).astype(np.float32), rng.integers(0, 12, 50)
+    p = {k: x.astype(np.float64) for k, x in network.p.items()}
+    for state, slot, got in zip(h.astype(np.float64), slots, network.log_probabilities(h, slots), strict=True):
+        c = slot // 4
+        of, member = state @ p["o"] + p["b"], p["v"][c * 4 : c * 4 + 4] @ state + p["m"][c]
+        log = lambda s: s.max() + np.log(np.exp(s - s.max()).sum())
+        assert abs(of[c] - log(of) + member[slot % 4] - log(member) - got) < 1e-2
