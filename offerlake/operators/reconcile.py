@@ -48,14 +48,14 @@ def _begins_high(page_height: int) -> Column:
 
 
 def _split_pairs(products: DataFrame, page_height: int, least: int) -> DataFrame:
-    """(a, b, points): the pairs of split_candidates, with both products as structs."""
-    # pages alone are put in order; products are filtered by their boxes before they move, and each moves once
-    after = F.lead("page_number").over(Window.partitionBy("leaflet_id").orderBy("page_number")).alias("next_page")
-    pages = products.select("leaflet_id", "page_number").distinct().select("leaflet_id", "page_number", after)
-    own = F.struct(*products.columns)
-    low = products.where(_ends_low(page_height)).select("leaflet_id", "page_number", own.alias("a")).join(pages, ["leaflet_id", "page_number"])
-    high = products.where(_begins_high(page_height)).select("leaflet_id", F.col("page_number").alias("next_page"), own.alias("b"))
-    pairs = low.join(high, ["leaflet_id", "next_page"])
+    """(leaflet_id, a, b, points): the pairs of split_candidates, with both products as structs."""
+    # a page is a row with what may be parts at its two ends, beside the next page's: products are read once and move by document alone
+    own, page = F.struct(*products.columns), F.col("page_number")
+    ends = {"lows": page.isNotNull() & _ends_low(page_height), "highs": _begins_high(page_height)}
+    pages = products.groupBy("leaflet_id", "page_number").agg(*[F.collect_list(F.when(c, own)).alias(n) for n, c in ends.items()])
+    after = F.lead("highs").over(Window.partitionBy("leaflet_id").orderBy("page_number"))
+    pages = pages.select("leaflet_id", "lows", after.alias("highs")).where((F.size("lows") > 0) & (F.size("highs") > 0))
+    pairs = pages.select("leaflet_id", "highs", F.explode("lows").alias("a")).select("leaflet_id", "a", F.explode("highs").alias("b"))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     flagged = lambda side, flag: F.array_contains(flag_list(side("flags")), flag)
     brand = lambda side: F.nullif(F.lower(F.trim(side("brand"))), F.lit(""))
@@ -65,13 +65,13 @@ def _split_pairs(products: DataFrame, page_height: int, least: int) -> DataFrame
         + F.when(flagged(a, "partial_product") | flagged(b, "partial_product"), 20).otherwise(0)
         + F.when(flagged(a, "continues_on_next_page"), 25).otherwise(0) + F.when(flagged(b, "continued_from_previous"), 25).otherwise(0)
     )
-    return pairs.select("a", "b", F.least(F.lit(100), points).alias("points")).where(F.col("points") > least)
+    return pairs.select("leaflet_id", "a", "b", F.least(F.lit(100), points).alias("points")).where(F.col("points") > least)
 
 
 def split_candidates(products: DataFrame, page_height: int, least: int = 50) -> DataFrame:
     """Pairs (first, second, points of 100) of a product that ends in the lowest tenth of a page and one that begins in
-    the highest of the document's next page, whatever its number; products without a box are in none. The join is on
-    document and page, so it never meets all pairs of a document."""
+    the highest of the document's next page, whatever its number; products without a box are in none. Pages meet their
+    next page alone, so that never all pairs of a document are made."""
     columns = ["leaflet_id", "page_number", "id", "product_name", "brand", "discounted_price", "bbox_x", "bbox_y", "bbox_height", "flags"]
     return _split_pairs(products.select(*columns), page_height, least).select("a.leaflet_id", "a.page_number", F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"), "points")
 
@@ -103,24 +103,26 @@ def _merged(both: DataFrame, columns: list[str]) -> DataFrame:
         "id": F.concat(x("id"), F.lit("+"), y("id")), "confidence": F.coalesce((one + two) / 2, one, two), "category_confidence": F.greatest(x("category_confidence"), y("category_confidence")),
         "bbox_x": box(left, "bbox_x"), "bbox_y": box(x("bbox_y"), "bbox_y"), "bbox_width": box(right - left, "bbox_width"), "bbox_height": box(x("bbox_height") + y("bbox_height"), "bbox_height"), "flags": F.array_join(F.array_sort(F.array_append(flags, "merged_from_split")), ","),
     }
+    made |= {c: F.col(c) for c in both.columns if c in columns}  # what both have in common, by which they may lie
     return both.select(*[(made[c] if c in made else x(c)).alias(c) for c in columns])
 
 
-def reconciled(products: DataFrame, page_height: int) -> DataFrame:
+def reconciled(products: DataFrame, page_height: int, dealt: bool = False) -> DataFrame:
     """Splits merged and put after the rest (a product may be part of several), then the best on each page, the first
     in each cell, and the clean-up, in this order. With a part go all products of its page that are equal to it in everything but
-    their id. Ties follow page and id, merged products last."""
+    their id. Ties follow page and id, merged products last. dealt: products lie by document already, and do not move again."""
     own = products.withColumn("confidence", F.col("confidence").cast("double"))
     pairs = _split_pairs(own, page_height, MERGE_POINTS - 1)
-    # what is equal to a part lies where parts lie, so that all other products are left without being looked up
-    split = F.coalesce(_ends_low(page_height) | _begins_high(page_height), F.lit(False))
-    value = F.struct(*[c for c in own.columns if c != "id"]).alias("_value")
-    parts = pairs.select(F.explode(F.array("a", "b")).alias("p")).select(F.col("p.leaflet_id").alias("leaflet_id"), F.struct(*[F.col(f"p.{c}") for c in own.columns if c != "id"]).alias("_value")).distinct()
-    near = own.where(split).withColumn("_value", value).join(parts, ["leaflet_id", "_value"], "left_anti").drop("_value")
+    rest = [c for c in own.columns if c != "id"]
+    value = lambda p=None: F.struct(*[F.col(c if p is None else f"{p}.{c}").alias(c) for c in rest])
+    # by document, as products lie: what goes is few beside them, and is looked up as they come
+    gone = pairs.groupBy("leaflet_id").agg(F.flatten(F.collect_list(F.array(value("a"), value("b")))).alias("_gone"))
+    stays = ~F.coalesce(F.array_contains("_gone", value()), F.lit(False))
+    near = own.join(gone.hint("shuffle_hash"), "leaflet_id", "left").where(stays)
     late = lambda df, k: df.select(*own.columns, F.lit(k).alias("_late"))
-    every = late(own.where(~split), 0).unionByName(late(near, 0)).unionByName(late(_merged(pairs, own.columns), 1))
+    every = late(near, 0).unionByName(late(_merged(pairs, own.columns), 1))
     # by document, in which both choices below find what they compare: products move once for both
-    every = every.repartition("leaflet_id")
+    every = every if dealt else every.repartition("leaflet_id")
     order = ("_late", "page_number", "id")
     return sanitized(first_in_cell(best_on_page(every, *order), *order)).drop("_late")
 

@@ -69,7 +69,7 @@ add("d5_best_on_page", "offers", lambda x: r.best_on_page(x.offers).select("id")
 add("d6_first_in_cell", "offers", lambda x: r.first_in_cell(x.offers).select("id"), f"SELECT id FROM (SELECT id, row_number() OVER ({CELL} ORDER BY page_number, id) AS k FROM offers) WHERE k = 1")
 add("d7_sanitize", "offers", lambda x: r.sanitized(x.offers).select("id", "regular_price", "discounted_price", "discount_percentage"), f"SELECT id, regular_price, discounted_price, discount_percentage FROM ({clean('offers')})")
 add(
-    "d8_reconcile", "offers", lambda x: r.reconciled(x.offers, 1000).select(OUT),
+    "d8_reconcile", "offers", lambda x: r.reconciled(x.by_leaflet("offers").select(OUT), 1000, dealt=True),
     PAIRS + MERGED + f""", every AS (SELECT {", ".join(c if c != "confidence" else "CAST(confidence AS DOUBLE) AS confidence" for c in OUT)}, 0 AS late FROM offers WHERE concat_ws('|', {", ".join(f"COALESCE(CAST({c} AS VARCHAR), '~')" for c in OUT if c != "id")}) NOT IN (SELECT concat_ws('|', {", ".join(f"COALESCE(CAST({c} AS VARCHAR), '~')" for c in OUT if c != "id")}) FROM offers WHERE id IN (SELECT first_id FROM chosen UNION ALL SELECT second_id FROM chosen)) UNION ALL SELECT {COLUMNS}, 1 AS late FROM merged),
     best AS (SELECT * FROM (SELECT *, row_number() OVER ({BEST}, late, page_number, id) AS k FROM every) WHERE k = 1), cells AS (SELECT * FROM (SELECT * REPLACE (row_number() OVER ({CELL} ORDER BY late, page_number, id) AS k) FROM best) WHERE k = 1)
     SELECT {COLUMNS} FROM ({clean("cells")})""",
