@@ -84,6 +84,16 @@ def merged(products: DataFrame, pairs: DataFrame) -> DataFrame:
     return _merged(pairs.join(a, "first_id").join(b, "second_id").select("a", "b"), products.columns)
 
 
+def split_merged(products: DataFrame, page_height: int) -> DataFrame:
+    """merged() of the split_candidates of MERGE_POINTS or more. Products of one id are of one document, so that products are looked
+    up among those of the few documents that have pairs."""
+    pairs = _split_pairs(products, page_height, MERGE_POINTS - 1).groupBy("leaflet_id").agg(F.collect_list(F.struct(F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"))).alias("pairs"))
+    sheets = products.join(pairs.hint("shuffle_hash"), "leaflet_id").groupBy("leaflet_id").agg(F.first("pairs").alias("pairs"), F.collect_list(F.struct(*products.columns)).alias("all"))
+    with_id = lambda c: F.explode(F.filter("all", lambda p: p["id"] == F.col(f"pair.{c}")))
+    both = sheets.select("all", F.explode("pairs").alias("pair")).select("all", "pair", with_id("first_id").alias("a")).select("a", with_id("second_id").alias("b"))
+    return _merged(both, products.columns)
+
+
 def _merged(both: DataFrame, columns: list[str]) -> DataFrame:
     """merged() of pairs of products as structs a and b of the columns named."""
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))

@@ -64,7 +64,7 @@ add(
     "d2_name_similarity", "offers", lambda x: r.split_candidates(x.offers, 1000, -1).join(x.offers.select(F.col("id").alias("first_id"), F.col("product_name").alias("a")), "first_id").join(x.offers.select(F.col("id").alias("second_id"), F.col("product_name").alias("b")), "second_id").select("first_id", "second_id", r.name_similarity(F.col("a"), F.col("b")).alias("similarity")),
     PAIRS + f"SELECT first_id, second_id, CAST({ALIKE} AS DOUBLE) AS similarity FROM pairs JOIN placed a ON a.id = first_id JOIN placed b ON b.id = second_id",
 )
-add("d3_merged", "offers", lambda x: r.merged(x.offers, r.split_candidates(x.offers, 1000).where(F.col("points") >= r.MERGE_POINTS).select("first_id", "second_id")).select(OUT), PAIRS + MERGED + f"SELECT {COLUMNS} FROM merged")
+add("d3_merged", "offers", lambda x: r.split_merged(x.by_leaflet("offers").select(OUT), 1000), PAIRS + MERGED + f"SELECT {COLUMNS} FROM merged")
 add("d5_best_on_page", "offers", lambda x: r.best_on_page(x.offers).select("id"), f"SELECT id FROM (SELECT id, row_number() OVER ({BEST}, id) AS k FROM offers) WHERE k = 1")
 add("d6_first_in_cell", "offers", lambda x: r.first_in_cell(x.offers).select("id"), f"SELECT id FROM (SELECT id, row_number() OVER ({CELL} ORDER BY page_number, id) AS k FROM offers) WHERE k = 1")
 add("d7_sanitize", "offers", lambda x: r.sanitized(x.offers).select("id", "regular_price", "discounted_price", "discount_percentage"), f"SELECT id, regular_price, discounted_price, discount_percentage FROM ({clean('offers')})")

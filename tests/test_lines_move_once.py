@@ -8,7 +8,7 @@ from offerlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Query -> how often rows are dealt: lines by part and by leaflet, parts, and orders where offers are read.
-DEALT = {"g13_hybrid_regions": 3, "d8_reconcile": 4}
+DEALT = {"g13_hybrid_regions": 3, "d8_reconcile": 4, "d3_merged": 4}
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,12 @@ def test_what_equals_a_part_goes_with_it(spark):
     df = offer(spark, ("a", 1, 840, {}), ("a2", 1, 840, {}), ("b", 2, 0, {}), ("n", 1, 840, {"product_name": "juice", "flags": ""}), ("c", 1, 300, {"product_name": "bread"}))
     for dealt in (False, True):
         assert sorted(x.id for x in r.reconciled(df, 1000, dealt=dealt).collect()) == ["a+b", "c", "n"]
+
+
+def test_every_product_of_an_id_is_merged(spark):
+    from offerlake.operators import reconcile as r
+
+    df = offer(spark, ("a", 1, 840, {}), ("a", 1, 840, {"discounted_price": 1.0}), ("b", 2, 0, {}), ("b", 2, 0, {"flags": ""}), ("c", 3, 0, {}))
+    pairs = r.split_candidates(df, 1000).where(f"points >= {r.MERGE_POINTS}").select("first_id", "second_id")
+    assert sorted(map(repr, r.split_merged(df, 1000).collect())) == sorted(map(repr, r.merged(df, pairs).collect()))
+    assert r.split_merged(df, 1000).count() == 4 * pairs.count() > 4
