@@ -52,7 +52,7 @@ SHEETS = f""", sheets AS (SELECT DISTINCT * FROM regions), goods AS (SELECT DIST
 
 
 def _sheets(x):
-    return x.by_leaflet("offers").repartition("leaflet_id").distinct(), x.by_leaflet("regions").distinct()
+    return [df.distinct() for df in x.gathered("offers", "regions")]
 
 
 add("j15_exclusive_match", "offers regions", lambda x: m.by_text(*_sheets(x), "leaflet_id").select("leaflet_id", F.col("turn.id").alias("id"), "region", "score"), SHEETS + " SELECT * FROM texted")
