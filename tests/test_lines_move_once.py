@@ -8,7 +8,7 @@ from offerlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Query -> how often rows are dealt: lines by part and by leaflet, parts, and orders where offers are read.
-DEALT = {"g13_hybrid_regions": 3, "d8_reconcile": 4, "d3_merged": 4, "j15_exclusive_match": 4, "g17_position_match": 4}
+DEALT = {"g13_hybrid_regions": 3, "d8_reconcile": 4, "d3_merged": 4, "j15_exclusive_match": 4, "g17_position_match": 4, "j15_g16_matched_regions": 4}
 
 
 @pytest.fixture(scope="module")
